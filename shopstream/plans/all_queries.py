@@ -1,3 +1,4 @@
 """Import every plan module so that all queries are registered."""
 
 from shopstream.plans import session_queries  # noqa: F401
+from shopstream.plans import catalog_queries  # noqa: F401

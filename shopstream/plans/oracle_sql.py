@@ -161,3 +161,196 @@ oracle("rolling_window", w(CLICKS, """,
 m AS (SELECT max(event_time) AS mx FROM clicks)
 SELECT user_session, event_time, event_id, product_id FROM clicks, m
 WHERE event_time >= mx - INTERVAL 7 DAY"""))
+
+# --- catalog (X2 -> X3) -----------------------------------------------------
+
+BASKETS = """
+baskets AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS user_session, l_shipdate AS event_time, l_partkey AS product_id,
+         l_returnflag AS event_type,
+         CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE CAST(l_extendedprice AS DECIMAL(10,2)) END AS price,
+         CASE WHEN (l_orderkey + l_linenumber) % 5 = 0 OR l_partkey % 13 = 0 THEN NULL
+              ELSE lower(p_type) || '.' || split_part(p_name, ' ', 2) END AS category_code,
+         CASE WHEN (l_orderkey + l_linenumber) % 3 = 0 OR l_partkey % 11 = 0 THEN NULL ELSE p_brand END AS brand,
+         l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity
+  FROM lineitem JOIN part ON l_partkey = p_partkey
+)"""
+
+_OKEY = "(event_time, l_linenumber, product_id, l_orderkey, l_suppkey, l_extendedprice, l_quantity)"
+_CASED = r"\p{Lu}\p{Ll}\p{Lt}"
+
+
+def _title(x: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({x}, '([{_CASED}]+|[^{_CASED}]+)', 1), "
+            f"lambda r: upper(r[1]) || lower(r[2:])), '')")
+
+
+def _humanize(x: str) -> str:
+    return _title(f"regexp_replace(translate({x}, '_-', '  '), '^\\s+|\\s+$', '', 'g')")
+
+
+def _top(x: str) -> str:
+    return f"list_filter(string_split({x}, '.'), lambda p: p <> '')[1]"
+
+
+def _leaf(x: str) -> str:
+    return f"list_filter(string_split({x}, '.'), lambda p: p <> '')[-1]"
+
+
+def _reduce(src: str, name: str) -> str:
+    return f"""
+{name} AS (
+  SELECT product_id, count(*) AS event_count,
+         arg_max(category_code, {_OKEY}) FILTER (WHERE category_code IS NOT NULL) AS category_code,
+         arg_max(brand, {_OKEY}) FILTER (WHERE brand IS NOT NULL) AS brand,
+         arg_max(price, {_OKEY}) FILTER (WHERE price IS NOT NULL) AS price,
+         max(event_time) AS updated_at
+  FROM {src} GROUP BY product_id
+)"""
+
+
+def _derive(src: str, name: str) -> str:
+    leaf_name = f"CASE WHEN coalesce({_leaf('category_code')}, '') <> '' THEN {_humanize(_leaf('category_code'))} END"
+    brand_name = f"CASE WHEN coalesce(brand, '') <> '' THEN {_humanize('brand')} END"
+    return f"""
+{name}_n AS (
+  SELECT *, {leaf_name} AS _leaf_name, {brand_name} AS _brand_name FROM {src}
+),
+{name} AS (
+  SELECT product_id, category_code, {_top('category_code')} AS category_top, {_leaf('category_code')} AS category_leaf,
+         brand, price,
+         CASE WHEN coalesce(_brand_name, '') <> '' AND coalesce(_leaf_name, '') <> '' THEN _brand_name || ' ' || _leaf_name
+              WHEN coalesce(_brand_name, '') <> '' THEN _brand_name || ' Product'
+              WHEN coalesce(_leaf_name, '') <> '' THEN _leaf_name
+              ELSE 'Unbranded Product #' || CAST(product_id AS VARCHAR) END AS display_name,
+         coalesce(nullif({_top('category_code')}, ''), 'generic') AS image_ref,
+         CAST(event_count AS BIGINT) AS event_count, updated_at
+  FROM {name}_n
+)"""
+
+
+PRODUCTS = BASKETS + "," + _reduce("baskets", "reduced") + "," + _derive("reduced", "products")
+API = "product_id, display_name, brand, category_top, category_leaf, category_code, CAST(price AS DOUBLE) AS price, image_ref"
+POOLS = """,
+leaf_pools(category_top, category_leaf, n) AS (VALUES ('economy', 'ring', 6), ('small', 'bolt', 6)),
+pools(category_top, n) AS (VALUES ('economy', 8), ('small', 8), ('medium', 8), ('promo', 8), ('generic', 8))"""
+
+oracle("parse_category", w(BASKETS, f"""
+SELECT DISTINCT category_code, {_top('category_code')} AS category_top, {_leaf('category_code')} AS category_leaf
+FROM baskets"""))
+
+oracle("catalog_reduce", w(BASKETS + "," + _reduce("baskets", "reduced"), """
+SELECT product_id, event_count, category_code, brand, CAST(price AS DOUBLE) AS price, updated_at FROM reduced"""))
+
+oracle("catalog", w(PRODUCTS, """
+SELECT product_id, category_code, category_top, category_leaf, brand, CAST(price AS DOUBLE) AS price,
+       display_name, image_ref, event_count, updated_at FROM products"""))
+
+oracle("catalog_null_stats", w(PRODUCTS, """
+SELECT count(*) AS products, count(*) FILTER (WHERE category_code IS NULL) AS null_category,
+       count(*) FILTER (WHERE brand IS NULL) AS null_brand,
+       count(*) FILTER (WHERE category_code IS NULL AND brand IS NULL) AS null_both
+FROM products"""))
+
+oracle("catalog_upsert", w(
+    BASKETS + ",\nb_old AS (SELECT * FROM baskets WHERE event_time < TIMESTAMP '1999-01-01 00:00:00'),"
+    "\nb_new AS (SELECT * FROM baskets WHERE event_time >= TIMESTAMP '1999-01-01 00:00:00'),"
+    + _reduce("b_old", "r_old") + "," + _reduce("b_new", "r_new") + ","
+    + _derive("r_old", "p_old") + "," + _derive("r_new", "p_new"), """
+SELECT product_id, category_code, category_top, category_leaf, brand, CAST(price AS DOUBLE) AS price,
+       display_name, image_ref, event_count, updated_at FROM p_new
+UNION ALL
+SELECT product_id, category_code, category_top, category_leaf, brand, CAST(price AS DOUBLE) AS price,
+       display_name, image_ref, event_count, updated_at FROM p_old
+WHERE product_id NOT IN (SELECT product_id FROM p_new)"""))
+
+oracle("image_assign", w(PRODUCTS + POOLS, """
+SELECT p.product_id, p.category_top, p.category_leaf,
+       CASE WHEN p.category_top IS NOT NULL AND p.category_leaf IS NOT NULL AND l.n > 0
+              THEN format('/images/{}/leaf-{}/{}.jpg', p.category_top, p.category_leaf, p.product_id % l.n + 1)
+            WHEN p.category_top IS NOT NULL AND c.n > 0
+              THEN format('/images/{}/{}.jpg', p.category_top, p.product_id % c.n + 1)
+            WHEN g.n > 0 THEN format('/images/generic/{}.jpg', p.product_id % g.n + 1)
+            ELSE '/icons/generic.svg' END AS image_url
+FROM products p
+LEFT JOIN leaf_pools l ON l.category_top = p.category_top AND l.category_leaf = p.category_leaf
+LEFT JOIN pools c ON c.category_top = p.category_top
+CROSS JOIN (SELECT max(n) FILTER (WHERE category_top = 'generic') AS n FROM pools) g"""))
+
+oracle("category_cover", w(PRODUCTS + POOLS, """,
+cats AS (SELECT category_top AS category, count(*) AS product_count FROM products WHERE category_top IS NOT NULL GROUP BY 1)
+SELECT k.category, k.product_count,
+       CASE WHEN c.n > 0 THEN format('/images/{}/1.jpg', k.category)
+            WHEN g.n > 0 THEN '/images/generic/1.jpg' ELSE '/icons/generic.svg' END AS cover_url
+FROM cats k LEFT JOIN pools c ON c.category_top = k.category
+CROSS JOIN (SELECT max(n) FILTER (WHERE category_top = 'generic') AS n FROM pools) g"""))
+
+oracle("leaf_share", w(PRODUCTS, """,
+c AS (SELECT category_top, category_leaf, count(*) AS n FROM products WHERE category_top IS NOT NULL GROUP BY 1, 2)
+SELECT category_top, category_leaf, n, n / sum(n) OVER (PARTITION BY category_top) AS share FROM c"""))
+
+_LABEL = ("array_to_string(list_transform(regexp_extract_all(regexp_replace(category_top, '^([^_]*)_', '\\1 '), "
+          "'([A-Za-z0-9_]+|[^A-Za-z0-9_]+)', 1), lambda r: CASE WHEN regexp_matches(r, '^[A-Za-z0-9_]') "
+          "THEN upper(r[1]) || r[2:] ELSE r END), '')")
+oracle("display_labels", w(PRODUCTS, f"""
+SELECT product_id, {_LABEL} AS category_label,
+       CASE WHEN price IS NULL THEN '—' ELSE '$' || CAST(price AS VARCHAR) END AS price_label,
+       {_humanize('brand')} AS brand_label
+FROM products"""))
+
+oracle("product_filter", w(PRODUCTS, f"SELECT {API} FROM products WHERE category_top = 'economy'"))
+oracle("product_search", w(PRODUCTS, f"""
+SELECT {API} FROM products WHERE display_name ILIKE '%ring%' OR brand ILIKE '%ring%'"""))
+oracle("product_search_wildcard", w(PRODUCTS, f"""
+SELECT {API} FROM products WHERE display_name ILIKE '%brand#1_ g%' OR brand ILIKE '%brand#1_ g%'"""))
+oracle("product_page", w(PRODUCTS, f"""
+SELECT {API} FROM products WHERE category_top = 'economy'
+ORDER BY event_count DESC, product_id LIMIT 24 OFFSET 24"""))
+oracle("page_info", w(PRODUCTS, """
+SELECT 1 AS page, 24 AS page_size, count(*) AS total_items, CAST(ceil(count(*) / 24) AS BIGINT) AS total_pages
+FROM products WHERE category_top = 'economy' AND (display_name ILIKE '%brand#1%' OR brand ILIKE '%brand#1%')"""))
+oracle("all_pages", w(PRODUCTS, """
+SELECT CAST(ceil(rn / 24) AS INTEGER) AS page_no, CAST((rn - 1) % 24 + 1 AS INTEGER) AS page_pos, product_id
+FROM (SELECT product_id, row_number() OVER (ORDER BY event_count DESC, product_id) AS rn FROM products)"""))
+oracle("category_counts", w(PRODUCTS, """
+SELECT category_top AS category, count(*) AS product_count FROM products WHERE category_top IS NOT NULL GROUP BY 1"""))
+
+CART_COMMANDS = """
+cmd_src AS (
+  SELECT row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey) AS seq,
+         CAST(o_custkey AS VARCHAR) AS cart_id, l_partkey, l_quantity, l_shipdate
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+),
+commands AS (
+  SELECT seq, cart_id,
+         CASE WHEN seq % 7 = 0 THEN 'del' WHEN seq % 5 = 0 THEN 'set' ELSE 'add' END AS op,
+         CASE WHEN seq % 97 = 0 THEN -l_partkey - 1 ELSE l_partkey END AS product_id,
+         CASE WHEN seq % 7 = 0 THEN NULL WHEN seq % 5 = 0 THEN CAST(seq % 4 AS INTEGER)
+              ELSE CAST(l_quantity AS INTEGER) END AS quantity,
+         l_shipdate AS at
+  FROM cmd_src
+)"""
+
+oracle("product_lookup", w(PRODUCTS + "," + CART_COMMANDS, f"""
+SELECT {API} FROM products WHERE product_id IN (SELECT product_id FROM commands)"""))
+oracle("product_lookup_missing", w(PRODUCTS + "," + CART_COMMANDS, """
+SELECT DISTINCT product_id FROM commands WHERE product_id NOT IN (SELECT product_id FROM products)"""))
+
+oracle("home_rows", w(PRODUCTS, """,
+top AS (SELECT category_top, count(*) AS product_count FROM products WHERE category_top IS NOT NULL
+        GROUP BY 1 ORDER BY product_count DESC, category_top LIMIT 2),
+r AS (SELECT p.*, t.product_count,
+             row_number() OVER (PARTITION BY p.category_top ORDER BY p.event_count DESC, p.product_id) AS rank
+      FROM products p JOIN top t USING (category_top))
+SELECT category_top, product_count, CAST(rank AS INTEGER) AS rank, product_id, display_name, brand, category_leaf,
+       category_code, CAST(price AS DOUBLE) AS price, image_ref
+FROM r WHERE rank <= 8"""))
+
+oracle("related_products", w(PRODUCTS, """,
+top AS (SELECT category_top, product_id AS related_id,
+               row_number() OVER (PARTITION BY category_top ORDER BY event_count DESC, product_id) AS r
+        FROM products WHERE category_top IS NOT NULL),
+j AS (SELECT p.product_id, t.related_id, t.r FROM products p JOIN top t USING (category_top)
+      WHERE t.r <= 9 AND t.related_id <> p.product_id),
+k AS (SELECT product_id, related_id, row_number() OVER (PARTITION BY product_id ORDER BY r) AS pos FROM j)
+SELECT product_id, CAST(pos AS INTEGER) AS pos, related_id FROM k WHERE pos <= 8"""))
