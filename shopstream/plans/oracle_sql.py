@@ -65,8 +65,8 @@ encoded AS (
 )"""
 
 
-def w(cte: str, body: str) -> str:
-    return "WITH " + cte.strip() + "\n" + body
+def w(cte: str, body: str, recursive: bool = False) -> str:
+    return ("WITH RECURSIVE " if recursive else "WITH ") + cte.strip() + "\n" + body
 
 
 # --- load / export --------------------------------------------------------
@@ -354,3 +354,87 @@ j AS (SELECT p.product_id, t.related_id, t.r FROM products p JOIN top t USING (c
       WHERE t.r <= 9 AND t.related_id <> p.product_id),
 k AS (SELECT product_id, related_id, row_number() OVER (PARTITION BY product_id ORDER BY r) AS pos FROM j)
 SELECT product_id, CAST(pos AS INTEGER) AS pos, related_id FROM k WHERE pos <= 8"""))
+
+# --- carts (X4) ---------------------------------------------------------------
+
+CART_ITEMS = """
+cart_items AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS cart_id, l_partkey AS product_id,
+         CAST(sum(l_quantity) AS INTEGER) AS quantity, min(o_orderdate) AS added_at
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2
+)"""
+
+_VIEW = """,
+cart_view AS (
+  SELECT i.cart_id, i.product_id, p.display_name, p.brand, p.price, p.image_ref, i.quantity,
+         round(coalesce(p.price, 0) * i.quantity, 2) AS line_total, i.added_at
+  FROM cart_items i JOIN products p USING (product_id)
+)"""
+
+oracle("cart_view", w(PRODUCTS + "," + CART_ITEMS + _VIEW, """
+SELECT cart_id, product_id, display_name, brand, CAST(price AS DOUBLE) AS price, image_ref, quantity,
+       CAST(line_total AS DOUBLE) AS line_total, added_at FROM cart_view"""))
+
+oracle("cart_totals", w(PRODUCTS + "," + CART_ITEMS + _VIEW, """
+SELECT cart_id, CAST(sum(quantity) AS BIGINT) AS total_items, CAST(round(sum(line_total), 2) AS DOUBLE) AS total_price
+FROM cart_view GROUP BY cart_id"""))
+
+# The oracle folds the commands one by one per (cart, product) with a
+# recursive CTE: an independent formulation of the rules.
+_FOLD = """,
+checked AS (
+  SELECT c.*,
+         CASE WHEN c.cart_id IS NULL OR length(c.cart_id) < 1 OR length(c.cart_id) > 36 THEN 'bad_cart_id'
+              WHEN c.op IS NULL OR c.op NOT IN ('add', 'set', 'del') THEN 'bad_op'
+              WHEN c.op = 'add' AND (c.quantity IS NULL OR c.quantity < 1) THEN 'bad_quantity'
+              WHEN c.op = 'set' AND c.quantity IS NULL THEN 'bad_quantity'
+              WHEN c.op = 'add' AND c.product_id NOT IN (SELECT product_id FROM products) THEN 'unknown_product'
+         END AS reason
+  FROM commands c
+),
+steps AS (
+  SELECT *, row_number() OVER (PARTITION BY cart_id, product_id ORDER BY seq) AS i
+  FROM checked WHERE reason IS NULL
+),
+fold(cart_id, product_id, i, present, qty, added_at, rejected) AS (
+  SELECT DISTINCT cart_id, product_id, CAST(0 AS BIGINT), false, 0, CAST(NULL AS TIMESTAMP), false FROM steps
+  UNION ALL
+  SELECT f.cart_id, f.product_id, s.i,
+         CASE WHEN s.op = 'add' THEN true
+              WHEN s.op = 'del' OR s.quantity <= 0 THEN false
+              ELSE f.present END,
+         CASE WHEN s.op = 'add' THEN (CASE WHEN f.present THEN f.qty + s.quantity ELSE s.quantity END)
+              WHEN s.op = 'del' OR s.quantity <= 0 THEN 0
+              WHEN f.present THEN s.quantity ELSE f.qty END,
+         CASE WHEN s.op = 'add' THEN (CASE WHEN f.present THEN f.added_at ELSE s.at END)
+              WHEN s.op = 'del' OR s.quantity <= 0 THEN NULL
+              ELSE f.added_at END,
+         s.op IN ('set', 'del') AND NOT f.present
+  FROM fold f JOIN steps s ON s.cart_id = f.cart_id AND s.product_id = f.product_id AND s.i = f.i + 1
+),
+final AS (
+  SELECT f.* FROM fold f
+  JOIN (SELECT cart_id, product_id, max(i) AS mi FROM fold GROUP BY 1, 2) m
+    ON f.cart_id = m.cart_id AND f.product_id = m.product_id AND f.i = m.mi
+  WHERE f.present
+)"""
+
+_CART_FOLD = PRODUCTS + "," + CART_COMMANDS + _FOLD
+
+oracle("cart_apply", w(_CART_FOLD, """
+SELECT cart_id, product_id, CAST(qty AS INTEGER) AS quantity, added_at FROM final""", recursive=True))
+
+oracle("cart_rejects", w(_CART_FOLD, """
+SELECT seq, cart_id, product_id, op, reason FROM checked WHERE reason IS NOT NULL
+UNION ALL
+SELECT s.seq, s.cart_id, s.product_id, s.op, 'not_in_cart' AS reason
+FROM fold f JOIN steps s ON s.cart_id = f.cart_id AND s.product_id = f.product_id AND s.i = f.i
+WHERE f.rejected""", recursive=True))
+
+oracle("cart_apply_totals", w(_CART_FOLD, """,
+carts AS (SELECT DISTINCT cart_id FROM checked WHERE reason IS NULL AND op = 'add'),
+lines AS (SELECT f.cart_id, f.qty, round(coalesce(p.price, 0) * f.qty, 2) AS line_total
+          FROM final f JOIN products p USING (product_id))
+SELECT c.cart_id, CAST(coalesce(sum(l.qty), 0) AS BIGINT) AS total_items,
+       CAST(coalesce(round(sum(l.line_total), 2), 0) AS DOUBLE) AS total_price
+FROM carts c LEFT JOIN lines l USING (cart_id) GROUP BY c.cart_id""", recursive=True))
