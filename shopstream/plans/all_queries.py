@@ -3,3 +3,4 @@
 from shopstream.plans import session_queries  # noqa: F401
 from shopstream.plans import catalog_queries  # noqa: F401
 from shopstream.plans import cart_queries  # noqa: F401
+from shopstream.plans import model_queries  # noqa: F401

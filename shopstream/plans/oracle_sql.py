@@ -438,3 +438,101 @@ lines AS (SELECT f.cart_id, f.qty, round(coalesce(p.price, 0) * f.qty, 2) AS lin
 SELECT c.cart_id, CAST(coalesce(sum(l.qty), 0) AS BIGINT) AS total_items,
        CAST(coalesce(round(sum(l.line_total), 2), 0) AS DOUBLE) AS total_price
 FROM carts c LEFT JOIN lines l USING (cart_id) GROUP BY c.cart_id""", recursive=True))
+
+# --- model (X1) ----------------------------------------------------------------
+# Transitions are a self join on positions here (the library generates lag
+# pairs with array expressions instead).
+
+MODEL_BASE = CLICK_ENCODED + """,
+smax AS (SELECT max(start_time) AS mx FROM sessions),
+ssplit AS (SELECT user_session, CASE WHEN start_time >= mx - INTERVAL 3 DAY THEN 'test'
+                                     WHEN start_time >= mx - INTERVAL 6 DAY THEN 'val' ELSE 'train' END AS split
+           FROM sessions, smax),
+tok AS (SELECT t.*, s.split FROM c_tok t JOIN ssplit s USING (user_session))"""
+
+
+def _transitions(name: str, where: str) -> str:
+    return f""",
+{name} AS (
+  SELECT a.tok AS src, b.tok AS dst, sum(pow(0.5, b.pos - a.pos - 1)) AS weight, count(*) AS n
+  FROM tok a JOIN tok b ON a.user_session = b.user_session AND b.pos - a.pos BETWEEN 1 AND 3
+  WHERE {where} GROUP BY 1, 2
+)"""
+
+
+def _model(name: str, trans: str) -> str:
+    return f""",
+{name}_tot AS (SELECT src, sum(weight) AS t FROM {trans} GROUP BY src),
+{name} AS (
+  SELECT src, dst, p FROM (
+    SELECT x.src, x.dst, x.weight / y.t AS p,
+           row_number() OVER (PARTITION BY x.src ORDER BY x.weight DESC, x.dst) AS r
+    FROM {trans} x JOIN {name}_tot y USING (src)) WHERE r <= 50
+)"""
+
+
+TEST_EVAL = (MODEL_BASE + _transitions("tr", "a.split = 'train'") + _model("model", "tr") + """,
+prior AS (SELECT tok AS dst, count(*) AS prior_n FROM tok WHERE split = 'train' AND pos >= 2 GROUP BY 1),
+tt AS (SELECT user_session, max(pos) AS n FROM tok WHERE split = 'test' GROUP BY 1 HAVING max(pos) >= 2),
+targets AS (SELECT t.user_session, k.tok AS target FROM tt t JOIN tok k ON k.user_session = t.user_session AND k.pos = t.n),
+recent AS (SELECT k.user_session, k.tok AS src, t.n - k.pos AS lag FROM tt t
+           JOIN tok k ON k.user_session = t.user_session AND k.pos < t.n AND t.n - k.pos <= 3),
+scores AS (SELECT r.user_session, m.dst, sum(pow(0.5, r.lag - 1) * m.p) AS score
+           FROM recent r JOIN model m USING (src) GROUP BY 1, 2),
+popular AS (SELECT dst FROM prior ORDER BY prior_n DESC, dst LIMIT 10),
+cand AS (SELECT user_session, dst, max(score) AS score FROM (
+           SELECT * FROM scores UNION ALL SELECT t.user_session, p.dst, 0.0 FROM tt t CROSS JOIN popular p)
+         GROUP BY 1, 2),
+ranked AS (SELECT c.user_session, c.dst, round(c.score, 9) AS score,
+                  row_number() OVER (PARTITION BY c.user_session
+                                     ORDER BY round(c.score, 9) DESC, coalesce(pr.prior_n, 0) DESC, c.dst) AS rank
+           FROM cand c LEFT JOIN prior pr USING (dst)),
+preds AS (SELECT user_session, CAST(rank AS INTEGER) AS rank, dst AS token_id, score FROM ranked WHERE rank <= 10)""")
+
+oracle("transitions", w(MODEL_BASE + _transitions("tr", "true"), "SELECT src, dst, weight, n FROM tr"))
+oracle("transitions_merge", w(MODEL_BASE + _transitions("tr", "true"), "SELECT src, dst, weight, n FROM tr"))
+oracle("item_prior", w(MODEL_BASE, """
+SELECT tok AS dst, count(*) AS prior_n FROM tok WHERE split = 'train' AND pos >= 2 GROUP BY 1"""))
+oracle("recommend_eval", w(TEST_EVAL, "SELECT * FROM preds"))
+oracle("eval_metrics", w(TEST_EVAL, """
+SELECT count(*) AS sessions,
+       coalesce(round(avg(CASE WHEN r.rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 9), 0.0) AS recall,
+       coalesce(round(avg(CASE WHEN r.rank IS NOT NULL THEN 1.0 / log2(r.rank + 1) ELSE 0.0 END), 9), 0.0) AS ndcg
+FROM targets t LEFT JOIN preds r ON r.user_session = t.user_session AND r.token_id = t.target"""))
+oracle("eval_popularity", w(TEST_EVAL, """
+SELECT count(*) AS sessions,
+       coalesce(round(avg(CASE WHEN target BETWEEN 3 AND 12 THEN 1.0 ELSE 0.0 END), 9), 0.0) AS recall
+FROM targets"""))
+oracle("eval_coverage", w(TEST_EVAL, """
+SELECT r.recommended_items, v.vocab_items, round(r.recommended_items / v.vocab_items, 9) AS coverage
+FROM (SELECT count(DISTINCT token_id) AS recommended_items FROM preds WHERE token_id >= 3) r,
+     (SELECT count(*) AS vocab_items FROM vocab) v"""))
+
+RECOMMEND = (MODEL_BASE + _transitions("tr", "true") + _model("model", "tr") + """,
+prior AS (SELECT tok AS dst, count(*) AS prior_n FROM tok WHERE pos >= 2 GROUP BY 1),
+sn AS (SELECT user_session, max(pos) AS n, count(DISTINCT product_id) AS d FROM tok GROUP BY 1),
+recent AS (SELECT k.user_session, k.tok AS src, s.n - k.pos + 1 AS lag FROM sn s
+           JOIN tok k ON k.user_session = s.user_session AND s.n - k.pos + 1 <= 3),
+scores AS (SELECT r.user_session, m.dst, sum(pow(0.5, r.lag - 1) * m.p) AS score
+           FROM recent r JOIN model m USING (src) WHERE m.dst >= 3 GROUP BY 1, 2),
+popular AS (SELECT dst FROM (SELECT dst, row_number() OVER (ORDER BY prior_n DESC, dst) AS r FROM prior WHERE dst >= 3)
+            WHERE r <= 10 + (SELECT max(d) FROM sn)),
+seen AS (SELECT DISTINCT user_session, tok AS dst FROM tok WHERE tok >= 3),
+cand AS (SELECT user_session, dst, max(score) AS score FROM (
+           SELECT * FROM scores UNION ALL SELECT s.user_session, p.dst, 0.0 FROM sn s CROSS JOIN popular p)
+         GROUP BY 1, 2),
+ranked AS (SELECT c.user_session, c.dst, round(c.score, 9) AS score,
+                  row_number() OVER (PARTITION BY c.user_session
+                                     ORDER BY round(c.score, 9) DESC, coalesce(pr.prior_n, 0) DESC, c.dst) AS rank
+           FROM cand c LEFT JOIN prior pr USING (dst)
+           WHERE NOT EXISTS (SELECT 1 FROM seen x WHERE x.user_session = c.user_session AND x.dst = c.dst)),
+recs AS (SELECT r.user_session, CAST(r.rank AS INTEGER) AS rank, v.product_id, r.score
+         FROM ranked r JOIN vocab v ON v.token_id = r.dst WHERE r.rank <= 10)""")
+
+oracle("recommend", w(RECOMMEND, "SELECT * FROM recs"))
+
+oracle("recommend_enriched", w(RECOMMEND + "," + BASKETS.strip() + "," + _reduce("baskets", "reduced") + ","
+                               + _derive("reduced", "products"), """
+SELECT r.user_session, r.rank, r.product_id, p.display_name, p.brand, p.category_top,
+       CAST(p.price AS DOUBLE) AS price, p.image_ref
+FROM recs r JOIN products p USING (product_id)"""))
