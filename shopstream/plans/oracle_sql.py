@@ -536,3 +536,24 @@ oracle("recommend_enriched", w(RECOMMEND + "," + BASKETS.strip() + "," + _reduce
 SELECT r.user_session, r.rank, r.product_id, p.display_name, p.brand, p.category_top,
        CAST(p.price AS DOUBLE) AS price, p.image_ref
 FROM recs r JOIN products p USING (product_id)"""))
+
+# --- recent views, cold start ---------------------------------------------------
+
+oracle("recent_views", w(CLICKS, """,
+last AS (SELECT user_session, product_id, max((event_time, event_id)) AS lst FROM clicks GROUP BY 1, 2),
+kept AS (SELECT *, row_number() OVER (PARTITION BY user_session ORDER BY lst DESC) AS rk FROM last)
+SELECT user_session, CAST(row_number() OVER (PARTITION BY user_session ORDER BY lst) AS INTEGER) AS pos, product_id
+FROM kept WHERE rk <= 10"""))
+
+oracle("cold_start_route", w(CLICK_VOCAB, """
+SELECT vec_id AS product_id, CASE WHEN vec_id IN (SELECT product_id FROM vocab) THEN 'model' ELSE 'embedding' END AS route
+FROM embeddings"""))
+
+oracle("knn_items", w(CLICK_VOCAB, """,
+q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE vec_id NOT IN (SELECT product_id FROM vocab)),
+it AS (SELECT vec_id AS product_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+s AS (SELECT q.query_id, it.product_id, round(list_dot_product(q.e, it.e), 9) AS similarity
+      FROM q, it WHERE q.query_id <> it.product_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, product_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, product_id, similarity FROM r WHERE rank <= 5"""))
