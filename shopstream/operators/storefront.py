@@ -20,7 +20,11 @@ from shopstream.constants import (
 )
 from shopstream.functions.ordering import global_row_number
 
-LISTING_ORDER = (F.col("event_count").desc(), F.col("product_id").asc())
+
+
+def listing_order():
+    return (F.col("event_count").desc(), F.col("product_id").asc())
+
 API_COLUMNS = ["product_id", "display_name", "brand", "category_top", "category_leaf",
                "category_code", "price", "image_ref"]
 
@@ -81,7 +85,7 @@ def list_products(products: DataFrame, *, category: str | None = None, search: s
     """One page in listing order (bounded top-N: offset + limit, no global sort)."""
     validate_listing(page, page_size, search)
     df = filter_products(products, category=category, search=search, literal=literal)
-    return api_rows(df.orderBy(*LISTING_ORDER).offset((page - 1) * page_size).limit(page_size))
+    return api_rows(df.orderBy(*listing_order()).offset((page - 1) * page_size).limit(page_size))
 
 
 def page_info(products: DataFrame, *, category: str | None = None, search: str | None = None,
@@ -123,7 +127,7 @@ def lookup_products(products: DataFrame, ids: DataFrame, key: str = "product_id"
 
 
 def _rank_in_category(products: DataFrame, n: int) -> DataFrame:
-    w = Window.partitionBy("category_top").orderBy(*LISTING_ORDER)
+    w = Window.partitionBy("category_top").orderBy(*listing_order())
     return (products.filter(F.col("category_top").isNotNull())
             .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n))
 
