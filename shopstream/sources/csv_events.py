@@ -23,7 +23,10 @@ def read_events_csv(spark: SparkSession, path: str, *, with_id: bool = True) ->
            .option("header", True).option("sep", ",").option("quote", '"').option("escape", '"')
            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
            .csv(path))
-    t = F.to_timestamp_ntz(F.substring_index(F.col("event_time"), " UTC", 1), F.lit("yyyy-MM-dd HH:mm:ss"))
+    # try_: a malformed time becomes NULL (flagged by split_corrupt) instead of failing the job (ANSI mode);
+    # the session time zone is UTC, so the wall clock survives the cast to timestamp_ntz
+    t = F.try_to_timestamp(F.substring_index(F.col("event_time"), " UTC", 1),
+                           F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
     out = raw.select(
         t.alias("event_time"), "event_type", "product_id", "category_id",
         F.nullif(F.col("category_code"), F.lit("")).alias("category_code"),

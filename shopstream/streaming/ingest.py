@@ -23,7 +23,11 @@ def append_events(spark: SparkSession, source_dir: str, sink_dir: str, checkpoin
     if fmt == "csv":
         r = r.option("header", True)
     src = r.load(source_dir)
-    dedup = src.withWatermark(time_col, watermark).dropDuplicatesWithinWatermark([key])
+    # watermarks need TIMESTAMP; a TIMESTAMP_NTZ column gets a UTC-cast shadow column
+    from pyspark.sql import functions as F
+    wm = "_wm_time"
+    dedup = (src.withColumn(wm, F.col(time_col).cast("timestamp")).withWatermark(wm, watermark)
+             .dropDuplicatesWithinWatermark([key]).drop(wm))
     w = (dedup.writeStream.format("parquet").option("path", sink_dir)
          .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True))
     if partition_by:
