@@ -59,9 +59,10 @@ def apply_cart_commands(commands: DataFrame, products: DataFrame, items: DataFra
     ``commands``: (seq long, cart_id, op, product_id, quantity int, at timestamp);
     ``seq`` orders commands (unique).  ``items``: the initial lines, or None.
     """
+    from shopstream.functions.literals import literal_table
     spark = commands.sparkSession
     if items is None:
-        items = spark.createDataFrame([], ITEM_SCHEMA)
+        items = literal_table(spark, [], ITEM_SCHEMA)
     checked = validate_commands(commands, products)
     valid = checked.filter(F.col("reason").isNull()).select("seq", *KEY, "op", "quantity", "at")
     seq, q = F.col("seq"), F.col("quantity")
@@ -75,16 +76,17 @@ def apply_cart_commands(commands: DataFrame, products: DataFrame, items: DataFra
 
     # 2. start of the current line
     after_rm = seq > F.coalesce(F.col("last_rm"), F.lit(0))
+    # scalar min_by (not over a struct) keeps this a hash aggregate with partial aggregation
+    add_ord = F.when(is_add & after_rm, seq)
     first_add = v1.groupBy(*KEY).agg(
-        F.min(F.when(is_add & after_rm, seq)).alias("add_seq"),
-        F.min_by(F.struct(q.alias("q"), F.col("at").alias("at")), F.when(is_add & after_rm, seq)).alias("add"))
+        F.min(add_ord).alias("add_seq"), F.min_by(q, add_ord).alias("add_q"), F.min_by(F.col("at"), add_ord).alias("add_at"))
     st = keys.join(first_add, KEY, "left")
     from_base = F.col("last_rm").isNull() & F.col("init_qty").isNotNull()
     st = st.select(
         *KEY,
         F.when(from_base, F.lit(0)).otherwise(F.col("add_seq")).alias("start_seq"),
-        F.when(from_base, F.col("init_qty")).otherwise(F.col("add.q")).alias("start_qty"),
-        F.when(from_base, F.col("init_at")).otherwise(F.col("add.at")).alias("added_at"),
+        F.when(from_base, F.col("init_qty")).otherwise(F.col("add_q")).alias("start_qty"),
+        F.when(from_base, F.col("init_at")).otherwise(F.col("add_at")).alias("added_at"),
     ).filter(F.col("start_seq").isNotNull())
 
     # 3. last set after the start

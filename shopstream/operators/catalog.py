@@ -21,6 +21,7 @@ from shopstream.constants import (
     GENERIC_CATEGORY,
     LEAF_POOL_SIZE,
 )
+from shopstream.functions.literals import literal_table
 from shopstream.functions.text import category_leaf, category_top, display_name, image_ref
 
 ATTRIBUTES = ("category_code", "brand", "price")
@@ -131,12 +132,12 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
 
 def default_leaf_pools(spark: SparkSession) -> DataFrame:
     rows = [(top, leaf, LEAF_POOL_SIZE) for top, leaves in DEFAULT_LEAF_POOLS.items() for leaf in leaves]
-    return spark.createDataFrame(rows, "category_top string, category_leaf string, n int")
+    return literal_table(spark, rows, "category_top string, category_leaf string, n int")
 
 
 def default_category_pools(spark: SparkSession) -> DataFrame:
     rows = [(top, CATEGORY_POOL_SIZE) for top in DEFAULT_CATEGORY_POOLS]
-    return spark.createDataFrame(rows, "category_top string, n int")
+    return literal_table(spark, rows, "category_top string, n int")
 
 
 def _generic_count(pools: DataFrame) -> DataFrame:

@@ -74,7 +74,8 @@ def knn(queries: DataFrame, items: DataFrame, *, k: int = 10, exclude_self: bool
         if n_q <= max_query_rows:
             break
     if not parts:
-        return spark.createDataFrame([], schema + ", rank int").select("query_id", "rank", "product_id", "similarity")
+        from shopstream.functions.literals import literal_table
+        return literal_table(spark, [], "query_id long, rank int, product_id long, similarity double")
     local = parts[0]
     for p in parts[1:]:
         local = local.unionByName(p)

@@ -28,8 +28,9 @@ def basket_catalog(spark, sf_dir):
 
 
 def fixture_pools(spark):
-    leaf = spark.createDataFrame(FIXTURE_LEAF_POOLS, "category_top string, category_leaf string, n int")
-    pools = spark.createDataFrame(FIXTURE_CATEGORY_POOLS, "category_top string, n int")
+    from shopstream.functions.literals import literal_table
+    leaf = literal_table(spark, FIXTURE_LEAF_POOLS, "category_top string, category_leaf string, n int")
+    pools = literal_table(spark, FIXTURE_CATEGORY_POOLS, "category_top string, n int")
     return leaf, pools
 
 

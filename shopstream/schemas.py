@@ -79,7 +79,8 @@ def validate_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
         raise ValueError(f"missing columns: {missing}")
     nn = [f.name for f in schema.fields if not f.nullable]
     if not nn:
-        return df.sparkSession.createDataFrame([], "column string, violations long")
+        from shopstream.functions.literals import literal_table
+        return literal_table(df.sparkSession, [], "column string, violations long")
     agg = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in nn])
     stack = ", ".join(f"'{c}', `{c}`" for c in nn)
     return agg.selectExpr(f"stack({len(nn)}, {stack}) AS (column, violations)")
