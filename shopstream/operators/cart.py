@@ -21,12 +21,12 @@ all commands costs a few rows per map task:
 4. quantity = value at ``reset`` + sum of adds after ``reset``.
 
 Rejections of set/del depend on the state just before each command; they
-use one running-max window per key (streams through a spillable buffer).
+use a two-level bucketed running max per key (see ``functions.scan``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopstream.constants import MAX_CART_ID_LEN
@@ -113,20 +113,26 @@ def apply_cart_commands(commands: DataFrame, products: DataFrame, items: DataFra
     return final, rejects, carts
 
 
-def cart_rejects(checked: DataFrame, items: DataFrame) -> DataFrame:
-    """C4: static rejections plus set/del on a line that is absent at that point."""
+def cart_rejects(checked: DataFrame, items: DataFrame, *, bucket_rows: int = 1 << 20) -> DataFrame:
+    """C4: static rejections plus set/del on a line that is absent at that point.
+
+    Presence before a command = (last valid add before it, or the initial
+    line) is later than the last removal before it.  Both "last before" values
+    come from a two-level bucketed scan (buckets of ``bucket_rows`` seq
+    values), so one (cart, product) with a huge log is spread over tasks.
+    """
+    from shopstream.functions.scan import scan_before
     static = checked.filter(F.col("reason").isNotNull()).select("seq", *KEY, "op", "reason")
     valid = checked.filter(F.col("reason").isNull())
     init = items.select(*KEY).distinct().withColumn("_init", F.lit(True))
-    v = valid.join(init, KEY, "left")
-    w = Window.partitionBy(*KEY).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    last_add = F.max(F.when(F.col("op") == "add", F.col("seq"))).over(w)
-    last_rm = F.max(F.when(_is_rm(), F.col("seq"))).over(w)
-    present = (F.coalesce(last_add, F.when(F.col("_init"), F.lit(0)), F.lit(-1))
-               > F.coalesce(last_rm, F.lit(-1)))
-    stateful = (v.withColumn("_present", present)
-                .filter(F.col("op").isin("set", "del") & ~F.col("_present"))
-                .select("seq", *KEY, "op", F.lit("not_in_cart").alias("reason")))
+    seq = F.col("seq")
+    scanned = scan_before(valid, KEY, ["seq"], F.floor(seq / F.lit(bucket_rows)),
+                          [("_last_add", "max", F.when(F.col("op") == "add", seq)),
+                           ("_last_rm", "max", F.when(_is_rm(), seq))])
+    v = scanned.filter(F.col("op").isin("set", "del")).join(init, KEY, "left")
+    present = (F.coalesce(F.col("_last_add"), F.when(F.col("_init"), F.lit(0)), F.lit(-1))
+               > F.coalesce(F.col("_last_rm"), F.lit(-1)))
+    stateful = v.filter(~present).select("seq", *KEY, "op", F.lit("not_in_cart").alias("reason"))
     return static.unionByName(stateful)
 
 

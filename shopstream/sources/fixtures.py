@@ -7,7 +7,7 @@ the tables onto it (see FIXTURES.md).  They are plain lazy DataFrames over
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Gap that starts a new session in the click adapter.
@@ -22,17 +22,22 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events -> (user_session, event_time, event_id, event_type, user_id, product_id).
 
     A user's events form a new session whenever the gap to the previous
-    event is at least 720 minutes.  The window is partitioned by user, and
-    only the four needed columns are read (pruned at the scan).
+    event is at least 720 minutes.  Gap sessionisation needs, per event, the
+    previous timestamp of the user and a running count of session starts;
+    both are two-level bucketed scans (bucket = day), so a user with a third
+    of all events is spread over one task per day, not one task.
     """
+    from shopstream.functions.scan import scan_before
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    prev = F.lag("ts").over(w)
-    starts = F.when(prev.isNull() | (F.col("ts") - prev >= F.expr(f"INTERVAL {SESSION_GAP_MINUTES} MINUTES")), 1).otherwise(0)
-    with_flag = ev.withColumn("_new", starts)
-    sid = F.sum("_new").over(w)
-    return with_flag.select(
-        F.concat(F.col("user_id").cast("string"), F.lit("-"), sid.cast("string")).alias("user_session"),
+    ev = ev.withColumn("_day", F.to_date("ts"))
+    order = ["ts", "event_id"]
+    prev = scan_before(ev, ["user_id"], order, "_day", [("_prev", "max", F.col("ts"))])
+    gap = F.expr(f"INTERVAL {SESSION_GAP_MINUTES} MINUTES")
+    flagged = prev.withColumn("_new", F.when(F.col("_prev").isNull() | (F.col("ts") - F.col("_prev") >= gap), 1)
+                              .otherwise(0))
+    sid = scan_before(flagged, ["user_id"], order, "_day", [("_sid", "sum", F.col("_new"))], inclusive=True)
+    return sid.select(
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("_sid").cast("string")).alias("user_session"),
         F.col("ts").alias("event_time"),
         "event_id",
         "event_type",
