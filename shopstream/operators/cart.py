@@ -52,18 +52,24 @@ def _is_rm():
     return (F.col("op") == "del") | ((F.col("op") == "set") & (F.col("quantity") <= 0))
 
 
-def apply_cart_commands(commands: DataFrame, products: DataFrame, items: DataFrame | None = None
-                        ) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_cart_commands(commands: DataFrame, products: DataFrame, items: DataFrame | None = None, *,
+                        materialize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, rejects, carts) after applying ``commands`` to ``items``.
 
     ``commands``: (seq long, cart_id, op, product_id, quantity int, at timestamp);
     ``seq`` orders commands (unique).  ``items``: the initial lines, or None.
+    The validated log feeds six branches; with ``materialize`` it is written
+    once to the checkpoint folder (reliable, survives executor loss) instead
+    of being recomputed per branch.
     """
     from shopstream.functions.literals import literal_table
     spark = commands.sparkSession
     if items is None:
         items = literal_table(spark, [], ITEM_SCHEMA)
     checked = validate_commands(commands, products)
+    if materialize:
+        from shopstream.session import cut_lineage
+        checked = cut_lineage(checked)
     valid = checked.filter(F.col("reason").isNull()).select("seq", *KEY, "op", "quantity", "at")
     seq, q = F.col("seq"), F.col("quantity")
     is_add = F.col("op") == "add"

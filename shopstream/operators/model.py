@@ -99,6 +99,19 @@ def _recent(prefixes: DataFrame, key: str, prefix_col: str, max_lag: int) -> Dat
         key, "src", (F.col("_i") + 1).alias("lag"))
 
 
+def _by_session(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition on the session key with an explicit count before the candidate fan-out.
+
+    Each session expands to ~max_lag*M candidates inside the next stage; an
+    explicit count keeps AQE from folding the (small) session table into one
+    task before the rows multiply.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # partition on a hash *of* the key: a plain repartition(key) is dropped when the
+    # input is already partitioned by key (and that exchange may have been coalesced)
+    return df.repartition(n, F.xxhash64(F.col(key)))
+
+
 def _popular(prior: DataFrame, n: int, *, real_only: bool) -> DataFrame:
     p = prior.filter(F.col("dst") >= NUM_SPECIAL_TOKENS) if real_only else prior
     return p.orderBy(F.col("prior_n").desc(), F.col("dst").asc()).limit(n)
@@ -125,6 +138,7 @@ def score_sessions(prefixes: DataFrame, model: DataFrame, prior: DataFrame, *, k
     ``k`` rows when the vocabulary allows.  Rank order: rounded score desc,
     prior desc, token asc.  Special tokens are not masked (as in offline eval).
     """
+    prefixes = _by_session(prefixes, key)
     sc = candidate_scores(prefixes, model, key=key, prefix_col=prefix_col, max_lag=max_lag, decay=decay,
                           model_rows=model_rows)
     return _rank(prefixes.select(key), sc, prior, k=k, key=key, fill=_popular(prior, k, real_only=False))
@@ -163,8 +177,8 @@ def recommend(sessions: DataFrame, model: DataFrame, prior: DataFrame, vocab: Da
     from shopstream.operators.vocab import encode
     if not 1 <= k <= MAX_TOP_K:
         raise ValueError(f"k must be in 1..{MAX_TOP_K}")
-    s = sessions.filter(F.size(seq_col) >= 1)
-    enc = encode(s.select(key, seq_col), vocab, key=key, seq_col=seq_col, out_col="_tok")
+    s = _by_session(sessions.filter(F.size(seq_col) >= 1).select(key, seq_col), key)
+    enc = encode(s, vocab, key=key, seq_col=seq_col, out_col="_tok")
     sc = candidate_scores(enc, model, key=key, prefix_col="_tok", max_lag=max_lag, decay=decay,
                           model_rows=model_rows)
     sc = sc.filter(F.col("dst") >= NUM_SPECIAL_TOKENS)
@@ -172,9 +186,13 @@ def recommend(sessions: DataFrame, model: DataFrame, prior: DataFrame, vocab: Da
                 .join(vocab.select("product_id", F.col("token_id").alias("dst")), "product_id")
                 .select(key, "dst").distinct())
     if overfetch is None:
-        # exact: enough popular fill for any session = k + longest distinct history
-        longest = s.agg(F.max(F.size(F.array_distinct(seq_col))).alias("m")).first()["m"] or 0
-        fill = _popular(prior, k + int(longest), real_only=True)
+        # exact: enough popular fill for any session = k + longest distinct history.
+        # Lazy: the popularity rank runs over the prior (bounded by the vocabulary,
+        # so one partition is fine) and the bound is a one-row aggregate.
+        longest = s.agg(F.coalesce(F.max(F.size(F.array_distinct(seq_col))), F.lit(0)).alias("_m"))
+        pr = prior.filter(F.col("dst") >= NUM_SPECIAL_TOKENS).withColumn(
+            "_r", F.row_number().over(Window.orderBy(F.col("prior_n").desc(), F.col("dst").asc())))
+        fill = pr.crossJoin(F.broadcast(longest)).filter(F.col("_r") <= F.lit(k) + F.col("_m")).select("dst")
         ranked = _rank(s.select(key), sc, prior, k=k, key=key, fill=fill, exclude=seen_tok)
     else:
         fill = _popular(prior, k * overfetch, real_only=False)

@@ -8,6 +8,7 @@ from shopstream.functions.text import category_label, humanize, price_label
 from shopstream.operators import catalog as cat
 from shopstream.operators import storefront as sf
 from shopstream.plans.registry import query
+from shopstream.session import cut_lineage
 from shopstream.sources import fixtures as fx
 
 UPSERT_CUTOFF = "1999-01-01 00:00:00"
@@ -23,8 +24,9 @@ FIXTURE_LEAF_POOLS = [("economy", "ring", 6), ("small", "bolt", 6)]
 FIXTURE_CATEGORY_POOLS = [("economy", 8), ("small", 8), ("medium", 8), ("promo", 8), ("generic", 8)]
 
 
-def basket_catalog(spark, sf_dir):
-    return cat.build_catalog(fx.baskets(spark, sf_dir), order=fx.BASKET_LATEST_ORDER)
+def basket_catalog(spark, sf_dir, *, materialize: bool = False):
+    c = cat.build_catalog(fx.baskets(spark, sf_dir), order=fx.BASKET_LATEST_ORDER)
+    return cut_lineage(c) if materialize else c
 
 
 def fixture_pools(spark):

@@ -9,6 +9,7 @@ from shopstream.operators import sequences as seqops
 from shopstream.operators import sessions as sess
 from shopstream.operators import vocab as voc
 from shopstream.plans.registry import query
+from shopstream.session import cut_lineage
 from shopstream.sources import fixtures as fx
 from shopstream.sources.parquet_io import export_window
 
@@ -24,8 +25,11 @@ ROLLING_DAYS = 7
 EVAL_SAMPLE_N = 200
 
 
-def click_sessions(spark, sf_dir):
-    return sess.build_sessions(fx.clicks(spark, sf_dir), order=fx.CLICK_ORDER)
+def click_sessions(spark, sf_dir, *, materialize: bool = True):
+    """Sessions of X1.  Queries that read them in several branches get them once,
+    from a reliable checkpoint (plan cut after sessionising)."""
+    s = sess.build_sessions(fx.clicks(spark, sf_dir), order=fx.CLICK_ORDER)
+    return cut_lineage(s) if materialize else s
 
 
 def click_vocab(spark, sf_dir, sessions=None):
@@ -73,13 +77,13 @@ def session_len_cap(spark, sf_dir):
 
 @query("sessions")
 def sessions_q(spark, sf_dir):
-    s = click_sessions(spark, sf_dir)
+    s = click_sessions(spark, sf_dir, materialize=False)
     return s.select("user_session", "start_time", seq_string("product_seq").alias("product_seq"), "session_len")
 
 
 @query("session_len_describe")
 def session_len_describe(spark, sf_dir):
-    return sess.describe_lengths(click_sessions(spark, sf_dir)).select(
+    return sess.describe_lengths(click_sessions(spark, sf_dir, materialize=False)).select(
         "n", F.round("mean", 9).alias("mean"), F.round("std", 9).alias("std"), "min", "p25", "p50", "p75", "max")
 
 
@@ -90,12 +94,12 @@ def dataset_profile(spark, sf_dir):
 
 @query("item_counts")
 def item_counts(spark, sf_dir):
-    return voc.item_counts(click_sessions(spark, sf_dir))
+    return voc.item_counts(click_sessions(spark, sf_dir, materialize=False))
 
 
 @query("vocab")
 def vocab_q(spark, sf_dir):
-    return click_vocab(spark, sf_dir)
+    return click_vocab(spark, sf_dir, click_sessions(spark, sf_dir, materialize=False))
 
 
 @query("encode")
@@ -124,7 +128,7 @@ def eval_prefixes_q(spark, sf_dir):
 
 @query("pair_count")
 def pair_count_q(spark, sf_dir):
-    return seqops.pair_count(click_sessions(spark, sf_dir))
+    return seqops.pair_count(click_sessions(spark, sf_dir, materialize=False))
 
 
 @query("time_split")
@@ -135,7 +139,7 @@ def time_split_q(spark, sf_dir):
 
 @query("eval_sample")
 def eval_sample_q(spark, sf_dir):
-    s = seqops.eval_sample(click_sessions(spark, sf_dir), n=EVAL_SAMPLE_N, seed=42)
+    s = seqops.eval_sample(click_sessions(spark, sf_dir, materialize=False), n=EVAL_SAMPLE_N, seed=42)
     return s.select("user_session", "session_len")
 
 

@@ -7,7 +7,7 @@ the tables onto it (see FIXTURES.md).  They are plain lazy DataFrames over
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Gap that starts a new session in the click adapter.
@@ -22,22 +22,32 @@ def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events -> (user_session, event_time, event_id, event_type, user_id, product_id).
 
     A user's events form a new session whenever the gap to the previous
-    event is at least 720 minutes.  Gap sessionisation needs, per event, the
-    previous timestamp of the user and a running count of session starts;
-    both are two-level bucketed scans (bucket = day), so a user with a third
-    of all events is spread over one task per day, not one task.
+    event is at least 720 minutes.  Skew-safe two-level scan with day
+    buckets: one window over (user, day) gives the previous time and the
+    running count of gaps inside the day; a per-(user, day) summary (one row
+    per bucket) scanned per user gives the carry-in (last time of earlier
+    days, sessions started before the day).  A user with a third of all
+    events is spread over one task per day; the events are shuffled once.
     """
-    from shopstream.functions.scan import scan_before
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
     ev = ev.withColumn("_day", F.to_date("ts"))
-    order = ["ts", "event_id"]
-    prev = scan_before(ev, ["user_id"], order, "_day", [("_prev", "max", F.col("ts"))])
     gap = F.expr(f"INTERVAL {SESSION_GAP_MINUTES} MINUTES")
-    flagged = prev.withColumn("_new", F.when(F.col("_prev").isNull() | (F.col("ts") - F.col("_prev") >= gap), 1)
-                              .otherwise(0))
-    sid = scan_before(flagged, ["user_id"], order, "_day", [("_sid", "sum", F.col("_new"))], inclusive=True)
-    return sid.select(
-        F.concat(F.col("user_id").cast("string"), F.lit("-"), F.col("_sid").cast("string")).alias("user_session"),
+    w = Window.partitionBy("user_id", "_day").orderBy("ts", "event_id")
+    prev = F.lag("ts").over(w)
+    loc = ev.withColumn("_inner", F.when(prev.isNotNull() & (F.col("ts") - prev >= gap), 1).otherwise(0))
+    loc = loc.withColumn("_lcnt", F.sum("_inner").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    summ = loc.groupBy("user_id", "_day").agg(F.max("ts").alias("_bmax"), F.min("ts").alias("_bmin"),
+                                              F.sum("_inner").alias("_bin"))
+    w2 = Window.partitionBy("user_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    cprev = F.max("_bmax").over(w2)
+    carry = summ.select("user_id", "_day", "_bin",
+                        F.when(cprev.isNull() | (F.col("_bmin") - cprev >= gap), 1).otherwise(0).alias("_first"))
+    carry = carry.select("user_id", "_day", "_first",
+                         F.coalesce(F.sum(F.col("_first") + F.col("_bin")).over(w2), F.lit(0)).alias("_csid"))
+    j = loc.join(carry, ["user_id", "_day"], "inner")
+    sid = F.col("_csid") + F.col("_first") + F.col("_lcnt")
+    return j.select(
+        F.concat(F.col("user_id").cast("string"), F.lit("-"), sid.cast("string")).alias("user_session"),
         F.col("ts").alias("event_time"),
         "event_id",
         "event_type",
