@@ -108,7 +108,7 @@ SELECT (SELECT count(*) FROM clicks) AS events, count(*) AS sessions,
        count(*) FILTER (WHERE n = 1) AS one_event_sessions,
        count(*) FILTER (WHERE n >= 2) AS usable_sessions,
        (SELECT count(DISTINCT product_id) FROM clicks) AS products,
-       sum(CASE WHEN n >= 2 THEN n - 1 ELSE 0 END) AS pairs_before_cap
+       CAST(sum(CASE WHEN n >= 2 THEN n - 1 ELSE 0 END) AS BIGINT) AS pairs_before_cap
 FROM l"""))
 
 # --- vocabulary and sequences ---------------------------------------------
