@@ -62,10 +62,6 @@ def apply_cart_commands(commands: DataFrame, products: DataFrame, items: DataFra
     once to the checkpoint folder (reliable, survives executor loss) instead
     of being recomputed per branch.
     """
-    from shopstream.functions.literals import literal_table
-    spark = commands.sparkSession
-    if items is None:
-        items = literal_table(spark, [], ITEM_SCHEMA)
     checked = validate_commands(commands, products)
     if materialize:
         from shopstream.session import cut_lineage
@@ -76,8 +72,11 @@ def apply_cart_commands(commands: DataFrame, products: DataFrame, items: DataFra
 
     # 1. last removal per key
     rm = valid.groupBy(*KEY).agg(F.max(F.when(_is_rm(), seq)).alias("last_rm"))
-    base = items.select(*KEY, F.col("quantity").alias("init_qty"), F.col("added_at").alias("init_at"))
-    keys = rm.join(base, KEY, "full")
+    if items is None:  # no initial lines: no join against an empty table
+        keys = rm.select("*", F.lit(None).cast("int").alias("init_qty"), F.lit(None).cast("timestamp_ntz").alias("init_at"))
+    else:
+        base = items.select(*KEY, F.col("quantity").alias("init_qty"), F.col("added_at").alias("init_at"))
+        keys = rm.join(base, KEY, "full")
     v1 = valid.join(keys.select(*KEY, "last_rm"), KEY, "inner")
 
     # 2. start of the current line
@@ -113,13 +112,14 @@ def apply_cart_commands(commands: DataFrame, products: DataFrame, items: DataFra
         "added_at")
 
     rejects = cart_rejects(checked, items)
-    carts = (valid.filter(is_add).groupBy("cart_id").agg(F.min("at").alias("created_at"))
-             .unionByName(items.groupBy("cart_id").agg(F.min("added_at").alias("created_at")))
-             .groupBy("cart_id").agg(F.min("created_at").alias("created_at")))
+    carts = valid.filter(is_add).groupBy("cart_id").agg(F.min("at").alias("created_at"))
+    if items is not None:
+        carts = (carts.unionByName(items.groupBy("cart_id").agg(F.min("added_at").alias("created_at")))
+                 .groupBy("cart_id").agg(F.min("created_at").alias("created_at")))
     return final, rejects, carts
 
 
-def cart_rejects(checked: DataFrame, items: DataFrame, *, bucket_rows: int = 1 << 20) -> DataFrame:
+def cart_rejects(checked: DataFrame, items: DataFrame | None = None, *, bucket_rows: int = 1 << 20) -> DataFrame:
     """C4: static rejections plus set/del on a line that is absent at that point.
 
     Presence before a command = (last valid add before it, or the initial
@@ -130,12 +130,15 @@ def cart_rejects(checked: DataFrame, items: DataFrame, *, bucket_rows: int = 1 <
     from shopstream.functions.scan import scan_before
     static = checked.filter(F.col("reason").isNotNull()).select("seq", *KEY, "op", "reason")
     valid = checked.filter(F.col("reason").isNull())
-    init = items.select(*KEY).distinct().withColumn("_init", F.lit(True))
     seq = F.col("seq")
     scanned = scan_before(valid, KEY, ["seq"], F.floor(seq / F.lit(bucket_rows)),
                           [("_last_add", "max", F.when(F.col("op") == "add", seq)),
                            ("_last_rm", "max", F.when(_is_rm(), seq))])
-    v = scanned.filter(F.col("op").isin("set", "del")).join(init, KEY, "left")
+    v = scanned.filter(F.col("op").isin("set", "del"))
+    if items is not None:
+        v = v.join(items.select(*KEY).distinct().withColumn("_init", F.lit(True)), KEY, "left")
+    else:
+        v = v.withColumn("_init", F.lit(None).cast("boolean"))
     present = (F.coalesce(F.col("_last_add"), F.when(F.col("_init"), F.lit(0)), F.lit(-1))
                > F.coalesce(F.col("_last_rm"), F.lit(-1)))
     stateful = v.filter(~present).select("seq", *KEY, "op", F.lit("not_in_cart").alias("reason"))
