@@ -67,11 +67,19 @@ def search_predicate(term: str, *, literal: bool = False, accent_insensitive: bo
 
 
 def filter_products(products: DataFrame, *, category: str | None = None, search: str | None = None,
-                    literal: bool = False, accent_insensitive: bool = False) -> DataFrame:
-    """Conjunction of the supplied predicates; values bound as literals."""
+                    literal: bool = False, accent_insensitive: bool = False,
+                    case_sensitive_category: bool = False) -> DataFrame:
+    """Conjunction of the supplied predicates; values bound as literals.
+
+    The category match ignores case by default (the original store compared
+    under a case-insensitive collation).
+    """
     conds = []
     if category:
-        conds.append(F.col("category_top") == F.lit(category))
+        if case_sensitive_category:
+            conds.append(F.col("category_top") == F.lit(category))
+        else:
+            conds.append(F.lower(F.col("category_top")) == F.lower(F.lit(category)))
     if search:
         conds.append(search_predicate(search, literal=literal, accent_insensitive=accent_insensitive))
     df = products

@@ -298,17 +298,17 @@ SELECT product_id, {_LABEL} AS category_label,
        {_humanize('brand')} AS brand_label
 FROM products"""))
 
-oracle("product_filter", w(PRODUCTS, f"SELECT {API} FROM products WHERE category_top = 'economy'"))
+oracle("product_filter", w(PRODUCTS, f"SELECT {API} FROM products WHERE lower(category_top) = lower('economy')"))
 oracle("product_search", w(PRODUCTS, f"""
 SELECT {API} FROM products WHERE display_name ILIKE '%ring%' OR brand ILIKE '%ring%'"""))
 oracle("product_search_wildcard", w(PRODUCTS, f"""
 SELECT {API} FROM products WHERE display_name ILIKE '%brand#1_ g%' OR brand ILIKE '%brand#1_ g%'"""))
 oracle("product_page", w(PRODUCTS, f"""
-SELECT {API} FROM products WHERE category_top = 'economy'
+SELECT {API} FROM products WHERE lower(category_top) = lower('economy')
 ORDER BY event_count DESC, product_id LIMIT 24 OFFSET 24"""))
 oracle("page_info", w(PRODUCTS, """
 SELECT 1 AS page, 24 AS page_size, count(*) AS total_items, CAST(ceil(count(*) / 24) AS BIGINT) AS total_pages
-FROM products WHERE category_top = 'economy' AND (display_name ILIKE '%brand#1%' OR brand ILIKE '%brand#1%')"""))
+FROM products WHERE lower(category_top) = lower('economy') AND (display_name ILIKE '%brand#1%' OR brand ILIKE '%brand#1%')"""))
 oracle("all_pages", w(PRODUCTS, """
 SELECT CAST(ceil(rn / 24) AS INTEGER) AS page_no, CAST((rn - 1) % 24 + 1 AS INTEGER) AS page_pos, product_id
 FROM (SELECT product_id, row_number() OVER (ORDER BY event_count DESC, product_id) AS rn FROM products)"""))
