@@ -1,84 +1,88 @@
 """Nearest items by embedding (cold start) and item embeddings from sequences.
 
-Exact k-NN is a blocked matrix product: the query vectors (checked to be at
-most ``max_query_rows``) are broadcast once, each task multiplies them with
-its partition of item vectors in NumPy and keeps only its local top ``k``
-per query; a final ``row_number <= k`` (partial ``WindowGroupLimit`` before
-the shuffle) merges the local lists.  No pair table is materialised: a task
-emits at most ``k`` rows per query.  Larger query sets are processed in
-blocks of ``max_query_rows`` (one job per block).
+Exact k-NN is a blocked matrix product laid out in two dimensions: queries
+are hashed into ``query_blocks`` and items into ``item_blocks``; each query
+row is copied once per item block and each item once per query block, so
+every (query block, item block) cell meets in one ``cogroup`` group.  A task
+multiplies its two blocks in NumPy and keeps only the local top ``k`` per
+query; a final ``row_number <= k`` (partial ``WindowGroupLimit`` before the
+shuffle) merges the local lists.  Nothing goes through the driver, no pair
+table is materialised, and a task holds one block of each side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SIM_DECIMALS = 9
-DEFAULT_MAX_QUERY_ROWS = 50_000
-_QUERY_BLOCK = 1024  # queries multiplied at once inside a task (bounds task memory)
+_QUERY_CHUNK = 1024  # queries multiplied at once inside a task (bounds task memory)
 
 
-def _local_topk(query_ids: np.ndarray, qmat: np.ndarray, k: int, exclude_self: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf["product_id"].to_numpy(dtype=np.int64)
-            emat = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-            kk = min(k + (1 if exclude_self else 0), len(ids))
-            for b in range(0, len(query_ids), _QUERY_BLOCK):
-                qids = query_ids[b:b + _QUERY_BLOCK]
-                sims = np.round(qmat[b:b + _QUERY_BLOCK] @ emat.T, SIM_DECIMALS)
-                if exclude_self:
-                    sims = np.where(qids[:, None] == ids[None, :], -np.inf, sims)
-                out_q, out_p, out_s = [], [], []
-                for r in range(len(qids)):
-                    # order: similarity desc, product id asc (same total order as the final rank)
-                    order = np.lexsort((ids, -sims[r]))[:kk]
-                    keep = order[np.isfinite(sims[r][order])]
-                    out_q.append(np.full(len(keep), qids[r], dtype=np.int64))
-                    out_p.append(ids[keep])
-                    out_s.append(sims[r][keep])
-                if out_q:
-                    yield pd.DataFrame({"query_id": np.concatenate(out_q), "product_id": np.concatenate(out_p),
-                                        "similarity": np.concatenate(out_s)})
+def _block_topk(k: int, exclude_self: bool):
+    def run(q: pd.DataFrame, it: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "product_id": pd.Series([], dtype="int64"),
+                              "similarity": pd.Series([], dtype="float64")})
+        if q.empty or it.empty:
+            return empty
+        ids = it["product_id"].to_numpy(dtype=np.int64)
+        emat = np.stack(it["embedding"].to_numpy()).astype(np.float64)
+        qids_all = q["query_id"].to_numpy(dtype=np.int64)
+        qmat_all = np.stack(q["embedding"].to_numpy()).astype(np.float64)
+        kk = min(k + (1 if exclude_self else 0), len(ids))
+        out_q, out_p, out_s = [], [], []
+        for b in range(0, len(qids_all), _QUERY_CHUNK):
+            qids = qids_all[b:b + _QUERY_CHUNK]
+            sims = np.round(qmat_all[b:b + _QUERY_CHUNK] @ emat.T, SIM_DECIMALS)
+            if exclude_self:
+                sims = np.where(qids[:, None] == ids[None, :], -np.inf, sims)
+            for r in range(len(qids)):
+                # order: similarity desc, product id asc (the same total order as the final rank)
+                order = np.lexsort((ids, -sims[r]))[:kk]
+                keep = order[np.isfinite(sims[r][order])]
+                out_q.append(np.full(len(keep), qids[r], dtype=np.int64))
+                out_p.append(ids[keep])
+                out_s.append(sims[r][keep])
+        if not out_q:
+            return empty
+        return pd.DataFrame({"query_id": np.concatenate(out_q), "product_id": np.concatenate(out_p),
+                             "similarity": np.concatenate(out_s)})
     return run
 
 
 def knn(queries: DataFrame, items: DataFrame, *, k: int = 10, exclude_self: bool = True,
-        max_query_rows: int = DEFAULT_MAX_QUERY_ROWS) -> DataFrame:
+        query_blocks: int | None = None, item_blocks: int | None = None,
+        max_query_block_rows: int = 20_000, min_item_block_rows: int = 1_000,
+        max_item_block_rows: int = 500_000) -> DataFrame:
     """(query_id, rank, product_id, similarity) = top ``k`` items by dot product.
 
     ``queries``: (query_id, embedding); ``items``: (product_id, embedding).
-    Vectors are expected unit-norm (dot product = cosine).
+    Vectors are expected unit-norm (dot product = cosine).  Unless given,
+    block counts come from two scalar counts: query blocks hold at most
+    ``max_query_block_rows`` queries; item blocks hold between
+    ``min_item_block_rows`` and ``max_item_block_rows`` items, up to the
+    shuffle partition count, so a task never holds a whole side.
     """
-    n_q = queries.count()
-    spark = queries.sparkSession
-    schema = "query_id long, product_id long, similarity double"
-    parts = []
-    ordered = queries.select("query_id", "embedding").orderBy("query_id")
-    for start in range(0, max(n_q, 1), max_query_rows):
-        block = ordered.offset(start).limit(max_query_rows).toPandas() if n_q > max_query_rows \
-            else ordered.toPandas()
-        if block.empty:
-            break
-        qids = block["query_id"].to_numpy(dtype=np.int64)
-        qmat = np.stack(block["embedding"].to_numpy()).astype(np.float64)
-        fn = _local_topk(qids, qmat, k, exclude_self)
-        parts.append(items.select("product_id", "embedding").mapInPandas(fn, schema))
-        if n_q <= max_query_rows:
-            break
-    if not parts:
-        from shopstream.functions.literals import literal_table
-        return literal_table(spark, [], "query_id long, rank int, product_id long, similarity double")
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
+    import math
+    n = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if query_blocks is None:
+        query_blocks = max(1, math.ceil(queries.count() / max_query_block_rows))
+    if item_blocks is None:
+        n_items = items.count()
+        item_blocks = max(1, min(n, math.ceil(n_items / min_item_block_rows)),
+                          math.ceil(n_items / max_item_block_rows))
+    ib, qb = item_blocks, query_blocks
+    # fresh aliases on both sides: queries are often derived from the items table itself
+    q = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("embedding"))
+    q = q.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
+    q = q.withColumn("_ib", F.explode(F.sequence(F.lit(0), F.lit(ib - 1))))
+    it = items.select(F.col("product_id").alias("product_id"), F.col("embedding").alias("embedding"))
+    it = it.withColumn("_ib", F.pmod(F.xxhash64("product_id"), F.lit(ib)))
+    it = it.withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1))))
+    local = (q.groupBy("_qb", "_ib").cogroup(it.groupBy("_qb", "_ib"))
+             .applyInPandas(_block_topk(k, exclude_self), "query_id long, product_id long, similarity double"))
     w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), F.col("product_id").asc())
     return (local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "product_id", "similarity"))

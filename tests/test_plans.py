@@ -57,4 +57,4 @@ def test_pruned_scans(plans):
 def test_no_python_udfs_outside_knn(plans):
     for n, p in plans.items():
         if n != "knn_items":
-            assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "MapInPandas" not in p, n
+            assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "InPandas" not in p, n
