@@ -59,6 +59,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df, eager: bool = True):
-    """Reliable checkpoint into the shared folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
+    """Reliable checkpoint into the shared folder (survives executor loss).
+
+    Never ``localCheckpoint``: executor-local blocks die with the executor.
+    If the session cannot take a checkpoint folder (e.g. a remote client
+    without a SparkContext), the plan is returned uncut; results are the same.
+    """
+    try:
+        checkpoint_dir(df.sparkSession)
+    except Exception:  # noqa: BLE001
+        return df
     return df.checkpoint(eager=eager)
