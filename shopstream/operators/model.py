@@ -177,8 +177,8 @@ def recommend(sessions: DataFrame, model: DataFrame, prior: DataFrame, vocab: Da
     from shopstream.operators.vocab import encode
     if not 1 <= k <= MAX_TOP_K:
         raise ValueError(f"k must be in 1..{MAX_TOP_K}")
-    s = _by_session(sessions.filter(F.size(seq_col) >= 1).select(key, seq_col), key)
-    enc = encode(s, vocab, key=key, seq_col=seq_col, out_col="_tok")
+    s = sessions.filter(F.size(seq_col) >= 1).select(key, seq_col)
+    enc = _by_session(encode(s, vocab, key=key, seq_col=seq_col, out_col="_tok"), key)
     sc = candidate_scores(enc, model, key=key, prefix_col="_tok", max_lag=max_lag, decay=decay,
                           model_rows=model_rows)
     sc = sc.filter(F.col("dst") >= NUM_SPECIAL_TOKENS)
@@ -193,10 +193,10 @@ def recommend(sessions: DataFrame, model: DataFrame, prior: DataFrame, vocab: Da
         pr = prior.filter(F.col("dst") >= NUM_SPECIAL_TOKENS).withColumn(
             "_r", F.row_number().over(Window.orderBy(F.col("prior_n").desc(), F.col("dst").asc())))
         fill = pr.crossJoin(F.broadcast(longest)).filter(F.col("_r") <= F.lit(k) + F.col("_m")).select("dst")
-        ranked = _rank(s.select(key), sc, prior, k=k, key=key, fill=fill, exclude=seen_tok)
+        ranked = _rank(enc.select(key), sc, prior, k=k, key=key, fill=fill, exclude=seen_tok)
     else:
         fill = _popular(prior, k * overfetch, real_only=False)
-        top = _rank(s.select(key), candidate_scores(enc, model, key=key, prefix_col="_tok", max_lag=max_lag,
+        top = _rank(enc.select(key), candidate_scores(enc, model, key=key, prefix_col="_tok", max_lag=max_lag,
                                                     decay=decay, model_rows=model_rows),
                     prior, k=k, key=key, fill=fill, limit=k * overfetch)
         top = top.filter(F.col("token_id") >= NUM_SPECIAL_TOKENS).join(

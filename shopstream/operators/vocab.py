@@ -46,17 +46,21 @@ def encode(sessions: DataFrame, vocab: DataFrame, *, default: int = OTHER_TOKEN,
     """Map each item of ``seq_col`` to its token id, ``default`` (OTHER) when absent.
 
     Exploded positions are joined with the vocabulary (broadcast only when its
-    row bound ``vocab_rows`` is small) and regrouped in position order.  Keeps
-    all other session columns.  Empty sequences come back as empty arrays.
+    row bound ``vocab_rows`` is small) and regrouped in position order; the
+    other session columns ride along through the same aggregate
+    (``any_value``), so the whole step is one shuffle on the session key.
+    Empty sequences come back as empty arrays.  ``key`` must be unique.
     """
-    pos = explode_positions(sessions, key, seq_col)
-    v = _maybe_broadcast(vocab.select("product_id", "token_id"), vocab_rows)
-    tok = pos.join(v, "product_id", "left").select(
-        key, "pos", F.coalesce(F.col("token_id"), F.lit(default)).cast("int").alias("tok"))
-    regrouped = tok.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("_pt"))
-    out = sessions.join(regrouped, key, "left")
+    others = [c for c in sessions.columns if c != key]
+    pos = sessions.select("*", F.posexplode_outer(seq_col).alias("_pos", "_item"))
+    v = _maybe_broadcast(vocab.select(F.col("product_id").alias("_item"), F.col("token_id").alias("_tok")), vocab_rows)
+    tok = pos.join(v, "_item", "left")
+    pair = F.when(F.col("_pos").isNotNull(),
+                  F.struct(F.col("_pos").alias("pos"), F.coalesce(F.col("_tok"), F.lit(default)).cast("int").alias("tok")))
+    out = tok.groupBy(key).agg(*[F.any_value(c).alias(c) for c in others],
+                               F.array_sort(F.collect_list(pair)).alias("_pt"))
     toks = F.coalesce(F.transform("_pt", lambda x: x["tok"]), F.array().cast("array<int>"))
-    return out.withColumn(out_col, toks).drop("_pt")
+    return out.select(key, *others, toks.alias(out_col))
 
 
 def encode_rows(sessions: DataFrame, vocab: DataFrame, *, default: int = OTHER_TOKEN, key: str = "user_session",
