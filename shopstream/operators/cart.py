@@ -53,7 +53,7 @@ def _is_rm():
 
 
 def apply_cart_commands(commands: DataFrame, products: DataFrame, items: DataFrame | None = None, *,
-                        materialize: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+                        materialize: bool = True, bucket_rows: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, rejects, carts) after applying ``commands`` to ``items``.
 
     ``commands``: (seq long, cart_id, op, product_id, quantity int, at timestamp);
@@ -111,7 +111,7 @@ def apply_cart_commands(commands: DataFrame, products: DataFrame, items: DataFra
         *KEY, (F.col("reset_qty") + F.coalesce(F.col("more"), F.lit(0))).cast("int").alias("quantity"),
         "added_at")
 
-    rejects = cart_rejects(checked, items)
+    rejects = cart_rejects(checked, items, bucket_rows=bucket_rows)
     carts = valid.filter(is_add).groupBy("cart_id").agg(F.min("at").alias("created_at"))
     if items is not None:
         carts = (carts.unionByName(items.groupBy("cart_id").agg(F.min("added_at").alias("created_at")))

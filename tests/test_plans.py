@@ -58,3 +58,11 @@ def test_no_python_udfs_outside_knn(plans):
     for n, p in plans.items():
         if n != "knn_items":
             assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p and "InPandas" not in p, n
+
+
+def test_events_never_shuffled_by_user_alone(plans):
+    # the gap sessioniser shuffles events by (user, day); only one-row-per-bucket summaries go by user
+    p = plans["sessions_raw"].splitlines()
+    for i, line in enumerate(p):
+        if re.search(r"Exchange hashpartitioning\(user_id#\d+L?, \d+\)", line):
+            assert "HashAggregate" in p[i + 1], p[i + 1]
