@@ -157,6 +157,14 @@ def cart_view(items: DataFrame, products: DataFrame) -> DataFrame:
                     "quantity", line.alias("line_total"), "added_at")
 
 
+def ordered_lines(view: DataFrame) -> DataFrame:
+    """Lines of each cart in (added_at, product_id) order, carts kept whole per partition.
+
+    Hash-partitioned by cart and sorted inside partitions: no global sort.
+    """
+    return view.repartition("cart_id").sortWithinPartitions("cart_id", "added_at", "product_id")
+
+
 def cart_totals(view: DataFrame, carts: DataFrame | None = None) -> DataFrame:
     """Per cart total quantity and total price; carts without lines get zeros."""
     t = view.groupBy("cart_id").agg(

@@ -95,3 +95,13 @@ def test_view_and_totals(spark):
     assert lines == {1: 3.3, 2: 0.0}
     t = {r.cart_id: (r.total_items, r.total_price) for r in cart.cart_totals(v, carts).collect()}
     assert t == {"c": (5, 3.3), "empty": (0, 0.0)}
+
+
+def test_ordered_lines(spark):
+    from decimal import Decimal
+    prods = spark.createDataFrame([(p, f"P{p}", None, Decimal("1.00"), "i") for p in range(1, 6)],
+                                  "product_id long, display_name string, brand string, price decimal(10,2), image_ref string")
+    items = spark.createDataFrame([("c", p, 1, T0 + dt.timedelta(minutes=10 - p)) for p in range(1, 6)]
+                                  + [("d", 1, 1, T0)], cart.ITEM_SCHEMA)
+    rows = cart.ordered_lines(cart.cart_view(items, prods)).collect()
+    assert [r.product_id for r in rows if r.cart_id == "c"] == [5, 4, 3, 2, 1]
