@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopstream.constants import BROADCAST_MAX_ROWS, DEFAULT_TOP_K, NUM_SPECIAL_TOKENS, OTHER_TOKEN
+from shopstream.constants import BROADCAST_MAX_ROWS, DEFAULT_TOP_K, NUM_SPECIAL_TOKENS
 
 DEFAULT_MAX_LAG = 3
 DEFAULT_DECAY = 0.5
