@@ -9,19 +9,10 @@ Rules (per cart and product):
   new added_at);
 * a cart id must be 1..36 characters; a cart exists from its first valid add.
 
-The final state is computed from keyed aggregates only (partial aggregation
-on the map side, no per-key arrays), so a (cart, product) with a third of
-all commands costs a few rows per map task:
-
-1. ``last_rm``: the last removal (del, or set q<=0).  After it the line is
-   absent, whatever came before.
-2. ``start``: the first valid add after ``last_rm`` (or the initial line
-   when there is no removal); no start -> no line.
-3. ``reset``: the last set q>0 after ``start``, else ``start`` itself.
-4. quantity = value at ``reset`` + sum of adds after ``reset``.
-
-Rejections of set/del depend on the state just before each command; they
-use a two-level bucketed running max per key (see ``functions.scan``).
+The log is folded as an associative composition of per-command state
+transformers (``cart_fold``): one shuffle of the log by (line, seq bucket),
+groups bounded by the bucket size, then one row per bucket per line.  A
+(cart, product) with a third of all commands is spread over many buckets.
 """
 
 from __future__ import annotations
@@ -48,101 +39,31 @@ def validate_commands(commands: DataFrame, products: DataFrame) -> DataFrame:
     return c.withColumn("reason", reason).drop("_exists")
 
 
-def _is_rm():
-    return (F.col("op") == "del") | ((F.col("op") == "set") & (F.col("quantity") <= 0))
-
-
 def apply_cart_commands(commands: DataFrame, products: DataFrame, items: DataFrame | None = None, *,
-                        materialize: bool = True, bucket_rows: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+                        materialize: bool = True, bucket_rows: int = 1 << 16) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, rejects, carts) after applying ``commands`` to ``items``.
 
     ``commands``: (seq long, cart_id, op, product_id, quantity int, at timestamp);
     ``seq`` orders commands (unique).  ``items``: the initial lines, or None.
-    The validated log feeds six branches; with ``materialize`` it is written
-    once to the checkpoint folder (reliable, survives executor loss) instead
-    of being recomputed per branch.
+    The fold itself is :func:`shopstream.operators.cart_fold.fold_commands`
+    (one shuffle of the log, groups of at most ``bucket_rows`` commands).
+    The validated log feeds three branches; with ``materialize`` it is written
+    once to the checkpoint folder (reliable, survives executor loss).
     """
+    from shopstream.operators.cart_fold import fold_commands
     checked = validate_commands(commands, products)
     if materialize:
         from shopstream.session import cut_lineage
         checked = cut_lineage(checked)
     valid = checked.filter(F.col("reason").isNull()).select("seq", *KEY, "op", "quantity", "at")
-    seq, q = F.col("seq"), F.col("quantity")
-    is_add = F.col("op") == "add"
-
-    # 1. last removal per key
-    rm = valid.groupBy(*KEY).agg(F.max(F.when(_is_rm(), seq)).alias("last_rm"))
-    if items is None:  # no initial lines: no join against an empty table
-        keys = rm.select("*", F.lit(None).cast("int").alias("init_qty"), F.lit(None).cast("timestamp_ntz").alias("init_at"))
-    else:
-        base = items.select(*KEY, F.col("quantity").alias("init_qty"), F.col("added_at").alias("init_at"))
-        keys = rm.join(base, KEY, "full")
-    v1 = valid.join(keys.select(*KEY, "last_rm"), KEY, "inner")
-
-    # 2. start of the current line
-    after_rm = seq > F.coalesce(F.col("last_rm"), F.lit(0))
-    # scalar min_by (not over a struct) keeps this a hash aggregate with partial aggregation
-    add_ord = F.when(is_add & after_rm, seq)
-    first_add = v1.groupBy(*KEY).agg(
-        F.min(add_ord).alias("add_seq"), F.min_by(q, add_ord).alias("add_q"), F.min_by(F.col("at"), add_ord).alias("add_at"))
-    st = keys.join(first_add, KEY, "left")
-    from_base = F.col("last_rm").isNull() & F.col("init_qty").isNotNull()
-    st = st.select(
-        *KEY,
-        F.when(from_base, F.lit(0)).otherwise(F.col("add_seq")).alias("start_seq"),
-        F.when(from_base, F.col("init_qty")).otherwise(F.col("add_q")).alias("start_qty"),
-        F.when(from_base, F.col("init_at")).otherwise(F.col("add_at")).alias("added_at"),
-    ).filter(F.col("start_seq").isNotNull())
-
-    # 3. last set after the start
-    v2 = valid.join(st.select(*KEY, "start_seq"), KEY, "inner")
-    is_set_after = (F.col("op") == "set") & (q > 0) & (seq > F.col("start_seq"))
-    sets = v2.groupBy(*KEY).agg(F.max(F.when(is_set_after, seq)).alias("set_seq"),
-                                F.max_by(q, F.when(is_set_after, seq)).alias("set_qty"))
-    st = st.join(sets, KEY, "left").select(
-        *KEY, "added_at",
-        F.coalesce(F.col("set_seq"), F.col("start_seq")).alias("reset_seq"),
-        F.when(F.col("set_seq").isNotNull(), F.col("set_qty")).otherwise(F.col("start_qty")).alias("reset_qty"))
-
-    # 4. adds after the reset
-    v3 = valid.join(st.select(*KEY, "reset_seq"), KEY, "inner")
-    adds = v3.groupBy(*KEY).agg(F.sum(F.when(is_add & (seq > F.col("reset_seq")), q)).alias("more"))
-    final = st.join(adds, KEY, "left").select(
-        *KEY, (F.col("reset_qty") + F.coalesce(F.col("more"), F.lit(0))).cast("int").alias("quantity"),
-        "added_at")
-
-    rejects = cart_rejects(checked, items, bucket_rows=bucket_rows)
-    carts = valid.filter(is_add).groupBy("cart_id").agg(F.min("at").alias("created_at"))
+    final, stateful = fold_commands(valid, items, bucket_rows=bucket_rows)
+    static = checked.filter(F.col("reason").isNotNull()).select("seq", *KEY, "op", "reason")
+    rejects = static.unionByName(stateful.withColumn("reason", F.lit("not_in_cart")))
+    carts = valid.filter(F.col("op") == "add").groupBy("cart_id").agg(F.min("at").alias("created_at"))
     if items is not None:
         carts = (carts.unionByName(items.groupBy("cart_id").agg(F.min("added_at").alias("created_at")))
                  .groupBy("cart_id").agg(F.min("created_at").alias("created_at")))
-    return final, rejects, carts
-
-
-def cart_rejects(checked: DataFrame, items: DataFrame | None = None, *, bucket_rows: int = 1 << 20) -> DataFrame:
-    """C4: static rejections plus set/del on a line that is absent at that point.
-
-    Presence before a command = (last valid add before it, or the initial
-    line) is later than the last removal before it.  Both "last before" values
-    come from a two-level bucketed scan (buckets of ``bucket_rows`` seq
-    values), so one (cart, product) with a huge log is spread over tasks.
-    """
-    from shopstream.functions.scan import scan_before
-    static = checked.filter(F.col("reason").isNotNull()).select("seq", *KEY, "op", "reason")
-    valid = checked.filter(F.col("reason").isNull())
-    seq = F.col("seq")
-    scanned = scan_before(valid, KEY, ["seq"], F.floor(seq / F.lit(bucket_rows)),
-                          [("_last_add", "max", F.when(F.col("op") == "add", seq)),
-                           ("_last_rm", "max", F.when(_is_rm(), seq))])
-    v = scanned.filter(F.col("op").isin("set", "del"))
-    if items is not None:
-        v = v.join(items.select(*KEY).distinct().withColumn("_init", F.lit(True)), KEY, "left")
-    else:
-        v = v.withColumn("_init", F.lit(None).cast("boolean"))
-    present = (F.coalesce(F.col("_last_add"), F.when(F.col("_init"), F.lit(0)), F.lit(-1))
-               > F.coalesce(F.col("_last_rm"), F.lit(-1)))
-    stateful = v.filter(~present).select("seq", *KEY, "op", F.lit("not_in_cart").alias("reason"))
-    return static.unionByName(stateful)
+    return final.select(*KEY, F.col("quantity").cast("int").alias("quantity"), "added_at"), rejects, carts
 
 
 def cart_view(items: DataFrame, products: DataFrame) -> DataFrame:
