@@ -107,6 +107,10 @@ def _by_session(df: DataFrame, key: str) -> DataFrame:
     task before the rows multiply.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    try:  # no more tasks than the cluster runs at once, twice over
+        n = max(1, min(n, 2 * df.sparkSession.sparkContext.defaultParallelism))
+    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
+        pass
     # partition on a hash *of* the key: a plain repartition(key) is dropped when the
     # input is already partitioned by key (and that exchange may have been coalesced)
     return df.repartition(n, F.xxhash64(F.col(key)))
