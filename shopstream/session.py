@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -37,24 +38,26 @@ def get_spark(app: str = "shopstream", master: str | None = None,
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to an existing session (e.g. the driver's)."""
     for k, v in REQUIRED_CONF.items():
-        try:
+        if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
-        except Exception:  # static conf on a session someone else built
-            pass
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
+    """The shared checkpoint folder named by the cluster in ``spark.checkpoint.dir``.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local tests)
-    do we create a scratch folder and register it.
+    Where the setting is absent, a scratch folder is made only for a session
+    whose driver and executors share one machine (``local[...]``, as in tests);
+    on a cluster a machine-local folder would be invisible to the other
+    executors, so that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="shopstream-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
     return path
 
 
@@ -62,11 +65,19 @@ def cut_lineage(df, eager: bool = True):
     """Reliable checkpoint into the shared folder (survives executor loss).
 
     Never ``localCheckpoint``: executor-local blocks die with the executor.
-    If the session cannot take a checkpoint folder (e.g. a remote client
-    without a SparkContext), the plan is returned uncut; results are the same.
     """
-    try:
-        checkpoint_dir(df.sparkSession)
-    except Exception:  # noqa: BLE001
-        return df
+    spark = df.sparkSession
+    spark.sparkContext.setCheckpointDir(checkpoint_dir(spark))
     return df.checkpoint(eager=eager)
+
+
+def shared_table(df, name: str = "table"):
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    Like ``cut_lineage`` but compressed and columnar, so that later branches read
+    only the columns they use.  Column order and types are kept.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/shopstream-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
