@@ -42,21 +42,30 @@ def unescape(c: Column) -> Column:
     return c
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of ``value`` computed once, also where body uses it inside another lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def running_total(values: Column) -> Column:
     """Inclusive prefix sums of an int array.
 
-    Two levels of about sqrt(n), so n^1.5 cheap steps and no array that grows by copying.
+    Two levels of about sqrt(n), so n^1.5 additions and no array that grows by copying.
     """
-    n = F.size(values)
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
-    chunk_no = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / step).cast("int"))).otherwise(F.array().cast("array<int>"))
-    chunks = F.transform(chunk_no, lambda k: F.slice(values, k * step + 1, step))
-    sums = F.transform(chunks, total)
-    with_base = F.transform(chunks, lambda ch, k: F.struct(
-        total(F.slice(sums, F.lit(1), k)).alias("base"), ch.alias("part")))
-    return F.flatten(F.transform(with_base, lambda b: F.transform(
-        b["part"], lambda _, i: b["base"] + total(F.slice(b["part"], F.lit(1), i + 1)))))
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
+
+    def chunked(v: Column) -> Column:
+        step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(v))).cast("int"))
+        return let(step, lambda st: F.when(F.size(v) > 0, F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(v) - 1) / st).cast("int")), lambda k: F.slice(v, k * st + 1, st))))
+
+    def sums(chunks: Column) -> Column:
+        return let(F.transform(chunks, total), lambda t: F.transform(chunks, lambda ch, k: F.struct(
+            total(F.slice(t, F.lit(1), k)).alias("base"), ch.alias("part"))))
+
+    return let(let(values, chunked), lambda chunks: F.flatten(F.transform(sums(chunks), lambda b: F.transform(
+        b["part"], lambda _, i: b["base"] + total(F.slice(b["part"], F.lit(1), i + 1))))))
 
 
 def format_chats(df: DataFrame, *, conv: str = "conv_id", turn: str = "turn", role: str = "role",
