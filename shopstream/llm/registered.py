@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import functools
 
-from shopstream.llm import chat, shards, topk
+from shopstream.llm import bpe, chat, decontam, shards, topk
 from shopstream.session import configure
 
 
@@ -17,6 +17,7 @@ def _query(fn):
 
 
 QUERIES = {f.__name__: _query(f) for f in (
-    chat.op2_chat_format, topk.op3_topk_search, shards.op4_kd_shards)}
+    chat.op2_chat_format, topk.op3_topk_search, shards.op4_kd_shards, decontam.op6_decontaminate,
+    bpe.op9_byte_bpe)}
 
-ORACLES = {"op2_chat_format": chat.OP2_SQL, "op3_topk_search": topk.OP3_SQL}
+ORACLES = {"op2_chat_format": chat.OP2_SQL, "op3_topk_search": topk.OP3_SQL, "op6_decontaminate": decontam.OP6_SQL}
