@@ -36,8 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 16_384, 96, 4_096
-CACHE_PIECES = 200_000
+LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 16_384, 5, 4_096
+CACHE_PIECES, CACHED_CHARS = 250_000, 64
+SHORT_BYTES, NO_RANK = 40, 1 << 60
 
 
 class Codec:
@@ -51,12 +52,22 @@ class Codec:
             self.bytes_of[rank] = token
         self.cache: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.reducible = all(len(self.merge(t)) == 1 for t in ranks)
+        self.leaves: dict[bytes, list[int]] = {}
+        # the two tokens whose merge makes a token; none for single bytes
+        self.halves: list[list[int]] = [[] for _ in self.bytes_of]
+        self.reducible = True
+        for token, made in ranks.items():
+            if len(token) > 1:
+                parts = self._merge_short(token, leave=2)
+                self.halves[made] = parts
+                self.reducible &= len(parts) == 2
 
     # ---- tokens of one piece
 
     def merge(self, data: bytes) -> list[int]:
         """Lowest rank first, leftmost first, over the whole byte string at once."""
+        if len(data) <= SHORT_BYTES:
+            return self._merge_short(data)
         ranks, n = self.ranks, len(data)
         end = list(range(1, n + 1))          # a part starts at i and ends at end[i]
         before = list(range(-1, n - 1))
@@ -84,20 +95,55 @@ class Codec:
             i = end[i]
         return out
 
+    def _merge_short(self, data: bytes, leave: int = 1) -> list[int]:
+        """As ``merge`` (until ``leave`` parts are left); scanning all neighbours is quicker for a few bytes."""
+        rank = self.ranks.get
+        parts = [data[i:i + 1] for i in range(len(data))]
+        merged = [rank(data[i:i + 2], NO_RANK) for i in range(len(data) - 1)]  # of parts i and i + 1
+        while len(merged) >= leave and (best := min(merged)) != NO_RANK:
+            i = merged.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del merged[i]
+            if i < len(merged):
+                merged[i] = rank(parts[i] + parts[i + 1], NO_RANK)
+            if i:
+                merged[i - 1] = rank(parts[i - 1] + parts[i], NO_RANK)
+        return [self.ranks[x] for x in parts]
+
     def compatible(self, a: int, b: int) -> bool:
         known = self.pairs.get((a, b))
         if known is None:
             if len(self.pairs) >= CACHE_PIECES:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            known = self.pairs[a, b] = self._stay_apart(a, b)
         return known
 
+    def _stay_apart(self, a: int, b: int) -> bool:
+        """No merge across the seam comes due while both of its sides exist.
+
+        Walks back through the merges that made the two tokens, latest first.  The parts
+        at the seam last until the first of them is merged with its other neighbour; of
+        two merges of one rank the left one is done first.
+        """
+        until_a = until_b = NO_RANK
+        text, halves, rank = self.bytes_of, self.halves, self.ranks.get
+        while True:
+            across = rank(text[a] + text[b], NO_RANK)
+            if across < until_a and across <= until_b:
+                return False
+            if halves[b] and (b >= a or not halves[a]):
+                until_b, b = b, halves[b][0]
+            elif halves[a]:
+                until_a, a = a, halves[a][1]
+            else:
+                return True
+
     def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
         if not left or not right or self.compatible(left[-1], right[0]):
             return left + right
         i = j = 1
         while True:
-            inner = self.merge(b"".join(map(self.bytes_of.__getitem__, left[-i:] + right[:j])))
+            inner = self._known(b"".join(map(self.bytes_of.__getitem__, left[-i:] + right[:j])))
             fits_left = i >= len(left) or self.compatible(left[-i - 1], inner[0])
             fits_right = j >= len(right) or self.compatible(inner[-1], right[j])
             if fits_left and fits_right:
@@ -111,10 +157,21 @@ class Codec:
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
         if len(data) <= LEAF_BYTES or not self.reducible:
-            return self.merge(data)
+            return self._known(data)
         half = len(data) // 2
         return self.join_tokens(self.tokens(data[:half]), self.tokens(data[half:]))
 
+    def _known(self, data: bytes) -> list[int]:
+        """``merge``, remembering short byte strings."""
+        if len(data) > SHORT_BYTES:
+            return self.merge(data)
+        out = self.leaves.get(data)
+        if out is None:
+            if len(self.leaves) >= CACHE_PIECES:
+                self.leaves.clear()
+            out = self.leaves[data] = self.merge(data)
+        return out
+
     # ---- pieces of a text
 
     def join_pieces(self, left: list[str], right: list[str]) -> list[str]:
@@ -160,7 +217,7 @@ class Codec:
             ids = cache.get(piece)
             if ids is None:
                 ids = tuple(self.tokens(piece.encode()))
-                if len(piece) <= LEAF_BYTES:
+                if len(piece) <= CACHED_CHARS:
                     if len(cache) >= CACHE_PIECES:
                         cache.clear()
                     cache[piece] = ids
@@ -208,7 +265,9 @@ def decode(df: DataFrame, path: str, pattern: str, *, ids: str = "ids", decoded:
     def run(batches):
         own = codec(path, pattern)
         for batch in batches:
-            found = [own.decode(x) for x in (y or [] for y in batch.column(ids).to_pylist())]
+            lists = batch.column(ids)
+            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
+            found = [own.decode(values[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [pa.array(found, pa.binary())], names=[*others, decoded])
 
     return df.select(*others).mapInArrow(run, _with_column(df.schema, decoded, T.BinaryType()))
