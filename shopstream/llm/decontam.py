@@ -14,14 +14,14 @@ The masks are lossless: for each way to place ``SUBSTITUTIONS`` errors in ``WIND
 words some mask at some offset avoids them (tested by enumeration), so nothing that
 the rule accepts is missed.
 
-Positions are exploded and hashed inside one generated stage, without a shuffle: the
-benchmark side is broadcast when its counted seeds are within ``BROADCAST_SEEDS``.  A
-larger benchmark is joined by a shuffle on the hash (large partitions are split by
-adaptive execution) and the words are joined to the distinct diagonals afterwards.
+Only (id, position, hash) rows are exploded, in the scan's stage; the benchmark side is
+broadcast when its counted seeds are within ``BROADCAST_SEEDS`` and joined by a shuffle
+on the hash otherwise (large partitions are split by adaptive execution).  Hits are
+reduced to distinct diagonals before the shuffle, and the words join them by document.
 
 Defined results: null or word-less texts match nothing; repeated documents with one id
 report once; repeated benchmark items report under each id; empty tables give no rows;
-null ids are kept; other columns of the inputs are ignored.
+documents with a null id take no part; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopstream.llm.chat import let
+
 WINDOW, SUBSTITUTIONS = 13, 2
 MASKS = ("1101111", "11101001001")
 BROADCAST_SEEDS = 300_000
@@ -38,6 +40,10 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
+def _word_hashes(array: Column) -> Column:
+    return F.transform(array, lambda w: F.xxhash64(w))
+
+
 def _seed(array: Column, at: Column, mask: str) -> Column:
     return F.xxhash64(F.lit(mask), *[F.get(array, at + i) for i, c in enumerate(mask) if c == "1"])
 
@@ -50,39 +56,34 @@ def benchmark_seeds(benchmark: DataFrame) -> DataFrame:
     placed = items.withColumn("mask", F.explode(masks)).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("item") - F.length("mask"))))
     seed = F.lit(None).cast("long")
     for m in (*MASKS, *("1" * k for k in range(1, WINDOW))):
-        seed = F.when(F.col("mask") == m, _seed(F.col("item"), F.col("at"), m)).otherwise(seed)
-    return placed.withColumn("seed", seed)
+        seed = F.when(F.col("mask") == m, _seed(F.col("hashes"), F.col("at"), m)).otherwise(seed)
+    return placed.withColumn("hashes", _word_hashes(F.col("item"))).withColumn("seed", seed).drop("hashes")
 
 
 def document_seeds(docs: DataFrame, masks: list[str]) -> DataFrame:
-    """doc_id, doc (its words), pos, seed for all masks at all positions."""
-    spread = (docs.select("doc_id", words(F.col("text")).alias("doc"))
-              .select("doc_id", "doc", F.explode(F.sequence(F.lit(0), F.size("doc") - 1)).alias("pos")))
-    return spread.select("doc_id", "doc", "pos", F.explode(F.array(*[_seed(F.col("doc"), F.col("pos"), m) for m in masks])).alias("seed"))
-
-
-def _continues(masks: list[str]) -> Column:
-    """The same mask hits one word earlier too, so that hit already leads to this diagonal."""
-    out = F.lit(False)
-    for m in masks:
-        same = F.lit(True)
-        for i, c in enumerate(m):
-            if c == "1":
-                same = same & F.coalesce(F.get("doc", F.col("pos") + (i - 1)) == F.get("item", F.col("at") + (i - 1)), F.lit(False))
-        out = F.when(F.col("mask") == m, same).otherwise(out)
-    return out
+    """doc_id, pos, seed for all masks at all positions; only these three are exploded, not the words."""
+    hashed = docs.where(F.col("text").isNotNull()).select("doc_id", _word_hashes(words(F.col("text"))).alias("doc"))
+    seeds = F.transform(F.sequence(F.lit(0), F.size("doc") - 1), lambda p: F.struct(
+        *[_seed(F.col("doc"), p, m).alias(f"s{k}") for k, m in enumerate(masks)]))
+    return (hashed.select("doc_id", F.posexplode(seeds).alias("pos", "at_pos"))
+            .select("doc_id", "pos", F.explode(F.array(*[F.col("at_pos")[f"s{k}"] for k in range(len(masks))])).alias("seed")))
 
 
 def _verified(diagonals: DataFrame) -> DataFrame:
     """Keep the diagonals on which the item really overlaps the document; count equal words."""
-    n = F.size("item")
-    equal = F.transform("item", lambda w, i: F.when(w == F.get("doc", F.col("shift") + i), 1).otherwise(0))
-    need = F.when(n < WINDOW, n).otherwise(WINDOW - SUBSTITUTIONS)
-    near = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (WINDOW - 1))), lambda s: F.aggregate(
-        F.slice("equal", s, F.lit(WINDOW)), F.lit(0), lambda a, x: a + x) >= F.col("need"))
-    return (diagonals.withColumn("equal", equal).withColumn("need", need).where(near)
-            .select("doc_id", "item_id", F.size("item").cast("long").alias("item_words"),
-                    F.aggregate("equal", F.lit(0), lambda a, x: a + x).cast("long").alias("matched_words")))
+    def total(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def judged(equal: Column) -> Column:
+        n = F.size(equal)
+        near = F.exists(F.sequence(F.lit(1), F.greatest(F.lit(1), n - (WINDOW - 1))), lambda s: total(
+            F.slice(equal, s, F.lit(WINDOW))) >= F.when(n < WINDOW, n).otherwise(WINDOW - SUBSTITUTIONS))
+        return F.when(near, total(equal))
+
+    return (diagonals.select("doc_id", "item_id", F.size("item").cast("long").alias("item_words"),
+                             let(let(words(F.col("text")), lambda doc: F.transform("item", lambda w, i: F.when(
+                                 w == F.get(doc, F.col("shift") + i), 1).otherwise(0))), judged).cast("long").alias("matched_words"))
+            .where(F.col("matched_words").isNotNull()))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
@@ -90,15 +91,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, broadcast_seeds: int = BR
     seeds = benchmark_seeds(benchmark)
     found = seeds.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).collect()  # at most len(MASKS) + WINDOW - 1 rows
     masks = sorted(r["mask"] for r in found) or [MASKS[0]]
-    shift = (F.col("pos") - F.col("at")).alias("shift")
+    keys = seeds.select("item_id", "at", "seed")
     if sum(r["n"] for r in found) <= broadcast_seeds:
-        hits = document_seeds(docs, masks).join(F.broadcast(seeds), "seed").where(~_continues(masks))
-        lines = hits.select("doc_id", "doc", "item_id", "item", shift)
-    else:
-        pairs = (document_seeds(docs, masks).select("doc_id", "pos", "seed")
-                 .join(seeds.select("item_id", "at", "seed"), "seed").select("doc_id", "item_id", shift).distinct())
-        lines = (pairs.join(docs.select("doc_id", words(F.col("text")).alias("doc")), "doc_id")
-                 .join(seeds.select("item_id", "item").distinct(), "item_id"))
+        keys = F.broadcast(keys)
+    diagonals = (document_seeds(docs, masks).join(keys, "seed")
+                 .groupBy("doc_id", "item_id", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count(F.lit(1)).alias("hits")))
+    lines = (docs.select("doc_id", "text")
+             .join(diagonals, "doc_id").join(seeds.select("item_id", "item").distinct(), "item_id"))
     return (_verified(lines).groupBy("doc_id", "item_id", "item_words")
             .agg(F.max("matched_words").alias("matched_words")))
 
