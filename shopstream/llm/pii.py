@@ -243,50 +243,53 @@ def fit(docs: DataFrame) -> np.ndarray | None:
     return fit_classifier(rows, post[which.ravel()], counts)
 
 
+def find(text: str | None, weights: np.ndarray | None, accept: float) -> tuple[list, list]:
+    """Base spans and all spans of a text, ordered by kind, then start."""
+    if not text:
+        return [], []
+    base, extra, _ = _observed(text)
+    if extra and weights is not None:
+        rows = np.array([[*features(text, *s), *votes(text, *s, False)] for s in extra])
+        extra = [s for s, z in zip(extra, one_hot(rows) @ weights) if z >= np.log(accept / (1 - accept))]
+    else:
+        extra = []
+    order = lambda s: (KINDS.index(s[0]), s[1])
+    return sorted(base, key=order), sorted(base + extra, key=order)
+
+
 def detect(docs: DataFrame, weights: np.ndarray | None, *, accept: float = 0.9) -> DataFrame:
-    """All columns plus ``base_spans`` and ``spans``: array<struct<kind, start, end>>, ordered by kind, then start."""
+    """All columns plus ``base_spans`` and ``spans``: array<struct<kind, start, end>>."""
     keep = docs.select(*[c for c in docs.columns if c not in ("base_spans", "spans")])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for batch in batches:
-            bases, alls = [], []
-            for text in batch.column("text").to_pylist():
-                base, extra, _ = _observed(text) if text else ([], [], [])
-                if extra and weights is not None:
-                    rows = np.array([[*features(text, *s), *votes(text, *s, False)] for s in extra])
-                    extra = [s for s, z in zip(extra, one_hot(rows) @ weights) if z >= np.log(accept / (1 - accept))]
-                else:
-                    extra = []
-                order = lambda s: (KINDS.index(s[0]), s[1])
-                as_rows = lambda spans: [{"kind": k, "start": a, "end": b} for k, a, b in sorted(spans, key=order)]
-                bases.append(as_rows(base))
-                alls.append(as_rows(base + extra))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bases, kind), pa.array(alls, kind)],
-                                             names=[*batch.schema.names, "base_spans", "spans"])
+            both = [find(text, weights, accept) for text in batch.column("text").to_pylist()]
+            cols = [pa.array([[dict(zip(("kind", "start", "end"), s)) for s in pair[i]] for pair in both], kind) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, "base_spans", "spans"])
 
     one = "array<struct<kind:string,start:int,end:int>>"
     schema = keep.withColumn("base_spans", F.lit(None).cast(one)).withColumn("spans", F.lit(None).cast(one)).schema
     return keep.mapInArrow(run, schema)
 
 
-def redact(docs: DataFrame, weights: np.ndarray | None) -> DataFrame:
+def redact(docs: DataFrame, weights: np.ndarray | None, *, accept: float = 0.9) -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in angle brackets; overlapping spans as one."""
     names = docs.columns
 
+    def clean(text: str | None) -> str | None:
+        parts, end = [], 0
+        for kind, a, b in sorted(find(text, weights, accept)[1], key=lambda s: (s[1], -s[2])):
+            if a >= end:
+                parts += [text[end:a], f"<{kind.upper()}>"]
+            end = max(end, b)
+        return "".join([*parts, text[end:]]) if parts else text
+
     def run(batches):
         for batch in batches:
-            out = []
-            for text, spans in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
-                parts, end = [], 0
-                for s in sorted(spans or [], key=lambda s: (s["start"], -s["end"])):
-                    if s["start"] >= end:
-                        parts += [text[end:s["start"]], f"<{s['kind'].upper()}>"]
-                    end = max(end, s["end"])
-                out.append(text if not parts else "".join([*parts, text[end:]]))
-            cols = [pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
-    return detect(docs, weights).drop("base_spans").mapInArrow(run, docs.schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(map(clean, batch.column(c).to_pylist()), pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import functools
 
-from shopstream.llm import bpe, chat, decontam, pii, shards, substring_dedup, topk, toxicity
+import corpus_pipeline
+from shopstream.llm import bpe, chat, decontam, jaccard, pii, shards, substring_dedup, topk, toxicity
 from shopstream.session import configure
 
 
@@ -17,8 +18,9 @@ def _query(fn):
 
 
 QUERIES = {f.__name__: _query(f) for f in (
-    chat.op2_chat_format, topk.op3_topk_search, shards.op4_kd_shards, decontam.op6_decontaminate,
+    jaccard.op1_jaccard_join, chat.op2_chat_format, topk.op3_topk_search, shards.op4_kd_shards, decontam.op6_decontaminate,
     substring_dedup.op7_substring_dedup, pii.op8_pii, bpe.op9_byte_bpe, toxicity.op10_toxicity)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
-ORACLES = {"op2_chat_format": chat.OP2_SQL, "op3_topk_search": topk.OP3_SQL, "op6_decontaminate": decontam.OP6_SQL,
+ORACLES = {"op1_jaccard_join": jaccard.OP1_SQL, "op2_chat_format": chat.OP2_SQL, "op3_topk_search": topk.OP3_SQL, "op6_decontaminate": decontam.OP6_SQL,
            "op7_substring_dedup": substring_dedup.OP7_SQL}
