@@ -54,8 +54,3 @@ DEFAULT_CATEGORY_POOLS = [
     "country_yard", "medicine", "generic",
 ]
 GENERIC_CATEGORY = "generic"
-
-# --- library tuning (not fixed by the reference) ---
-# Largest vocabulary / lookup table (rows) we broadcast. The vocabulary is
-# bounded by its ``size`` argument, so the check is made on that bound.
-BROADCAST_MAX_ROWS = 2_000_000

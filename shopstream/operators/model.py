@@ -17,11 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopstream.constants import BROADCAST_MAX_ROWS, DEFAULT_TOP_K, NUM_SPECIAL_TOKENS
+from shopstream.constants import DEFAULT_TOP_K, NUM_SPECIAL_TOKENS
 
 DEFAULT_MAX_LAG = 3
 DEFAULT_DECAY = 0.5
-DEFAULT_TOP_M = 50
+DEFAULT_TOP_M = None  # all destinations; a number is an explicit choice to truncate the model
 SCORE_DECIMALS = 9  # scores are rounded before ranking so engines agree on ties
 
 
@@ -100,20 +100,13 @@ def _recent(prefixes: DataFrame, key: str, prefix_col: str, max_lag: int) -> Dat
 
 
 def _by_session(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition on the session key with an explicit count before the candidate fan-out.
+    """Hash-partition on the session key before the candidate fan-out; no count, so
+    adaptive execution may split and coalesce.
 
-    Each session expands to ~max_lag*M candidates inside the next stage; an
-    explicit count keeps AQE from folding the (small) session table into one
-    task before the rows multiply.
+    A hash *of* the key: a plain repartition(key) is dropped when the input is already
+    partitioned by key (and that exchange may have been coalesced).
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    try:  # no more tasks than the cluster runs at once, twice over
-        n = max(1, min(n, 2 * df.sparkSession.sparkContext.defaultParallelism))
-    except Exception:  # noqa: BLE001 - remote sessions have no SparkContext
-        pass
-    # partition on a hash *of* the key: a plain repartition(key) is dropped when the
-    # input is already partitioned by key (and that exchange may have been coalesced)
-    return df.repartition(n, F.xxhash64(F.col(key)))
+    return df.repartition(F.xxhash64(F.col(key)))
 
 
 def _popular(prior: DataFrame, n: int, *, real_only: bool) -> DataFrame:
@@ -122,19 +115,17 @@ def _popular(prior: DataFrame, n: int, *, real_only: bool) -> DataFrame:
 
 
 def candidate_scores(prefixes: DataFrame, model: DataFrame, *, key: str = "user_session",
-                     prefix_col: str = "prefix", max_lag: int = DEFAULT_MAX_LAG, decay: float = DEFAULT_DECAY,
-                     model_rows: int | None = None) -> DataFrame:
+                     prefix_col: str = "prefix", max_lag: int = DEFAULT_MAX_LAG, decay: float = DEFAULT_DECAY) -> DataFrame:
     """(key, dst, score): sum over recent items of decay^(lag-1) * p(dst | src)."""
     recent = _recent(prefixes, key, prefix_col, max_lag)
-    m = F.broadcast(model) if model_rows is not None and model_rows <= BROADCAST_MAX_ROWS else model
-    j = recent.join(m, "src")
+    j = recent.join(model, "src")  # the join is chosen from measured sizes
     contrib = F.pow(F.lit(float(decay)), F.col("lag") - 1) * F.col("p")
     return j.groupBy(key, "dst").agg(F.sum(contrib).alias("score"))
 
 
 def score_sessions(prefixes: DataFrame, model: DataFrame, prior: DataFrame, *, k: int = DEFAULT_TOP_K,
                    key: str = "user_session", prefix_col: str = "prefix", max_lag: int = DEFAULT_MAX_LAG,
-                   decay: float = DEFAULT_DECAY, model_rows: int | None = None) -> DataFrame:
+                   decay: float = DEFAULT_DECAY) -> DataFrame:
     """M2: top ``k`` tokens per session: (key, rank, token_id, score).
 
     Candidates are the transition targets of the session's recent items plus
@@ -143,15 +134,15 @@ def score_sessions(prefixes: DataFrame, model: DataFrame, prior: DataFrame, *, k
     prior desc, token asc.  Special tokens are not masked (as in offline eval).
     """
     prefixes = _by_session(prefixes, key)
-    sc = candidate_scores(prefixes, model, key=key, prefix_col=prefix_col, max_lag=max_lag, decay=decay,
-                          model_rows=model_rows)
+    sc = candidate_scores(prefixes, model, key=key, prefix_col=prefix_col, max_lag=max_lag, decay=decay)
     return _rank(prefixes.select(key), sc, prior, k=k, key=key, fill=_popular(prior, k, real_only=False))
 
 
 def _rank(sessions: DataFrame, scores: DataFrame, prior: DataFrame, *, k: int, key: str,
-          fill: DataFrame, exclude: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    # back-off candidates: a bounded table (fill rows) broadcast against the sessions
-    back = sessions.crossJoin(F.broadcast(fill.select("dst"))).withColumn("score", F.lit(0.0))
+          fill: DataFrame | None, exclude: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    # back-off candidates: k rows of ``fill`` for every session, or (fill None) ``sessions`` holds them as dst
+    back = sessions if fill is None else sessions.crossJoin(F.broadcast(fill.select("dst")))
+    back = back.withColumn("score", F.lit(0.0))
     cand = scores.unionByName(back).groupBy(key, "dst").agg(F.max("score").alias("score"))
     if exclude is not None:
         cand = cand.join(exclude, [key, "dst"], "left_anti")
@@ -167,7 +158,7 @@ def _rank(sessions: DataFrame, scores: DataFrame, prior: DataFrame, *, k: int, k
 def recommend(sessions: DataFrame, model: DataFrame, prior: DataFrame, vocab: DataFrame, *,
               k: int = DEFAULT_TOP_K, key: str = "user_session", seq_col: str = "product_seq",
               max_lag: int = DEFAULT_MAX_LAG, decay: float = DEFAULT_DECAY, overfetch: int | None = None,
-              model_rows: int | None = None) -> DataFrame:
+              history: DataFrame | None = None) -> DataFrame:
     """M3: top ``k`` products per session, never a special token nor an item already in the session.
 
     ``sessions``: (key, product_seq oldest->newest).  Empty sessions get no
@@ -175,6 +166,8 @@ def recommend(sessions: DataFrame, model: DataFrame, prior: DataFrame, vocab: Da
     so every session gets ``k`` rows when enough items exist.  ``overfetch=4``
     mimics the serving path: only the top ``min(4k, V)`` tokens are looked
     at, then filtered, so fewer than ``k`` may remain.
+    ``history``: (key, product_id) of all items of the sessions, where ``sessions`` holds
+    capped sequences; without it the sequences are the history.
     Returns (key, rank, product_id, score).
     """
     from shopstream.constants import MAX_TOP_K
@@ -183,25 +176,25 @@ def recommend(sessions: DataFrame, model: DataFrame, prior: DataFrame, vocab: Da
         raise ValueError(f"k must be in 1..{MAX_TOP_K}")
     s = sessions.filter(F.size(seq_col) >= 1).select(key, seq_col)
     enc = _by_session(encode(s, vocab, key=key, seq_col=seq_col, out_col="_tok"), key)
-    sc = candidate_scores(enc, model, key=key, prefix_col="_tok", max_lag=max_lag, decay=decay,
-                          model_rows=model_rows)
+    sc = candidate_scores(enc, model, key=key, prefix_col="_tok", max_lag=max_lag, decay=decay)
     sc = sc.filter(F.col("dst") >= NUM_SPECIAL_TOKENS)
-    seen_tok = (s.select(key, F.explode(seq_col).alias("product_id"))
-                .join(vocab.select("product_id", F.col("token_id").alias("dst")), "product_id")
+    items = s.select(key, F.explode(seq_col).alias("product_id")) if history is None else (
+        history.select(key, "product_id").join(s.select(key), key, "left_semi"))
+    seen_tok = (items.join(vocab.select("product_id", F.col("token_id").alias("dst")), "product_id")
                 .select(key, "dst").distinct())
     if overfetch is None:
-        # exact: enough popular fill for any session = k + longest distinct history.
-        # Lazy: the popularity rank runs over the prior (bounded by the vocabulary,
-        # so one partition is fine) and the bound is a one-row aggregate.
-        longest = s.agg(F.coalesce(F.max(F.size(F.array_distinct(seq_col))), F.lit(0)).alias("_m"))
-        pr = prior.filter(F.col("dst") >= NUM_SPECIAL_TOKENS).withColumn(
-            "_r", F.row_number().over(Window.orderBy(F.col("prior_n").desc(), F.col("dst").asc())))
-        fill = pr.crossJoin(F.broadcast(longest)).filter(F.col("_r") <= F.lit(k) + F.col("_m")).select("dst")
-        ranked = _rank(enc.select(key), sc, prior, k=k, key=key, fill=fill, exclude=seen_tok)
+        # enough popular items for each session: k plus as many as its own history can exclude.
+        # The rank runs over the prior, which the vocabulary bounds.
+        ranks = prior.filter(F.col("dst") >= NUM_SPECIAL_TOKENS).select(
+            "dst", F.row_number().over(Window.orderBy(F.col("prior_n").desc(), F.col("dst").asc())).alias("_r"))
+        own = enc.select(key).join(seen_tok.groupBy(key).agg(F.count(F.lit(1)).alias("_own")), key, "left")
+        back = (own.select(key, F.explode(F.sequence(F.lit(1), (F.lit(k) + F.coalesce("_own", F.lit(0))).cast("int"))).alias("_r"))
+                .join(ranks, "_r").select(key, "dst"))
+        ranked = _rank(back, sc, prior, k=k, key=key, fill=None, exclude=seen_tok)
     else:
         fill = _popular(prior, k * overfetch, real_only=False)
         top = _rank(enc.select(key), candidate_scores(enc, model, key=key, prefix_col="_tok", max_lag=max_lag,
-                                                    decay=decay, model_rows=model_rows),
+                                                    decay=decay),
                     prior, k=k, key=key, fill=fill, limit=k * overfetch)
         top = top.filter(F.col("token_id") >= NUM_SPECIAL_TOKENS).join(
             seen_tok.withColumnRenamed("dst", "token_id"), [key, "token_id"], "left_anti")
@@ -233,7 +226,7 @@ def sample_negatives(pairs: DataFrame, vocab_size: int, *, n: int = 100, seed: i
     draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
         i.alias("i"),
         (F.lit(base) + F.floor(F.exp(
-            (F.abs(F.xxhash64(F.col(key), F.col("pos"), i, F.lit(seed))) % F.lit(1 << 30)) / F.lit(float(1 << 30))
+            F.pmod(F.xxhash64(F.col(key), F.col("pos"), i, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
             * F.log(F.lit(float(R + 1)))) - 1).cast("int")).alias("neg")))
     ex = pairs.select(key, "pos", "target", F.inline(draws))
     return ex.filter(F.col("neg") != F.col("target")).select(key, "pos", "target", "i", "neg")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shopstream.constants import BROADCAST_MAX_ROWS, NUM_SPECIAL_TOKENS, OTHER_TOKEN, VOCAB_SIZE
+from shopstream.constants import NUM_SPECIAL_TOKENS, OTHER_TOKEN, VOCAB_SIZE
 
 
 def item_counts(sessions: DataFrame, seq_col: str = "product_seq") -> DataFrame:
@@ -31,43 +31,32 @@ def build_vocab(sessions: DataFrame, *, size: int = VOCAB_SIZE, seq_col: str = "
         "n")
 
 
-def _maybe_broadcast(vocab: DataFrame, bound_rows: int | None) -> DataFrame:
-    if bound_rows is not None and bound_rows <= BROADCAST_MAX_ROWS:
-        return F.broadcast(vocab)
-    return vocab
-
-
 def explode_positions(sessions: DataFrame, key: str = "user_session", seq_col: str = "product_seq") -> DataFrame:
     return sessions.select(key, F.posexplode(seq_col).alias("pos", "product_id"))
 
 
 def encode(sessions: DataFrame, vocab: DataFrame, *, default: int = OTHER_TOKEN, key: str = "user_session",
-           seq_col: str = "product_seq", out_col: str = "token_seq", vocab_rows: int | None = VOCAB_SIZE) -> DataFrame:
+           seq_col: str = "product_seq", out_col: str = "token_seq") -> DataFrame:
     """Map each item of ``seq_col`` to its token id, ``default`` (OTHER) when absent.
 
-    Exploded positions are joined with the vocabulary (broadcast only when its
-    row bound ``vocab_rows`` is small) and regrouped in position order; the
-    other session columns ride along through the same aggregate
-    (``any_value``), so the whole step is one shuffle on the session key.
-    Empty sequences come back as empty arrays.  ``key`` must be unique.
+    Only (key, position, item) is exploded and joined with the vocabulary (the join is
+    chosen from measured sizes), regrouped in position order and joined back to the
+    sessions on ``key``, which must be unique.  Empty sequences come back as empty arrays.
     """
-    others = [c for c in sessions.columns if c != key]
-    pos = sessions.select("*", F.posexplode_outer(seq_col).alias("_pos", "_item"))
-    v = _maybe_broadcast(vocab.select(F.col("product_id").alias("_item"), F.col("token_id").alias("_tok")), vocab_rows)
-    tok = pos.join(v, "_item", "left")
-    pair = F.when(F.col("_pos").isNotNull(),
-                  F.struct(F.col("_pos").alias("pos"), F.coalesce(F.col("_tok"), F.lit(default)).cast("int").alias("tok")))
-    out = tok.groupBy(key).agg(*[F.any_value(c).alias(c) for c in others],
-                               F.array_sort(F.collect_list(pair)).alias("_pt"))
+    pos = explode_positions(sessions, key, seq_col).withColumnRenamed("pos", "_pos").withColumnRenamed("product_id", "_item")
+    v = vocab.select(F.col("product_id").alias("_item"), F.col("token_id").alias("_tok"))
+    pair = F.struct(F.col("_pos").alias("pos"), F.coalesce(F.col("_tok"), F.lit(default)).cast("int").alias("tok"))
+    grouped = pos.join(v, "_item", "left").groupBy(key).agg(F.array_sort(F.collect_list(pair)).alias("_pt"))
+    out = sessions.join(grouped, key, "left")
     toks = F.coalesce(F.transform("_pt", lambda x: x["tok"]), F.array().cast("array<int>"))
-    return out.select(key, *others, toks.alias(out_col))
+    return out.select(*sessions.columns, toks.alias(out_col))
 
 
 def encode_rows(sessions: DataFrame, vocab: DataFrame, *, default: int = OTHER_TOKEN, key: str = "user_session",
-                seq_col: str = "product_seq", vocab_rows: int | None = VOCAB_SIZE) -> DataFrame:
+                seq_col: str = "product_seq") -> DataFrame:
     """Long form of ``encode``: (key, pos, product_id, token_id), no regrouping shuffle."""
     pos = explode_positions(sessions, key, seq_col)
-    v = _maybe_broadcast(vocab.select("product_id", "token_id"), vocab_rows)
+    v = vocab.select("product_id", "token_id")
     return pos.join(v, "product_id", "left").select(
         key, "pos", "product_id", F.coalesce(F.col("token_id"), F.lit(default)).cast("int").alias("token_id"))
 

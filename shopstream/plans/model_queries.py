@@ -11,16 +11,16 @@ from shopstream.operators import vocab as voc
 from shopstream.plans.catalog_queries import basket_catalog
 from shopstream.plans.registry import query
 from shopstream.plans.session_queries import CLICK_TEST_DAYS, CLICK_VAL_DAYS, CLICK_VOCAB_SIZE, click_sessions
+from shopstream.sources import fixtures as fx
 
 K = 10
-MODEL_ROWS = (CLICK_VOCAB_SIZE + 3) * mdl.DEFAULT_TOP_M  # bound of a truncated model
 
 
 def _parts(spark, sf_dir):
     s = click_sessions(spark, sf_dir)
     vocab = voc.build_vocab(s, size=CLICK_VOCAB_SIZE)  # fitted on all sessions (reference default)
     split = seqops.time_split(s, test_days=CLICK_TEST_DAYS, val_days=CLICK_VAL_DAYS)
-    enc = voc.encode(split, vocab, vocab_rows=CLICK_VOCAB_SIZE)
+    enc = voc.encode(split, vocab)
     return s, vocab, enc
 
 
@@ -34,7 +34,7 @@ def _test_preds(spark, sf_dir):
     _, vocab, enc = _parts(spark, sf_dir)
     model, prior = _train_model(enc)
     targets = seqops.eval_prefixes(enc.filter(F.col("split") == "test"), max_len=20)
-    preds = mdl.score_sessions(targets, model, prior, k=K, model_rows=MODEL_ROWS)
+    preds = mdl.score_sessions(targets, model, prior, k=K)
     return preds, targets, vocab
 
 
@@ -91,11 +91,12 @@ def _all_model(spark, sf_dir):
 @query("recommend")
 def recommend_q(spark, sf_dir):
     s, vocab, model, prior = _all_model(spark, sf_dir)
-    return mdl.recommend(s, model, prior, vocab, k=K, model_rows=MODEL_ROWS)
+    # sessions are capped to their last items; what was seen before the cut is excluded too
+    return mdl.recommend(s, model, prior, vocab, k=K, history=fx.clicks(spark, sf_dir))
 
 
 @query("recommend_enriched")
 def recommend_enriched_q(spark, sf_dir):
     s, vocab, model, prior = _all_model(spark, sf_dir)
-    recs = mdl.recommend(s, model, prior, vocab, k=K, model_rows=MODEL_ROWS)
+    recs = mdl.recommend(s, model, prior, vocab, k=K, history=fx.clicks(spark, sf_dir))
     return mdl.recommend_enriched(recs, basket_catalog(spark, sf_dir))

@@ -465,9 +465,7 @@ def _model(name: str, trans: str) -> str:
 {name}_tot AS (SELECT src, sum(weight) AS t FROM {trans} GROUP BY src),
 {name} AS (
   SELECT src, dst, p FROM (
-    SELECT x.src, x.dst, x.weight / y.t AS p,
-           row_number() OVER (PARTITION BY x.src ORDER BY x.weight DESC, x.dst) AS r
-    FROM {trans} x JOIN {name}_tot y USING (src)) WHERE r <= 50
+    SELECT x.src, x.dst, x.weight / y.t AS p FROM {trans} x JOIN {name}_tot y USING (src))
 )"""
 
 
@@ -516,8 +514,8 @@ recent AS (SELECT k.user_session, k.tok AS src, s.n - k.pos + 1 AS lag FROM sn s
 scores AS (SELECT r.user_session, m.dst, sum(pow(0.5, r.lag - 1) * m.p) AS score
            FROM recent r JOIN model m USING (src) WHERE m.dst >= 3 GROUP BY 1, 2),
 popular AS (SELECT dst FROM (SELECT dst, row_number() OVER (ORDER BY prior_n DESC, dst) AS r FROM prior WHERE dst >= 3)
-            WHERE r <= 10 + (SELECT max(d) FROM sn)),
-seen AS (SELECT DISTINCT user_session, tok AS dst FROM tok WHERE tok >= 3),
+            ),
+seen AS (SELECT DISTINCT c.user_session, v.token_id AS dst FROM clicks c JOIN vocab v USING (product_id)),
 cand AS (SELECT user_session, dst, max(score) AS score FROM (
            SELECT * FROM scores UNION ALL SELECT s.user_session, p.dst, 0.0 FROM sn s CROSS JOIN popular p)
          GROUP BY 1, 2),

@@ -39,7 +39,7 @@ def click_vocab(spark, sf_dir, sessions=None):
 
 def click_encoded(spark, sf_dir):
     s = click_sessions(spark, sf_dir)
-    return voc.encode(s, click_vocab(spark, sf_dir, s), vocab_rows=CLICK_VOCAB_SIZE)
+    return voc.encode(s, click_vocab(spark, sf_dir, s))
 
 
 @query("load_profile")

@@ -58,7 +58,7 @@ def train(events: DataFrame, *, order=("event_time", "event_id"), vocab_size: in
     split = seqops.time_split(sessions, test_days=test_days, val_days=val_days)
     vocab_src = split if fit_on == "all" else split.filter(F.col("split") == "train")
     vocab = cut_lineage(voc.build_vocab(vocab_src, size=vocab_size))
-    enc = cut_lineage(voc.encode(split, vocab, vocab_rows=vocab_size))
+    enc = cut_lineage(voc.encode(split, vocab))
     train_enc = enc.filter(F.col("split") == "train")
     prior = mdl.fit_prior(train_enc)
     fitted = {}

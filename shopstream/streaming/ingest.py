@@ -1,35 +1,49 @@
-"""Append new event files to the events table, exactly once.
+"""Append new event files to the events table, each event once, late ones too.
 
-File source -> de-duplicate by ``event_id`` inside a watermark -> Parquet
-sink with a checkpoint.  ``trigger(availableNow=True)`` processes what is
-there and stops, so the job can run as a scheduled batch; a rerun from the
-same checkpoint picks up only new files.
+File source -> each micro-batch keeps one row per ``event_id`` and drops ids that
+the table already holds (anti-join on the id column) -> append as Parquet.  No
+watermark, so an event of any age reaches the table; a batch that is retried after
+a failure finds its ids and adds only what is missing.
+``trigger(availableNow=True)`` processes what is there and stops, so the job can
+run as a scheduled batch; a rerun from the same checkpoint picks up only new files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 
 def append_events(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, *,
-                  schema: T.StructType, fmt: str = "parquet", time_col: str = "event_time",
-                  key: str = "event_id", watermark: str = "1 day", partition_by: str | None = None,
-                  max_files_per_trigger: int | None = None) -> StreamingQuery:
+                  schema: T.StructType, fmt: str = "parquet", key: str = "event_id",
+                  partition_by: str | None = None, max_files_per_trigger: int | None = None) -> StreamingQuery:
     r = spark.readStream.format(fmt).schema(schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     if fmt == "csv":
         r = r.option("header", True)
-    src = r.load(source_dir)
-    # watermarks need TIMESTAMP; a TIMESTAMP_NTZ column gets a UTC-cast shadow column
-    from pyspark.sql import functions as F
-    wm = "_wm_time"
-    dedup = (src.withColumn(wm, F.col(time_col).cast("timestamp")).withWatermark(wm, watermark)
-             .dropDuplicatesWithinWatermark([key]).drop(wm))
-    w = (dedup.writeStream.format("parquet").option("path", sink_dir)
-         .option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True))
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    return w.start()
+    kept = schema.fieldNames()
+
+    def add(batch: DataFrame, _: int) -> None:
+        own = batch.sparkSession
+        known = own.read.schema(schema)
+        fresh = batch.dropDuplicates([key])
+        if _exists(own, sink_dir):
+            fresh = fresh.join(known.parquet(sink_dir).select(key), key, "left_anti").select(*kept)
+        w = fresh.write.mode("append")
+        (w.partitionBy(partition_by) if partition_by else w).parquet(sink_dir)
+
+    return (r.load(source_dir).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
