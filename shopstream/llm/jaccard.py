@@ -28,8 +28,6 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -37,28 +35,76 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopstream.llm.substring_dedup import _Roller
+from shopstream.llm.substring_dedup import BASES, _mixed
 from shopstream.session import shared_table
 
 SKETCH_BITS, SLICES = 20, 64
 UNIT_DOCS, UNIT_SHINGLES = 64, 60_000
 MAX_MATCHES, VERIFY_COST = 8, 16
-find_words = re.compile(r"[^\x20\x09-\x0d]+").findall
-_UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+class _ByteWords:
+    """64-bit hashes of a text's words, from prefix sums over its bytes (no word is built).
+
+    Each byte has a random value, A-Z that of a-z; a word's hash is the sum of value *
+    base^i over its bytes, brought back to exponent 0 and mixed.
+    """
+
+    def __init__(self) -> None:
+        self.value = np.random.default_rng(20_240).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+        self.value[65:91] = self.value[97:123]
+        self.space = np.zeros(256, bool)
+        self.space[[32, 9, 10, 11, 12, 13]] = True
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> None:
+        if len(self.up) <= n:
+            size = max(n + 1, 2 * len(self.up))
+            up, down = np.full(size, BASES[0], np.uint64), np.full(size, pow(BASES[0], -1, 1 << 64), np.uint64)
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up), np.cumprod(down)
+
+    def __call__(self, text: str) -> np.ndarray:
+        data = np.frombuffer(text.encode(), np.uint8)
+        out = [self._part(data[a:b]) for a, b in self._parts(data)]
+        return out[0] if len(out) == 1 else np.concatenate(out)
+
+    def _parts(self, data: np.ndarray, size: int = 1 << 22):
+        """Stretches of about ``size`` bytes cut at spaces, so a huge text needs no huge arrays."""
+        a = 0
+        while len(data) - a > size:
+            spaces = np.flatnonzero(self.space[data[a + size:]][:size])
+            if not len(spaces):
+                break
+            yield a, a + size + int(spaces[0])
+            a += size + int(spaces[0])
+        yield a, len(data)
+
+    def _part(self, data: np.ndarray) -> np.ndarray:
+        n = len(data)
+        self.powers(n)
+        edge = np.flatnonzero(np.diff(self.space[data].astype(np.int8), prepend=1, append=1))
+        start, end = edge[::2], edge[1::2]
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.value[data] * self.up[:n], out=total[1:])
+        return _mixed((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
 
 
 class Shingler:
     def __init__(self, size: int):
-        self.size, self.roller = size, _Roller()
+        self.size, self.words = size, _ByteWords()
 
     def __call__(self, text: str | None) -> np.ndarray:
         """Sorted distinct shingle hashes."""
-        words = find_words(text.translate(_UPPER)) if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        k = min(self.size, len(words))
-        prefix = self.roller.prefixes(words)
-        return np.unique(self.roller.window(prefix[0], 0, np.arange(len(words) - k + 1), k) ^ np.uint64(k * 0x2545F4914F6CDD1D & (2**64 - 1)))
+        h = self.words(text) if text else np.zeros(0, np.uint64)
+        if not len(h):
+            return h
+        k = min(self.size, len(h))
+        out = np.full(len(h) - k + 1, k, np.uint64)
+        for i in range(k):  # order matters: each step mixes before the next word comes in
+            out = _mixed(out ^ h[i:i + len(out)])
+        out.sort()
+        return out[np.r_[True, out[1:] != out[:-1]]]
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -95,15 +141,21 @@ def count_sketch(docs: DataFrame, size: int) -> np.ndarray:
     return out
 
 
+def rarity_class(df: np.ndarray, mean: float) -> np.ndarray:
+    """0 for what the sketch cannot tell from noise, then one class for each doubling."""
+    return np.maximum(0, np.log2(np.maximum(df, 1) / (2 * mean + 4))).astype(np.int8)
+
+
 def adaptive_prefix(h: np.ndarray, counts: np.ndarray, mean: float, num: int, den: int) -> tuple[np.ndarray, int]:
     """The chosen prefix (rare shingles first) and the number of shared shingles it asks for."""
     n = len(h)
     need = -(-num * n // den)
     df = counts[_slot(h)]
-    rarity = np.maximum(0, np.log2(np.maximum(df, 1) / (2 * mean + 4))).astype(np.int64)
-    h = h[np.lexsort((h, rarity))]
+    rarity = rarity_class(df, mean)
+    order = np.argsort(rarity, kind="stable") if rarity.any() else slice(None)  # h is sorted: ties stay in hash order
+    h, df = h[order], df[order]
     reach = n - need + min(MAX_MATCHES, need)
-    others = np.cumsum(np.maximum(counts[_slot(h[:reach])] - mean, 0.5))
+    others = np.cumsum(np.maximum(df[:reach] - mean, 0.5))
     ks = np.arange(1, min(MAX_MATCHES, need) + 1)
     joined = others[n - need + ks - 1]
     k = int(ks[np.argmin(joined + VERIFY_COST * joined / ks)])
@@ -256,7 +308,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
     table = shared_table(document_table(rows, shingle, counts, num, den), "documents")
     full = table.where("n > 0")
     classes = shared_table(full.groupBy("class").agg(
-        F.min("doc_id").alias("first_doc"), F.min(F.struct("key", "n", "least")).alias("one")).select("class", "first_doc", "one.*"), "classes")
+        F.min("doc_id").alias("first_doc"), F.min(F.struct("key", "n", "least", "matches", "spare")).alias("one")).select("class", "first_doc", "one.*"), "classes")
 
     # first round: chunks of one bucket, each with the bucket's first class
     sizes = classes.groupBy("least").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"), F.min("class").alias("head")).where("members > 1")
@@ -273,22 +325,29 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
     grouped = labelled.withColumn("home", F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("label")))
     room = grouped.groupBy("home", F.col("label").isNull().alias("alone")).agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"))
     units = shared_table(grouped.withColumn("alone", F.col("label").isNull()).join(room, ["home", "alone"]).withColumn("n_chunk", n_chunk).select(
-        "class", "key", "comp", "n", F.xxhash64("home", "alone", F.pmod(F.xxhash64("class"), F.col("n_chunk"))).alias("unit")), "units")
+        "class", "key", "comp", "n", "matches", "spare", F.xxhash64("home", "alone", F.pmod(F.xxhash64("class"), F.col("n_chunk"))).alias("unit")), "units")
     shape = units.groupBy("unit").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count(F.lit(1)).alias("members"),
-                                      F.min("comp").alias("low"), F.max("comp").alias("high"))
-    prefixes = units.select("key", "unit", "class").join(full.select("key", "prefix", "matches", "spare").dropDuplicates(["key"]), "key")
-    asked = prefixes.groupBy("unit").agg(F.min("matches").alias("matches"))
-    tokens = prefixes.select("unit", "spare", F.posexplode("prefix").alias("at", "token")).groupBy("token", "unit").agg(
-        F.min(F.greatest(F.lit(1), F.col("at") - F.col("spare") + 1)).alias("level"))
-    tokens = tokens.join(asked.join(shape, "unit"), "unit").where("level <= matches").withColumn("whole", F.when(F.col("low") == F.col("high"), F.col("low")))
-    tokens = shared_table(tokens.select("token", "unit", "level", "matches", "least_n", "most_n", "whole"), "tokens")
+                                      F.min("matches").alias("asked"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+    shape = shared_table(shape, "shape")
+    # one row for each prefix shingle, dealt by shingle once and read by both sides of the join; a unit
+    # asks for as many shared shingles as its least demanding member, so its longer prefixes are cut to that
+    spread = (units.join(shape, "unit").select("key", "unit", "spare", "asked", F.when(F.col("low") == F.col("high"), F.col("low")).alias("whole"))
+              .join(full.select("key", "prefix"), "key")
+              .select("unit", "asked", "whole", F.explode(F.transform(
+                  F.slice("prefix", F.lit(1), F.least(F.size("prefix"), F.col("spare") + F.col("asked"))),
+                  lambda t, i: F.struct(t.alias("token"), F.greatest(F.lit(1), i - F.col("spare") + 1).alias("level")))).alias("p"))
+              .select("p.token", "unit", (F.col("p.level") * 16 + F.col("asked")).cast("int").alias("code"), "whole"))
+    tokens = spread.repartition("token").groupBy("token", "unit").agg(F.min("code").alias("code"), F.first("whole").alias("whole"))
     x, y = tokens.alias("x"), tokens.alias("y")
+    asked = F.least(F.col("x.code") % 16, F.col("y.code") % 16)
     pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.unit") < F.col("y.unit"))
                     & ~F.coalesce(F.col("x.whole") == F.col("y.whole"), F.lit(False))
-                    & (F.greatest("x.level", "y.level") <= F.least("x.matches", "y.matches"))
-                    & (num * F.col("x.least_n") <= den * F.col("y.most_n")) & (num * F.col("y.least_n") <= den * F.col("x.most_n")))
+                    & (F.greatest(F.floor(F.col("x.code") / 16), F.floor(F.col("y.code") / 16)) <= asked))
              .groupBy(F.col("x.unit").alias("u"), F.col("y.unit").alias("v"))
-             .agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("x.matches", "y.matches")).alias("asked")).where("shared >= asked").select("u", "v"))
+             .agg(F.count(F.lit(1)).alias("shared"), F.first(asked).alias("asked")).where("shared >= asked").select("u", "v"))
+    sizes_of = lambda side: shape.select(F.col("unit").alias(side), F.col("least_n").alias(f"least_{side}"), F.col("most_n").alias(f"most_{side}"))
+    pairs = (pairs.join(sizes_of("u"), "u").join(sizes_of("v"), "v")
+             .where((num * F.col("least_u") <= den * F.col("most_v")) & (num * F.col("least_v") <= den * F.col("most_u"))).select("u", "v"))
     inside = shape.where("members > 1 and low != high").select(F.col("unit").alias("u"), F.col("unit").alias("v"))
     pairs = shared_table(pairs.unionByName(inside), "pairs")
     wanted = pairs.select(F.col("u").alias("unit")).unionByName(pairs.select(F.col("v").alias("unit"))).distinct()
