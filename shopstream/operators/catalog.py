@@ -75,11 +75,18 @@ def upsert(base: DataFrame, updates: DataFrame, keys: Sequence[str] = ("product_
 
     ``mode='replace'`` replaces every value column (the reference's
     ON DUPLICATE KEY UPDATE).  ``mode='ignore'`` keeps the base row on a clash.
+    Of several update rows with one key the one with the latest ``updated_at`` (if there
+    is such a column), then the greatest values, is taken, so keys stay unique.
     Lazy: anti join + union, no driver work.  Idempotent: upsert(upsert(b,u),u)
     equals upsert(b,u).
     """
     keys = list(keys)
     cols = base.columns
+    values = [c for c in cols if c not in keys]
+    first = [c for c in ("updated_at",) if c in values]
+    updates = (updates.select(*cols).groupBy(*keys)
+               .agg(F.max(F.struct(*first, *[c for c in values if c not in first])).alias("_one")).select(*keys, "_one.*")
+               if values else updates.select(*cols).distinct())
     if mode == "replace":
         kept = base.join(updates.select(*keys).distinct(), keys, "left_anti")
         return kept.unionByName(updates.select(*cols))
@@ -100,20 +107,20 @@ def write_version(df: DataFrame, root: str) -> str:
     conf = spark._jsc.hadoopConfiguration()
     root_path = jvm.org.apache.hadoop.fs.Path(root)
     fs = root_path.getFileSystem(conf)
-    existing = _versions(fs, root_path)
+    existing = _versions(fs, root_path, committed=False)  # a crashed write keeps its number
     nxt = (max(existing) + 1) if existing else 1
     path = f"{root.rstrip('/')}/version={nxt:010d}"
     df.write.mode("errorifexists").parquet(path)
     return path
 
 
-def _versions(fs, root_path) -> list[int]:
+def _versions(fs, root_path, committed: bool = True) -> list[int]:
     if not fs.exists(root_path):
         return []
     out = []
     for st in fs.listStatus(root_path):
         name = st.getPath().getName()
-        if name.startswith("version=") and fs.exists(st.getPath().suffix("/_SUCCESS")):
+        if name.startswith("version=") and (not committed or fs.exists(st.getPath().suffix("/_SUCCESS"))):
             out.append(int(name.split("=", 1)[1]))
     return out
 

@@ -60,7 +60,7 @@ def search_predicate(term: str, *, literal: bool = False, accent_insensitive: bo
         def m(c):
             return F.contains(F.lower(F.col(c)), t)
     else:
-        pattern = f"%{term}%"
+        pattern = "%" + term.replace("\\", "\\\\") + "%"  # a backslash is an ordinary character
         def m(c):
             return F.col(c).ilike(pattern)
     return m("display_name") | m("brand")
@@ -123,7 +123,8 @@ def category_counts(products: DataFrame) -> DataFrame:
     """Products per non-NULL top category (ordered by count desc, then name)."""
     return (products.filter(F.col("category_top").isNotNull())
             .groupBy(F.col("category_top").alias("category"))
-            .agg(F.count(F.lit(1)).alias("product_count")))
+            .agg(F.count(F.lit(1)).alias("product_count"))
+            .orderBy(F.desc("product_count"), "category"))
 
 
 def lookup_products(products: DataFrame, ids: DataFrame, key: str = "product_id") -> tuple[DataFrame, DataFrame]:

@@ -32,7 +32,13 @@ def jdbc_options(env: Mapping[str, str] | None = None, *, scheme: str = "mysql",
     if get("password"):
         opts["password"] = get("password")
     if get("ssl_ca"):
-        opts.update({"sslMode": "VERIFY_CA", "serverSslCert": get("ssl_ca")})
+        ca = get("ssl_ca")
+        opts["sslMode"] = "VERIFY_CA"
+        if url.startswith("jdbc:mariadb:"):  # that driver takes the certificate itself
+            opts["serverSslCert"] = ca
+        else:  # the MySQL driver takes a trust store
+            opts.update({"trustCertificateKeyStoreUrl": ca if ":" in ca else f"file:{ca}",
+                         "trustCertificateKeyStoreType": "PKCS12" if ca.endswith((".p12", ".pfx")) else "JKS"})
     return opts
 
 

@@ -7,10 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EVENT_COLUMNS = ["event_time", "event_type", "product_id", "category_id", "category_code",
-                 "brand", "price", "user_id", "user_session"]
-
-
 def export_window(events: DataFrame, *, start=None, end=None, limit: int | None = None,
                   time_col: str = "event_time", order: Sequence[str] = ("event_time", "event_id")) -> DataFrame:
     """Events in the half-open window [start, end); either bound optional.

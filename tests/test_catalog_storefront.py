@@ -159,3 +159,27 @@ def test_labels(spark):
     df = spark.createDataFrame([("country_yard",), ("kids",), ("a_b_c",)], "c string")
     got = [r.l for r in df.select(category_label("c").alias("l")).collect()]
     assert got == ["Country Yard", "Kids", "A B_c"]
+
+
+def test_search_takes_a_backslash_literally(spark):
+    from shopstream.operators.storefront import search_predicate
+    df = spark.createDataFrame([("a 50\\x b", None), ("50x", "z")], "display_name string, brand string")
+    assert [r[0] for r in df.where(search_predicate("50\\x")).collect()] == ["a 50\\x b"]
+
+
+def test_upsert_keeps_keys_unique(spark):
+    from shopstream.operators.catalog import upsert
+    base = spark.createDataFrame([(1, "a"), (2, "b")], "product_id long, v string")
+    new = spark.createDataFrame([(1, "x"), (1, "y"), (3, "q"), (3, "q")], "product_id long, v string")
+    assert sorted(map(tuple, upsert(base, new).collect())) == [(1, "y"), (2, "b"), (3, "q")]
+    assert sorted(map(tuple, upsert(base, new, mode="ignore").collect())) == [(1, "a"), (2, "b"), (3, "q")]
+
+
+def test_write_after_a_crashed_write(spark, tmp_dir):
+    import os
+    from shopstream.operators.catalog import read_latest, write_version
+    root = f"{tmp_dir}/products"
+    write_version(spark.range(3), root)
+    os.makedirs(f"{root}/version=0000000002")  # no _SUCCESS
+    write_version(spark.range(5), root)
+    assert read_latest(spark, root).count() == 5
