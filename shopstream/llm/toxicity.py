@@ -269,8 +269,14 @@ class _Reader:
 def fit_texts(texts: list[str], labels: list[int], *, share: float | None = None, vocab_words: int = 20_000, epochs: int = 8, seed: int = 0,
               batch: int = 512, rate: float = 0.01) -> Model | None:
     """Train on texts; None unless both classes have words."""
-    docs = [(w, y) for t, y in zip(texts, labels) if (w := words_of(t))]
-    y = np.array([d[1] for d in docs], np.float32)
+    found: dict[str, int] = {}  # words in order of appearance; texts are kept as their numbers
+    docs, y_all = [], []
+    for t, label in zip(texts, labels):
+        w = words_of(t)
+        if w:
+            docs.append(np.fromiter((found.setdefault(x, len(found)) for x in w), np.int32, len(w)))
+            y_all.append(label)
+    y = np.array(y_all, np.float32)
     if not len(y) or y.min() == y.max():
         return None
     share = float(np.mean(labels)) if share is None else share
@@ -278,34 +284,34 @@ def fit_texts(texts: list[str], labels: list[int], *, share: float | None = None
     for c in (0, 1):
         own = np.flatnonzero(y == c)
         test[own[3::4]] = True
-    unseen = [(" ".join(w), c) for (w, c), t in zip(docs, test) if t]
-    docs, y = [d for d, t in zip(docs, test) if not t], y[~test]
-    counts: dict[str, int] = {}
-    for w, _ in docs:
-        for x in w:
-            counts[x] = counts.get(x, 0) + 1
-    ranked = sorted(counts, key=lambda w: (-counts[w], w))
-    number = {w: i + 1 for i, w in enumerate(ranked)}
+    names = list(found)
+    unseen = [(docs[i], float(y[i])) for i in np.flatnonzero(test)]
+    docs, y = [docs[i] for i in np.flatnonzero(~test)], y[~test]
+    counts = np.bincount(np.concatenate(docs), minlength=len(names))
+    ranked = [i for i in sorted(range(len(names)), key=lambda i: (-counts[i], names[i])) if counts[i]]
+    place = np.zeros(len(names), np.int32)
+    place[ranked] = np.arange(1, len(ranked) + 1)
     grams = np.zeros((len(ranked) + 1, GRAMS), np.int32)
-    for w, i in number.items():
-        grams[i] = char_grams(w)
+    for i, w in enumerate(ranked):
+        grams[i + 1] = char_grams(names[w])
     at, owner = [], []
-    for d, (w, _) in enumerate(docs):
-        win = windows(np.fromiter((number[x] for x in w), np.int32, len(w)))
+    for d, numbers in enumerate(docs):
+        win = windows(place[numbers])
         at.append(win)
         owner.append(np.full(len(win), d, np.int32))
     at, owner = np.concatenate(at), np.concatenate(owner)
     n_known = min(vocab_words, len(ranked)) + 1
     net, rng = Network(n_known, seed), np.random.default_rng(seed + 1)
     adam = Adam(net.p, rate)
-    model = Model({w: i for w, i in number.items() if i < n_known}, net, share)
+    model = Model({names[w]: i + 1 for i, w in enumerate(ranked[:n_known - 1])}, net, share)
 
     def known_of(ids):
         return np.where(ids < n_known, ids, 0).astype(np.int32)
 
     def all_logits():
-        vectors, _ = net.inputs(known_of(np.arange(len(grams))), grams)
-        gates = net.project(vectors)
+        parts = [net.project(net.inputs(known_of(np.arange(a, min(a + 20_000, len(grams)))), grams[a:a + 20_000])[0])
+                 for a in range(0, len(grams), 20_000)]
+        gates = np.concatenate(parts, axis=1)
         return np.concatenate([net.forward(gates, at[a:a + CHUNK], at[a:a + CHUNK] > 0) for a in range(0, len(at), CHUNK)])
 
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -338,7 +344,7 @@ def fit_texts(texts: list[str], labels: list[int], *, share: float | None = None
             d = (_sigmoid(logit) - target[a:a + size]) * balance[a:a + size] / len(win)
             adam.update(net.backward(d.astype(np.float32), local, cache, vectors, count, known, grams[used]))
     if unseen:
-        raw = np.clip(model.reader().scores([t for t, _ in unseen]), 1e-12, 1 - 1e-12)
+        raw = np.clip(model.reader().scores(" ".join(names[i] for i in numbers) for numbers, _ in unseen), 1e-12, 1 - 1e-12)
         model.calibrate(np.log(raw / (1 - raw)), np.array([c for _, c in unseen], np.float64), min(max(share, 0.01), 0.99))
     return model
 
