@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
     units = shared_table(grouped.withColumn("alone", F.col("label").isNull()).join(room, ["home", "alone"]).withColumn("n_chunk", n_chunk).select(
         "class", "key", "comp", "n", "matches", "spare", F.xxhash64("home", "alone", F.pmod(F.xxhash64("class"), F.col("n_chunk"))).alias("unit")), "units")
     shape = units.groupBy("unit").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.count(F.lit(1)).alias("members"),
-                                      F.min("matches").alias("asked"), F.min("comp").alias("low"), F.max("comp").alias("high"))
+                                      F.sum("n").alias("weight"), F.min("matches").alias("asked"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     shape = shared_table(shape, "shape")
     # one row for each prefix shingle, dealt by shingle once and read by both sides of the join; a unit
     # asks for as many shared shingles as its least demanding member, so its longer prefixes are cut to that
@@ -345,9 +345,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
                     & (F.greatest(F.floor(F.col("x.code") / 16), F.floor(F.col("y.code") / 16)) <= asked))
              .groupBy(F.col("x.unit").alias("u"), F.col("y.unit").alias("v"))
              .agg(F.count(F.lit(1)).alias("shared"), F.first(asked).alias("asked")).where("shared >= asked").select("u", "v"))
-    sizes_of = lambda side: shape.select(F.col("unit").alias(side), F.col("least_n").alias(f"least_{side}"), F.col("most_n").alias(f"most_{side}"))
+    sizes_of = lambda side: shape.select(F.col("unit").alias(side), F.col("least_n").alias(f"least_{side}"), F.col("most_n").alias(f"most_{side}"), F.col("weight").alias(f"weight_{side}"))
     pairs = (pairs.join(sizes_of("u"), "u").join(sizes_of("v"), "v")
-             .where((num * F.col("least_u") <= den * F.col("most_v")) & (num * F.col("least_v") <= den * F.col("most_u"))).select("u", "v"))
+             .where((num * F.col("least_u") <= den * F.col("most_v")) & (num * F.col("least_v") <= den * F.col("most_u")))
+             # the texts of the smaller unit travel to the larger one
+             .select(F.when(F.col("weight_u") <= F.col("weight_v"), F.col("u")).otherwise(F.col("v")).alias("u"),
+                     F.when(F.col("weight_u") <= F.col("weight_v"), F.col("v")).otherwise(F.col("u")).alias("v")))
     inside = shape.where("members > 1 and low != high").select(F.col("unit").alias("u"), F.col("unit").alias("v"))
     pairs = shared_table(pairs.unionByName(inside), "pairs")
     wanted = pairs.select(F.col("u").alias("unit")).unionByName(pairs.select(F.col("v").alias("unit"))).distinct()
