@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 
 import corpus_pipeline
-from shopstream.llm import bpe, chat, decontam, jaccard, pii, shards, substring_dedup, topk, toxicity
+from shopstream.llm import bpe, chat, decontam, jaccard, licenses, pii, shards, substring_dedup, topk, toxicity
 from shopstream.session import configure
 
 
@@ -18,7 +18,7 @@ def _query(fn):
 
 
 QUERIES = {f.__name__: _query(f) for f in (
-    jaccard.op1_jaccard_join, chat.op2_chat_format, topk.op3_topk_search, shards.op4_kd_shards, decontam.op6_decontaminate,
+    jaccard.op1_jaccard_join, chat.op2_chat_format, topk.op3_topk_search, shards.op4_kd_shards, licenses.op5_license_scan, decontam.op6_decontaminate,
     substring_dedup.op7_substring_dedup, pii.op8_pii, bpe.op9_byte_bpe, toxicity.op10_toxicity)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
