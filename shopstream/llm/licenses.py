@@ -1,11 +1,14 @@
 """Licence recognition by sentence rules, with Spark expressions only.
 
-A text is cut into sentences (at line breaks, and after ``.``, ``!`` or ``?`` before white
-space).  Normalised sentences (lower case, one spelling, punctuation and spacing unified)
-are looked up among known licence sentences; the identifiers found, in order, are matched
-against rules.  Rules are tried in their order, longer ones first by convention; a rule
-takes each place where its identifiers follow one another (other sentences may stand
-between), and what it took is not seen by later rules.
+A text is cut into paragraphs (at lines without letters and digits) and these into pieces (at
+line breaks, and after ``.``, ``!``, ``?``, ``:`` or ``;`` before white space).  Pieces are
+normalised (lower case, one spelling, punctuation and spacing unified).  A known sentence is
+found wherever successive pieces of a paragraph together are its words, so it may be wrapped
+over any lines and may hold such signs itself.  Of sentences that begin at one piece the
+longest counts, and pieces taken by one sentence do not begin another.  The identifiers found,
+in order, are matched against rules.  Rules are tried in their order, longer ones first by
+convention; a rule takes each place where its identifiers follow one another (other sentences
+may stand between), and what it took is not seen by later rules.
 
 All of it happens in the document's own row: no shuffle, no join.  The known sentences and
 rules are short tables (at most ``MAX_ENTRIES`` each), carried as literals.
@@ -17,6 +20,7 @@ columns other than doc_id and text are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -71,32 +75,57 @@ RULES = [
 ]
 
 
-def normalised(sentence: Column) -> Column:
-    """Lower case, license for licence, dots only inside numbers, single spaces."""
-    s = F.replace(F.lower(sentence), F.lit("licence"), F.lit("license"))
-    s = F.regexp_replace(s, r"\.(?![0-9])|[^\p{L}\p{N}.]+", " ")
-    return F.trim(F.regexp_replace(s, r" +", " "))
+def normalised(text: Column) -> Column:
+    """Lower case, license for licence, dots only inside numbers, single spaces; line and page breaks stay."""
+    s = F.replace(F.lower(text), F.lit("licence"), F.lit("license"))
+    return F.regexp_replace(s, r"\.(?![0-9])|[^\p{L}\p{N}.\n\f]+", " ")
 
 
-def sentences(text: Column) -> Column:
-    return F.split(F.regexp_replace(text, r"([.!?;:])[ \t\r]+", "$1\n"), r"\n+")
+def paragraphs(text: Column) -> Column:
+    """Normalised pieces (array) of each paragraph (array); pieces without words are left out."""
+    lines = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), r"\n(?:[^\p{L}\p{N}\n]*\n)+", "\f")
+    cut = normalised(F.regexp_replace(lines, r"[.!?;:][ \t]+", "\n"))
+    return F.transform(F.split(cut, r"\f"), lambda p: F.filter(
+        F.transform(F.split(p, r"\n"), lambda s: F.trim(F.regexp_replace(s, r" +", " "))), lambda s: s != ""))
+
+
+def _known_words(sentence: str) -> str:
+    s = re.sub(r"\.(?![0-9])|[^\w.]+|_", " ", sentence.lower().replace("licence", "license"))
+    return " ".join(s.split())
+
+
+def _found(pieces: Column, known: Column, most: int) -> Column:
+    """Identifiers of the known sentences in one paragraph, in order."""
+    def longest(piece, i):
+        # what follows from here, a line break after each piece
+        after = F.concat(F.array_join(F.slice(pieces, i + 1, most), "\n"), F.lit("\n"))
+        flat = F.concat(piece, F.lit(" "))
+        begun = F.exists(known, lambda k: F.startswith(F.concat(k["words"], F.lit(" ")), flat))
+        whole = F.filter(known, lambda k: F.startswith(F.translate(after, "\n", " "), k["words"]) & (F.substring(after, k["n"] + 1, F.lit(1)) == "\n"))
+        best = F.array_max(F.transform(whole, lambda k: F.struct(k["n"].alias("n"), k["id"].alias("id"))))
+        taken = F.size(F.split(F.substring(after, F.lit(1), best["n"]), r"\n"))
+        return F.when(begun, F.when(best.isNotNull(), F.struct(i.alias("at"), (i + taken).alias("end"), best["id"].alias("id"))))
+
+    places = F.filter(F.transform(pieces, longest), lambda c: c.isNotNull())
+    start = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("ids"))
+    return F.aggregate(places, start, lambda acc, c: F.when(c["at"] >= acc["free"], F.struct(
+        c["end"].alias("free"), F.concat(acc["ids"], F.array(c["id"])).alias("ids"))).otherwise(acc), lambda acc: acc["ids"])
 
 
 def find_licenses(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> DataFrame:
     """doc_id, sentence_ids (array, in order), licenses (array, in the order of the rules) of each row."""
     if max(len(known), len(rules)) > MAX_ENTRIES:
         raise ValueError(f"at most {MAX_ENTRIES} sentences and rules")
-    table = F.create_map(*[x for name, s in known.items() for x in (F.lit(name), F.lit(s))])
-    # the table turned round: normalised sentence to identifier, folded to a constant by the optimizer
-    ids = F.map_from_entries(F.transform(F.map_entries(table), lambda e: F.struct(normalised(e["value"]), e["key"])))
-    telling = F.lit(r"(?i)licen[cs]e|permission|copyright|redistribut|rights reserved|cc ?by|cc0|free software|distributed in the hope")
-    found = F.transform(F.filter(sentences(F.coalesce(F.col("text"), F.lit(""))), lambda s: F.rlike(s, telling)), lambda s: F.try_element_at(F.col("_known"), normalised(s)))
+    words = [(name, w) for name, s in known.items() if (w := _known_words(s))]
+    table = (F.array(*[F.struct(F.lit(name).alias("id"), F.lit(w).alias("words"), F.lit(len(w)).alias("n")) for name, w in words]) if words
+             else F.array().cast("array<struct<id:string,words:string,n:int>>"))
+    most = max((w.count(" ") + 1 for _, w in words), default=1)  # a piece has a word at least
     tried = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(" " + "  ".join(seq) + " ").alias("ids")) for name, seq in rules])
     start = F.struct(F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" ")).alias("left"), F.array().cast("array<string>").alias("names"))
     matched = F.aggregate(tried, start, lambda acc, r: F.when(F.contains(acc["left"], r["ids"]), F.struct(
         F.replace(acc["left"], r["ids"], F.lit(" | ")).alias("left"), F.array_union(acc["names"], F.array(r["name"])).alias("names"))).otherwise(acc))
-    return (docs.select("doc_id", "text", ids.alias("_known"))
-            .select("doc_id", F.filter(found, lambda i: i.isNotNull()).alias("sentence_ids"))
+    found = F.flatten(F.transform(paragraphs(F.coalesce(F.col("text"), F.lit(""))), lambda p: _found(p, table, most)))
+    return (docs.select("doc_id", found.alias("sentence_ids"))
             .select("doc_id", "sentence_ids", matched["names"].alias("licenses")))
 
 

@@ -43,3 +43,66 @@ def test_whole_table(spark):
         ids, names = _brute(r["text"])
         assert got[r["doc_id"]] == (",".join(ids), ",".join(names), len(ids))
     assert any(v[1] for v in got.values())
+
+
+MIT = """MIT License
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+"""
+
+
+def test_texts_in_their_usual_form(spark):
+    cases = [
+        (MIT, ["mit-title-short", "mit-grant", "mit-condition"], ["MIT"]),
+        (MIT.replace("\n", "\r\n"), ["mit-title-short", "mit-grant", "mit-condition"], ["MIT"]),
+        (BSD, ["bsd-redistribution", "bsd-source", "bsd-binary"], ["BSD-2-Clause"]),
+        (GPL, ["gpl-free", "gpl-hope"], ["GPL-3.0-or-later"]),
+        (APACHE, ["apache2-notice-long", "apache2-use", "apache2-copy"], ["Apache-2.0"]),
+        ("// SPDX-License-Identifier: MIT\nimport os\n", ["mit-spdx"], ["MIT"]),
+        ("/* SPDX-License-Identifier: Apache-2.0 */", ["apache2-spdx"], ["Apache-2.0"]),
+        ("# SPDX-License-Identifier: GPL-2.0-only", ["gpl2-spdx"], ["GPL-2.0"]),
+        ("x\nSPDX-License-Identifier: GPL-3.0-only\nSPDX-License-Identifier: MIT", ["gpl3-spdx", "mit-spdx"], ["MIT", "GPL-3.0"]),
+        ("Licensed under the\nMIT License.\nMIT License\nCopyright", ["mit-notice-licensed", "mit-title-short"], ["MIT"]),
+        ("SPDX-License-Identifier: MIT OR Zlib", [], []),
+        ("Licensed under the\n\nMIT License.", ["mit-title-short"], ["MIT"]),
+        ("All rights\n\nreserved.", [], []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.find_licenses(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == [(ids, names) for _, ids, names in cases]
+    # the words of a table need not hold any word of the given one
+    other = licenses.find_licenses(docs.limit(0).union(spark.createDataFrame([(1, "Do what\nyou: like!")], docs.schema)), {"own": "Do what you: like"}, [("Own", ["own"])])
+    assert other.collect()[0]["licenses"] == ["Own"]
