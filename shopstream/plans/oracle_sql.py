@@ -7,6 +7,7 @@ same Parquet files.  Adapters (FIXTURES.md) are repeated here as CTEs.
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
+WHOLE_LAG_ORACLES: dict[str, str] = {}
 
 
 def oracle(name: str, sql: str) -> None:
@@ -535,6 +536,14 @@ SELECT r.user_session, r.rank, r.product_id, p.display_name, p.brand, p.category
        CAST(p.price AS DOUBLE) AS price, p.image_ref
 FROM recs r JOIN products p USING (product_id)"""))
 
+# the same at the reference's 20 items, fitted and scored
+for _name in ("recommend_eval", "eval_metrics", "eval_coverage", "recommend", "recommend_enriched"):
+    _sql = ORACLES[_name]
+    for _three, _twenty in (("b.pos - a.pos BETWEEN 1 AND 3", "b.pos - a.pos BETWEEN 1 AND 20"), ("t.n - k.pos <= 3", "t.n - k.pos <= 20"),
+                            ("s.n - k.pos + 1 <= 3", "s.n - k.pos + 1 <= 20")):
+        _sql = _sql.replace(_three, _twenty)
+    WHOLE_LAG_ORACLES[f"{_name}_20"] = _sql
+
 # --- recent views, cold start ---------------------------------------------------
 
 oracle("recent_views", w(CLICKS, """,

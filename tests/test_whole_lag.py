@@ -1,0 +1,45 @@
+"""Model queries over the reference's 20 items of a session."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as E
+from shopstream.operators import model as mdl
+from shopstream.plans import all_queries  # noqa: F401
+from shopstream.plans.model_queries import WHOLE_LAG
+from shopstream.plans.oracle_sql import WHOLE_LAG_ORACLES
+from shopstream.plans.registry import WHOLE_LAG_QUERIES
+from tools.compare_oracle import TABLES, rows_of
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_one_case_for_each_scoring_query():
+    assert set(WHOLE_LAG_QUERIES) == set(WHOLE_LAG_ORACLES) == {
+        f"{n}_20" for n in ("recommend", "recommend_enriched", "recommend_eval", "eval_metrics", "eval_coverage")}
+    assert set(WHOLE_LAG_QUERIES) <= set(E.queries()) and set(WHOLE_LAG_ORACLES) <= set(E.oracle_sql())
+    for sql in WHOLE_LAG_ORACLES.values():
+        assert "<= 20" in sql and "BETWEEN 1 AND 20" in sql and "BETWEEN 1 AND 3\n" not in sql and "pos <= 3)" not in sql and "+ 1 <= 3)" not in sql
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE_LAG_QUERIES))
+def test_query_matches_oracle(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    got, wanted = rows_of(E.queries()[name](spark, SF).toPandas()), rows_of(con.execute(E.oracle_sql()[name]).df())
+    assert got == wanted and len(got[1])
+
+
+def test_the_twentieth_item_counts(spark):
+    seq = list(range(3, 24))  # 21 items: the first is 21 places before what comes next
+    prefixes = spark.createDataFrame([("s", seq)], "user_session string, prefix array<int>")
+    model = spark.createDataFrame([(i, 100 + i, 1.0) for i in seq], "src int, dst int, p double")
+    got = {r["dst"]: r["score"] for r in mdl.candidate_scores(prefixes, model, max_lag=WHOLE_LAG).collect()}
+    assert got == {100 + i: 0.5 ** (23 - i) for i in seq[1:]}
+
+
+def test_scores_differ_from_three_items(spark):
+    three, twenty = (E.queries()[n](spark, SF).select("user_session", "rank", "product_id", F.col("score")) for n in ("recommend", "recommend_20"))
+    assert twenty.exceptAll(three).count() > 0
