@@ -316,7 +316,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
     placed = classes.join(sizes, "least").withColumn("n_chunk", n_chunk)
     heads = placed.where("class = head").select("class", "key", "least", F.explode(F.sequence(F.lit(0), F.col("n_chunk") - 1)).alias("chunk"))
     chunked = placed.where("class != head").select("class", "key", "least", F.pmod(F.xxhash64("class"), F.col("n_chunk")).cast("int").alias("chunk"))
-    texts = rows.select("key", "text")
+    # one text and one prefix row a key: rows may repeat id and text, and copies of a text with a null id share a key
+    texts, prefixes = rows.select("key", "text"), full.select("key", "prefix")
+    repeated = shared_table(full.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
+    if not repeated.isEmpty():
+        texts = shared_table(texts.groupBy("key").agg(F.min("text").alias("text")).join(classes.select("key"), "key", "left_semi"), "texts")
+        prefixes = prefixes.groupBy("key").agg(F.min("prefix").alias("prefix"))
     first = shared_table(chunked.unionByName(heads).join(texts, "key").groupBy("least", "chunk").applyInPandas(_within_chunk(shingle, num, den), "a long, b long"), "links")
     comps = components(first)
 
@@ -332,7 +337,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
     # one row for each prefix shingle, dealt by shingle once and read by both sides of the join; a unit
     # asks for as many shared shingles as its least demanding member, so its longer prefixes are cut to that
     spread = (units.join(shape, "unit").select("key", "unit", "spare", "asked", F.when(F.col("low") == F.col("high"), F.col("low")).alias("whole"))
-              .join(full.select("key", "prefix"), "key")
+              .join(prefixes, "key")
               .select("unit", "asked", "whole", F.explode(F.transform(
                   F.slice("prefix", F.lit(1), F.least(F.size("prefix"), F.col("spare") + F.col("asked"))),
                   lambda t, i: F.struct(t.alias("token"), F.greatest(F.lit(1), i - F.col("spare") + 1).alias("level")))).alias("p"))

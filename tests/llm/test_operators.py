@@ -224,6 +224,42 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
     assert jaccard.near_duplicates(docs_of(spark, [(1, ""), (2, None)])).count() == 2
 
 
+def test_repeated_rows_reach_the_joins_once(spark, monkeypatch):
+    within, between = jaccard._within_chunk, jaccard._between_units
+
+    def checked_within(*a):
+        run = within(*a)
+
+        def checked(pdf):
+            assert pdf["class"].is_unique, "copies in a chunk"
+            return run(pdf)
+        return checked
+
+    def checked_between(*a):
+        run = between(*a)
+
+        def checked(batches):
+            def looked_at():
+                for b in batches:
+                    for side in ("left", "right"):
+                        for rows in b.column(side).to_pylist():
+                            assert len(rows) == len({r["class"] for r in rows}), "copies in a unit"
+                    yield b
+            return run(looked_at())
+        return checked
+
+    monkeypatch.setattr(jaccard, "_within_chunk", checked_within)
+    monkeypatch.setattr(jaccard, "_between_units", checked_between)
+    rng = random.Random(5)
+    texts = [" ".join(f"{g}w{rng.randrange(500)}" for _ in range(120)) for g in "abc"]
+    near = [" ".join(["changed", *t.split()[1:]]) for t in texts]
+    rows = [(1, texts[0])] * 3000 + [(None, texts[1])] * 3000 + [(2, near[0]), (3, near[1]), (4, texts[2]), (None, near[2])] + [(5, near[2])] * 50
+    got = {}
+    for r in jaccard.near_duplicates(docs_of(spark, rows)).collect():
+        got.setdefault((r["doc_id"], r["component_id"]), []).append(r["n_shingles"])
+    assert {k: len(v) for k, v in got.items()} == {(1, 1): 3000, (2, 1): 1, (None, 3): 3000, (3, 3): 1, (4, 4): 1, (None, 4): 1, (5, 4): 50}
+
+
 def test_components_of_a_chain(spark):
     n = 40
     order = list(range(n))
