@@ -4,7 +4,8 @@ A text is cut into lower-case words; every window of ``WINDOW`` words at steps o
 ``STRIDE`` is scored, together covering the whole text, and a document's score is that
 of its most toxic window.  A word's input is its own embedding (zero if unknown) beside
 the mean embedding of its hashed character 4-grams, so inflected forms that training
-never saw still carry a signal.
+never saw still carry a signal.  Runs of more than ``LONGEST`` letters (scripts without
+spaces, text without its spaces) are read as overlapping pieces, each a word of its own.
 
 The network is plain numpy: forward and backward passes below, Adam.  It is fitted on
 the driver on a bounded sample of labelled rows (``per_class`` rows of each class, of at
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 CHAR_BUCKETS, GRAMS = 16_384, 16
+LONGEST, PIECE, STEP = 17, 12, 6  # longer runs of letters are cut into pieces of PIECE letters, one every STEP
 CHUNK = 4096
 CLEAN_SHARE = 4  # sampled clean documents for each toxic one
 THRESHOLD = 0.7
@@ -39,18 +41,27 @@ THRESHOLD = 0.7
 find_words = re.compile(r"[^\W\d_]+").findall
 
 
+def pieces(run: str) -> list[str]:
+    """Overlapping words that hold every 4-gram of a long run of letters, and every word of up to
+    ``PIECE - STEP + 1`` letters in it."""
+    if len(run) <= LONGEST:
+        return [run]
+    return [run[a:a + PIECE] for a in (*range(0, len(run) - PIECE, STEP), len(run) - PIECE)]
+
+
 def words_of(text: str | None) -> list[str]:
-    return find_words(text.lower()) if text else []
+    words = find_words(text.lower()) if text else []
+    if words and max(map(len, words)) > LONGEST:
+        return [p for w in words for p in pieces(w)]
+    return words
 
 
 def char_grams(word: str) -> np.ndarray:
-    """Hashed character 4-grams of a word with marked ends, zero padded; of a word with
-    more than ``GRAMS`` of them the first and the last halves."""
+    """Hashed character 4-grams of a word of at most ``LONGEST`` letters with marked ends, zero padded."""
     marked = f"<{word}>"
     out = np.zeros(GRAMS, dtype=np.int32)
-    grams = [marked[i:i + 4] for i in range(max(1, len(marked) - 3))]
-    for i, g in enumerate(grams[:GRAMS] if len(grams) <= GRAMS else grams[:GRAMS // 2] + grams[-(GRAMS // 2):]):
-        out[i] = 1 + zlib.crc32(g.encode()) % (CHAR_BUCKETS - 1)
+    for i in range(max(1, len(marked) - 3)):
+        out[i] = 1 + zlib.crc32(marked[i:i + 4].encode()) % (CHAR_BUCKETS - 1)
     return out
 
 

@@ -328,3 +328,30 @@ def test_held_out_accuracy_and_awkward_rows(spark):
     assert toxicity.score(df.limit(0), model, share).count() == 0
     none, zero = toxicity.fit(df, lab.limit(0))
     assert none is None and zero == 0.0 and toxicity.score(df, none, zero).where("score != 0").count() == 0
+
+
+def test_toxic_word_inside_a_long_run():
+    rng = random.Random(4)
+    make = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(6))
+    plain, bad = [make() for _ in range(200)], ["zyxwqt", "zyxwqs", "qvzyxw"]
+    texts, labels = [], []
+    for i in range(800):
+        words = [rng.choice(plain) for _ in range(rng.randint(20, 60))]
+        if i % 4 == 0:
+            words[rng.randrange(len(words))] = rng.choice(bad)
+        texts.append(" ".join(words) if i % 8 < 4 else "".join(words))
+        labels.append(int(i % 4 == 0))
+    reader = toxicity.fit_texts(texts, labels).reader()
+    clean = [[rng.choice(plain) for _ in range(33)] for _ in range(40)]
+    runs = ["".join(w) for w in clean]  # 198 letters
+    dirty = ["".join([*w[:at], bad[at % 3], *w[at + 1:]]) for at, w in zip(itertools.cycle(range(10, 23)), clean)]
+    assert sum(reader.scores(dirty) >= toxicity.THRESHOLD) >= 36 and sum(reader.scores(runs) >= toxicity.THRESHOLD) <= 2
+
+
+def test_pieces_hold_every_gram():
+    grams = lambda s: {s[i:i + 4] for i in range(len(s) - 3)}
+    for n in (1, 16, 17, 18, 19, 24, 25, 200):
+        run = "".join(chr(0x4e00 + i) for i in range(n))
+        cut = toxicity.words_of(run)
+        assert set().union(*map(grams, cut)) == grams(run) and "".join(sorted(set("".join(cut)))) == run
+        assert max(map(len, cut)) <= toxicity.LONGEST and len(cut) <= n // toxicity.STEP + 1
