@@ -3,7 +3,7 @@
 Stages take (spark, docs, sf_dir) and return a DataFrame; all but the last return the
 columns of ``documents``.
 
-* toxicity: documents scored at or above the threshold go;
+* toxicity: documents scored at or above the threshold go (none where the labels give no model);
 * near duplicates: n-gram Jaccard join (five words, similarity 0.8); of each group the
   document with the smallest id stays, documents without words all stay, rows that repeat
   an id with words stay once;
@@ -25,6 +25,8 @@ ORACLE_SQL = None  # a trained network and a span classifier decide on rows: tes
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model, share = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    if model is None:
+        return docs
     scored = toxicity.score(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model, share)
     kept = scored.where(F.col("score") < toxicity.THRESHOLD).drop("score")
     return kept.withColumnRenamed("_score", "score") if "score" in docs.columns else kept

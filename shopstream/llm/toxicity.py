@@ -8,8 +8,9 @@ never saw still carry a signal.  Runs of more than ``LONGEST`` letters (scripts
 spaces, text without its spaces) are read as overlapping pieces, each a word of its own.
 
 The network is plain numpy: forward and backward passes below, Adam.  It is fitted on
-the driver on a bounded sample of labelled rows (``per_class`` rows of each class, of at
-most ``max_chars`` characters, chosen by a hash of the id) and is sent to the tasks,
+the driver on a bounded sample of labelled rows (``per_class`` toxic and
+``CLEAN_SHARE`` times as many clean ones, chosen by a hash of the id; of long texts a bounded
+number of stretches at hashed places) and is sent to the tasks,
 which score all documents where they are read: no shuffle of texts.  Fitting is
 multiple-instance: first each window has its document's label, then only the highest
 scoring windows of each document speak for it.
@@ -364,19 +365,31 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
+def excerpt(text: Column, doc_id: Column, chars: Column, stretch: int = 1000) -> Column:
+    """The text, or of a longer one than ``chars`` that many characters: from each of equal parts one stretch at a hashed place."""
+    n = F.greatest(F.floor(chars / stretch), F.lit(1)).cast("int")
+    part = F.floor(F.length(text) / n).cast("int")
+    taken = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(
+        text, (i * part + F.pmod(F.xxhash64(doc_id, i), F.greatest(part - stretch + 1, F.lit(1))) + 1).cast("int"), F.lit(stretch)))
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(taken, " "))
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, max_chars: int = 6000) -> tuple[Model | None, float]:
     """The model (None without both classes) and the share of toxic rows among the training labels."""
     known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y")))
     share = known.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0]
-    short = (docs.select("doc_id", "text").where(F.length("text") <= max_chars).join(known, "doc_id")
+    there = (docs.where(F.col("text").isNotNull()).select("doc_id").join(known, "doc_id")
              .select("doc_id", "y", F.xxhash64("doc_id").alias("h")).distinct())
-    picked = [r for y, n in ((1, per_class), (0, CLEAN_SHARE * per_class)) for r in short.where(F.col("y") == y).orderBy("h", "doc_id").limit(n).collect()]
+    picked = [r for y, n in ((1, per_class), (0, CLEAN_SHARE * per_class)) for r in there.where(F.col("y") == y).orderBy("h", "doc_id").limit(n).collect()]
     if len({r["y"] for r in picked}) < 2:
         return None, share
     label = {r["doc_id"]: r["y"] for r in picked}
-    texts = (docs.where(F.col("doc_id").isin(list(label)) & (F.length("text") <= max_chars))
-             .groupBy("doc_id").agg(F.min("text").alias("text")).collect())  # at most (1 + CLEAN_SHARE) * per_class * max_chars characters
+    # the fewer toxic documents may be longer, as only a passage of them need be toxic
+    chars = F.when(F.col("doc_id").isin([i for i, y in label.items() if y]), CLEAN_SHARE * max_chars).otherwise(max_chars)
+    texts = (docs.where(F.col("doc_id").isin(list(label)) & F.col("text").isNotNull())
+             .select("doc_id", excerpt(F.col("text"), F.col("doc_id"), chars).alias("text"))
+             .groupBy("doc_id").agg(F.min("text").alias("text")).collect())  # about 2 * CLEAN_SHARE * per_class * max_chars characters at most
     texts.sort(key=lambda r: r["doc_id"])
     return fit_texts([r["text"] for r in texts], [label[r["doc_id"]] for r in texts], share=share), share
 

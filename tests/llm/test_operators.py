@@ -355,3 +355,28 @@ def test_pieces_hold_every_gram():
         cut = toxicity.words_of(run)
         assert set().union(*map(grams, cut)) == grams(run) and "".join(sorted(set("".join(cut)))) == run
         assert max(map(len, cut)) <= toxicity.LONGEST and len(cut) <= n // toxicity.STEP + 1
+
+
+def test_long_documents_train_too(spark):
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(200)]
+    rows, labels = [], []
+    for i in range(240):  # all toxic documents are longer than 6,000 characters
+        words = [rng.choice(plain) for _ in range(1200 if i % 4 == 0 else 100)]
+        if i % 4 == 0:
+            words[::20] = [rng.choice(["zyxwqt", "zyxwqs", "qvzyxw"]) for _ in words[::20]]
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 4 == 0)))
+    df, lab = docs_of(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model, share = toxicity.fit(df, lab)
+    assert model is not None
+    got = {r["doc_id"]: r["score"] >= toxicity.THRESHOLD for r in toxicity.score(df, model, share).collect()}
+    assert sum(got[i] == (i % 4 == 0) for i in range(240)) >= 220
+
+
+def test_excerpts_are_bounded(spark):
+    text = "".join(chr(0x4e00 + i) for i in range(15_000))
+    rows = spark.createDataFrame([(i, text[:n]) for i, n in enumerate((0, 5999, 6000, 6001, 15_000))], "doc_id long, text string")
+    got = [r[0] for r in rows.orderBy("doc_id").select(toxicity.excerpt(F.col("text"), F.col("doc_id"), F.lit(6000))).collect()]
+    assert [len(g) for g in got[:3]] == [0, 5999, 6000] and all(len(g) == 6005 and g.count(" ") == 5 for g in got[3:])
+    assert all(p in text for p in got[4].split(" "))

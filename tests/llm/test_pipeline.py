@@ -63,3 +63,9 @@ def test_stages_take_effect_and_keep_the_rest(spark):
     assert len(seen["tokens"]) == len(texts)
     for r in seen["tokens"]:
         assert own.decode(list(r["ids"])).decode() == texts[r["doc_id"]] and r["n_tokens"] == len(r["ids"])
+
+
+def test_without_a_model_no_document_is_dropped_as_toxic(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, "some words", None, "s", 10) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 9
