@@ -176,7 +176,7 @@ def estimate_reliability(patterns: np.ndarray, counts: np.ndarray, rounds: int =
     pseudo[0, :, NO] += 3
     table = pseudo / pseudo.sum(axis=2, keepdims=True)
     prior, post = 0.5, np.full(len(patterns), 0.5)
-    scale = 1000.0 / max(1.0, counts.sum()) if counts.sum() > 1000 else 1.0  # pseudo-counts weigh alike at every size
+    scale = 1000.0 / max(1.0, counts.sum())  # pseudo-counts weigh alike at every size
     weight = counts * scale * 10
     for _ in range(rounds):
         logp = np.log([1 - prior, prior])[:, None] + sum(np.log(table[:, k, patterns[:, k]]) for k in range(n_lab))

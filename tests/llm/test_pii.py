@@ -71,3 +71,12 @@ def test_whole_table(spark):
         assert have["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in base).encode()).hexdigest()
         assert [have[f"n_{k}"] for k in pii.BASE] == [sum(k == x for x, _, _ in base) for k in pii.BASE]
         assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(have["spans"].split(",")) | {""}
+
+
+def test_reliability_does_not_depend_on_size():
+    rng = np.random.default_rng(2)
+    patterns, counts = rng.integers(0, 3, (12, len(pii.LABELERS))), rng.integers(1, 9, 12).astype(float)
+    table, post = pii.estimate_reliability(patterns, counts)
+    for times in (0.1, 10, 1000):
+        again, post_again = pii.estimate_reliability(patterns, counts * times)
+        assert np.allclose(table, again) and np.allclose(post, post_again)
