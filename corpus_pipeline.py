@@ -5,8 +5,8 @@ columns of ``documents``.
 
 * toxicity: documents scored at or above the threshold go (none where the labels give no model);
 * near duplicates: n-gram Jaccard join (five words, similarity 0.8); of each group the
-  document with the smallest id stays, documents without words all stay, rows that repeat
-  an id with words stay once;
+  document with the smallest id stays (null ids last), documents without words all stay,
+  rows that repeat id and text with words stay once;
 * decontamination: documents that overlap a benchmark item go;
 * personal data: spans are replaced by their kind, ``n_chars`` follows the text;
 * tokens: byte-level BPE ids, and the digest of the bytes that the ids decode to.
@@ -33,16 +33,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = jaccard.near_duplicates(docs, shingle=5, num=4, den=5)
-    grouped = found.where("n_shingles > 0 and component_id is not null").select("doc_id", "component_id").distinct()
-    gone = shared_table(grouped.groupBy("doc_id").agg(F.min("component_id").alias("stays")).where("stays != doc_id").select("doc_id"), "gone")
-    repeated = (docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
-    repeated = shared_table(repeated.join(grouped.select("doc_id").distinct(), "doc_id"), "repeated")
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # rows are told apart by id and text, so that ids may be null or shared by different texts
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = jaccard.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle=5, num=4, den=5)
+    grouped = shared_table(found.where("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id").distinct(), "grouped")
+    stays = (grouped.join(keyed.select("_key", "doc_id").distinct(), "_key").groupBy("component_id")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("best")).select("component_id", F.col("best._key").alias("stays")))
+    gone = shared_table(grouped.join(stays, "component_id").where("stays != _key").select("_key"), "gone")
+    repeated = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key")
+    repeated = shared_table(repeated.join(grouped.select("_key"), "_key"), "repeated")
+    left = keyed.join(gone, "_key", "left_anti")
     if repeated.isEmpty():
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
+        return left.select(docs.columns)
+    once = left.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    return left.join(repeated, "_key", "left_anti").select(docs.columns).unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

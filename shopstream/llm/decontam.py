@@ -103,9 +103,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, broadcast_seeds: int = BR
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the contaminated ones (rows with a null id are judged together)."""
-    leaked = overlaps(docs, benchmark).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"].eqNullSafe(leaked["_leaked"]), "left_anti")
+    """``docs`` without the contaminated rows, each judged by its own text; ids may be null or repeated."""
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    leaked = overlaps(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(leaked, "_key", "left_anti").select(docs.columns)
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

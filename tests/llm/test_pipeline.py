@@ -69,3 +69,16 @@ def test_without_a_model_no_document_is_dropped_as_toxic(spark, tmp_path):
     spark.createDataFrame([(1, 1, 1), (2, 1, 1), (3, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs = spark.createDataFrame([(i, "some words", None, "s", 10) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).count() == 9
+
+
+def test_rows_are_judged_by_id_and_text(spark, tmp_path):
+    words = lambda tag: " ".join(f"{tag}{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60))
+    a, b, c = words("a"), words("b"), words("c")
+    rows = [(1, a), (2, a + " end"), (2, b), (None, c), (None, c + " end"), (None, c), (3, b + " end"), (3, "other words stay here"), (4, ""), (4, "")]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    got = sorted((str(r["doc_id"]), r["text"].removesuffix(" end")) for r in left)
+    assert got == sorted([("1", a), ("2", b), ("None", c), ("3", "other words stay here"), ("4", ""), ("4", "")])
+    spark.createDataFrame([(1, c[:200])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
+    assert sorted(r["text"] for r in kept) == sorted(t for _, t in rows if not t.startswith(c))
