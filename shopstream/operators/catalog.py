@@ -43,7 +43,70 @@ def catalog_reduce(events: DataFrame, *, order: Sequence[str] = ("event_time", "
         F.max(time_col).alias("updated_at"))
 
 
-def derive_products(reduced: DataFrame) -> DataFrame:
+def catalog_state(events: DataFrame, *, order: Sequence[str] = ("event_time", "event_id"),
+                  attributes: Sequence[str] = ATTRIBUTES, time_col: str = "event_time") -> DataFrame:
+    """Mergeable form of ``catalog_reduce``: per attribute the order key and value of its latest non-null event.
+
+    (product_id, event_count, <attribute> struct<at, value>..., updated_at)
+    """
+    at = F.struct(*[F.col(c) for c in order]).alias("at")
+    latest = [F.max(F.when(F.col(c).isNotNull(), F.struct(at, F.col(c).alias("value")))).alias(c) for c in attributes]
+    return events.groupBy("product_id").agg(F.count(F.lit(1)).alias("event_count"), *latest, F.max(time_col).alias("updated_at"))
+
+
+def merge_states(old: DataFrame, new: DataFrame, *, attributes: Sequence[str] = ATTRIBUTES) -> DataFrame:
+    """State of the events of both (which share none): counts add up, of each attribute the later value stays."""
+    both = old.unionByName(new)
+    return both.groupBy("product_id").agg(F.sum("event_count").alias("event_count"), *[F.max(c).alias(c) for c in attributes],
+                                          F.max("updated_at").alias("updated_at"))
+
+
+def state_products(state: DataFrame, *, attributes: Sequence[str] = ATTRIBUTES, keep: Sequence[str] = ()) -> DataFrame:
+    """Products table of a state; ``keep`` passes further columns through."""
+    plain = state.select("product_id", "event_count", *[F.col(c)["value"].alias(c) for c in attributes], "updated_at", *keep)
+    return derive_products(plain, keep=keep)
+
+
+class CatalogStore:
+    """A stored products table that new events are merged into, without reading earlier events again.
+
+    One version directory holds, for each product, the mergeable state beside the derived
+    product columns, so both change in one commit; readers of ``products`` read the product
+    columns only.  ``add`` costs one aggregate over the new events and one over the state.
+    Batches are numbered: one that was merged already (a retry) is left out.  The ``keep``
+    newest versions stay, for readers that are still at work.
+    """
+
+    STATE = "_state"
+
+    def __init__(self, spark: SparkSession, root: str, *, order: Sequence[str] = ("event_time", "event_id"), keep: int = 2):
+        self.spark, self.root, self.order, self.keep = spark, root, tuple(order), max(1, keep)
+
+    def add(self, events: DataFrame, batch: int) -> bool:
+        """Merge a batch of new events; False if this batch, or a later one, was merged before."""
+        stored = read_latest(self.spark, self.root)
+        state = catalog_state(events, order=self.order)
+        if stored is not None:
+            last = stored.agg(F.max("_batch")).first()[0]
+            if last is not None and batch <= last:
+                return False
+            state = merge_states(stored.select("product_id", f"{self.STATE}.*"), state)
+        own = [c for c in state.columns if c != "product_id"]
+        held = state.select("product_id", F.struct(*own).alias(self.STATE))
+        products = state_products(held.select("product_id", f"{self.STATE}.*", self.STATE), keep=(self.STATE,))
+        write_version(products.withColumn("_batch", F.lit(batch).cast("long")), self.root)
+        drop_versions(self.spark, self.root, keep=self.keep)
+        return True
+
+    def products(self) -> DataFrame:
+        """The newest products table."""
+        stored = read_latest(self.spark, self.root)
+        if stored is None:
+            raise FileNotFoundError(f"no catalog version at {self.root}")
+        return stored.drop(self.STATE, "_batch")
+
+
+def derive_products(reduced: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
     """F1-F4 over a reduced catalog: category parts, display name, image key."""
     return reduced.select(
         "product_id", "category_code",
@@ -52,7 +115,7 @@ def derive_products(reduced: DataFrame) -> DataFrame:
         "brand", F.col("price").cast("decimal(10,2)").alias("price"),
         display_name("category_code", "brand", "product_id").alias("display_name"),
         image_ref("category_code").alias("image_ref"),
-        F.col("event_count").cast("bigint").alias("event_count"), "updated_at")
+        F.col("event_count").cast("bigint").alias("event_count"), "updated_at", *keep)
 
 
 def build_catalog(events: DataFrame, *, order: Sequence[str] = ("event_time", "event_id")) -> DataFrame:
@@ -135,6 +198,16 @@ def read_latest(spark: SparkSession, root: str) -> DataFrame | None:
     return spark.read.parquet(f"{root.rstrip('/')}/version={max(vs):010d}")
 
 
+def drop_versions(spark: SparkSession, root: str, *, keep: int) -> None:
+    """Remove all but the ``keep`` newest committed versions (and older ones that never committed)."""
+    root_path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = root_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    newest = sorted(_versions(fs, root_path))[-keep:]
+    for v in _versions(fs, root_path, committed=False):
+        if newest and v < newest[0]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(root_path, f"version={v:010d}"), True)
+
+
 # --- images ------------------------------------------------------------------
 
 def default_leaf_pools(spark: SparkSession) -> DataFrame:

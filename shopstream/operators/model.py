@@ -17,12 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopstream.constants import DEFAULT_TOP_K, NUM_SPECIAL_TOKENS
+from shopstream.constants import DEFAULT_TOP_K, MAX_SEQ_LEN, NUM_SPECIAL_TOKENS
+from shopstream.operators.ranking import build_postings, rank_sessions
 
-DEFAULT_MAX_LAG = 3
+DEFAULT_MAX_LAG = MAX_SEQ_LEN  # the last items of a session that count
 DEFAULT_DECAY = 0.5
 DEFAULT_TOP_M = None  # all destinations; a number is an explicit choice to truncate the model
-SCORE_DECIMALS = 9  # scores are rounded before ranking so engines agree on ties
 
 
 def lag_pairs(encoded: DataFrame, *, max_lag: int = DEFAULT_MAX_LAG, seq_col: str = "token_seq") -> DataFrame:
@@ -99,24 +99,12 @@ def _recent(prefixes: DataFrame, key: str, prefix_col: str, max_lag: int) -> Dat
         key, "src", (F.col("_i") + 1).alias("lag"))
 
 
-def _by_session(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition on the session key before the candidate fan-out; no count, so
-    adaptive execution may split and coalesce.
-
-    A hash *of* the key: a plain repartition(key) is dropped when the input is already
-    partitioned by key (and that exchange may have been coalesced).
-    """
-    return df.repartition(F.xxhash64(F.col(key)))
-
-
-def _popular(prior: DataFrame, n: int, *, real_only: bool) -> DataFrame:
-    p = prior.filter(F.col("dst") >= NUM_SPECIAL_TOKENS) if real_only else prior
-    return p.orderBy(F.col("prior_n").desc(), F.col("dst").asc()).limit(n)
-
-
 def candidate_scores(prefixes: DataFrame, model: DataFrame, *, key: str = "user_session",
                      prefix_col: str = "prefix", max_lag: int = DEFAULT_MAX_LAG, decay: float = DEFAULT_DECAY) -> DataFrame:
-    """(key, dst, score): sum over recent items of decay^(lag-1) * p(dst | src)."""
+    """(key, dst, score): sum over recent items of decay^(lag-1) * p(dst | src), for all destinations.
+
+    The whole fan-out; ``rank_sessions`` gives the best of them without it.
+    """
     recent = _recent(prefixes, key, prefix_col, max_lag)
     j = recent.join(model, "src")  # the join is chosen from measured sizes
     contrib = F.pow(F.lit(float(decay)), F.col("lag") - 1) * F.col("p")
@@ -128,31 +116,12 @@ def score_sessions(prefixes: DataFrame, model: DataFrame, prior: DataFrame, *, k
                    decay: float = DEFAULT_DECAY) -> DataFrame:
     """M2: top ``k`` tokens per session: (key, rank, token_id, score).
 
-    Candidates are the transition targets of the session's recent items plus
-    the ``k`` most popular tokens (score 0) as back-off, so every session gets
-    ``k`` rows when the vocabulary allows.  Rank order: rounded score desc,
-    prior desc, token asc.  Special tokens are not masked (as in offline eval).
+    The ranking equals that of ``candidate_scores`` plus the ``k`` most popular tokens
+    (score 0) as back-off, so every session gets ``k`` rows when the vocabulary allows;
+    how little of the model is read is up to ``ranking``.  Rank order: rounded score
+    desc, prior desc, token asc.  Special tokens are not masked (as in offline eval).
     """
-    prefixes = _by_session(prefixes, key)
-    sc = candidate_scores(prefixes, model, key=key, prefix_col=prefix_col, max_lag=max_lag, decay=decay)
-    return _rank(prefixes.select(key), sc, prior, k=k, key=key, fill=_popular(prior, k, real_only=False))
-
-
-def _rank(sessions: DataFrame, scores: DataFrame, prior: DataFrame, *, k: int, key: str,
-          fill: DataFrame | None, exclude: DataFrame | None = None, limit: int | None = None) -> DataFrame:
-    # back-off candidates: k rows of ``fill`` for every session, or (fill None) ``sessions`` holds them as dst
-    back = sessions if fill is None else sessions.crossJoin(F.broadcast(fill.select("dst")))
-    back = back.withColumn("score", F.lit(0.0))
-    cand = scores.unionByName(back).groupBy(key, "dst").agg(F.max("score").alias("score"))
-    if exclude is not None:
-        cand = cand.join(exclude, [key, "dst"], "left_anti")
-    cand = cand.join(prior.select("dst", "prior_n"), "dst", "left")
-    rs = F.round("score", SCORE_DECIMALS)
-    w = Window.partitionBy(key).orderBy(rs.desc(), F.coalesce("prior_n", F.lit(0)).desc(), F.col("dst").asc())
-    lim = k if limit is None else limit
-    out = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= lim)
-    return out.select(key, F.col("rank").cast("int").alias("rank"), F.col("dst").alias("token_id"),
-                      rs.alias("score"))
+    return rank_sessions(prefixes, build_postings(model, prior), k=k, key=key, tokens=prefix_col, max_lag=max_lag, decay=decay)
 
 
 def recommend(sessions: DataFrame, model: DataFrame, prior: DataFrame, vocab: DataFrame, *,
@@ -175,29 +144,18 @@ def recommend(sessions: DataFrame, model: DataFrame, prior: DataFrame, vocab: Da
     if not 1 <= k <= MAX_TOP_K:
         raise ValueError(f"k must be in 1..{MAX_TOP_K}")
     s = sessions.filter(F.size(seq_col) >= 1).select(key, seq_col)
-    enc = _by_session(encode(s, vocab, key=key, seq_col=seq_col, out_col="_tok"), key)
-    sc = candidate_scores(enc, model, key=key, prefix_col="_tok", max_lag=max_lag, decay=decay)
-    sc = sc.filter(F.col("dst") >= NUM_SPECIAL_TOKENS)
+    enc = encode(s, vocab, key=key, seq_col=seq_col, out_col="_tok")
     items = s.select(key, F.explode(seq_col).alias("product_id")) if history is None else (
         history.select(key, "product_id").join(s.select(key), key, "left_semi"))
-    seen_tok = (items.join(vocab.select("product_id", F.col("token_id").alias("dst")), "product_id")
-                .select(key, "dst").distinct())
+    seen = (items.join(vocab.select("product_id", F.col("token_id").alias("dst")), "product_id")
+            .select(key, "dst").distinct())
+    postings = build_postings(model, prior)
     if overfetch is None:
-        # enough popular items for each session: k plus as many as its own history can exclude.
-        # The rank runs over the prior, which the vocabulary bounds.
-        ranks = prior.filter(F.col("dst") >= NUM_SPECIAL_TOKENS).select(
-            "dst", F.row_number().over(Window.orderBy(F.col("prior_n").desc(), F.col("dst").asc())).alias("_r"))
-        own = enc.select(key).join(seen_tok.groupBy(key).agg(F.count(F.lit(1)).alias("_own")), key, "left")
-        back = (own.select(key, F.explode(F.sequence(F.lit(1), (F.lit(k) + F.coalesce("_own", F.lit(0))).cast("int"))).alias("_r"))
-                .join(ranks, "_r").select(key, "dst"))
-        ranked = _rank(back, sc, prior, k=k, key=key, fill=None, exclude=seen_tok)
+        ranked = rank_sessions(enc, postings, k=k, key=key, tokens="_tok", max_lag=max_lag, decay=decay, mask=True, seen=seen)
     else:
-        fill = _popular(prior, k * overfetch, real_only=False)
-        top = _rank(enc.select(key), candidate_scores(enc, model, key=key, prefix_col="_tok", max_lag=max_lag,
-                                                    decay=decay),
-                    prior, k=k, key=key, fill=fill, limit=k * overfetch)
+        top = rank_sessions(enc, postings, k=k * overfetch, key=key, tokens="_tok", max_lag=max_lag, decay=decay)
         top = top.filter(F.col("token_id") >= NUM_SPECIAL_TOKENS).join(
-            seen_tok.withColumnRenamed("dst", "token_id"), [key, "token_id"], "left_anti")
+            seen.withColumnRenamed("dst", "token_id"), [key, "token_id"], "left_anti")
         w = Window.partitionBy(key).orderBy("rank")
         ranked = top.withColumn("rank", F.row_number().over(w).cast("int")).filter(F.col("rank") <= k)
     v = vocab.select("product_id", F.col("token_id"))

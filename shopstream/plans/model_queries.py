@@ -8,15 +8,12 @@ from shopstream.operators import evaluate as ev
 from shopstream.operators import model as mdl
 from shopstream.operators import sequences as seqops
 from shopstream.operators import vocab as voc
-from shopstream.plans.catalog_queries import basket_catalog
-from shopstream.plans.registry import WHOLE_LAG_QUERIES, query
+from shopstream.plans.catalog_queries import stored_catalog
+from shopstream.plans.registry import query
 from shopstream.plans.session_queries import CLICK_TEST_DAYS, CLICK_VAL_DAYS, CLICK_VOCAB_SIZE, click_sessions
 from shopstream.sources import fixtures as fx
 
 K = 10
-# the reference reads the last 20 items of a session; the queries named *_20 fit and score with them,
-# the ones without the suffix with the library's default (DEFAULT_MAX_LAG)
-WHOLE_LAG = 20
 
 
 def _parts(spark, sf_dir):
@@ -27,17 +24,17 @@ def _parts(spark, sf_dir):
     return s, vocab, enc
 
 
-def _train_model(enc, max_lag):
+def _train_model(enc):
     train = enc.filter(F.col("split") == "train")
-    t = mdl.fit_transitions(train, max_lag=max_lag)
+    t = mdl.fit_transitions(train)
     return mdl.normalize(t), mdl.fit_prior(train)
 
 
-def _test_preds(spark, sf_dir, max_lag=mdl.DEFAULT_MAX_LAG):
+def _test_preds(spark, sf_dir):
     _, vocab, enc = _parts(spark, sf_dir)
-    model, prior = _train_model(enc, max_lag)
-    targets = seqops.eval_prefixes(enc.filter(F.col("split") == "test"), max_len=20)
-    preds = mdl.score_sessions(targets, model, prior, k=K, max_lag=max_lag)
+    model, prior = _train_model(enc)
+    targets = seqops.eval_prefixes(enc.filter(F.col("split") == "test"), max_len=mdl.DEFAULT_MAX_LAG)
+    preds = mdl.score_sessions(targets, model, prior, k=K)
     return preds, targets, vocab
 
 
@@ -85,9 +82,9 @@ def eval_coverage_q(spark, sf_dir):
     return ev.coverage(preds, vocab, k=K)
 
 
-def _all_model(spark, sf_dir, max_lag=mdl.DEFAULT_MAX_LAG):
+def _all_model(spark, sf_dir):
     s, vocab, enc = _parts(spark, sf_dir)
-    t = mdl.fit_transitions(enc, max_lag=max_lag)
+    t = mdl.fit_transitions(enc)
     return s, vocab, mdl.normalize(t), mdl.fit_prior(enc)
 
 
@@ -102,37 +99,4 @@ def recommend_q(spark, sf_dir):
 def recommend_enriched_q(spark, sf_dir):
     s, vocab, model, prior = _all_model(spark, sf_dir)
     recs = mdl.recommend(s, model, prior, vocab, k=K, history=fx.clicks(spark, sf_dir))
-    return mdl.recommend_enriched(recs, basket_catalog(spark, sf_dir))
-
-
-@query("recommend_eval_20", WHOLE_LAG_QUERIES)
-def recommend_eval_20_q(spark, sf_dir):
-    preds, _, _ = _test_preds(spark, sf_dir, WHOLE_LAG)
-    return preds
-
-
-@query("eval_metrics_20", WHOLE_LAG_QUERIES)
-def eval_metrics_20_q(spark, sf_dir):
-    preds, targets, _ = _test_preds(spark, sf_dir, WHOLE_LAG)
-    return ev.recall_ndcg(preds, targets, k=K)
-
-
-@query("eval_coverage_20", WHOLE_LAG_QUERIES)
-def eval_coverage_20_q(spark, sf_dir):
-    preds, _, vocab = _test_preds(spark, sf_dir, WHOLE_LAG)
-    return ev.coverage(preds, vocab, k=K)
-
-
-def _recommend_20(spark, sf_dir):
-    s, vocab, model, prior = _all_model(spark, sf_dir, WHOLE_LAG)
-    return mdl.recommend(s, model, prior, vocab, k=K, max_lag=WHOLE_LAG, history=fx.clicks(spark, sf_dir))
-
-
-@query("recommend_20", WHOLE_LAG_QUERIES)
-def recommend_20_q(spark, sf_dir):
-    return _recommend_20(spark, sf_dir)
-
-
-@query("recommend_enriched_20", WHOLE_LAG_QUERIES)
-def recommend_enriched_20_q(spark, sf_dir):
-    return mdl.recommend_enriched(_recommend_20(spark, sf_dir), basket_catalog(spark, sf_dir))
+    return mdl.recommend_enriched(recs, stored_catalog(spark, sf_dir))

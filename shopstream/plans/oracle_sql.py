@@ -7,7 +7,6 @@ same Parquet files.  Adapters (FIXTURES.md) are repeated here as CTEs.
 from __future__ import annotations
 
 ORACLES: dict[str, str] = {}
-WHOLE_LAG_ORACLES: dict[str, str] = {}
 
 
 def oracle(name: str, sql: str) -> None:
@@ -81,6 +80,15 @@ oracle("export_window_limit", """
 SELECT event_id, ts, user_id, event_type, value FROM events
 WHERE ts >= TIMESTAMP '2024-01-05 00:00:00' ORDER BY ts, event_id LIMIT 1000""")
 
+# appended in loads that overlap and repeat: every event once, equal events of one file each
+oracle("events_append", "SELECT event_id, ts, user_id, event_type, value FROM events")
+oracle("csv_append", """
+SELECT l_shipdate AS event_time, l_returnflag AS event_type, l_partkey AS product_id, CAST(l_linenumber AS BIGINT) AS category_id,
+       CASE WHEN l_orderkey % 7 = 0 OR p_type = '' THEN NULL ELSE p_type END AS category_code,
+       CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE p_brand || ', "' || l_returnflag || '"' END AS brand,
+       CAST(CAST(l_extendedprice AS DECIMAL(10,2)) AS DOUBLE) AS price, l_suppkey AS user_id, CAST(l_orderkey AS VARCHAR) AS user_session
+FROM lineitem JOIN part ON l_partkey = p_partkey""")
+
 # --- sessions -------------------------------------------------------------
 
 oracle("sessions_raw", w(CLICKS, """
@@ -243,9 +251,11 @@ FROM baskets"""))
 oracle("catalog_reduce", w(BASKETS + "," + _reduce("baskets", "reduced"), """
 SELECT product_id, event_count, category_code, brand, CAST(price AS DOUBLE) AS price, updated_at FROM reduced"""))
 
-oracle("catalog", w(PRODUCTS, """
+_CATALOG_SQL = w(PRODUCTS, """
 SELECT product_id, category_code, category_top, category_leaf, brand, CAST(price AS DOUBLE) AS price,
-       display_name, image_ref, event_count, updated_at FROM products"""))
+       display_name, image_ref, event_count, updated_at FROM products""")
+oracle("catalog", _CATALOG_SQL)
+oracle("catalog_incremental", _CATALOG_SQL)
 
 oracle("catalog_null_stats", w(PRODUCTS, """
 SELECT count(*) AS products, count(*) FILTER (WHERE category_code IS NULL) AS null_category,
@@ -452,11 +462,14 @@ ssplit AS (SELECT user_session, CASE WHEN start_time >= mx - INTERVAL 3 DAY THEN
 tok AS (SELECT t.*, s.split FROM c_tok t JOIN ssplit s USING (user_session))"""
 
 
+MAX_LAG = 20  # items of a session that count
+
+
 def _transitions(name: str, where: str) -> str:
     return f""",
 {name} AS (
   SELECT a.tok AS src, b.tok AS dst, sum(pow(0.5, b.pos - a.pos - 1)) AS weight, count(*) AS n
-  FROM tok a JOIN tok b ON a.user_session = b.user_session AND b.pos - a.pos BETWEEN 1 AND 3
+  FROM tok a JOIN tok b ON a.user_session = b.user_session AND b.pos - a.pos BETWEEN 1 AND {MAX_LAG}
   WHERE {where} GROUP BY 1, 2
 )"""
 
@@ -470,12 +483,12 @@ def _model(name: str, trans: str) -> str:
 )"""
 
 
-TEST_EVAL = (MODEL_BASE + _transitions("tr", "a.split = 'train'") + _model("model", "tr") + """,
+TEST_EVAL = (MODEL_BASE + _transitions("tr", "a.split = 'train'") + _model("model", "tr") + f""",
 prior AS (SELECT tok AS dst, count(*) AS prior_n FROM tok WHERE split = 'train' AND pos >= 2 GROUP BY 1),
 tt AS (SELECT user_session, max(pos) AS n FROM tok WHERE split = 'test' GROUP BY 1 HAVING max(pos) >= 2),
 targets AS (SELECT t.user_session, k.tok AS target FROM tt t JOIN tok k ON k.user_session = t.user_session AND k.pos = t.n),
 recent AS (SELECT k.user_session, k.tok AS src, t.n - k.pos AS lag FROM tt t
-           JOIN tok k ON k.user_session = t.user_session AND k.pos < t.n AND t.n - k.pos <= 3),
+           JOIN tok k ON k.user_session = t.user_session AND k.pos < t.n AND t.n - k.pos <= {MAX_LAG}),
 scores AS (SELECT r.user_session, m.dst, sum(pow(0.5, r.lag - 1) * m.p) AS score
            FROM recent r JOIN model m USING (src) GROUP BY 1, 2),
 popular AS (SELECT dst FROM prior ORDER BY prior_n DESC, dst LIMIT 10),
@@ -507,11 +520,11 @@ SELECT r.recommended_items, v.vocab_items, round(r.recommended_items / v.vocab_i
 FROM (SELECT count(DISTINCT token_id) AS recommended_items FROM preds WHERE token_id >= 3) r,
      (SELECT count(*) AS vocab_items FROM vocab) v"""))
 
-RECOMMEND = (MODEL_BASE + _transitions("tr", "true") + _model("model", "tr") + """,
+RECOMMEND = (MODEL_BASE + _transitions("tr", "true") + _model("model", "tr") + f""",
 prior AS (SELECT tok AS dst, count(*) AS prior_n FROM tok WHERE pos >= 2 GROUP BY 1),
 sn AS (SELECT user_session, max(pos) AS n, count(DISTINCT product_id) AS d FROM tok GROUP BY 1),
 recent AS (SELECT k.user_session, k.tok AS src, s.n - k.pos + 1 AS lag FROM sn s
-           JOIN tok k ON k.user_session = s.user_session AND s.n - k.pos + 1 <= 3),
+           JOIN tok k ON k.user_session = s.user_session AND s.n - k.pos + 1 <= {MAX_LAG}),
 scores AS (SELECT r.user_session, m.dst, sum(pow(0.5, r.lag - 1) * m.p) AS score
            FROM recent r JOIN model m USING (src) WHERE m.dst >= 3 GROUP BY 1, 2),
 popular AS (SELECT dst FROM (SELECT dst, row_number() OVER (ORDER BY prior_n DESC, dst) AS r FROM prior WHERE dst >= 3)
@@ -536,14 +549,6 @@ SELECT r.user_session, r.rank, r.product_id, p.display_name, p.brand, p.category
        CAST(p.price AS DOUBLE) AS price, p.image_ref
 FROM recs r JOIN products p USING (product_id)"""))
 
-# the same at the reference's 20 items, fitted and scored
-for _name in ("recommend_eval", "eval_metrics", "eval_coverage", "recommend", "recommend_enriched"):
-    _sql = ORACLES[_name]
-    for _three, _twenty in (("b.pos - a.pos BETWEEN 1 AND 3", "b.pos - a.pos BETWEEN 1 AND 20"), ("t.n - k.pos <= 3", "t.n - k.pos <= 20"),
-                            ("s.n - k.pos + 1 <= 3", "s.n - k.pos + 1 <= 20")):
-        _sql = _sql.replace(_three, _twenty)
-    WHOLE_LAG_ORACLES[f"{_name}_20"] = _sql
-
 # --- recent views, cold start ---------------------------------------------------
 
 oracle("recent_views", w(CLICKS, """,

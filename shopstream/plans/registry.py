@@ -9,15 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
-WHOLE_LAG_QUERIES: dict[str, QueryFn] = {}  # model queries over the reference's 20 items, registered beside QUERIES
 
 
-def query(name: str, into: dict[str, QueryFn] = QUERIES):
+def query(name: str):
     """Register ``fn``; the registered callable first applies the session settings
     the library relies on (UTC wall clock, AQE with skew join), so it behaves
     the same in a session built elsewhere."""
     def deco(fn: QueryFn) -> QueryFn:
-        if name in into:
+        if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
 
         @functools.wraps(fn)
@@ -26,6 +25,6 @@ def query(name: str, into: dict[str, QueryFn] = QUERIES):
             configure(spark)
             return fn(spark, sf_dir)
 
-        into[name] = run
+        QUERIES[name] = run
         return fn
     return deco

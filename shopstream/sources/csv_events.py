@@ -17,25 +17,40 @@ from pyspark.sql import types as T
 from shopstream.schemas import RAW_CSV
 
 
-def read_events_csv(spark: SparkSession, path: str, *, with_id: bool = True) -> DataFrame:
+def raw_reader(reader):
+    """Options of the raw files on a batch or streaming reader."""
     schema = T.StructType(RAW_CSV.fields + [T.StructField("_corrupt_record", T.StringType(), True)])
-    raw = (spark.read.schema(schema)
-           .option("header", True).option("sep", ",").option("quote", '"').option("escape", '"')
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-           .csv(path))
+    return (reader.schema(schema)
+            .option("header", True).option("sep", ",").option("quote", '"').option("escape", '"')
+            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record"))
+
+
+def parse_raw(raw: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed columns of raw rows: time without its suffix, blanks as NULL; ``keep`` passes further columns through."""
     # try_: a malformed time becomes NULL (flagged by split_corrupt) instead of failing the job (ANSI mode);
     # the session time zone is UTC, so the wall clock survives the cast to timestamp_ntz
     t = F.try_to_timestamp(F.substring_index(F.col("event_time"), " UTC", 1),
                            F.lit("yyyy-MM-dd HH:mm:ss")).cast("timestamp_ntz")
-    out = raw.select(
+    return raw.select(
         t.alias("event_time"), "event_type", "product_id", "category_id",
         F.nullif(F.col("category_code"), F.lit("")).alias("category_code"),
         F.nullif(F.col("brand"), F.lit("")).alias("brand"),
-        "price", "user_id", "user_session", "_corrupt_record")
-    if with_id:
-        # a unique tie-breaker for equal timestamps (stable for a given file layout)
-        out = out.withColumn("event_id", F.monotonically_increasing_id())
-    return out
+        "price", "user_id", "user_session", "_corrupt_record", *keep)
+
+
+def read_events_csv(spark: SparkSession, path: str, *, with_id: bool = True) -> DataFrame:
+    """Raw files as typed rows; ``with_id`` adds the content id of ``streaming.ingest``, malformed lines keep a NULL id.
+
+    The id depends on the event and on its number among the equal events of its file only,
+    so another load, or the same file under another name, gives the same ids.
+    """
+    from shopstream.streaming.ingest import with_content_ids
+    raw = raw_reader(spark.read).csv(path)
+    if not with_id:
+        return parse_raw(raw)
+    good, bad = split_corrupt(parse_raw(raw.select("*", F.col("_metadata.file_path").alias("_file")), keep=("_file",)))
+    made = with_content_ids(good).withColumn("_corrupt_record", F.lit(None).cast("string"))
+    return made.unionByName(bad.drop("_file").withColumn("event_id", F.lit(None).cast("long")))
 
 
 def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:

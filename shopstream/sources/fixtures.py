@@ -134,3 +134,26 @@ def item_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as item vectors keyed by product id."""
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("product_id"), "embedding")
+
+
+def raw_csv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem joined with part -> rows in the shape of the raw CSV files, all text.
+
+    Times carry the `` UTC`` suffix, category and brand are blank by fixed rules, brands hold
+    a comma and quotes.
+    """
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
+    j = li.join(part, li.l_partkey == part.p_partkey, "inner")
+    brand = F.concat("p_brand", F.lit(', "'), "l_returnflag", F.lit('"'))
+    return j.select(
+        F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")).alias("event_time"),
+        F.col("l_returnflag").alias("event_type"),
+        F.col("l_partkey").cast("string").alias("product_id"),
+        F.col("l_linenumber").cast("string").alias("category_id"),
+        F.when(F.col("l_orderkey") % 7 != 0, F.col("p_type")).alias("category_code"),
+        F.when(F.col("l_orderkey") % 5 != 0, brand).alias("brand"),
+        F.col("l_extendedprice").cast("decimal(10,2)").cast("string").alias("price"),
+        F.col("l_suppkey").cast("string").alias("user_id"),
+        F.col("l_orderkey").cast("string").alias("user_session"))
