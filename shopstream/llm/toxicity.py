@@ -36,6 +36,7 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 CHAR_BUCKETS, GRAMS = 16_384, 16
 LONGEST, PIECE, STEP = 17, 12, 6  # longer runs of letters are cut into pieces of PIECE letters, one every STEP
 CHUNK = 4096
+SLICES = 32  # parts in which the driver reads the training texts
 CLEAN_SHARE = 4  # sampled clean documents for each toxic one
 THRESHOLD = 0.7
 
@@ -278,25 +279,44 @@ class _Reader:
         return np.array(out, np.float64)
 
 
-def fit_texts(texts: list[str], labels: list[int], *, share: float | None = None, vocab_words: int = 20_000, epochs: int = 8, seed: int = 0,
-              batch: int = 512, rate: float = 0.01) -> Model | None:
-    """Train on texts; None unless both classes have words."""
-    found: dict[str, int] = {}  # words in order of appearance; texts are kept as their numbers
-    docs, y_all = [], []
-    for t, label in zip(texts, labels):
-        w = words_of(t)
-        if w:
-            docs.append(np.fromiter((found.setdefault(x, len(found)) for x in w), np.int32, len(w)))
-            y_all.append(label)
-    y = np.array(y_all, np.float32)
+class Sample:
+    """Labelled texts, kept as word numbers: a text is dropped once it is cut into words."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}  # words in order of appearance
+        self.rows: list[tuple] = []  # (key, word numbers, label)
+        self.labels: list[int] = []
+
+    def add(self, key, text: str | None, label: int) -> None:
+        self.labels.append(label)
+        words = words_of(text)
+        if words:
+            self.rows.append((key, np.fromiter((self.number.setdefault(w, len(self.number)) for w in words), np.int32, len(words)), label))
+
+
+def fit_texts(texts: list[str], labels: list[int], **more) -> Model | None:
+    """``fit_sample`` on texts in their order."""
+    sample = Sample()
+    for i, (t, label) in enumerate(zip(texts, labels)):
+        sample.add(i, t, label)
+    return fit_sample(sample, **more)
+
+
+def fit_sample(sample: Sample, *, share: float | None = None, vocab_words: int = 20_000, epochs: int = 8, seed: int = 0,
+               batch: int = 512, rate: float = 0.01) -> Model | None:
+    """Train on a sample, in the order of its keys, which is used up; None unless both classes have words."""
+    sample.rows.sort(key=lambda r: r[0])
+    docs, y = [r[1] for r in sample.rows], np.array([r[2] for r in sample.rows], np.float32)
+    sample.rows.clear()
     if not len(y) or y.min() == y.max():
         return None
-    share = float(np.mean(labels)) if share is None else share
+    share = float(np.mean(sample.labels)) if share is None else share
     test = np.zeros(len(docs), bool)  # a quarter of each class is kept for calibration
     for c in (0, 1):
         own = np.flatnonzero(y == c)
         test[own[3::4]] = True
-    names = list(found)
+    names = list(sample.number)
+    sample.number = {}
     unseen = [(docs[i], float(y[i])) for i in np.flatnonzero(test)]
     docs, y = [docs[i] for i in np.flatnonzero(~test)], y[~test]
     counts = np.bincount(np.concatenate(docs), minlength=len(names))
@@ -311,6 +331,7 @@ def fit_texts(texts: list[str], labels: list[int], *, share: float | None = None
         win = windows(place[numbers])
         at.append(win)
         owner.append(np.full(len(win), d, np.int32))
+    del docs
     at, owner = np.concatenate(at), np.concatenate(owner)
     n_known = min(vocab_words, len(ranked)) + 1
     net, rng = Network(n_known, seed), np.random.default_rng(seed + 1)
@@ -387,11 +408,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, max_chars:
     label = {r["doc_id"]: r["y"] for r in picked}
     # the fewer toxic documents may be longer, as only a passage of them need be toxic
     chars = F.when(F.col("doc_id").isin([i for i, y in label.items() if y]), CLEAN_SHARE * max_chars).otherwise(max_chars)
+    # about 2 * CLEAN_SHARE * per_class * max_chars characters at most, which come in SLICES parts, one at a time
     texts = (docs.where(F.col("doc_id").isin(list(label)) & F.col("text").isNotNull())
-             .select("doc_id", excerpt(F.col("text"), F.col("doc_id"), chars).alias("text"))
-             .groupBy("doc_id").agg(F.min("text").alias("text")).collect())  # about 2 * CLEAN_SHARE * per_class * max_chars characters at most
-    texts.sort(key=lambda r: r["doc_id"])
-    return fit_texts([r["text"] for r in texts], [label[r["doc_id"]] for r in texts], share=share), share
+             .select("doc_id", excerpt(F.col("text"), F.col("doc_id"), chars).alias("text")).repartition(SLICES, "doc_id")
+             .groupBy("doc_id").agg(F.min("text").alias("text")))
+    sample = Sample()
+    for r in texts.toLocalIterator():
+        sample.add(r["doc_id"], r["text"], label[r["doc_id"]])
+    return fit_sample(sample, share=share), share
 
 
 def score(docs: DataFrame, model: Model | None, share: float) -> DataFrame:
