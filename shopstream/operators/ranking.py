@@ -141,9 +141,9 @@ def session_bounds(lists: DataFrame, *, key: str) -> DataFrame:
 def tail_entries(bounds: DataFrame, postings: Postings, salts: dict[int, int], *, key: str) -> DataFrame:
     """(key, dst, c, prior_n) of the entries beyond the heads whose contribution exceeds the session's cut."""
     reads = bounds.where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(1), F.col("blocks"))))
-    met = _meet(reads, postings.tails, ["src", "block"], salts, key)
     above = F.filter("entries", lambda e: F.col("weight") * e["p"] > F.col("cut"))
-    return met.select(key, "weight", F.inline(above)).select(key, "dst", (F.col("weight") * F.col("p")).alias("c"), "prior_n")
+    met = _meet(reads, postings.tails, ["src", "block"], salts, key).select(key, "weight", above.alias("above")).repartition(key)
+    return met.select(key, "weight", F.inline("above")).select(key, "dst", (F.col("weight") * F.col("p")).alias("c"), "prior_n")
 
 
 def _popular(postings: Postings, sessions: DataFrame, *, k: int, key: str, mask: bool) -> DataFrame:
@@ -178,7 +178,9 @@ def rank_sessions(sessions: DataFrame, postings: Postings, *, k: int, key: str,
     rows = rows.withColumn("_fill", (own + k).cast("int")).withColumn("_need", F.col("_fill") + (NUM_SPECIAL_TOKENS if mask else 0))
     recent = recent_sources(rows, tokens, key=key, max_lag=max_lag, decay=decay, keep=("_need",))
     zero = F.lit(0.0)
-    fill = _popular(postings, rows.select(key, "_fill"), k=k, key=key, mask=mask).select(key, "dst", zero.alias("done"), zero.alias("open"), "prior_n", F.lit(0).alias("seen"), F.lit(1).alias("fill"))
+    # all candidates are dealt by session while they are still arrays (or one row a session), so that neither the
+    # union, nor the sums by (session, item), nor the ranking shuffle them again; a session has at most a vocabulary of them
+    fill = _popular(postings, rows.select(key, "_fill").repartition(key), k=k, key=key, mask=mask).select(key, "dst", zero.alias("done"), zero.alias("open"), "prior_n", F.lit(0).alias("seen"), F.lit(1).alias("fill"))
     if postings.tails is None:
         lists, bounds, salts = recent.join(postings.heads, "src"), None, {}
     else:
@@ -188,7 +190,7 @@ def rank_sessions(sessions: DataFrame, postings: Postings, *, k: int, key: str,
         bounds = shared_table(session_bounds(lists, key=key), "bounds")
     c = F.col("weight") * F.col("p")
     is_open = F.col("_open")
-    reads = (lists.select(key, "weight", (F.size("tops") > 0).alias("_open"), F.inline("head"))
+    reads = (lists.select(key, "weight", (F.size("tops") > 0).alias("_open"), "head").repartition(key).select(key, "weight", "_open", F.inline("head"))
              .select(key, "dst", F.when(is_open, 0.0).otherwise(c).alias("done"), F.when(is_open, c).otherwise(0.0).alias("open"), "prior_n", F.lit(0).alias("seen"), F.lit(0).alias("fill")))
     if bounds is not None:
         reads = reads.unionByName(tail_entries(bounds, postings, salts, key=key).select(
@@ -197,12 +199,10 @@ def rank_sessions(sessions: DataFrame, postings: Postings, *, k: int, key: str,
         reads = reads.where(F.col("dst") >= NUM_SPECIAL_TOKENS)
     reads = reads.unionByName(fill)
     if seen is not None:
-        reads = reads.unionByName(seen.select(key, "dst", zero.alias("done"), zero.alias("open"), F.lit(0).cast("long").alias("prior_n"), F.lit(1).alias("seen"), F.lit(0).alias("fill")))
+        reads = reads.unionByName(seen.repartition(key).select(key, "dst", zero.alias("done"), zero.alias("open"), F.lit(0).cast("long").alias("prior_n"), F.lit(1).alias("seen"), F.lit(0).alias("fill")))
     found = reads.groupBy(key, "dst").agg(F.sum("done").alias("done"), F.sum("open").alias("open"), F.max("prior_n").alias("prior_n"),
                                           F.max("seen").alias("seen"), F.max("fill").alias("fill")).where("seen = 0").drop("seen")
-    scored = found.withColumn("score", F.col("done") + F.col("open"))
-    if bounds is not None:
-        scored = complete_scores(found, bounds, postings, salts, key=key)
+    scored = found.withColumn("score", F.col("done")) if bounds is None else complete_scores(found, bounds, postings, salts, key=key)
     rounded = F.round("score", SCORE_DECIMALS)
     best = Window.partitionBy(key).orderBy(rounded.desc(), F.col("prior_n").desc(), F.col("dst").asc())
     return (scored.withColumn("rank", F.row_number().over(best).cast("int")).where(F.col("rank") <= k)

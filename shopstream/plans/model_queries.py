@@ -11,23 +11,25 @@ from shopstream.operators import vocab as voc
 from shopstream.plans.catalog_queries import stored_catalog
 from shopstream.plans.registry import query
 from shopstream.plans.session_queries import CLICK_TEST_DAYS, CLICK_VAL_DAYS, CLICK_VOCAB_SIZE, click_sessions
+from shopstream.session import shared_table
 from shopstream.sources import fixtures as fx
 
 K = 10
 
 
 def _parts(spark, sf_dir):
+    # the vocabulary and the encoded sessions are read by several branches (counts, prior, recent items): written once
     s = click_sessions(spark, sf_dir)
-    vocab = voc.build_vocab(s, size=CLICK_VOCAB_SIZE)  # fitted on all sessions (reference default)
+    vocab = shared_table(voc.build_vocab(s, size=CLICK_VOCAB_SIZE), "vocab")  # fitted on all sessions (reference default)
     split = seqops.time_split(s, test_days=CLICK_TEST_DAYS, val_days=CLICK_VAL_DAYS)
-    enc = voc.encode(split, vocab)
+    enc = shared_table(voc.encode(split, vocab), "encoded")
     return s, vocab, enc
 
 
 def _train_model(enc):
     train = enc.filter(F.col("split") == "train")
     t = mdl.fit_transitions(train)
-    return mdl.normalize(t), mdl.fit_prior(train)
+    return mdl.normalize(t), shared_table(mdl.fit_prior(train), "prior")
 
 
 def _test_preds(spark, sf_dir):
@@ -85,7 +87,7 @@ def eval_coverage_q(spark, sf_dir):
 def _all_model(spark, sf_dir):
     s, vocab, enc = _parts(spark, sf_dir)
     t = mdl.fit_transitions(enc)
-    return s, vocab, mdl.normalize(t), mdl.fit_prior(enc)
+    return s, vocab, mdl.normalize(t), shared_table(mdl.fit_prior(enc), "prior")
 
 
 @query("recommend")
