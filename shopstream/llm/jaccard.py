@@ -38,7 +38,8 @@ from pyspark.sql import functions as F
 from shopstream.llm.substring_dedup import BASES, _mixed
 from shopstream.session import shared_table
 
-SKETCH_BITS, SLICES = 20, 64
+SKETCH_BITS, SLICES = 22, 64
+SIZE_STEP = 1 << 12  # codes of a token: sizes of its unit above, level and matches below
 UNIT_DOCS, UNIT_SHINGLES = 64, 60_000
 MAX_MATCHES, VERIFY_COST = 8, 16
 
@@ -113,37 +114,43 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 def count_sketch(docs: DataFrame, size: int) -> np.ndarray:
     """How many documents hold a shingle of each slot: 2^SKETCH_BITS counts from all documents."""
-    part = (1 << SKETCH_BITS) // SLICES
+    slots = 1 << SKETCH_BITS
+    part = slots // SLICES
 
     def run(batches):
-        shingles, total, seen, held = Shingler(size), np.zeros(1 << SKETCH_BITS, np.int64), [], 0
+        shingles, total, seen, held = Shingler(size), np.zeros(slots, np.int32), [], 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 seen.append(_slot(shingles(text)))
                 held += len(seen[-1])
                 if held > 4_000_000:
-                    total += np.bincount(np.concatenate(seen), minlength=len(total))
+                    total += np.bincount(np.concatenate(seen), minlength=slots).astype(np.int32)
                     seen, held = [], 0
         if seen:
-            total += np.bincount(np.concatenate(seen), minlength=len(total))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SLICES), pa.int32()), pa.array([total[i * part:(i + 1) * part].tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "counts"])
+            total += np.bincount(np.concatenate(seen), minlength=slots).astype(np.int32)
+        for i in range(SLICES):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i * part:(i + 1) * part].tobytes()], pa.binary())], names=["slice", "counts"])
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+    def sum_slice(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(part, np.int64)
         for c in pdf["counts"]:
-            total += np.frombuffer(c, np.int64)
+            total += np.frombuffer(c, np.int32)
         return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [total.tobytes()]})
 
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in docs.select("text").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInPandas(add, "slice int, counts binary").collect():
+    out = np.zeros(slots, np.int64)
+    for r in docs.select("text").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInPandas(sum_slice, "slice int, counts binary").collect():
         out[r["slice"] * part:(r["slice"] + 1) * part] = np.frombuffer(r["counts"], np.int64)
     return out
 
 
 def rarity_class(df: np.ndarray, mean: float) -> np.ndarray:
-    """0 for what the sketch cannot tell from noise, then one class for each doubling."""
-    return np.maximum(0, np.log2(np.maximum(df, 1) / (2 * mean + 4))).astype(np.int8)
+    """0 for what the sketch cannot tell from noise, then one class for each doubling.
+
+    A slot's other shingles number ``mean``, give or take its root, so that frequencies
+    beyond some four roots of the mean stand out: what does not grows with the root of the
+    corpus only.
+    """
+    return np.maximum(0, np.log2(np.maximum(df - mean, 1) / (4 * np.sqrt(mean) + 4))).astype(np.int8)
 
 
 def adaptive_prefix(h: np.ndarray, counts: np.ndarray, mean: float, num: int, den: int) -> tuple[np.ndarray, int]:
@@ -336,18 +343,25 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
     shape = shared_table(shape, "shape")
     # one row for each prefix shingle, dealt by shingle once and read by both sides of the join; a unit
     # asks for as many shared shingles as its least demanding member, so its longer prefixes are cut to that
-    spread = (units.join(shape, "unit").select("key", "unit", "spare", "asked", F.when(F.col("low") == F.col("high"), F.col("low")).alias("whole"))
+    # the sizes in a unit, as classes that step by the similarity: sets whose classes lie further apart than one cannot link
+    size_class = lambda n: F.floor(F.log(n.cast("double")) / F.log(F.lit(den / num * (1 + 1e-6)))) if num < den else n
+    span = F.least(size_class(F.col("least_n")), F.lit(1023)) * 1024 + F.least(size_class(F.col("most_n")), F.lit(1023))
+    spread = (units.join(shape, "unit").select("key", "unit", "spare", "asked", F.when(F.col("low") == F.col("high"), F.col("low")).alias("whole"), span.cast("long").alias("span"))
               .join(prefixes, "key")
-              .select("unit", "asked", "whole", F.explode(F.transform(
+              .select("unit", "asked", "whole", "span", F.explode(F.transform(
                   F.slice("prefix", F.lit(1), F.least(F.size("prefix"), F.col("spare") + F.col("asked"))),
                   lambda t, i: F.struct(t.alias("token"), F.greatest(F.lit(1), i - F.col("spare") + 1).alias("level")))).alias("p"))
-              .select("p.token", "unit", (F.col("p.level") * 16 + F.col("asked")).cast("int").alias("code"), "whole"))
+              .select("p.token", "unit", (F.col("span") * SIZE_STEP + F.col("p.level") * 16 + F.col("asked")).alias("code"), "whole"))
     tokens = spread.repartition("token").groupBy("token", "unit").agg(F.min("code").alias("code"), F.first("whole").alias("whole"))
     x, y = tokens.alias("x"), tokens.alias("y")
     asked = F.least(F.col("x.code") % 16, F.col("y.code") % 16)
+    level = lambda side: F.floor(F.col(f"{side}.code") % SIZE_STEP / 16)
+    least = lambda side: F.floor(F.col(f"{side}.code") / (SIZE_STEP * 1024))
+    most = lambda side: F.floor(F.col(f"{side}.code") / SIZE_STEP) % 1024
     pairs = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.unit") < F.col("y.unit"))
                     & ~F.coalesce(F.col("x.whole") == F.col("y.whole"), F.lit(False))
-                    & (F.greatest(F.floor(F.col("x.code") / 16), F.floor(F.col("y.code") / 16)) <= asked))
+                    & (F.greatest(level("x"), level("y")) <= asked)
+                    & (least("x") <= most("y") + 1) & (least("y") <= most("x") + 1))
              .groupBy(F.col("x.unit").alias("u"), F.col("y.unit").alias("v"))
              .agg(F.count(F.lit(1)).alias("shared"), F.first(asked).alias("asked")).where("shared >= asked").select("u", "v"))
     sizes_of = lambda side: shape.select(F.col("unit").alias(side), F.col("least_n").alias(f"least_{side}"), F.col("most_n").alias(f"most_{side}"), F.col("weight").alias(f"weight_{side}"))

@@ -9,7 +9,8 @@ The quantile is found by histogram refinement: all nodes of a level share one
 aggregation per round over (node, bin), each round narrowing the interval to
 the values of one bin.  Only (nodes x bins) sums reach the driver, both bounded by
 parameters.  Points with equal values are cut by a hash of (id, text checksum), so a
-source or a language with a third of the rows splits like any other.
+source or a language with a third of the rows splits like any other; rows that repeat id
+and text are told apart by their number in the stored table, so they split too.
 
 The text is read once, for its size and checksum; afterwards only a narrow table in
 the shared folder is read.  Slots are numbered within (shard, hash bucket), buckets
@@ -32,6 +33,7 @@ from shopstream.session import shared_table
 
 OVERHEAD_BYTES = 16
 TIE_RANGE = 1 << 62
+COPY_BITS = 20  # low bits of a tie, which differ between rows of one id and text
 
 
 def _code(c: Column) -> Column:
@@ -101,7 +103,9 @@ def kd_shards(points: DataFrame, n_shards: int, *, bins: int = 4096, slack: floa
     """
     n_dims = 5
     # node: index into the level's list of nodes; a finished leaf is -1 - shard
-    tagged = shared_table(points.withColumn("tie", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(TIE_RANGE))).withColumn(
+    own = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(TIE_RANGE >> COPY_BITS))
+    copy = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << COPY_BITS))  # fixed once the table is written
+    tagged = shared_table(points.withColumn("tie", F.shiftleft(own, COPY_BITS) + copy).withColumn(
         "node", F.lit(0 if n_shards > 1 else -1)), "level")
     nodes, roots, near = [_Node(0, n_shards)] if n_shards > 1 else [], None, 0.0
     while nodes:

@@ -115,6 +115,20 @@ def test_shards_are_even_and_gapless(spark):
     assert {r["shard"] for r in shards.shard_documents(df.limit(30), 1).collect()} == {0}
 
 
+def test_repeated_rows_are_split_over_shards(spark):
+    rows = [(i, "w" * (60 + i % 80)) for i in range(2000)] + [(None, "one text with a null id" * 4)] * 1500
+    out = shards.shard_documents(docs_of(spark, rows), 10).collect()
+    assert len(out) == len(rows)
+    by = {}
+    for r in out:
+        by.setdefault(r["shard"], []).append(r)
+    target = sum(r["size"] for r in out) / 10
+    assert sorted(by) == list(range(10))
+    for own in by.values():
+        assert abs(sum(r["size"] for r in own) - target) <= 3 * 160
+        assert sorted(r["slot"] for r in own) == list(range(len(own)))
+
+
 # ---- decontamination
 
 def test_masks_are_lossless():
@@ -224,6 +238,34 @@ def test_near_duplicates_equal_all_pairs(spark, monkeypatch):
     assert jaccard.near_duplicates(docs_of(spark, [(1, ""), (2, None)])).count() == 2
 
 
+def test_prefix_length_follows_the_estimated_cost():
+    import numpy as np
+    h = np.sort(np.random.default_rng(5).integers(0, 1 << 63, 200, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
+    counts = np.full(1 << jaccard.SKETCH_BITS, 9, np.int64)
+    slots = jaccard._slot(h)
+
+    def chosen(common):
+        c = counts.copy()
+        c[slots[:len(h) - common]] += 1
+        c[slots[len(h) - common:]] += 5_000  # the others are in thousands of documents
+        return jaccard.adaptive_prefix(h, c, 9.0, 85, 100)
+    # with enough rare shingles more shared ones are asked for; where only frequent ones could be added, fewer
+    ks = {common: chosen(common)[1] for common in (0, 165, 168, 170, 190)}
+    assert ks[0] > 1 and ks[168] < ks[0] and len(set(ks.values())) >= 3, ks
+    prefix, k = chosen(165)
+    assert len(prefix) == 200 - 170 + k
+    rare = set(h[:35].tolist())
+    assert set(prefix[:35].tolist()) == rare or len(prefix) < 35  # rare shingles come first
+
+
+def test_frequent_shingles_stand_out_of_the_sketch():
+    import numpy as np
+    for mean in (0.5, 10.0, 1000.0, 1e6):
+        noise = int(mean + 3 * mean ** 0.5)
+        assert jaccard.rarity_class(np.array([0, int(mean), noise]), mean).tolist() == [0, 0, 0]
+        assert jaccard.rarity_class(np.array([mean + 20 * mean ** 0.5 + 20]), mean)[0] >= 1
+
+
 def test_repeated_rows_reach_the_joins_once(spark, monkeypatch):
     within, between = jaccard._within_chunk, jaccard._between_units
 

@@ -82,3 +82,23 @@ def test_rows_are_judged_by_id_and_text(spark, tmp_path):
     spark.createDataFrame([(1, c[:200])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     kept = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()
     assert sorted(r["text"] for r in kept) == sorted(t for _, t in rows if not t.startswith(c))
+
+
+def test_columns_of_any_name_pass_through(spark, tmp_path):
+    """Names that the stages use inside stay the documents' own; the last stage's results replace columns of their names."""
+    from pyspark.sql import functions as F
+    own = ["_key", "row_key", "Row_Key_", "score", "_score", "own_score", "_salt", "n_shingles", "component_id", "y", "label"]
+    last = ["n_tokens", "ids", "decoded_sha256", "decoded"]
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in own + last])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{DIR}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(out.columns) == len(set(out.columns)) and set(own) <= set(out.columns)
+    rows = out.collect()
+    assert len(rows) > 500
+    for r in rows:
+        assert all(r[c] == f"{c}:{r['doc_id']}" for c in own)
+        assert r["n_tokens"] == len(r["ids"])
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in corpus_pipeline.run(spark, DIR).collect()}
