@@ -9,7 +9,10 @@ columns of ``documents``.
   rows that repeat id and text with words stay once;
 * decontamination: documents that overlap a benchmark item go;
 * personal data: spans are replaced by their kind, ``n_chars`` follows the text;
-* tokens: byte-level BPE ids, and the digest of the bytes that the ids decode to.
+* tokens: byte-level BPE ids, and the digest of the bytes that the ids decode to; columns of
+  these names (``n_tokens``, ``ids``, ``decoded_sha256``) that the documents had are replaced.
+
+Other columns of documents pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,37 +26,48 @@ from shopstream.session import configure, shared_table
 ORACLE_SQL = None  # a trained network and a span classifier decide on rows: tested stage by stage instead
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, or one like it that no column of ``docs`` has (Spark's names ignore case)."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model, share = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     if model is None:
         return docs
-    scored = toxicity.score(docs.withColumnRenamed("score", "_score") if "score" in docs.columns else docs, model, share)
-    kept = scored.where(F.col("score") < toxicity.THRESHOLD).drop("score")
-    return kept.withColumnRenamed("_score", "score") if "score" in docs.columns else kept
+    own = unused(docs, "own_score")  # a column that is called score as well waits under another name
+    renamed = docs.withColumnRenamed("score", own) if unused(docs, "score") != "score" else docs
+    kept = toxicity.score(renamed, model, share).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    return kept.toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # rows are told apart by id and text, so that ids may be null or shared by different texts
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = jaccard.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), shingle=5, num=4, den=5)
-    grouped = shared_table(found.where("n_shingles > 0").select(F.col("doc_id").alias("_key"), "component_id").distinct(), "grouped")
-    stays = (grouped.join(keyed.select("_key", "doc_id").distinct(), "_key").groupBy("component_id")
-             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_key")).alias("best")).select("component_id", F.col("best._key").alias("stays")))
-    gone = shared_table(grouped.join(stays, "component_id").where("stays != _key").select("_key"), "gone")
-    repeated = keyed.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key")
-    repeated = shared_table(repeated.join(grouped.select("_key"), "_key"), "repeated")
-    left = keyed.join(gone, "_key", "left_anti")
+    key = unused(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = jaccard.near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), shingle=5, num=4, den=5)
+    grouped = shared_table(found.where("n_shingles > 0").select(F.col("doc_id").alias(key), "component_id").distinct(), "grouped")
+    stays = (grouped.join(keyed.select(key, "doc_id").distinct(), key).groupBy("component_id")
+             .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(key).alias("key"))).alias("best")).select("component_id", F.col("best.key").alias("stays")))
+    gone = shared_table(grouped.join(stays, "component_id").where(F.col("stays") != F.col(key)).select(key), "gone")
+    repeated = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    repeated = shared_table(repeated.join(grouped.select(key), key), "repeated")
+    left = keyed.join(gone, key, "left_anti")
     if repeated.isEmpty():
         return left.select(docs.columns)
-    once = left.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
-    return left.join(repeated, "_key", "left_anti").select(docs.columns).unionByName(once)
+    once = left.join(repeated, key, "left_semi").dropDuplicates([key]).select(docs.columns)
+    return left.join(repeated, key, "left_anti").select(docs.columns).unionByName(once)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # clean_documents judges by id; here each row is judged by its own text
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = decontam.overlaps(keyed.select(F.col("_key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return keyed.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(docs.columns)
+    key = unused(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    found = decontam.overlaps(keyed.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return keyed.join(found.select(F.col("doc_id").alias(key)).distinct(), key, "left_anti").select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +77,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     vocabulary = bpe.default_vocabulary()
     tokens = bpe.decode(bpe.encode(docs, *vocabulary), *vocabulary)
-    return tokens.select(*[c for c in docs.columns if c not in ("text", "ids", "decoded")], F.size("ids").cast("long").alias("n_tokens"), "ids",
+    return tokens.select(*[c for c in docs.columns if c.lower() not in ("text", "ids", "decoded", "n_tokens", "decoded_sha256")], F.size("ids").cast("long").alias("n_tokens"), "ids",
                          F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
