@@ -10,14 +10,14 @@ Rules (per cart and product):
 * a cart id must be 1..36 characters; a cart exists from its first valid add.
 
 The log is folded as an associative composition of per-command state
-transformers (``cart_fold``): one shuffle of the log by (line, seq bucket),
-groups bounded by the bucket size, then one row per bucket per line.  A
-(cart, product) with a third of all commands is spread over many buckets.
+transformers (``cart_fold``): leaves of neighbouring commands, then a tree of
+transformers over them, every group bounded.  A (cart, product) with a third
+of all commands is spread over many leaves and nodes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopstream.constants import MAX_CART_ID_LEN
@@ -40,13 +40,13 @@ def validate_commands(commands: DataFrame, products: DataFrame) -> DataFrame:
 
 
 def apply_cart_commands(commands: DataFrame, products: DataFrame, items: DataFrame | None = None, *,
-                        materialize: bool = True, bucket_rows: int = 1 << 16) -> tuple[DataFrame, DataFrame, DataFrame]:
+                        materialize: bool = True, bucket_rows: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, rejects, carts) after applying ``commands`` to ``items``.
 
     ``commands``: (seq long, cart_id, op, product_id, quantity int, at timestamp);
     ``seq`` orders commands (unique).  ``items``: the initial lines, or None.
     The fold itself is :func:`shopstream.operators.cart_fold.fold_commands`
-    (one shuffle of the log, groups of at most ``bucket_rows`` commands).
+    (a tree over groups of at most ``bucket_rows`` commands).
     The validated log feeds three branches; with ``materialize`` it is written
     once to the checkpoint folder (reliable, survives executor loss).
     """
@@ -86,6 +86,15 @@ def ordered_lines(view: DataFrame) -> DataFrame:
     return view.repartition("cart_id").sortWithinPartitions("cart_id", "added_at", "product_id")
 
 
+def numbered_lines(view: DataFrame) -> DataFrame:
+    """The lines with their place (``line_no``, from 1) in their cart, in (added_at, product_id) order.
+
+    A cart's lines are distinct products, so a window holds one row a product at most.
+    """
+    w = Window.partitionBy("cart_id").orderBy("added_at", "product_id")
+    return view.withColumn("line_no", F.row_number().over(w).cast("int"))
+
+
 def cart_totals(view: DataFrame, carts: DataFrame | None = None) -> DataFrame:
     """Per cart total quantity and total price; carts without lines get zeros."""
     t = view.groupBy("cart_id").agg(

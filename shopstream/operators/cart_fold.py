@@ -1,4 +1,4 @@
-"""Cart command log as an associative fold (one shuffle of the log, bounded groups).
+"""Cart command log as an associative fold: a tree of transformers, every group bounded.
 
 Every command is a state transformer for one cart line.  A transformer is
 stored as two branches: the result when the line is absent (``ap`` present?,
@@ -6,16 +6,16 @@ stored as two branches: the result when the line is absent (``ap`` present?,
 (``pk`` 0 remove, 1 add ``pq``, 2 set to ``pq``, 3 replace by a fresh line
 ``pq``/``pat``).  Composition of two transformers is again one, so:
 
-1. commands are grouped by (line, seq bucket) -- at most ``bucket_rows``
-   commands per group, whatever the skew -- and folded in seq order into one
-   transformer per bucket;
-2. per line, the bucket transformers (one row per bucket) are folded in order
-   from the initial state, giving the state at the start of every bucket and
-   the final state;
-3. each bucket is folded once more from its start state to list the set/del
+1. commands are grouped by (line, seq range of ``bucket_rows``) and folded in seq order
+   into one transformer a leaf; the leaves are written once;
+2. lines with at most ``fanout`` leaves fold these from the initial state, which gives the
+   state at the start of every leaf and the final state;
+3. longer lines compose their leaves upward, ``fanout`` neighbours into one node, level by
+   level until at most ``fanout`` nodes a line are left, fold those like the short lines,
+   and hand start states down the same levels.  No array holds more than ``fanout``
+   nodes, whatever the length of a line, and its nodes are spread over all tasks;
+4. each leaf is folded once more from its start state to list the set/del
    commands that found no line (rejections).
-
-The log is shuffled once (by line and bucket); steps 2-3 move one row per bucket.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopstream.session import shared_table
+
 KEY = ["cart_id", "product_id"]
 _T = "struct<ap:boolean,aq:int,aat:timestamp_ntz,pk:int,pq:int,pat:timestamp_ntz>"
 _S = "struct<present:boolean,qty:int,at:timestamp_ntz>"
@@ -88,38 +90,72 @@ def apply_to(t: Column, s: Column) -> Column:
     return out.cast(_S)
 
 
-def fold_commands(valid: DataFrame, items: DataFrame | None, *, bucket_rows: int = 1 << 16
-                  ) -> tuple[DataFrame, DataFrame]:
-    """(final lines, stateful rejections) for statically valid commands."""
-    seq = F.col("seq")
-    cmd = F.struct(seq.alias("seq"), F.col("op").alias("op"), F.col("quantity").alias("q"), F.col("at").alias("at"))
-    per_bucket = (valid.withColumn("_b", F.floor(seq / F.lit(bucket_rows)))
-                  .groupBy(*KEY, "_b").agg(F.array_sort(F.collect_list(cmd)).alias("_cmds")))
-    per_bucket = per_bucket.withColumn("_tb", F.aggregate(
+def _leaves(valid: DataFrame, bucket_rows: int) -> DataFrame:
+    """(line, _b, _cmds, _t): the commands of each leaf in order, and their transformer."""
+    cmd = F.struct("seq", "op", F.col("quantity").alias("q"), "at")
+    leaves = valid.groupBy(*KEY, F.floor(F.col("seq") / F.lit(bucket_rows)).alias("_b")).agg(F.array_sort(F.collect_list(cmd)).alias("_cmds"))
+    return leaves.withColumn("_t", F.aggregate(
         "_cmds", _identity().cast(_T), lambda acc, x: compose(acc, command_transformer(x["op"], x["q"], x["at"])).cast(_T)))
-    # per line: fold bucket transformers in order from the initial state
-    lines = per_bucket.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("_b", "_tb"))).alias("_bs"))
+
+
+def _children(nodes: DataFrame, *by) -> DataFrame:
+    return nodes.groupBy(*KEY, *by).agg(F.array_sort(F.collect_list(F.struct("_b", "_t"))).alias("_kids"))
+
+
+def _walk(kids: Column, start: Column) -> Column:
+    """Struct of the state after all ``kids`` (``s``) and the state before each (``starts``)."""
+    acc = F.struct(start.alias("s"), F.array().cast(f"array<struct<_b:bigint,s:{_S}>>").alias("starts"))
+    return F.aggregate(kids, acc, lambda a, x: F.struct(
+        apply_to(x["_t"], a["s"]).alias("s"),
+        F.concat(a["starts"], F.array(F.struct(x["_b"].alias("_b"), a["s"].alias("s")))).alias("starts")))
+
+
+def _handed_down(walked: DataFrame) -> DataFrame:
+    return walked.select(*KEY, F.explode("_f.starts").alias("_st")).select(*KEY, F.col("_st._b").alias("_b"), F.col("_st.s").alias("_s0"))
+
+
+def fold_commands(valid: DataFrame, items: DataFrame | None, *, bucket_rows: int = 256, fanout: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(final lines, stateful rejections) for statically valid commands."""
+    leaves = shared_table(_leaves(valid, bucket_rows), "leaves")
+    nodes = leaves.select(*KEY, "_b", "_t")
+    # levels above the leaves of long lines; each node keeps its children for the way down
+    levels: list[DataFrame] = []
+    sizes = nodes.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fanout)
+    long = shared_table(sizes.select(*KEY), "long-lines")
+    short, tops = nodes, nodes
+    if not long.isEmpty():
+        short, level = nodes.join(long, KEY, "left_anti"), nodes.join(long, KEY, "left_semi")
+        while True:
+            parents = _children(level.withColumn("_up", F.floor(F.col("_b") / fanout)), "_up").withColumnRenamed("_up", "_b")
+            parents = parents.withColumn("_t", F.aggregate("_kids", _identity().cast(_T), lambda acc, x: compose(acc, x["_t"]).cast(_T)))
+            levels.append(shared_table(parents, "level"))
+            level = levels[-1].select(*KEY, "_b", "_t")
+            if level.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > fanout).isEmpty():
+                break
+        tops = short.unionByName(level)
+    lines = _children(tops)
     absent = F.struct(F.lit(False).alias("present"), _lit_null("int").alias("qty"),
                       _lit_null("timestamp_ntz").alias("at")).cast(_S)
+    start = absent
     if items is not None:
         init = items.select(*KEY, F.struct(F.lit(True).alias("present"), F.col("quantity").cast("int").alias("qty"),
                                            F.col("added_at").cast("timestamp_ntz").alias("at")).cast(_S).alias("_init"))
         lines = lines.join(init, KEY, "full")
         start = F.coalesce(F.col("_init"), absent)
-    else:
-        start = absent
-    acc0 = F.struct(start.alias("s"), F.array().cast(f"array<struct<_b:bigint,s:{_S}>>").alias("starts"))
-    folded = lines.withColumn("_f", F.aggregate(
-        F.coalesce(F.col("_bs"), F.array().cast(f"array<struct<_b:bigint,_tb:{_T}>>")), acc0,
-        lambda acc, x: F.struct(apply_to(x["_tb"], acc["s"]).alias("s"),
-                                F.concat(acc["starts"], F.array(F.struct(x["_b"].alias("_b"), acc["s"].alias("s"))))
-                                .alias("starts"))))
-    final = folded.filter(F.col("_f.s.present")).select(
+    kids = F.coalesce(F.col("_kids"), F.array().cast(f"array<struct<_b:bigint,_t:{_T}>>"))
+    walked = lines.withColumn("_f", _walk(kids, start)).select(*KEY, "_f")
+    if levels:
+        walked = shared_table(walked, "walked")
+    final = walked.filter(F.col("_f.s.present")).select(
         *KEY, F.col("_f.s.qty").alias("quantity"), F.col("_f.s.at").alias("added_at"))
-    # rejections: replay each bucket from its start state
-    starts = folded.select(*KEY, F.explode("_f.starts").alias("_st")).select(
-        *KEY, F.col("_st._b").alias("_b"), F.col("_st.s").alias("_s0"))
-    replay = per_bucket.join(starts, [*KEY, "_b"], "inner")
+    starts = _handed_down(walked)
+    if levels:
+        below = starts.join(long, KEY, "left_semi")
+        for level in reversed(levels):
+            below = _handed_down(level.join(below, [*KEY, "_b"]).select(*KEY, _walk(F.col("_kids"), F.col("_s0")).alias("_f")))
+        starts = starts.join(long, KEY, "left_anti").unionByName(below)
+    # rejections: replay each leaf from its start state
+    replay = leaves.select(*KEY, "_b", "_cmds").join(starts, [*KEY, "_b"], "inner")
     acc1 = F.struct(F.col("_s0").alias("s"), F.array().cast("array<struct<seq:bigint,op:string>>").alias("rej"))
     rep = replay.withColumn("_r", F.aggregate(
         "_cmds", acc1,

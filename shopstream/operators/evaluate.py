@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+import functools
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +46,30 @@ def coverage(preds: DataFrame, vocab: DataFrame, *, k: int = 10) -> DataFrame:
         F.round(F.col("recommended_items") / F.col("vocab_items"), METRIC_DECIMALS).alias("coverage"))
 
 
+def judge_trials(cube: DataFrame, prior: DataFrame, targets: DataFrame, trials: Sequence[tuple[int, float]], *, k: int = 10,
+                 key: str = "user_session", prefix_col: str = "prefix") -> DataFrame:
+    """M7: (trial, max_lag, decay, sessions, recall, ndcg) of all (max_lag, decay) settings, from one fit and in one plan.
+
+    Each trial has its own sources: source s of trial t is t * 2^32 + s in the model and in
+    the prefixes, so one ranking of (session, trial) keys judges them all.
+    """
+    from shopstream.operators.model import from_cube, normalize
+    from shopstream.operators.ranking import build_postings, rank_sessions
+    shift = lambda t, c: F.lit(t << 32) + F.col(c)
+    models = [normalize(from_cube(cube, max_lag=lag, decay=decay)).select(shift(t, "src").alias("src"), "dst", "p") for t, (lag, decay) in enumerate(trials)]
+    model = functools.reduce(DataFrame.unionByName, models)
+    settings = F.array(*[F.struct(F.lit(t).alias("trial"), F.lit(lag).alias("max_lag"), F.lit(float(decay)).alias("decay")) for t, (lag, decay) in enumerate(trials)])
+    rows = targets.select(key, prefix_col, "target", F.inline(settings))
+    rows = rows.withColumn("tokens", F.transform(prefix_col, lambda s: F.col("trial").cast("long") * F.lit(1 << 32) + s)).withColumn("one", F.struct(key, "trial"))
+    best = rank_sessions(rows.select("one", "tokens", "max_lag", "decay"), build_postings(model, prior), k=k, key="one", tokens="tokens",
+                         max_lag=F.col("max_lag"), decay=F.col("decay"))
+    hits = rows.select("one", "target", "trial", "max_lag", "decay").join(best.select("one", F.col("token_id").alias("target"), "rank"), ["one", "target"], "left")
+    gain = F.when(F.col("rank").isNotNull(), 1.0 / F.log2(F.col("rank") + 1)).otherwise(0.0)
+    return hits.groupBy("trial", "max_lag", "decay").agg(
+        F.count(F.lit(1)).alias("sessions"), F.round(F.avg(F.col("rank").isNotNull().cast("double")), METRIC_DECIMALS).alias("recall"),
+        F.round(F.avg(gain), METRIC_DECIMALS).alias("ndcg"))
+
+
 def select_model(grid: Iterable[dict], evaluate: Callable[[dict], float], *,
                  patience: int = EARLY_STOPPING_PATIENCE) -> tuple[dict | None, float, list[tuple[dict, float]]]:
     """M7: walk ``grid`` in order, keep the best validation score (strict improvement),

@@ -14,7 +14,7 @@ of the sessions when the vocabulary is frozen (``alpha=1``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopstream.constants import DEFAULT_TOP_K, MAX_SEQ_LEN, NUM_SPECIAL_TOKENS
@@ -47,6 +47,17 @@ def fit_transitions(encoded: DataFrame, *, max_lag: int = DEFAULT_MAX_LAG, decay
         F.count(F.lit(1)).alias("n"))
 
 
+def fit_cube(encoded: DataFrame, *, max_lag: int = DEFAULT_MAX_LAG, seq_col: str = "token_seq") -> DataFrame:
+    """M7: (src, dst, lag, n): pair counts kept apart by lag, from which any smaller lag and any decay follow."""
+    return lag_pairs(encoded, max_lag=max_lag, seq_col=seq_col).groupBy("src", "dst", "lag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def from_cube(cube: DataFrame, *, max_lag: int, decay: float) -> DataFrame:
+    """The transitions that ``fit_transitions`` counts with these settings."""
+    return cube.where(F.col("lag") <= max_lag).groupBy("src", "dst").agg(
+        F.sum(F.col("n") * F.pow(F.lit(float(decay)), F.col("lag") - 1)).alias("weight"), F.sum("n").alias("n"))
+
+
 def fit_prior(encoded: DataFrame, *, seq_col: str = "token_seq") -> DataFrame:
     """Item prior: (dst, prior_n) = how often a token is a next item (positions >= 2)."""
     s = encoded.filter(F.size(seq_col) >= 2)
@@ -169,22 +180,64 @@ def recommend_enriched(recs: DataFrame, products: DataFrame, key: str = "user_se
         key, "rank", "product_id", "display_name", "brand", "category_top", "price", "image_ref")
 
 
+STEPS = (2654435761, 2246822519, 3266489917, 4294967291)  # primes above 2^31, coprime to every octave's size
+
+
+def octaves(domain: int, n: int) -> list[tuple[int, int, int]]:
+    """(first rank, size, draws) of each octave of 0 .. domain-1: equal draws from each, small octaves whole.
+
+    Octave j holds the ranks 2^j - 1 to 2^(j+1) - 2, which a log-uniform draw hits equally
+    often; what a small octave cannot give is drawn from the larger ones.  The draws add up
+    to min(n, domain).
+    """
+    sizes, first = [], 0
+    while first < domain:
+        sizes.append(min(first + 1, domain - first))
+        first += sizes[-1]
+    left, out = min(n, domain), []
+    order = sorted(range(len(sizes)), key=lambda j: (sizes[j], j))
+    draws = [0] * len(sizes)
+    for done, j in enumerate(order):
+        draws[j] = min(sizes[j], left // (len(order) - done))
+        left -= draws[j]
+    first = 0
+    for size, d in zip(sizes, draws):
+        out.append((first, size, d))
+        first += size
+    return out
+
+
 def sample_negatives(pairs: DataFrame, vocab_size: int, *, n: int = 100, seed: int = 42,
                      include_special: bool = False, key: str = "user_session") -> DataFrame:
-    """Per training pair, ``n`` log-uniform negative token ids, never the target.
-
-    Token ids are frequency-ordered, so a log-uniform draw over ranks favours
-    popular items: rank = floor(exp(u * ln(R + 1))) - 1 with u from a hash of
-    (pair, i, seed).  Drawn ids equal to the target are dropped (so a pair can
-    get slightly fewer than ``n``).  ``include_special=True`` draws over
-    0..V+2 like a sampler over the whole output layer.
+    """Per training pair, ``n`` distinct negative token ids, log-uniform over ranks, never the target.
+
+    Token ids are frequency-ordered, so log-uniform draws favour popular items.  The ranks
+    without the target's are split into ``octaves``; within each the draws are the first
+    values of a permutation keyed by (pair, octave, seed): x -> (step * x + shift) mod size,
+    which is one as the steps are primes beyond any size.  So draws are distinct without
+    rejection: exactly ``n`` of them, or all other ids where there are fewer.
+    ``include_special=True`` draws over 0..V+2 like a sampler over the whole output layer.
+    Returns (key, pos, target, i, neg), i from 0.
     """
     base = 0 if include_special else NUM_SPECIAL_TOKENS
-    R = vocab_size + (NUM_SPECIAL_TOKENS if include_special else 0)
-    draws = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(
-        i.alias("i"),
-        (F.lit(base) + F.floor(F.exp(
-            F.pmod(F.xxhash64(F.col(key), F.col("pos"), i, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-            * F.log(F.lit(float(R + 1)))) - 1).cast("int")).alias("neg")))
-    ex = pairs.select(key, "pos", "target", F.inline(draws))
-    return ex.filter(F.col("neg") != F.col("target")).select(key, "pos", "target", "i", "neg")
+    ranks = vocab_size + (NUM_SPECIAL_TOKENS if include_special else 0)
+    own = F.col("target") - base  # the target's rank, outside the domain for special targets
+    inside = own.between(0, ranks - 1)
+
+    def plan(domain: int) -> Column:
+        rows, done = [], 0
+        for j, (first, size, draws) in enumerate(octaves(domain, n)):
+            if draws:
+                rows.append(F.struct(*[F.lit(v).cast("long").alias(c) for c, v in (("j", j), ("first", first), ("size", size), ("draws", draws), ("done", done))]))
+                done += draws
+        return F.array(*rows) if rows else F.array().cast("array<struct<j:bigint,first:bigint,size:bigint,draws:bigint,done:bigint>>")
+
+    digest = lambda o: F.md5(F.concat_ws(":", F.col(key).cast("string"), F.col("pos").cast("string"), o["j"].cast("string"), F.lit(str(seed))))
+    number = lambda d, a: F.conv(F.substring(d, a, 8), 16, 10).cast("long")
+    step = lambda d: F.element_at(F.array(*[F.lit(s) for s in STEPS]), (number(d, 9) % len(STEPS) + 1).cast("int"))
+    drawn = F.flatten(F.transform(F.when(inside, plan(ranks - 1)).otherwise(plan(ranks)), lambda o: F.transform(
+        F.sequence(F.lit(0).cast("long"), o["draws"] - 1),
+        lambda x: F.struct((o["done"] + x).cast("int").alias("i"), (o["first"] + (step(digest(o)) * x + number(digest(o), 1)) % o["size"]).alias("r")))))
+    rows = pairs.select(key, "pos", "target", F.inline(drawn))
+    skipped = F.when(inside & (F.col("r") >= own), F.col("r") + 1).otherwise(F.col("r"))
+    return rows.select(key, "pos", "target", "i", (skipped + base).cast("int").alias("neg"))

@@ -80,14 +80,15 @@ def build_postings(model: DataFrame, prior: DataFrame) -> Postings:
     return Postings(heads, tails, shared_table(entries, "entries"), prior)
 
 
-def recent_sources(sessions: DataFrame, tokens: str, *, key: str, max_lag: int, decay: float, keep: tuple[str, ...] = ()) -> DataFrame:
+def recent_sources(sessions: DataFrame, tokens: str, *, key: str, max_lag: int | Column, decay: float | Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """(key, src, weight, ...): weight sums decay^(lag-1) over the places of src among the last ``max_lag`` items."""
+    max_lag, decay = (v if isinstance(v, Column) else F.lit(v) for v in (max_lag, decay))
     last = F.reverse(F.slice(tokens, F.greatest(F.size(tokens) - max_lag + 1, F.lit(1)), max_lag))
     rows = sessions.where(F.size(tokens) > 0).withColumn("_last", last)
     weighted = F.transform(F.array_distinct("_last"), lambda s: F.struct(
         s.alias("src"),
         F.aggregate(F.sequence(F.lit(1), F.size("_last")), F.lit(0.0),
-                    lambda total, lag: total + F.when(F.element_at("_last", lag) == s, F.pow(F.lit(float(decay)), lag - 1)).otherwise(0.0)).alias("weight")))
+                    lambda total, lag: total + F.when(F.element_at("_last", lag) == s, F.pow(decay.cast("double"), lag - 1)).otherwise(0.0)).alias("weight")))
     return rows.select(key, *keep, F.inline(weighted))
 
 
@@ -161,15 +162,16 @@ def _popular(postings: Postings, sessions: DataFrame, *, k: int, key: str, mask:
     return near.unionByName(far)
 
 
-def rank_sessions(sessions: DataFrame, postings: Postings, *, k: int, key: str, tokens: str, max_lag: int, decay: float,
+def rank_sessions(sessions: DataFrame, postings: Postings, *, k: int, key: str, tokens: str, max_lag: int | Column, decay: float | Column,
                   mask: bool = False, seen: DataFrame | None = None) -> DataFrame:
     """(key, rank, token_id, score): the ``k`` best items of each session (``key`` is unique).
 
     Items that follow none of the recent items have score 0 and rank by popularity.
     Rank order: rounded score desc, prior desc, token asc.  ``mask`` leaves out special
-    tokens, ``seen`` (key, dst) what a session is not to be shown.
+    tokens, ``seen`` (key, dst) what a session is not to be shown.  ``max_lag`` and ``decay``
+    may be columns of ``sessions``.
     """
-    rows = sessions.select(key, tokens)
+    rows = sessions
     own = F.lit(0)
     if seen is not None:
         seen = seen.select(key, "dst").distinct()

@@ -75,11 +75,23 @@ def split_frames(sessions: DataFrame, **kw) -> tuple[DataFrame, DataFrame, DataF
     return tuple(s.filter(F.col("split") == name).drop("split") for name in ("train", "val", "test"))
 
 
-def rolling_window(events: DataFrame, *, days: float, time_col: str = "event_time") -> DataFrame:
-    """Events within the last ``days`` before the latest event (inclusive bound)."""
-    mx = events.agg(F.max(time_col).alias("_max"))
-    cut = F.col("_max") - F.make_dt_interval(secs=F.lit(float(days) * 86400.0))
-    return events.crossJoin(F.broadcast(mx)).filter(F.col(time_col) >= cut).drop("_max")
+def rolling_window(events: DataFrame, *, days: float, time_col: str = "event_time", day_col: str | None = None) -> DataFrame:
+    """Events within the last ``days`` before the latest event (inclusive bound).
+
+    The latest time is one value, found first, so the bound is a literal that reaches the
+    scan.  ``day_col`` names the partition column of a day-partitioned table: the latest time
+    is then looked for in the last day only, and only the days of the window are read.
+    """
+    newest = events
+    if day_col:
+        last = events.where(F.col(time_col).isNotNull()).agg(F.max(day_col)).first()[0]
+        newest = events.where(F.col(day_col) == F.lit(str(last)).cast("date")) if last else events
+    start = F.max(time_col) - F.make_dt_interval(secs=F.lit(float(days) * 86400.0))
+    cut, day = newest.agg(start.cast("string"), F.to_date(start).cast("string")).first()  # as text: no time zone of the driver
+    if cut is None:
+        return events.filter(F.lit(False))
+    window = events.filter(F.col(time_col) >= F.lit(cut).cast(events.schema[time_col].dataType))
+    return window.filter(F.col(day_col) >= F.lit(day).cast("date")) if day_col else window
 
 
 def sample_key(key_col: str, seed: int):
@@ -91,11 +103,21 @@ def eval_sample(sessions: DataFrame, *, n: int, seed: int = 42, key: str = "user
     return sessions.orderBy(sample_key(key, seed), F.col(key)).limit(n)
 
 
+def shuffle_key(df: DataFrame, seed: int, key: str, extra_key: str | None):
+    parts = [key] + ([extra_key] if extra_key and extra_key in df.columns else [])
+    return F.md5(F.concat_ws(":", *[F.col(p).cast("string") for p in parts], F.lit(str(seed))))
+
+
 def shuffle_rows(df: DataFrame, *, seed: int = 42, key: str = "user_session", num_partitions: int | None = None,
                  extra_key: str | None = "pos") -> DataFrame:
     """T5: seeded global shuffle: range-partition and sort on a hash of the row key."""
-    parts = [key] + ([extra_key] if extra_key and extra_key in df.columns else [])
-    h = F.md5(F.concat_ws(":", *[F.col(p).cast("string") for p in parts], F.lit(str(seed))))
-    d = df.withColumn("_h", h)
+    d = df.withColumn("_h", shuffle_key(df, seed, key, extra_key))
     d = d.repartitionByRange(num_partitions, "_h") if num_partitions else d.repartitionByRange("_h")
     return d.sortWithinPartitions("_h").drop("_h")
+
+
+def shuffled_positions(df: DataFrame, *, seed: int = 42, key: str = "user_session", extra_key: str | None = "pos") -> DataFrame:
+    """T5: the rows with their place (``shuffled``, from 1) in the order of ``shuffle_rows``."""
+    from shopstream.functions.ordering import global_row_number
+    order = ["_h", key] + ([extra_key] if extra_key else [])
+    return global_row_number(df.withColumn("_h", shuffle_key(df, seed, key, extra_key)), order, "shuffled").drop("_h")

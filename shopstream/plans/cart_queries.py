@@ -20,6 +20,13 @@ def cart_view_q(spark, sf_dir):
     return v.withColumn("price", F.col("price").cast("double")).withColumn("line_total", F.col("line_total").cast("double"))
 
 
+@query("cart_lines")
+def cart_lines_q(spark, sf_dir):
+    """The lines of each cart in their order."""
+    v = cart.numbered_lines(cart.cart_view(fx.cart_items(spark, sf_dir), stored_catalog(spark, sf_dir)))
+    return v.select("cart_id", "line_no", "product_id", "quantity")
+
+
 @query("cart_totals")
 def cart_totals_q(spark, sf_dir):
     return cart.cart_totals(cart.cart_view(fx.cart_items(spark, sf_dir), stored_catalog(spark, sf_dir)))

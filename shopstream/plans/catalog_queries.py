@@ -10,7 +10,7 @@ from shopstream.functions.text import category_label, humanize, price_label
 from shopstream.operators import catalog as cat
 from shopstream.operators import storefront as sf
 from shopstream.plans.registry import query
-from shopstream.session import checkpoint_dir
+from shopstream.session import checkpoint_dir, stored_path
 from shopstream.sources import fixtures as fx
 
 UPSERT_CUTOFF = "1999-01-01 00:00:00"
@@ -27,29 +27,11 @@ FIXTURE_LEAF_POOLS = [("economy", "ring", 6), ("small", "bolt", 6)]
 FIXTURE_CATEGORY_POOLS = [("economy", 8), ("small", 8), ("medium", 8), ("promo", 8), ("generic", 8)]
 
 
-_STORES: dict[tuple, str] = {}  # stored catalogs of this application, by source tables and their state
-
-
 def stored_catalog(spark, sf_dir):
     """The products table of X2, stored: built once an application and state of its source tables, then only scanned."""
-    key = (spark.sparkContext.applicationId, checkpoint_dir(spark), source_state(spark, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")]))
-    if key not in _STORES:
-        root = f"{checkpoint_dir(spark).rstrip('/')}/shopstream-catalog-{uuid.uuid4().hex}"
-        cat.CatalogStore(spark, root, order=fx.BASKET_LATEST_ORDER).add(fx.baskets(spark, sf_dir), 0)
-        _STORES[key] = root
-    return cat.CatalogStore(spark, _STORES[key]).products()
-
-
-def source_state(spark, paths):
-    """(path, bytes, newest change) of tables: another load gives another state."""
-    conf, Path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
-    out = []
-    for path in paths:
-        p = Path(path)
-        fs = p.getFileSystem(conf)
-        files = fs.listStatus(p)
-        out.append((path, fs.getContentSummary(p).getLength(), max([f.getModificationTime() for f in files], default=0), len(files)))
-    return tuple(out)
+    root = stored_path(spark, "catalog", [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")],
+                       lambda folder: cat.CatalogStore(spark, folder, order=fx.BASKET_LATEST_ORDER).add(fx.baskets(spark, sf_dir), 0))
+    return cat.CatalogStore(spark, root).products()
 
 
 def fixture_pools(spark):

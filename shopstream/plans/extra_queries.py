@@ -8,7 +8,7 @@ from shopstream.operators import similarity as sim
 from shopstream.operators import storefront as sf
 from shopstream.operators import vocab as voc
 from shopstream.plans.registry import query
-from shopstream.plans.session_queries import CLICK_VOCAB_SIZE, click_sessions
+from shopstream.plans.session_queries import CLICK_VOCAB_SIZE, click_sessions, stored_clicks
 from shopstream.sources import fixtures as fx
 
 KNN_K = 5
@@ -20,7 +20,7 @@ def _click_vocab(spark, sf_dir):
 
 @query("recent_views")
 def recent_views_q(spark, sf_dir):
-    return sf.recent_views(fx.clicks(spark, sf_dir), order=fx.CLICK_ORDER)
+    return sf.recent_views(stored_clicks(spark, sf_dir), order=fx.CLICK_ORDER)
 
 
 @query("cold_start_route")

@@ -10,11 +10,12 @@ from shopstream.operators import sequences as seqops
 from shopstream.operators import vocab as voc
 from shopstream.plans.catalog_queries import stored_catalog
 from shopstream.plans.registry import query
-from shopstream.plans.session_queries import CLICK_TEST_DAYS, CLICK_VAL_DAYS, CLICK_VOCAB_SIZE, click_sessions
+from shopstream.plans.session_queries import CLICK_TEST_DAYS, CLICK_VAL_DAYS, CLICK_VOCAB_SIZE, click_sessions, stored_clicks
 from shopstream.session import shared_table
-from shopstream.sources import fixtures as fx
 
 K = 10
+TRIALS = ((1, 0.5), (3, 0.5), (20, 0.5), (20, 0.8))  # (max_lag, decay)
+NEGATIVES, NEGATIVE_SEED = 20, 42
 
 
 def _parts(spark, sf_dir):
@@ -94,11 +95,27 @@ def _all_model(spark, sf_dir):
 def recommend_q(spark, sf_dir):
     s, vocab, model, prior = _all_model(spark, sf_dir)
     # sessions are capped to their last items; what was seen before the cut is excluded too
-    return mdl.recommend(s, model, prior, vocab, k=K, history=fx.clicks(spark, sf_dir))
+    return mdl.recommend(s, model, prior, vocab, k=K, history=stored_clicks(spark, sf_dir))
 
 
 @query("recommend_enriched")
 def recommend_enriched_q(spark, sf_dir):
     s, vocab, model, prior = _all_model(spark, sf_dir)
-    recs = mdl.recommend(s, model, prior, vocab, k=K, history=fx.clicks(spark, sf_dir))
+    recs = mdl.recommend(s, model, prior, vocab, k=K, history=stored_clicks(spark, sf_dir))
     return mdl.recommend_enriched(recs, stored_catalog(spark, sf_dir))
+
+
+@query("trial_metrics")
+def trial_metrics_q(spark, sf_dir):
+    """All settings of a grid, judged on the validation sessions from one fit."""
+    _, _, enc = _parts(spark, sf_dir)
+    train = enc.filter(F.col("split") == "train")
+    cube = shared_table(mdl.fit_cube(train), "cube")
+    targets = seqops.eval_prefixes(enc.filter(F.col("split") == "val"), max_len=mdl.DEFAULT_MAX_LAG)
+    return ev.judge_trials(cube, shared_table(mdl.fit_prior(train), "prior"), targets, TRIALS, k=K)
+
+
+@query("negative_samples")
+def negative_samples_q(spark, sf_dir):
+    _, _, enc = _parts(spark, sf_dir)
+    return mdl.sample_negatives(seqops.training_pairs(enc), CLICK_VOCAB_SIZE, n=NEGATIVES, seed=NEGATIVE_SEED)

@@ -6,6 +6,8 @@ same Parquet files.  Adapters (FIXTURES.md) are repeated here as CTEs.
 
 from __future__ import annotations
 
+from shopstream.operators.model import STEPS, octaves
+
 ORACLES: dict[str, str] = {}
 
 
@@ -105,6 +107,7 @@ FROM l WHERE raw_len >= 2"""))
 oracle("sessions", w(SESSIONS, """
 SELECT user_session, start_time, array_to_string(product_seq, ' ') AS product_seq, session_len FROM sessions"""))
 
+oracle("sessions_stored", ORACLES["sessions"])
 oracle("session_len_describe", w(SESSIONS, """
 SELECT count(session_len) AS n, round(avg(session_len), 9) AS mean, round(stddev_samp(session_len), 9) AS std,
        min(session_len) AS min, quantile_cont(session_len, 0.25) AS p25, quantile_cont(session_len, 0.5) AS p50,
@@ -122,6 +125,13 @@ FROM l"""))
 
 # --- vocabulary and sequences ---------------------------------------------
 
+oracle("vocab_stored", w(CLICK_VOCAB, """
+SELECT product_id, token_id, n, 3 AS num_special_tokens, (SELECT count(*) FROM vocab) AS vocab_size FROM vocab"""))
+oracle("shuffled_rows", w(CLICK_ENCODED, """
+SELECT user_session, CAST(pos - 1 AS INTEGER) AS pos, CAST(tok AS INTEGER) AS target,
+       row_number() OVER (ORDER BY md5(concat_ws(':', user_session, CAST(pos - 1 AS INTEGER), 42)), user_session, pos) AS shuffled
+FROM c_tok WHERE pos >= 2"""))
+
 oracle("item_counts", w(SESSIONS, """
 SELECT product_id, count(*) AS n FROM (SELECT unnest(product_seq) AS product_id FROM sessions) GROUP BY product_id"""))
 
@@ -257,6 +267,12 @@ SELECT product_id, category_code, category_top, category_leaf, brand, CAST(price
 oracle("catalog", _CATALOG_SQL)
 oracle("catalog_incremental", _CATALOG_SQL)
 
+oracle("schema_violations", w(BASKETS, """,
+v AS (SELECT count(*) FILTER (WHERE l_linenumber <= 1) AS event_id, count(*) FILTER (WHERE event_time IS NULL) AS event_time,
+             count(*) FILTER (WHERE event_type IS NULL) AS event_type, count(*) FILTER (WHERE product_id IS NULL) AS product_id,
+             count(*) FILTER (WHERE l_suppkey IS NULL) AS user_id, count(*) FILTER (WHERE user_session IS NULL) AS user_session FROM baskets)
+SELECT "column", violations FROM (UNPIVOT v ON event_id, event_time, event_type, product_id, user_id, user_session INTO NAME "column" VALUE violations)"""))
+
 oracle("catalog_null_stats", w(PRODUCTS, """
 SELECT count(*) AS products, count(*) FILTER (WHERE category_code IS NULL) AS null_category,
        count(*) FILTER (WHERE brand IS NULL) AS null_brand,
@@ -386,6 +402,9 @@ oracle("cart_view", w(PRODUCTS + "," + CART_ITEMS + _VIEW, """
 SELECT cart_id, product_id, display_name, brand, CAST(price AS DOUBLE) AS price, image_ref, quantity,
        CAST(line_total AS DOUBLE) AS line_total, added_at FROM cart_view"""))
 
+oracle("cart_lines", w(PRODUCTS + "," + CART_ITEMS + _VIEW, """
+SELECT cart_id, CAST(row_number() OVER (PARTITION BY cart_id ORDER BY added_at, product_id) AS INTEGER) AS line_no, product_id, quantity FROM cart_view"""))
+
 oracle("cart_totals", w(PRODUCTS + "," + CART_ITEMS + _VIEW, """
 SELECT cart_id, CAST(sum(quantity) AS BIGINT) AS total_items, CAST(round(sum(line_total), 2) AS DOUBLE) AS total_price
 FROM cart_view GROUP BY cart_id"""))
@@ -465,11 +484,11 @@ tok AS (SELECT t.*, s.split FROM c_tok t JOIN ssplit s USING (user_session))"""
 MAX_LAG = 20  # items of a session that count
 
 
-def _transitions(name: str, where: str) -> str:
+def _transitions(name: str, where: str, max_lag: int = MAX_LAG, decay: float = 0.5) -> str:
     return f""",
 {name} AS (
-  SELECT a.tok AS src, b.tok AS dst, sum(pow(0.5, b.pos - a.pos - 1)) AS weight, count(*) AS n
-  FROM tok a JOIN tok b ON a.user_session = b.user_session AND b.pos - a.pos BETWEEN 1 AND {MAX_LAG}
+  SELECT a.tok AS src, b.tok AS dst, sum(pow({decay}, b.pos - a.pos - 1)) AS weight, count(*) AS n
+  FROM tok a JOIN tok b ON a.user_session = b.user_session AND b.pos - a.pos BETWEEN 1 AND {max_lag}
   WHERE {where} GROUP BY 1, 2
 )"""
 
@@ -483,13 +502,14 @@ def _model(name: str, trans: str) -> str:
 )"""
 
 
-TEST_EVAL = (MODEL_BASE + _transitions("tr", "a.split = 'train'") + _model("model", "tr") + f""",
+def _eval_on(split: str, max_lag: int = MAX_LAG, decay: float = 0.5) -> str:
+    return (MODEL_BASE + _transitions("tr", "a.split = 'train'", max_lag, decay) + _model("model", "tr") + f""",
 prior AS (SELECT tok AS dst, count(*) AS prior_n FROM tok WHERE split = 'train' AND pos >= 2 GROUP BY 1),
-tt AS (SELECT user_session, max(pos) AS n FROM tok WHERE split = 'test' GROUP BY 1 HAVING max(pos) >= 2),
+tt AS (SELECT user_session, max(pos) AS n FROM tok WHERE split = '{split}' GROUP BY 1 HAVING max(pos) >= 2),
 targets AS (SELECT t.user_session, k.tok AS target FROM tt t JOIN tok k ON k.user_session = t.user_session AND k.pos = t.n),
 recent AS (SELECT k.user_session, k.tok AS src, t.n - k.pos AS lag FROM tt t
-           JOIN tok k ON k.user_session = t.user_session AND k.pos < t.n AND t.n - k.pos <= {MAX_LAG}),
-scores AS (SELECT r.user_session, m.dst, sum(pow(0.5, r.lag - 1) * m.p) AS score
+           JOIN tok k ON k.user_session = t.user_session AND k.pos < t.n AND t.n - k.pos <= {max_lag}),
+scores AS (SELECT r.user_session, m.dst, sum(pow({decay}, r.lag - 1) * m.p) AS score
            FROM recent r JOIN model m USING (src) GROUP BY 1, 2),
 popular AS (SELECT dst FROM prior ORDER BY prior_n DESC, dst LIMIT 10),
 cand AS (SELECT user_session, dst, max(score) AS score FROM (
@@ -501,6 +521,9 @@ ranked AS (SELECT c.user_session, c.dst, round(c.score, 9) AS score,
            FROM cand c LEFT JOIN prior pr USING (dst)),
 preds AS (SELECT user_session, CAST(rank AS INTEGER) AS rank, dst AS token_id, score FROM ranked WHERE rank <= 10)""")
 
+
+TEST_EVAL = _eval_on("test")
+
 oracle("transitions", w(MODEL_BASE + _transitions("tr", "true"), "SELECT src, dst, weight, n FROM tr"))
 oracle("transitions_merge", w(MODEL_BASE + _transitions("tr", "true"), "SELECT src, dst, weight, n FROM tr"))
 oracle("item_prior", w(MODEL_BASE, """
@@ -511,6 +534,29 @@ SELECT count(*) AS sessions,
        coalesce(round(avg(CASE WHEN r.rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 9), 0.0) AS recall,
        coalesce(round(avg(CASE WHEN r.rank IS NOT NULL THEN 1.0 / log2(r.rank + 1) ELSE 0.0 END), 9), 0.0) AS ndcg
 FROM targets t LEFT JOIN preds r ON r.user_session = t.user_session AND r.token_id = t.target"""))
+_METRICS = """
+SELECT count(*) AS sessions,
+       round(avg(CASE WHEN r.rank IS NOT NULL THEN 1.0 ELSE 0.0 END), 9) AS recall,
+       round(avg(CASE WHEN r.rank IS NOT NULL THEN 1.0 / log2(r.rank + 1) ELSE 0.0 END), 9) AS ndcg
+FROM targets t LEFT JOIN preds r ON r.user_session = t.user_session AND r.token_id = t.target"""
+oracle("trial_metrics", "\nUNION ALL\n".join(
+    f"SELECT CAST({t} AS INTEGER) AS trial, CAST({lag} AS INTEGER) AS max_lag, CAST({decay} AS DOUBLE) AS decay, * FROM ({w(_eval_on('val', lag, decay), _METRICS)})"
+    for t, (lag, decay) in enumerate(((1, 0.5), (3, 0.5), (20, 0.5), (20, 0.8)))))
+
+# draws: the octaves of 60 ranks without the target's, or of all 60 where the target is a special token
+_PLANS = {m: ", ".join(f"({j}, {first}, {size}, {draws}, {sum(d for _, _, d in o[:j])})" for j, (first, size, draws) in enumerate(o) if draws)
+          for m, o in ((m, octaves(m, 20)) for m in (59, 60))}
+oracle("negative_samples", w(CLICK_ENCODED, f""",
+pairs AS (SELECT user_session, pos - 1 AS pos, tok AS target FROM c_tok WHERE pos >= 2),
+plan(m, j, first, size, draws, done) AS (SELECT 59, * FROM (VALUES {_PLANS[59]}) UNION ALL SELECT 60, * FROM (VALUES {_PLANS[60]})),
+d AS (SELECT p.*, o.*, md5(concat_ws(':', user_session, CAST(pos AS INTEGER), j, 42)) AS h
+      FROM pairs p JOIN plan o ON o.m = CASE WHEN target >= 3 THEN 59 ELSE 60 END),
+x AS (SELECT *, unnest(range(draws)) AS x FROM d),
+r AS (SELECT *, first + (list_extract([{', '.join(map(str, STEPS))}], CAST('0x' || substr(h, 9, 8) AS BIGINT) % 4 + 1) * x
+                         + CAST('0x' || substr(h, 1, 8) AS BIGINT)) % size AS r FROM x)
+SELECT user_session, CAST(pos AS INTEGER) AS pos, CAST(target AS INTEGER) AS target, CAST(done + x AS INTEGER) AS i,
+       CAST(3 + r + CASE WHEN target >= 3 AND r >= target - 3 THEN 1 ELSE 0 END AS INTEGER) AS neg
+FROM r"""))
 oracle("eval_popularity", w(TEST_EVAL, """
 SELECT count(*) AS sessions,
        coalesce(round(avg(CASE WHEN target BETWEEN 3 AND 12 THEN 1.0 ELSE 0.0 END), 9), 0.0) AS recall

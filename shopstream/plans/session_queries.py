@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from shopstream.functions.arrays import seq_string
@@ -9,9 +11,10 @@ from shopstream.operators import sequences as seqops
 from shopstream.operators import sessions as sess
 from shopstream.operators import vocab as voc
 from shopstream.plans.registry import query
-from shopstream.session import cut_lineage
+from shopstream.schemas import EVENTS, conform, validate_schema
+from shopstream.session import checkpoint_dir, cut_lineage, stored_once
 from shopstream.sources import fixtures as fx
-from shopstream.sources.parquet_io import export_window
+from shopstream.sources.parquet_io import export_window, read_sessions, write_sessions
 
 # Query parameters for the fixture tables (FIXTURES.md X1): 100 distinct
 # items, so a 60-token vocabulary exercises OTHER.
@@ -23,12 +26,18 @@ EXPORT_END = "2024-01-20 00:00:00"
 EXPORT_LIMIT = 1000
 ROLLING_DAYS = 7
 EVAL_SAMPLE_N = 200
+SHUFFLE_SEED = 42
+
+
+def stored_clicks(spark, sf_dir):
+    """The events of X1 with their session, stored: one pass over the source, read by everything that follows."""
+    return stored_once(spark, "clicks", [f"{sf_dir}/events.parquet"], lambda: fx.clicks(spark, sf_dir))
 
 
 def click_sessions(spark, sf_dir, *, materialize: bool = True):
     """Sessions of X1.  Queries that read them in several branches get them once,
     from a reliable checkpoint (plan cut after sessionising)."""
-    s = sess.build_sessions(fx.clicks(spark, sf_dir), order=fx.CLICK_ORDER)
+    s = sess.build_sessions(stored_clicks(spark, sf_dir), order=fx.CLICK_ORDER)
     return cut_lineage(s) if materialize else s
 
 
@@ -72,7 +81,7 @@ def sessions_raw(spark, sf_dir):
 
 @query("session_len_cap")
 def session_len_cap(spark, sf_dir):
-    return sess.length_cap(sess.session_stats(fx.clicks(spark, sf_dir), order=fx.CLICK_ORDER))
+    return sess.length_cap(sess.session_stats(stored_clicks(spark, sf_dir), order=fx.CLICK_ORDER))
 
 
 @query("sessions")
@@ -89,7 +98,7 @@ def session_len_describe(spark, sf_dir):
 
 @query("dataset_profile")
 def dataset_profile(spark, sf_dir):
-    return sess.dataset_profile(fx.clicks(spark, sf_dir))
+    return sess.dataset_profile(stored_clicks(spark, sf_dir))
 
 
 @query("item_counts")
@@ -145,5 +154,39 @@ def eval_sample_q(spark, sf_dir):
 
 @query("rolling_window")
 def rolling_window_q(spark, sf_dir):
-    r = seqops.rolling_window(fx.clicks(spark, sf_dir), days=ROLLING_DAYS)
+    r = seqops.rolling_window(stored_clicks(spark, sf_dir), days=ROLLING_DAYS)
     return r.select("user_session", "event_time", "event_id", "product_id")
+
+
+@query("sessions_stored")
+def sessions_stored_q(spark, sf_dir):
+    """Sessions written and read back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/shopstream-sessions-{uuid.uuid4().hex}"
+    write_sessions(click_sessions(spark, sf_dir, materialize=False), path)
+    s = read_sessions(spark, path)
+    return s.select("user_session", "start_time", seq_string("product_seq").alias("product_seq"), "session_len")
+
+
+@query("vocab_stored")
+def vocab_stored_q(spark, sf_dir):
+    """The vocabulary written, read back, with its metadata."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/shopstream-vocab-{uuid.uuid4().hex}"
+    voc.save_vocab(click_vocab(spark, sf_dir, click_sessions(spark, sf_dir, materialize=False)), path)
+    v = voc.load_vocab(spark, path)
+    return v.crossJoin(F.broadcast(voc.vocab_metadata(v).select("num_special_tokens", "vocab_size")))  # one row
+
+
+@query("schema_violations")
+def schema_violations_q(spark, sf_dir):
+    """Basket events, cast to the events schema, and their NOT NULL violations."""
+    b = fx.baskets(spark, sf_dir)
+    events = conform(b.select("user_session", "event_time", "event_type", "product_id", "category_code", "price", F.col("brand"),
+                              F.col("l_suppkey").alias("user_id"), F.when(F.col("l_linenumber") > 1, F.col("l_orderkey")).alias("event_id")), EVENTS)
+    return validate_schema(events, EVENTS)
+
+
+@query("shuffled_rows")
+def shuffled_rows_q(spark, sf_dir):
+    """T5: training pairs in seeded random order."""
+    p = seqops.training_pairs(click_encoded(spark, sf_dir)).select("user_session", "pos", "target")
+    return seqops.shuffled_positions(p, seed=SHUFFLE_SEED)

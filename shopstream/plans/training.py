@@ -3,8 +3,8 @@
 Each stage is a lazy DataFrame plan; sessions and the fitted counts are cut
 with a reliable checkpoint (the plan boundaries of the original batch job).
 Model selection walks a small grid of (max_lag, decay) settings with early
-stopping on validation Recall@k; every trial is one Spark job returning one
-number.  ``refresh`` is the warm start: fit only the new window with the old
+stopping on validation Recall@k; pairs are counted once, apart by lag, and all
+settings are judged from these counts in one plan.  ``refresh`` is the warm start: fit only the new window with the old
 vocabulary frozen and merge the counts.
 """
 
@@ -24,7 +24,8 @@ from shopstream.operators import vocab as voc
 from shopstream.session import cut_lineage
 
 DEFAULT_GRID = ({"max_lag": 1, "decay": 0.5}, {"max_lag": 2, "decay": 0.5}, {"max_lag": 3, "decay": 0.5},
-                {"max_lag": 5, "decay": 0.5})
+                {"max_lag": 5, "decay": 0.5}, {"max_lag": 10, "decay": 0.5}, {"max_lag": mdl.DEFAULT_MAX_LAG, "decay": 0.5},
+                {"max_lag": mdl.DEFAULT_MAX_LAG, "decay": 0.8})
 
 
 @dataclass
@@ -40,7 +41,7 @@ class TrainResult:
 
 
 def _metrics(enc: DataFrame, split: str, model: DataFrame, prior: DataFrame, params: dict, k: int) -> DataFrame:
-    targets = seqops.eval_prefixes(enc.filter(F.col("split") == split), max_len=20)
+    targets = seqops.eval_prefixes(enc.filter(F.col("split") == split), max_len=mdl.DEFAULT_MAX_LAG)
     preds = mdl.score_sessions(targets, model, prior, k=k, max_lag=params["max_lag"], decay=params["decay"])
     return ev.recall_ndcg(preds, targets, k=k)
 
@@ -60,16 +61,25 @@ def train(events: DataFrame, *, order=("event_time", "event_id"), vocab_size: in
     vocab = cut_lineage(voc.build_vocab(vocab_src, size=vocab_size))
     enc = cut_lineage(voc.encode(split, vocab))
     train_enc = enc.filter(F.col("split") == "train")
-    prior = mdl.fit_prior(train_enc)
-    fitted = {}
+    prior = cut_lineage(mdl.fit_prior(train_enc))
+    cube = cut_lineage(mdl.fit_cube(train_enc, max_lag=max(p["max_lag"] for p in grid)))
+    if top_m is None:
+        targets = seqops.eval_prefixes(enc.filter(F.col("split") == "val"), max_len=mdl.DEFAULT_MAX_LAG)
+        judged = ev.judge_trials(cube, prior, targets, [(p["max_lag"], p["decay"]) for p in grid], k=k)
+        recall = {r["trial"]: r["recall"] for r in judged.select("trial", "recall").collect()}  # a row a trial
+    else:  # truncated models are ranked one by one
+        recall = {}
+
+    def fitted(params: dict) -> DataFrame:
+        return mdl.from_cube(cube, max_lag=params["max_lag"], decay=params["decay"])
 
     def val_score(params: dict) -> float:
-        t = cut_lineage(mdl.fit_transitions(train_enc, max_lag=params["max_lag"], decay=params["decay"]))
-        fitted[(params["max_lag"], params["decay"])] = t
-        return _metrics(enc, "val", mdl.normalize(t, top_m=top_m), prior, params, k).first()["recall"]
+        if top_m is None:
+            return recall.get(list(grid).index(params), 0.0)  # no validation sessions: no hits
+        return _metrics(enc, "val", mdl.normalize(fitted(params), top_m=top_m), prior, params, k).first()["recall"]
 
     best, best_score, history = ev.select_model(grid, val_score, patience=patience)
-    t = fitted[(best["max_lag"], best["decay"])]
+    t = cut_lineage(fitted(best))
     test = _metrics(enc, "test", mdl.normalize(t, top_m=top_m), prior, best, k).first().asDict()
     pop = ev.popularity_recall(seqops.eval_prefixes(enc.filter(F.col("split") == "test")), k=k).first()["recall"]
     return TrainResult(best, best_score, test, pop, history, t, prior, vocab)

@@ -81,3 +81,35 @@ def shared_table(df, name: str = "table"):
     path = f"{checkpoint_dir(spark).rstrip('/')}/shopstream-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STORED: dict[tuple, str] = {}  # tables of this application that were stored once, by their sources and the state of these
+
+
+def source_state(spark, paths: list[str]) -> tuple:
+    """(path, bytes, newest change, files) of tables: another load gives another state."""
+    conf, Path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    out = []
+    for path in paths:
+        p = Path(path)
+        fs = p.getFileSystem(conf)
+        files = fs.listStatus(p)
+        out.append((path, fs.getContentSummary(p).getLength(), max([f.getModificationTime() for f in files], default=0), len(files)))
+    return tuple(out)
+
+
+def stored_path(spark, name: str, sources: list[str], write) -> str:
+    """Folder of a table derived from ``sources``, made by ``write(folder)`` once an application and state of the sources."""
+    folder = checkpoint_dir(spark).rstrip("/")
+    key = (spark.sparkContext.applicationId, folder, name, source_state(spark, sources))
+    if key not in _STORED:
+        path = f"{folder}/shopstream-{name}-{uuid.uuid4().hex}"
+        write(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
+def stored_once(spark, name: str, sources: list[str], build):
+    """``build()`` as Parquet, written once an application and state of its sources, then only read."""
+    path = stored_path(spark, name, sources, lambda folder: build().write.parquet(folder))
+    return spark.read.parquet(path)

@@ -99,6 +99,46 @@ def test_negatives(spark):
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
 
+def test_negatives_are_exactly_n_and_distinct(spark):
+    pairs = spark.createDataFrame([(f"s{i}", 1 + i % 3, t) for i in range(40) for t in (2, 3, 9, 14)], "user_session string, pos int, target int")
+    for vocab_size, n, special in ((12, 5, False), (12, 11, False), (12, 50, False), (12, 14, True), (1, 3, False), (100_000, 100, False)):
+        by = {}
+        for r in mdl.sample_negatives(pairs, vocab_size, n=n, include_special=special).collect():
+            by.setdefault((r.user_session, r.pos, r.target), []).append((r.i, r.neg))
+        low, high = (0, vocab_size + 3) if special else (3, vocab_size + 3)
+        for (s, p, target), draws in by.items():
+            others = high - low - (low <= target < high)
+            assert sorted(i for i, _ in draws) == list(range(min(n, others)))
+            negs = {d for _, d in draws}
+            assert len(negs) == len(draws) and target not in negs and all(low <= d < high for d in negs)
+        assert len(by) == 160 or vocab_size == 1
+    some = {tuple(sorted(r.neg for r in mdl.sample_negatives(pairs.where(f"user_session = 's{i}' AND target = 9"), 1000, n=20).collect())) for i in range(5)}
+    assert len(some) == 5  # keyed by the pair
+
+
+def test_cube_gives_every_fit(spark):
+    e = enc(spark, [[3, 4, 5, 3, 4, 7, 7, 2], [5, 6], [2, 3, 2, 9, 9, 9, 4]])
+    cube = mdl.fit_cube(e, max_lag=6)
+    for lag, decay in ((1, 0.5), (3, 0.9), (6, 0.25)):
+        got, want = as_dict(mdl.from_cube(cube, max_lag=lag, decay=decay)), as_dict(mdl.fit_transitions(e, max_lag=lag, decay=decay))
+        assert got.keys() == want.keys() and all(abs(got[k][0] - want[k][0]) < 1e-12 and got[k][1] == want[k][1] for k in want)
+
+
+def test_trials_judged_together_equal_trials_one_by_one(spark):
+    import random
+    rng = random.Random(4)
+    seqs = [[rng.choice([2, 3, 3, 4, 5, 6, 7, 8, 9]) for _ in range(rng.randint(2, 12))] for _ in range(60)]
+    e = enc(spark, seqs)
+    prior = mdl.fit_prior(e)
+    targets = spark.createDataFrame([(f"t{i}", s[:-1], s[-1]) for i, s in enumerate(seqs[:30])], "user_session string, prefix array<int>, target int")
+    trials = ((1, 0.5), (3, 0.5), (20, 0.9))
+    got = {r.trial: (r.max_lag, r.decay, r.sessions, r.recall, r.ndcg) for r in ev.judge_trials(mdl.fit_cube(e), prior, targets, trials, k=3).collect()}
+    for t, (lag, decay) in enumerate(trials):
+        model = mdl.normalize(mdl.fit_transitions(e, max_lag=lag, decay=decay))
+        one = ev.recall_ndcg(mdl.score_sessions(targets, model, prior, k=3, max_lag=lag, decay=decay), targets, k=3).first()
+        assert got[t] == (lag, decay, one.sessions, one.recall, one.ndcg)
+
+
 def test_select_model_patience():
     scores = {1: 0.1, 2: 0.3, 3: 0.3, 4: 0.2, 5: 0.9}
     best, s, hist = ev.select_model([{"lag": i} for i in range(1, 6)], lambda p: scores[p["lag"]], patience=2)

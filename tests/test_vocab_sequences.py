@@ -79,3 +79,18 @@ def test_shuffle_rows_is_a_permutation(spark):
     sh = seqops.shuffle_rows(p, seed=7, num_partitions=4)
     assert sorted(map(tuple, sh.select("user_session", "pos").collect())) == \
         sorted(map(tuple, p.select("user_session", "pos").collect()))
+
+
+def test_rolling_window_reads_only_its_days(spark, tmp_dir):
+    import datetime as dt
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=5 * i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, event_time timestamp_ntz").withColumn("day", F.to_date("event_time"))
+    df.write.partitionBy("day").parquet(tmp_dir + "/t")
+    stored = spark.read.parquet(tmp_dir + "/t")
+    want = sorted(i for i, t in rows if t >= rows[-1][1] - dt.timedelta(days=2.5))
+    for got in (seqops.rolling_window(df, days=2.5), seqops.rolling_window(stored, days=2.5, day_col="day")):
+        assert sorted(r.event_id for r in got.collect()) == want
+    plan = seqops.rolling_window(stored, days=2.5, day_col="day")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan and "GreaterThanOrEqual(event_time" in plan
+    assert seqops.rolling_window(df.limit(0), days=1).count() == 0
+    assert seqops.rolling_window(stored.limit(0), days=1, day_col="day").count() == 0
