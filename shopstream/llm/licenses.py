@@ -11,7 +11,8 @@ convention; a rule takes each place where its identifiers follow one another (ot
 may stand between), and what it took is not seen by later rules.
 
 All of it happens in the document's own row: no shuffle, no join.  The known sentences and
-rules are short tables (at most ``MAX_ENTRIES`` each), carried as literals.
+rules are tables of any length, carried as literals.  A text is looked at closely only if it
+holds one of the sentences' longest words, which every known sentence in it would bring.
 
 Defined results: null, empty or licence-free texts give an empty list and no identifiers;
 repeated rows are returned each; a licence that matches several times is listed once;
@@ -26,8 +27,6 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ENTRIES = 200
-
 # fixed values: sentences of well-known licences and notices, and their identifiers
 SENTENCES = {
     "mit-title": "The MIT License",
@@ -49,6 +48,22 @@ SENTENCES = {
     "gpl3-spdx": "SPDX-License-Identifier: GPL-3.0-only",
     "gpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-hope": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    "gpl2-free": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "agpl-free": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl21-free": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-free": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-hope": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+    "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "unlicense-free": "This is free and unencumbered software released into the public domain.",
+    "boost-notice": "Distributed under the Boost Software License, Version 1.0.",
+    "bsd-endorse-holder": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-endorse-holders": "Neither the names of the copyright holders nor the names of their contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-endorse-author": "The name of the author may not be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-endorse-university": "Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "bsd-endorse-project": "Neither the name of the project nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "bsd-redistribution": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
@@ -65,14 +80,55 @@ RULES = [
     ("MIT", ["mit-grant", "mit-condition"]),
     ("Apache-2.0", ["apache2-notice-long", "apache2-use", "apache2-copy"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
+    ("GPL-2.0-or-later", ["gpl2-free", "gpl-hope"]),
+    ("AGPL-3.0-or-later", ["agpl-free", "gpl-hope"]),
+    ("LGPL-2.1-or-later", ["lgpl21-free", "lgpl-hope"]),
+    ("LGPL-3.0-or-later", ["lgpl3-free", "lgpl-hope"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse-holder"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse-holders"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse-author"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse-university"]),
+    ("BSD-3-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary", "bsd-endorse-project"]),
     ("BSD-2-Clause", ["bsd-redistribution", "bsd-source", "bsd-binary"]),
     ("MIT", ["mit-notice"]), ("MIT", ["mit-notice-licensed"]), ("MIT", ["mit-spdx"]), ("MIT", ["mit-title"]), ("MIT", ["mit-title-short"]),
     ("Apache-2.0", ["apache2-notice"]), ("Apache-2.0", ["apache2-notice-long"]), ("Apache-2.0", ["apache2-spdx"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
     ("GPL-2.0", ["gpl2-work"]), ("GPL-2.0", ["gpl2-spdx"]), ("GPL-3.0", ["gpl3-work"]), ("GPL-3.0", ["gpl3-spdx"]),
     ("CC-BY-4.0", ["cc-by-4"]), ("CC-BY-NC-4.0", ["cc-by-nc-4"]), ("CC-BY-SA-4.0", ["cc-by-sa-4"]), ("CC0-1.0", ["cc0-notice"]),
+    ("GPL-2.0-or-later", ["gpl2-free"]), ("AGPL-3.0-or-later", ["agpl-free"]), ("LGPL-2.1-or-later", ["lgpl21-free"]), ("LGPL-3.0-or-later", ["lgpl3-free"]),
+    ("MPL-2.0", ["mpl2-form"]), ("ISC", ["isc-grant"]), ("ISC", ["isc-grant-and"]), ("0BSD", ["0bsd-grant"]), ("Unlicense", ["unlicense-free"]),
+    ("BSL-1.0", ["boost-notice"]),
     ("proprietary", ["all-rights"]),
 ]
+# fixed values: licences that a tag names by these words (beside those in SENTENCES), and by which titles notices name them
+TAGS = ["GPL-2.0-or-later", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later",
+        "BSD-2-Clause", "BSD-3-Clause", "0BSD", "MPL-2.0", "ISC", "Unlicense", "Zlib", "BSL-1.0", "EPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+        "MIT OR Apache-2.0", "Apache-2.0 OR MIT", "GPL-2.0-only OR MIT", "MIT AND Apache-2.0"]
+TITLES = [("MIT", "MIT License"), ("Apache-2.0", "Apache License 2.0"), ("Apache-2.0", "Apache License, Version 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"),
+          ("BSD-3-Clause", "BSD 3-Clause License"), ("ISC", "ISC License"), ("MPL-2.0", "Mozilla Public License 2.0"), ("GPL-2.0", "GNU General Public License v2.0"),
+          ("GPL-3.0", "GNU General Public License v3.0"), ("LGPL-2.1", "GNU Lesser General Public License v2.1"), ("AGPL-3.0", "GNU Affero General Public License v3.0")]
+LEADS = ["Licensed under", "Released under", "Distributed under", "This project is licensed under", "This project is released under", "This software is licensed under",
+         "This software is released under", "This program is licensed under", "This library is licensed under"]
+
+
+def _known_words(sentence: str) -> str:
+    s = re.sub(r"\.(?![0-9])|[^\w.]+|_", " ", sentence.lower().replace("licence", "license"))
+    return " ".join(s.split())
+
+
+def _with_tags_and_notices() -> None:
+    """Add the sentences that TAGS, TITLES and LEADS make, and a rule for each; sentences of known words stay as they are."""
+    known = {_known_words(s) for s in SENTENCES.values()}
+    made = [(f"tag-{t}", f"SPDX-License-Identifier: {t}", t) for t in TAGS]
+    made += [(f"notice-{i}-{j}", f"{lead} the {title}.", name) for i, (name, title) in enumerate(TITLES) for j, lead in enumerate(LEADS)]
+    for name, sentence, licence in made:
+        if _known_words(sentence) not in known:
+            known.add(_known_words(sentence))
+            SENTENCES[name] = sentence
+            RULES.append((licence, [name]))
+
+
+_with_tags_and_notices()
 
 
 def normalised(text: Column) -> Column:
@@ -89,11 +145,6 @@ def paragraphs(text: Column) -> Column:
         F.transform(F.split(p, r"\n"), lambda s: F.trim(F.regexp_replace(s, r" +", " "))), lambda s: s != ""))
 
 
-def _known_words(sentence: str) -> str:
-    s = re.sub(r"\.(?![0-9])|[^\w.]+|_", " ", sentence.lower().replace("licence", "license"))
-    return " ".join(s.split())
-
-
 def _found(pieces: Column, known: Column, most: int) -> Column:
     """Identifiers of the known sentences in one paragraph, in order."""
     def longest(piece, i):
@@ -114,17 +165,18 @@ def _found(pieces: Column, known: Column, most: int) -> Column:
 
 def find_licenses(docs: DataFrame, known: Mapping[str, str] = SENTENCES, rules: Sequence[tuple[str, Sequence[str]]] = RULES) -> DataFrame:
     """doc_id, sentence_ids (array, in order), licenses (array, in the order of the rules) of each row."""
-    if max(len(known), len(rules)) > MAX_ENTRIES:
-        raise ValueError(f"at most {MAX_ENTRIES} sentences and rules")
     words = [(name, w) for name, s in known.items() if (w := _known_words(s))]
     table = (F.array(*[F.struct(F.lit(name).alias("id"), F.lit(w).alias("words"), F.lit(len(w)).alias("n")) for name, w in words]) if words
              else F.array().cast("array<struct<id:string,words:string,n:int>>"))
     most = max((w.count(" ") + 1 for _, w in words), default=1)  # a piece has a word at least
-    tried = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(" " + "  ".join(seq) + " ").alias("ids")) for name, seq in rules])
+    tried = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(" " + "  ".join(seq) + " ").alias("ids")) for name, seq in rules]).cast("array<struct<name:string,ids:string>>")
     start = F.struct(F.concat(F.lit(" "), F.array_join("sentence_ids", "  "), F.lit(" ")).alias("left"), F.array().cast("array<string>").alias("names"))
     matched = F.aggregate(tried, start, lambda acc, r: F.when(F.contains(acc["left"], r["ids"]), F.struct(
         F.replace(acc["left"], r["ids"], F.lit(" | ")).alias("left"), F.array_union(acc["names"], F.array(r["name"])).alias("names"))).otherwise(acc))
-    found = F.flatten(F.transform(paragraphs(F.coalesce(F.col("text"), F.lit(""))), lambda p: _found(p, table, most)))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    anchors = sorted({re.escape(max(w.split(), key=len)).replace("license", "licen[cs]e") for _, w in words})
+    worth = F.rlike(F.lower(text), F.lit("|".join(anchors))) if anchors else F.lit(False)
+    found = F.when(worth, F.flatten(F.transform(paragraphs(text), lambda p: _found(p, table, most)))).otherwise(F.array().cast("array<string>"))
     return (docs.select("doc_id", found.alias("sentence_ids"))
             .select("doc_id", "sentence_ids", matched["names"].alias("licenses")))
 

@@ -106,3 +106,55 @@ def test_texts_in_their_usual_form(spark):
     # the words of a table need not hold any word of the given one
     other = licenses.find_licenses(docs.limit(0).union(spark.createDataFrame([(1, "Do what\nyou: like!")], docs.schema)), {"own": "Do what you: like"}, [("Own", ["own"])])
     assert other.collect()[0]["licenses"] == ["Own"]
+
+
+LGPL = """/* This library is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU Lesser General Public
+ * License as published by the Free Software Foundation; either
+ * version 2.1 of the License, or (at your option) any later version.
+ *
+ * This library is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ */
+"""
+MPL = """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Copyright (c) 2020, Some One
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+
+
+def test_the_right_licence_and_no_other(spark):
+    cases = [
+        (BSD + ENDORSE, ["BSD-3-Clause"]), (BSD, ["BSD-2-Clause"]), (BSD + "\n\n" + BSD + ENDORSE, ["BSD-3-Clause", "BSD-2-Clause"]),
+        (LGPL, ["LGPL-2.1-or-later"]), (MPL, ["MPL-2.0"]), (ISC, ["ISC"]), (ISC.split(", provided")[0] + ".", ["0BSD"]),
+        (GPL.replace("software: you", "software; you").replace("Foundation, either version 3", "Foundation; either version 2"), ["GPL-2.0-or-later"]),
+        (GPL.replace("General Public", "Affero General Public"), ["AGPL-3.0-or-later"]),
+        ("# SPDX-License-Identifier: GPL-3.0-or-later", ["GPL-3.0-or-later"]), ("# SPDX-License-Identifier: BSD-3-Clause\n", ["BSD-3-Clause"]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["MIT OR Apache-2.0"]), ("This project is released under the MIT License.", ["MIT"]),
+        ("This project is released under the MIT Licence, which see.", []), ("Licensed under the Apache License 2.0.", ["Apache-2.0"]),
+        ("The licence of prose about software and redistribution is no licence.", []),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.find_licenses(docs).collect()}
+    assert [got[i] for i in range(len(cases))] == [names for _, names in cases]
+
+
+def test_tables_of_any_length_and_clashing_columns(spark):
+    known = {f"s{i}": f"sentence number {i} of a long table" for i in range(700)}
+    rules = [(f"L{i}", [f"s{i}"]) for i in range(700)]
+    docs = spark.createDataFrame([(1, "Sentence number 699 of a long table. Sentence number 3 of a\nlong table.", "x", "y"), (2, "none", "x", "y")],
+                                 "doc_id long, text string, sentence_ids string, id string")
+    got = {r["doc_id"]: (r["sentence_ids"], r["licenses"]) for r in licenses.find_licenses(docs, known, rules).collect()}
+    assert got == {1: (["s699", "s3"], ["L3", "L699"]), 2: ([], [])}
+    assert licenses.find_licenses(docs, {}, []).count() == 2
