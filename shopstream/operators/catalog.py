@@ -77,7 +77,7 @@ class CatalogStore:
     newest versions stay, for readers that are still at work.
     """
 
-    STATE = "_state"
+    STATE, FOLDED = "_state", "category_key"
 
     def __init__(self, spark: SparkSession, root: str, *, order: Sequence[str] = ("event_time", "event_id"), keep: int = 2):
         self.spark, self.root, self.order, self.keep = spark, root, tuple(order), max(1, keep)
@@ -94,17 +94,22 @@ class CatalogStore:
         own = [c for c in state.columns if c != "product_id"]
         held = state.select("product_id", F.struct(*own).alias(self.STATE))
         products = state_products(held.select("product_id", f"{self.STATE}.*", self.STATE), keep=(self.STATE,))
+        products = products.withColumn(self.FOLDED, F.lower("category_top"))
         write_version(products.withColumn("_batch", F.lit(batch).cast("long")), self.root)
         drop_versions(self.spark, self.root, keep=self.keep)
         return True
 
-    def products(self) -> DataFrame:
-        """The newest products table."""
+    def listing(self) -> DataFrame:
+        """The newest products table with the folded category, by which ``filter_products`` prunes the scan."""
         stored = read_latest(self.spark, self.root)
         if stored is None:
             raise FileNotFoundError(f"no catalog version at {self.root}")
         return stored.drop(self.STATE, "_batch")
 
+    def products(self) -> DataFrame:
+        """The newest products table."""
+        return self.listing().drop(self.FOLDED)
+
 
 def derive_products(reduced: DataFrame, *, keep: Sequence[str] = ()) -> DataFrame:
     """F1-F4 over a reduced catalog: category parts, display name, image key."""
@@ -220,6 +225,14 @@ def default_category_pools(spark: SparkSession) -> DataFrame:
     return literal_table(spark, rows, "category_top string, n int")
 
 
+POOL_ROWS = 10_000
+
+
+def _small(pools: DataFrame) -> DataFrame:
+    """Marked for broadcast if its rows, counted up to the limit, are few."""
+    return F.broadcast(pools) if pools.limit(POOL_ROWS + 1).count() <= POOL_ROWS else pools
+
+
 def _generic_count(pools: DataFrame) -> DataFrame:
     return pools.agg(F.max(F.when(F.col("category_top") == GENERIC_CATEGORY, F.col("n"))).alias("_gn"))
 
@@ -227,11 +240,11 @@ def _generic_count(pools: DataFrame) -> DataFrame:
 def assign_images(products: DataFrame, leaf_pools: DataFrame, pools: DataFrame) -> DataFrame:
     """Image path per product: leaf pool, else category pool, else generic pool, else icon.
 
-    The pool tables are small literal tables (tens of rows); they are
-    broadcast, so the products side is never shuffled.
+    Pool tables of up to ``POOL_ROWS`` rows (a literal table has tens) are
+    broadcast, so the products side is not shuffled; larger ones are joined plainly.
     """
-    lp = F.broadcast(leaf_pools.select("category_top", "category_leaf", F.col("n").alias("_ln")))
-    cp = F.broadcast(pools.select("category_top", F.col("n").alias("_cn")))
+    lp = _small(leaf_pools.select("category_top", "category_leaf", F.col("n").alias("_ln")))
+    cp = _small(pools.select("category_top", F.col("n").alias("_cn")))
     gp = F.broadcast(_generic_count(pools))
     p = (products.join(lp, ["category_top", "category_leaf"], "left")
          .join(cp, "category_top", "left").crossJoin(gp))
@@ -247,7 +260,7 @@ def assign_images(products: DataFrame, leaf_pools: DataFrame, pools: DataFrame)
 
 def category_cover(categories: DataFrame, pools: DataFrame, top_col: str = "category") -> DataFrame:
     """cover image of a category tile: first image of its pool, else generic, else icon."""
-    cp = F.broadcast(pools.select(F.col("category_top").alias(top_col), F.col("n").alias("_cn")))
+    cp = _small(pools.select(F.col("category_top").alias(top_col), F.col("n").alias("_cn")))
     gp = F.broadcast(_generic_count(pools))
     c = categories.join(cp, top_col, "left").crossJoin(gp)
     url = (F.when(F.col(top_col).isNotNull() & (F.col("_cn") > 0), F.format_string("/images/%s/1.jpg", top_col))

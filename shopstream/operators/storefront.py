@@ -72,14 +72,16 @@ def filter_products(products: DataFrame, *, category: str | None = None, search:
     """Conjunction of the supplied predicates; values bound as literals.
 
     The category match ignores case by default (the original store compared
-    under a case-insensitive collation).
+    under a case-insensitive collation).  Where the table stores the folded name as
+    ``category_key``, that column is compared, which the scan can do itself.
     """
     conds = []
     if category:
         if case_sensitive_category:
             conds.append(F.col("category_top") == F.lit(category))
         else:
-            conds.append(F.lower(F.col("category_top")) == F.lower(F.lit(category)))
+            folded = F.col("category_key") if "category_key" in products.columns else F.lower(F.col("category_top"))
+            conds.append(folded == F.lower(F.lit(category)))
     if search:
         conds.append(search_predicate(search, literal=literal, accent_insensitive=accent_insensitive))
     df = products
@@ -158,13 +160,16 @@ def related_products(products: DataFrame, *, fetch: int = RELATED_FETCH, n: int
     category), so the join emits at most ``fetch`` rows per product.
     Products without a category get no rows.
     """
-    top = _rank_in_category(products, fetch).select(
-        "category_top", F.col("product_id").alias("related_id"), F.col("rank").alias("_r"))
-    base = products.filter(F.col("category_top").isNotNull()).select("product_id", "category_top")
-    j = base.join(top, "category_top").filter(F.col("related_id") != F.col("product_id"))
-    w = Window.partitionBy("product_id").orderBy("_r")
-    return (j.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n)
-            .select("product_id", "pos", "related_id"))
+    # the few categories are no key to deal products by: their top lists, one array each, are repeated once a
+    # salt, and products go to (category, salt)
+    salts = int(products.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    top = (_rank_in_category(products, fetch).groupBy("category_top").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("product_id").alias("id")))).alias("_top"))
+           .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
+    base = (products.filter(F.col("category_top").isNotNull()).select("product_id", "category_top")
+            .withColumn("_salt", F.pmod(F.xxhash64("product_id"), F.lit(salts)).cast("int")))
+    others = F.slice(F.filter(F.transform("_top", lambda x: x["id"]), lambda x: x != F.col("product_id")), 1, n)
+    return (base.join(top, ["category_top", "_salt"]).select("product_id", F.posexplode(others).alias("pos", "related_id"))
+            .select("product_id", (F.col("pos") + 1).cast("int").alias("pos"), "related_id"))
 
 
 def recent_views(events: DataFrame, *, n: int = RECENT_HISTORY, key: str = "user_session",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shopstream.functions.text import category_label, humanize, price_label
 from shopstream.operators import catalog as cat
+from shopstream.operators import indexes as ix
 from shopstream.operators import storefront as sf
 from shopstream.plans.registry import query
 from shopstream.session import checkpoint_dir, stored_path
@@ -20,6 +21,7 @@ SEARCH_TERM = "ring"
 WILDCARD_TERM = "brand#1_ g"
 INFO_SEARCH = "brand#1"
 PAGE, PAGE_SIZE = 2, 24
+INDEXED_PAGE = 7
 
 # Image pools for the fixture categories (FIXTURES.md X3): two leaf pools,
 # four category pools, two categories left out on purpose, generic pool of 8.
@@ -27,11 +29,19 @@ FIXTURE_LEAF_POOLS = [("economy", "ring", 6), ("small", "bolt", 6)]
 FIXTURE_CATEGORY_POOLS = [("economy", 8), ("small", 8), ("medium", 8), ("promo", 8), ("generic", 8)]
 
 
-def stored_catalog(spark, sf_dir):
+def catalog_sources(sf_dir):
+    return [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")]
+
+
+def catalog_store(spark, sf_dir):
     """The products table of X2, stored: built once an application and state of its source tables, then only scanned."""
-    root = stored_path(spark, "catalog", [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "part")],
+    root = stored_path(spark, "catalog", catalog_sources(sf_dir),
                        lambda folder: cat.CatalogStore(spark, folder, order=fx.BASKET_LATEST_ORDER).add(fx.baskets(spark, sf_dir), 0))
-    return cat.CatalogStore(spark, root).products()
+    return cat.CatalogStore(spark, root)
+
+
+def stored_catalog(spark, sf_dir):
+    return catalog_store(spark, sf_dir).products()
 
 
 def fixture_pools(spark):
@@ -119,7 +129,7 @@ def display_labels_q(spark, sf_dir):
 
 @query("product_filter")
 def product_filter_q(spark, sf_dir):
-    return sf.api_rows(sf.filter_products(stored_catalog(spark, sf_dir), category=FILTER_CATEGORY))
+    return sf.api_rows(sf.filter_products(catalog_store(spark, sf_dir).listing(), category=FILTER_CATEGORY))
 
 
 @query("product_search")
@@ -132,14 +142,45 @@ def product_search_wildcard_q(spark, sf_dir):
     return sf.api_rows(sf.filter_products(stored_catalog(spark, sf_dir), search=WILDCARD_TERM))
 
 
+def search_index(spark, sf_dir):
+    """Trigram index of the stored catalog, written once like it."""
+    return stored_path(spark, "search-index", catalog_sources(sf_dir), lambda folder: ix.write_search_index(stored_catalog(spark, sf_dir), folder))
+
+
+@query("product_search_indexed")
+def product_search_indexed_q(spark, sf_dir):
+    return sf.api_rows(ix.search_products(stored_catalog(spark, sf_dir), search_index(spark, sf_dir), SEARCH_TERM))
+
+
+@query("product_search_wildcard_indexed")
+def product_search_wildcard_indexed_q(spark, sf_dir):
+    return sf.api_rows(ix.search_products(stored_catalog(spark, sf_dir), search_index(spark, sf_dir), WILDCARD_TERM))
+
+
+def page_index(spark, sf_dir):
+    """Page index of the stored catalog, written once like it."""
+    products = stored_catalog(spark, sf_dir)
+    return ix.read_page_index(products, stored_path(spark, "page-index", catalog_sources(sf_dir), lambda folder: ix.write_page_index(products, folder)))
+
+
+@query("listing_page_indexed")
+def listing_page_indexed_q(spark, sf_dir):
+    return ix.indexed_page(spark, page_index(spark, sf_dir), page=INDEXED_PAGE, page_size=PAGE_SIZE)
+
+
+@query("all_pages_indexed")
+def all_pages_indexed_q(spark, sf_dir):
+    return ix.indexed_pages(spark, page_index(spark, sf_dir), page_size=PAGE_SIZE)
+
+
 @query("product_page")
 def product_page_q(spark, sf_dir):
-    return sf.list_products(stored_catalog(spark, sf_dir), category=FILTER_CATEGORY, page=PAGE, page_size=PAGE_SIZE)
+    return sf.list_products(catalog_store(spark, sf_dir).listing(), category=FILTER_CATEGORY, page=PAGE, page_size=PAGE_SIZE)
 
 
 @query("page_info")
 def page_info_q(spark, sf_dir):
-    return sf.page_info(stored_catalog(spark, sf_dir), category=FILTER_CATEGORY, search=INFO_SEARCH,
+    return sf.page_info(catalog_store(spark, sf_dir).listing(), category=FILTER_CATEGORY, search=INFO_SEARCH,
                         page=1, page_size=PAGE_SIZE)
 
 

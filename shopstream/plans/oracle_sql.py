@@ -339,6 +339,9 @@ FROM products WHERE lower(category_top) = lower('economy') AND (display_name ILI
 oracle("all_pages", w(PRODUCTS, """
 SELECT CAST(ceil(rn / 24) AS INTEGER) AS page_no, CAST((rn - 1) % 24 + 1 AS INTEGER) AS page_pos, product_id
 FROM (SELECT product_id, row_number() OVER (ORDER BY event_count DESC, product_id) AS rn FROM products)"""))
+for _name in ("product_search", "product_search_wildcard", "all_pages"):
+    oracle(f"{_name}_indexed", ORACLES[_name])
+oracle("listing_page_indexed", w(PRODUCTS, f"SELECT {API} FROM products ORDER BY event_count DESC, product_id LIMIT 24 OFFSET 144"))
 oracle("category_counts", w(PRODUCTS, """
 SELECT category_top AS category, count(*) AS product_count FROM products WHERE category_top IS NOT NULL GROUP BY 1"""))
 

@@ -100,3 +100,25 @@ def test_stored_catalog_follows_its_sources(spark, tmp_dir):
     half = stored_catalog(spark, tmp_dir).count()
     spark.read.parquet(f"{SF}/lineitem.parquet").where("l_partkey % 2 = 1").write.mode("append").parquet(f"{tmp_dir}/lineitem.parquet")
     assert stored_catalog(spark, tmp_dir).count() > half
+
+
+def test_category_filter_reaches_the_scan(spark):
+    for name in ("product_filter", "product_page", "page_info"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "EqualTo(category_key,economy)" in plan, name
+
+
+def test_large_pools_are_not_broadcast(spark, monkeypatch):
+    from shopstream.plans.catalog_queries import fixture_pools
+    leaf, pools = fixture_pools(spark)
+    products = cat.build_catalog(events(spark, 60, 2))
+    want = rows_of(cat.assign_images(products, leaf, pools))
+    monkeypatch.setattr(cat, "POOL_ROWS", 1)
+    got = cat.assign_images(products, leaf, pools)
+    assert rows_of(got) == want
+    assert "ResolvedHint (strategy=broadcast)" in cat.assign_images(products, leaf.limit(1), pools)._jdf.queryExecution().analyzed().toString()
+
+
+def test_related_products_are_not_dealt_by_category(spark):
+    plan = QUERIES["related_products"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(category_top" not in plan or "_salt" in plan
