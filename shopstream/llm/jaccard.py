@@ -39,6 +39,8 @@ from shopstream.llm.substring_dedup import BASES, _mixed
 from shopstream.session import shared_table
 
 SKETCH_BITS, SLICES = 22, 64
+STEPS = 4
+EXCESS = 2.0 ** (np.arange(256) / STEPS) - 1
 SIZE_STEP = 1 << 12  # codes of a token: sizes of its unit above, level and matches below
 UNIT_DOCS, UNIT_SHINGLES = 64, 60_000
 MAX_MATCHES, VERIFY_COST = 8, 16
@@ -112,8 +114,11 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def count_sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """How many documents hold a shingle of each slot: 2^SKETCH_BITS counts from all documents."""
+def count_sketch(docs: DataFrame, size: int) -> tuple[np.ndarray, float]:
+    """How many documents hold a shingle of each slot, beyond the mean of all 2^SKETCH_BITS slots, and that mean.
+
+    Counts of all documents; the excess is kept as one byte, a step of 1 / STEPS of a doubling.
+    """
     slots = 1 << SKETCH_BITS
     part = slots // SLICES
 
@@ -135,44 +140,50 @@ def count_sketch(docs: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(part, np.int64)
         for c in pdf["counts"]:
             total += np.frombuffer(c, np.int32)
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [total.tobytes()]})
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [np.minimum(total, np.iinfo(np.int32).max).astype(np.int32).tobytes()]})
+
+    counts = np.zeros(slots, np.int32)
+    sums = docs.select("text").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInPandas(sum_slice, "slice int, counts binary")
+    for r in sums.toLocalIterator():  # 2^SKETCH_BITS counts, a few slices at a time
+        counts[r["slice"] * part:(r["slice"] + 1) * part] = np.frombuffer(r["counts"], np.int32)
+    return quantised(counts, mean := float(counts.mean())), mean
+
 
-    out = np.zeros(slots, np.int64)
-    for r in docs.select("text").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInPandas(sum_slice, "slice int, counts binary").collect():
-        out[r["slice"] * part:(r["slice"] + 1) * part] = np.frombuffer(r["counts"], np.int64)
+def quantised(counts: np.ndarray, mean: float) -> np.ndarray:
+    out = np.empty(len(counts), np.uint8)
+    for a in range(0, len(counts), 1 << 18):
+        out[a:a + (1 << 18)] = np.rint(STEPS * np.log2(1 + np.maximum(counts[a:a + (1 << 18)] - mean, 0)))
     return out
 
 
-def rarity_class(df: np.ndarray, mean: float) -> np.ndarray:
+def rarity_class(excess: np.ndarray, mean: float) -> np.ndarray:
     """0 for what the sketch cannot tell from noise, then one class for each doubling.
 
     A slot's other shingles number ``mean``, give or take its root, so that frequencies
     beyond some four roots of the mean stand out: what does not grows with the root of the
     corpus only.
     """
-    return np.maximum(0, np.log2(np.maximum(df - mean, 1) / (4 * np.sqrt(mean) + 4))).astype(np.int8)
+    return np.maximum(0, np.log2(np.maximum(excess, 1) / (4 * np.sqrt(mean) + 4))).astype(np.int8)
 
 
-def adaptive_prefix(h: np.ndarray, counts: np.ndarray, mean: float, num: int, den: int) -> tuple[np.ndarray, int]:
+def adaptive_prefix(h: np.ndarray, sketch: np.ndarray, mean: float, num: int, den: int) -> tuple[np.ndarray, int]:
     """The chosen prefix (rare shingles first) and the number of shared shingles it asks for."""
     n = len(h)
     need = -(-num * n // den)
-    df = counts[_slot(h)]
-    rarity = rarity_class(df, mean)
+    excess = EXCESS[sketch[_slot(h)]]
+    rarity = rarity_class(excess, mean)
     order = np.argsort(rarity, kind="stable") if rarity.any() else slice(None)  # h is sorted: ties stay in hash order
-    h, df = h[order], df[order]
+    h, excess = h[order], excess[order]
     reach = n - need + min(MAX_MATCHES, need)
-    others = np.cumsum(np.maximum(df[:reach] - mean, 0.5))
+    others = np.cumsum(np.maximum(excess[:reach], 0.5))
     ks = np.arange(1, min(MAX_MATCHES, need) + 1)
     joined = others[n - need + ks - 1]
     k = int(ks[np.argmin(joined + VERIFY_COST * joined / ks)])
     return h[:n - need + k], k
 
 
-def document_table(docs: DataFrame, size: int, counts: np.ndarray, num: int, den: int) -> DataFrame:
+def document_table(docs: DataFrame, size: int, sketch: np.ndarray, mean: float, num: int, den: int) -> DataFrame:
     """key, doc_id, n, class (of equal sets), least (hash), matches, prefix, spare (n - need)."""
-    counts = counts.astype(np.int64)
-    mean = float(counts.mean())
 
     def run(batches):
         shingles = Shingler(size)
@@ -182,7 +193,7 @@ def document_table(docs: DataFrame, size: int, counts: np.ndarray, num: int, den
                 h = shingles(text)
                 n.append(len(h))
                 if len(h):
-                    p, k = adaptive_prefix(h, counts, mean, num, den)
+                    p, k = adaptive_prefix(h, sketch, mean, num, den)
                     cls.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
                     least.append(int(h[:1].view(np.int64)[0]))
                     matches.append(k)
@@ -311,8 +322,8 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of each row: links at Jaccard >= num / den, components over links."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    counts = count_sketch(rows, shingle)
-    table = shared_table(document_table(rows, shingle, counts, num, den), "documents")
+    sketch, mean = count_sketch(rows, shingle)
+    table = shared_table(document_table(rows, shingle, sketch, mean, num, den), "documents")
     full = table.where("n > 0")
     classes = shared_table(full.groupBy("class").agg(
         F.min("doc_id").alias("first_doc"), F.min(F.struct("key", "n", "least", "matches", "spare")).alias("one")).select("class", "first_doc", "one.*"), "classes")
