@@ -173,7 +173,8 @@ def vocab_stored_q(spark, sf_dir):
     path = f"{checkpoint_dir(spark).rstrip('/')}/shopstream-vocab-{uuid.uuid4().hex}"
     voc.save_vocab(click_vocab(spark, sf_dir, click_sessions(spark, sf_dir, materialize=False)), path)
     v = voc.load_vocab(spark, path)
-    return v.crossJoin(F.broadcast(voc.vocab_metadata(v).select("num_special_tokens", "vocab_size")))  # one row
+    meta = voc.vocab_metadata(v).first()  # one row
+    return v.select("*", F.lit(meta["num_special_tokens"]).alias("num_special_tokens"), F.lit(meta["vocab_size"]).cast("long").alias("vocab_size"))
 
 
 @query("schema_violations")
