@@ -29,7 +29,7 @@ def test_nested_loop_joins_only_against_bounded_sides(plans):
     # and the back-off fill list (k rows)
     allowed = {"time_split", "rolling_window", "recommend", "recommend_eval", "recommend_enriched",
                "eval_metrics", "eval_popularity", "eval_coverage", "transitions", "transitions_merge",
-               "item_prior", "dataset_profile", "image_assign", "category_cover"}
+               "item_prior", "dataset_profile", "image_assign", "category_cover", "trial_metrics", "negative_samples"}
     for n, p in plans.items():
         if "BroadcastNestedLoopJoin" in p:
             assert n in allowed, n
