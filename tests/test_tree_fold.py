@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from shopstream.operators import cart, cart_fold
+from shopstream.operators import cart_fold
 
 CMD = "seq long, cart_id string, op string, product_id long, quantity int, at timestamp_ntz"
 T0 = dt.datetime(2024, 1, 1)
