@@ -36,6 +36,7 @@ HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 CHAR_BUCKETS, GRAMS = 16_384, 16
 LONGEST, PIECE, STEP = 17, 12, 6  # longer runs of letters are cut into pieces of PIECE letters, one every STEP
 CHUNK = 4096
+ROWS = 500  # texts scored at once in a task
 SLICES = 32  # parts in which the driver reads the training texts
 CLEAN_SHARE = 4  # sampled clean documents for each toxic one
 THRESHOLD = 0.7
@@ -427,9 +428,11 @@ def score(docs: DataFrame, model: Model | None, share: float) -> DataFrame:
 
     def run(batches):
         reader = model.reader()
-        for batch in batches:
-            found = reader.scores(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):  # few texts at a time are Python strings
+                batch = whole.slice(start, ROWS)
+                found = reader.scores(batch.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
 
     return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0).cast("double")).schema)
 
