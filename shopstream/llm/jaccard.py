@@ -128,7 +128,7 @@ def count_sketch(docs: DataFrame, size: int) -> tuple[np.ndarray, float]:
             for text in batch.column("text").to_pylist():
                 seen.append(_slot(shingles(text)))
                 held += len(seen[-1])
-                if held > 4_000_000:
+                if held > 1_000_000:
                     total += np.bincount(np.concatenate(seen), minlength=slots).astype(np.int32)
                     seen, held = [], 0
         if seen:
