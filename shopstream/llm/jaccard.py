@@ -11,7 +11,9 @@ Copies and near copies are not expanded into pairs:
 
 * documents with equal sets form one class;
 * first round: classes with the same least hash meet in chunks of bounded size, each
-  chunk also with the bucket's first class; links found give first components;
+  chunk also with the bucket's first class; so do those with the same least second hash,
+  where these differ in the first, so that few near copies stay apart; links found give
+  first components;
 * second round, which alone is complete: classes are gathered into units, chunks of a
   first component or of unlinked classes of one bucket.  Prefix shingles are joined
   unit with unit, units of one first component are left out, and pairs of units that
@@ -182,13 +184,20 @@ def adaptive_prefix(h: np.ndarray, sketch: np.ndarray, mean: float, num: int, de
     return h[:n - need + k], k
 
 
+SECOND = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _least_second(h: np.ndarray) -> int:
+    return int(_mixed(h ^ SECOND).min().view(np.int64))
+
+
 def document_table(docs: DataFrame, size: int, sketch: np.ndarray, mean: float, num: int, den: int) -> DataFrame:
-    """key, doc_id, n, class (of equal sets), least (hash), matches, prefix, spare (n - need)."""
+    """key, doc_id, n, class (of equal sets), least (hash), second (least second hash), matches, prefix, spare (n - need)."""
 
     def run(batches):
         shingles = Shingler(size)
         for batch in batches:
-            n, cls, least, matches, prefix, spare = [], [], [], [], [], []
+            n, cls, least, second, matches, prefix, spare = [], [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingles(text)
                 n.append(len(h))
@@ -196,19 +205,20 @@ def document_table(docs: DataFrame, size: int, sketch: np.ndarray, mean: float,
                     p, k = adaptive_prefix(h, sketch, mean, num, den)
                     cls.append(xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63))
                     least.append(int(h[:1].view(np.int64)[0]))
+                    second.append(_least_second(h))
                     matches.append(k)
                     prefix.append(p.view(np.int64))
                     spare.append(len(h) - -(-num * len(h) // den))
                 else:
-                    for c in (cls, least, matches, prefix, spare):
+                    for c in (cls, least, second, matches, prefix, spare):
                         c.append(None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(least, pa.int64()),
+                [batch.column("key"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(least, pa.int64()), pa.array(second, pa.int64()),
                  pa.array(matches, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(spare, pa.int32())],
-                names=["key", "doc_id", "n", "class", "least", "matches", "prefix", "spare"])
+                names=["key", "doc_id", "n", "class", "least", "second", "matches", "prefix", "spare"])
 
     return docs.select("key", "doc_id", "text").mapInArrow(
-        run, "key long, doc_id long, n long, class long, least long, matches int, prefix array<long>, spare int")
+        run, "key long, doc_id long, n long, class long, least long, second long, matches int, prefix array<long>, spare int")
 
 
 class _Sets:
@@ -326,21 +336,26 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
     table = shared_table(document_table(rows, shingle, sketch, mean, num, den), "documents")
     full = table.where("n > 0")
     classes = shared_table(full.groupBy("class").agg(
-        F.min("doc_id").alias("first_doc"), F.min(F.struct("key", "n", "least", "matches", "spare")).alias("one")).select("class", "first_doc", "one.*"), "classes")
+        F.min("doc_id").alias("first_doc"), F.min(F.struct("key", "n", "least", "second", "matches", "spare")).alias("one")).select("class", "first_doc", "one.*"), "classes")
 
-    # first round: chunks of one bucket, each with the bucket's first class
-    sizes = classes.groupBy("least").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"), F.min("class").alias("head")).where("members > 1")
     n_chunk = F.greatest(F.ceil(F.col("members") / UNIT_DOCS), F.ceil(F.col("weight") / UNIT_SHINGLES)).cast("int")
-    placed = classes.join(sizes, "least").withColumn("n_chunk", n_chunk)
-    heads = placed.where("class = head").select("class", "key", "least", F.explode(F.sequence(F.lit(0), F.col("n_chunk") - 1)).alias("chunk"))
-    chunked = placed.where("class != head").select("class", "key", "least", F.pmod(F.xxhash64("class"), F.col("n_chunk")).cast("int").alias("chunk"))
     # one text and one prefix row a key: rows may repeat id and text, and copies of a text with a null id share a key
     texts, prefixes = rows.select("key", "text"), full.select("key", "prefix")
     repeated = shared_table(full.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
     if not repeated.isEmpty():
         texts = shared_table(texts.groupBy("key").agg(F.min("text").alias("text")).join(classes.select("key"), "key", "left_semi"), "texts")
         prefixes = prefixes.groupBy("key").agg(F.min("prefix").alias("prefix"))
-    first = shared_table(chunked.unionByName(heads).join(texts, "key").groupBy("least", "chunk").applyInPandas(_within_chunk(shingle, num, den), "a long, b long"), "links")
+
+    # first round: chunks of one bucket, each with the bucket's first class; a bucket of the second hash meets only if it holds several of the first
+    def chunks(by: str, where: str) -> DataFrame:
+        sizes = classes.groupBy(by).agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("weight"), F.min("class").alias("head"),
+                                        F.min("least").alias("low"), F.max("least").alias("high")).where(where)
+        placed = classes.join(sizes, by).select("class", "key", "head", F.lit(by).alias("by"), F.col(by).alias("bucket"), n_chunk.alias("n_chunk"))
+        heads = placed.where("class = head").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunk") - 1)))
+        return placed.where("class != head").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("n_chunk")).cast("int")).unionByName(heads)
+
+    met = chunks("least", "members > 1").unionByName(chunks("second", "low != high")).select("by", "bucket", "chunk", "class", "key")
+    first = shared_table(met.join(texts, "key").groupBy("by", "bucket", "chunk").applyInPandas(_within_chunk(shingle, num, den), "a long, b long"), "links")
     comps = components(first)
 
     # second round: units, joined on their prefixes
