@@ -36,9 +36,13 @@ def csv_append_q(spark, sf_dir):
     """Two loads of raw files and the first of them once more; the ids come from the content."""
     raw = fx.raw_csv_events(spark, sf_dir)
     root = _folder(spark)
-    for load, part in enumerate((raw.where("user_session % 2 = 0"), raw.where("user_session % 2 = 1"), raw.where("user_session % 2 = 0"))):
-        # equal events of a session lie in one file, as in the source
-        part.repartition("user_session").write.option("header", True).option("quote", '"').option("escape", '"').csv(f"{root}/in/load-{load}")
+    layout = {"header": True, "quote": '"', "escape": '"'}
+    for load in range(3):
+        if load < 2:  # equal events of a session lie in one file, as in the source
+            part = raw.where(f"user_session % 2 = {load}")
+        else:  # a packed file is read whole by one task
+            part = spark.read.options(**layout).schema(raw.schema).csv(f"{root}/in/load-0")
+        part.write.options(**layout, compression="gzip").csv(f"{root}/in/load-{load}")
         append_csv_events(spark, f"{root}/in/*", f"{root}/table", f"{root}/progress", rejects_dir=f"{root}/rejects", grain="month").awaitTermination()
     return spark.read.parquet(f"{root}/table").select(
         "event_time", "event_type", "product_id", "category_id", "category_code", "brand", F.col("price").cast("double").alias("price"), "user_id", "user_session")

@@ -140,12 +140,13 @@ def raw_csv_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lineitem joined with part -> rows in the shape of the raw CSV files, all text.
 
     Times carry the `` UTC`` suffix, category and brand are blank by fixed rules, brands hold
-    a comma and quotes.
+    a comma and quotes.  The rows of a session lie in one partition; they travel there before
+    they are spelled out.
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_shipdate")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type")
-    j = li.join(part, li.l_partkey == part.p_partkey, "inner")
+    j = li.join(part, li.l_partkey == part.p_partkey, "inner").drop("p_partkey").repartition("l_orderkey")
     brand = F.concat("p_brand", F.lit(', "'), "l_returnflag", F.lit('"'))
     return j.select(
         F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.lit(" UTC")).alias("event_time"),

@@ -15,13 +15,17 @@ scheduled batch; a rerun from the same checkpoint picks up only new files.
 * The known keys pass a hashed bitmap of the batch's keys before the anti-join, so only
   about one in sixteen of the others is shuffled (batches up to ``BITMAP_KEYS`` keys; the
   bitmap has two bytes a key).  Larger batches join without it, with the same result.
+* Rows travel as seldom as they can.  Raw files are dealt once, by ranges of their values in
+  the order of the columns, time first: equal events meet in one range, so their numbers, the
+  dates of the sink and its files need no shuffle of their own.  A batch meets the known
+  table with its keys only; whole rows are joined when some, but not all, are known.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -52,8 +56,15 @@ def with_content_ids(events: DataFrame, *, file: str = "_file", id_col: str = "e
         events = events.where(F.col(id_col).isNull())
     else:
         known = None
-    often = events.groupBy(*columns, file).agg(F.count(F.lit(1)).alias("_n")).groupBy(*columns).agg(F.max("_n").alias("_n"))
-    made = often.withColumn("_number", F.explode(F.sequence(F.lit(1).cast("long"), "_n"))).select(content_id(columns, "_number").alias(id_col), *columns)
+    # one shuffle and one sort: equal events meet in one range, the rows of each file together; a row stays if its
+    # number in its file is beyond those of the files before
+    floats = [c for c, t in events.dtypes if t in ("double", "float") and c in columns]
+    events = events.withColumns({c: F.when(F.col(c) == 0, F.lit(0.0).cast(events.schema[c].dataType)).otherwise(F.col(c)) for c in floats})
+    events = events.withColumn("_source", F.xxhash64(file)).select(*columns, "_source")
+    equal = Window.partitionBy(*columns).orderBy("_source")
+    numbered = events.repartitionByRange(*columns).withColumn("_number", (F.row_number().over(equal) - F.rank().over(equal) + 1).cast("long"))
+    before = F.max("_number").over(equal.rowsBetween(Window.unboundedPreceding, -1))
+    made = numbered.withColumn("_before", before).where("_number > coalesce(_before, 0)").select(content_id(columns, "_number").alias(id_col), *columns)
     return made if known is None else known.unionByName(made)
 
 
@@ -74,18 +85,27 @@ def maybe_in(known: DataFrame, batch: DataFrame, key: Sequence[str], n: int) ->
 
 
 def fresh_rows(batch: DataFrame, known: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of ``batch`` (unique by ``key``) whose key is not in ``known``."""
+    """Rows of ``batch`` (unique by ``key``) whose key is not in ``known``.
+
+    The keys alone are counted first: a batch of which none or all is known needs no join of its rows.
+    """
     known = known.select(*key)
     n = batch.count()
     if 0 < n <= BITMAP_KEYS:
         known = maybe_in(known, batch, key, n)
+    repeated = batch.select(*key).join(known, list(key), "left_semi").count()
+    if repeated in (0, n):
+        return batch if repeated == 0 else batch.limit(0)
     return batch.join(known, list(key), "left_anti").select(*batch.columns)
 
 
 def append_batch(batch: DataFrame, sink: str, *, key: Sequence[str] = ("event_id",), time_col: str | None = None,
-                 grain: str = "day", partition_by: str | None = None) -> DataFrame:
+                 grain: str = "day", partition_by: str | None = None, dealt: bool = False) -> DataFrame:
     """Append the rows of a batch that the table at ``sink`` lacks; returns them as written.
 
+    ``dealt`` says that each partition of the batch holds a range of times and that its keys are
+    made from whole rows: it is not shuffled to drop repeated keys or to gather its days.
+
     ``grain`` 'month' dates the partitions by the first day of the month, for tables with
     few events a day.
 
@@ -94,7 +114,7 @@ def append_batch(batch: DataFrame, sink: str, *, key: Sequence[str] = ("event_id
     """
     from shopstream.session import shared_table
     spark = batch.sparkSession
-    rows = batch.dropDuplicates(list(key))
+    rows = batch if dealt else batch.dropDuplicates(list(key))
     if time_col:
         rows = rows.withColumn(DAY, {"day": F.to_date(time_col), "month": F.trunc(time_col, "month")}[grain])
         partition_by = DAY
@@ -103,8 +123,10 @@ def append_batch(batch: DataFrame, sink: str, *, key: Sequence[str] = ("event_id
         known = spark.read.schema(rows.schema).parquet(sink)
         if time_col:
             known = known.where(touched_days(rows))
-        rows = shared_table(fresh_rows(rows, known, key), "append-fresh")
-    out = rows.hint("rebalance", partition_by) if partition_by else rows  # few files a day, large days split
+        fresh = fresh_rows(rows, known, key)
+        if fresh is not rows:
+            rows, dealt = shared_table(fresh, "append-fresh"), False
+    out = rows.hint("rebalance", partition_by) if partition_by and not dealt else rows  # few files a day, large days split
     w = out.write.mode("append")
     (w.partitionBy(partition_by) if partition_by else w).parquet(sink)
     return rows
@@ -154,7 +176,7 @@ def append_csv_events(spark: SparkSession, source_dir: str, sink_dir: str, check
         good, bad = csv_events.split_corrupt(csv_events.parse_raw(batch, keep=("_file",)))
         if rejects_dir:
             bad.write.mode("overwrite").parquet(f"{rejects_dir.rstrip('/')}/batch={number}")
-        fresh = append_batch(with_content_ids(good).select(*EVENTS.fieldNames()), sink_dir, key=CSV_KEY, time_col="event_time", grain=grain)
+        fresh = append_batch(with_content_ids(good).select(*EVENTS.fieldNames()), sink_dir, key=CSV_KEY, time_col="event_time", grain=grain, dealt=True)
         if on_append:
             on_append(fresh, number)
 

@@ -48,3 +48,31 @@ def test_near_copies_meet_before_their_units_are_joined(spark, monkeypatch):
     found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.component_id for r in found} == {0}
     assert pairs[0] < 20, pairs
+
+
+def test_content_ids_take_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, 0.0, "a", "f"), (1, -0.0, "a", "f"), (1, 0.0, "a", "g"), (2, None, None, "g")], "p long, v double, n string, _file string")
+    assert plan(ingest.with_content_ids(rows.drop("v"))).count("Exchange") == 1
+    made = ingest.with_content_ids(rows)
+    assert made.count() == 3 and made.select("event_id").distinct().count() == 3
+
+
+def test_csv_rows_known_wholly_partly_or_not(spark, tmp_dir, monkeypatch):
+    names, held = [], ingest.append_batch
+
+    def seen(batch, *a, **k):
+        out = held(batch, *a, **k)
+        names.append(out.count())
+        return out
+
+    monkeypatch.setattr(ingest, "append_batch", seen)
+    put(f"{tmp_dir}/in", "a.csv", [line(1), line(1), line(2, brand="")])
+    load_csv(spark, tmp_dir)
+    put(f"{tmp_dir}/in", "b.csv", [line(3)])                      # none known
+    load_csv(spark, tmp_dir)
+    put(f"{tmp_dir}/in", "c.csv", [line(2, brand=""), line(1)])   # all known
+    load_csv(spark, tmp_dir)
+    put(f"{tmp_dir}/in", "d.csv", [line(1)] * 3 + [line(4)])      # some known
+    load_csv(spark, tmp_dir)
+    assert names == [3, 1, 0, 2]
+    assert spark.read.parquet(f"{tmp_dir}/table").count() == 6
