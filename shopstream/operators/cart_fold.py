@@ -28,6 +28,7 @@ from shopstream.session import shared_table
 KEY = ["cart_id", "product_id"]
 _T = "struct<ap:boolean,aq:int,aat:timestamp_ntz,pk:int,pq:int,pat:timestamp_ntz>"
 _S = "struct<present:boolean,qty:int,at:timestamp_ntz>"
+_STARTS = f"array<struct<_b:bigint,s:{_S}>>"
 
 
 def _lit_null(t: str) -> Column:
@@ -77,6 +78,22 @@ def compose(f: Column, g: Column) -> Column:
     return _t(a["ap"], a["aq"], a["aat"], p["pk"], p["pq"], p["pat"])
 
 
+def then_command(f: Column, op: Column, q: Column, at: Column) -> Column:
+    """``compose(f, command_transformer(op, q, at))``, written out so that each field is worked out once."""
+    is_add = op == "add"
+    is_rm = (op == "del") | ((op == "set") & (q <= 0))
+    gone = f["pk"] == 0
+    nothing = _lit_null("int")
+    never = _lit_null("timestamp_ntz")
+    return F.struct(
+        F.when(is_add, True).when(is_rm, False).otherwise(f["ap"]).alias("ap"),
+        F.when(is_add, F.when(f["ap"], f["aq"] + q).otherwise(q)).when(is_rm, nothing).otherwise(F.when(f["ap"], q)).alias("aq"),
+        F.when(is_add, F.when(f["ap"], f["aat"]).otherwise(at)).when(is_rm, never).otherwise(F.when(f["ap"], f["aat"])).alias("aat"),
+        F.when(is_add, F.when(gone, 3).otherwise(f["pk"])).when(is_rm, 0).otherwise(F.when(gone, 0).when(f["pk"] == 3, 3).otherwise(2)).alias("pk"),
+        F.when(is_add, F.when(gone, q).otherwise(f["pq"] + q)).when(is_rm, nothing).otherwise(F.when(~gone, q)).alias("pq"),
+        F.when(is_add, F.when(gone, at).otherwise(f["pat"])).when(is_rm, never).otherwise(F.when(~gone, f["pat"])).alias("pat")).cast(_T)
+
+
 def apply_to(t: Column, s: Column) -> Column:
     """State after transformer ``t`` from state ``s``."""
     absent = F.struct(t["ap"].alias("present"), t["aq"].alias("qty"), t["aat"].alias("at"))
@@ -93,21 +110,24 @@ def apply_to(t: Column, s: Column) -> Column:
 def _leaves(valid: DataFrame, bucket_rows: int) -> DataFrame:
     """(line, _b, _cmds, _t): the commands of each leaf in order, and their transformer."""
     cmd = F.struct("seq", "op", F.col("quantity").alias("q"), "at")
-    leaves = valid.groupBy(*KEY, F.floor(F.col("seq") / F.lit(bucket_rows)).alias("_b")).agg(F.array_sort(F.collect_list(cmd)).alias("_cmds"))
-    return leaves.withColumn("_t", F.aggregate(
-        "_cmds", _identity().cast(_T), lambda acc, x: compose(acc, command_transformer(x["op"], x["q"], x["at"])).cast(_T)))
+    leaves = valid.groupBy(*KEY, F.floor(F.col("seq") / F.lit(bucket_rows)).alias("_b")).agg(F.sort_array(F.collect_list(cmd)).alias("_cmds"))
+    one = F.col("_cmds")[0]
+    folded = F.aggregate("_cmds", _identity().cast(_T), lambda acc, x: then_command(acc, x["op"], x["q"], x["at"]))
+    return leaves.withColumn("_t", F.when(F.size("_cmds") == 1, command_transformer(one["op"], one["q"], one["at"]).cast(_T)).otherwise(folded))
 
 
 def _children(nodes: DataFrame, *by) -> DataFrame:
-    return nodes.groupBy(*KEY, *by).agg(F.array_sort(F.collect_list(F.struct("_b", "_t"))).alias("_kids"))
+    return nodes.groupBy(*KEY, *by).agg(F.sort_array(F.collect_list(F.struct("_b", "_t"))).alias("_kids"))
 
 
 def _walk(kids: Column, start: Column) -> Column:
     """Struct of the state after all ``kids`` (``s``) and the state before each (``starts``)."""
-    acc = F.struct(start.alias("s"), F.array().cast(f"array<struct<_b:bigint,s:{_S}>>").alias("starts"))
-    return F.aggregate(kids, acc, lambda a, x: F.struct(
+    acc = F.struct(start.alias("s"), F.array().cast(_STARTS).alias("starts"))
+    walked = F.aggregate(kids, acc, lambda a, x: F.struct(
         apply_to(x["_t"], a["s"]).alias("s"),
         F.concat(a["starts"], F.array(F.struct(x["_b"].alias("_b"), a["s"].alias("s")))).alias("starts")))
+    one = F.struct(apply_to(kids[0]["_t"], start).alias("s"), F.array(F.struct(kids[0]["_b"].alias("_b"), start.alias("s"))).cast(_STARTS).alias("starts"))
+    return F.when(F.size(kids) == 1, one).otherwise(walked)
 
 
 def _handed_down(walked: DataFrame) -> DataFrame:
@@ -156,13 +176,17 @@ def fold_commands(valid: DataFrame, items: DataFrame | None, *, bucket_rows: int
         starts = starts.join(long, KEY, "left_anti").unionByName(below)
     # rejections: replay each leaf from its start state
     replay = leaves.select(*KEY, "_b", "_cmds").join(starts, [*KEY, "_b"], "inner")
-    acc1 = F.struct(F.col("_s0").alias("s"), F.array().cast("array<struct<seq:bigint,op:string>>").alias("rej"))
-    rep = replay.withColumn("_r", F.aggregate(
+    # only whether the line is there counts: an add makes it, a removal ends it, another set leaves it as it is
+    acc1 = F.struct(F.coalesce("_s0.present", F.lit(False)).alias("there"), F.array().cast("array<struct<seq:bigint,op:string>>").alias("rej"))
+    is_rm = lambda x: (x["op"] == "del") | ((x["op"] == "set") & (x["q"] <= 0))
+    missed = lambda x, there: x["op"].isin("set", "del") & ~there
+    named = lambda x: F.array(F.struct(x["seq"].alias("seq"), x["op"].alias("op")))
+    one = F.col("_cmds")[0]
+    replayed = F.aggregate(
         "_cmds", acc1,
         lambda acc, x: F.struct(
-            apply_to(command_transformer(x["op"], x["q"], x["at"]), acc["s"]).alias("s"),
-            F.when(x["op"].isin("set", "del") & ~F.coalesce(acc["s"]["present"], F.lit(False)),
-                   F.concat(acc["rej"], F.array(F.struct(x["seq"].alias("seq"), x["op"].alias("op")))))
-            .otherwise(acc["rej"]).alias("rej"))))
-    rejects = rep.select(*KEY, F.explode("_r.rej").alias("_x")).select("_x.seq", *KEY, "_x.op")
+            ((x["op"] == "add") | (acc["there"] & ~is_rm(x))).alias("there"),
+            F.when(missed(x, acc["there"]), F.concat(acc["rej"], named(x))).otherwise(acc["rej"]).alias("rej")))["rej"]
+    rep = replay.select(*KEY, F.when(F.size("_cmds") == 1, F.when(missed(one, F.coalesce("_s0.present", F.lit(False))), named(one))).otherwise(replayed).alias("_rej"))
+    rejects = rep.select(*KEY, F.explode("_rej").alias("_x")).select("_x.seq", *KEY, "_x.op")
     return final, rejects

@@ -76,3 +76,24 @@ def test_csv_rows_known_wholly_partly_or_not(spark, tmp_dir, monkeypatch):
     load_csv(spark, tmp_dir)
     assert names == [3, 1, 0, 2]
     assert spark.read.parquet(f"{tmp_dir}/table").count() == 6
+
+
+@pytest.mark.parametrize("op, q", [("add", 3), ("set", 2), ("set", 0), ("del", None)])
+def test_one_command_follows_a_transformer(spark, op, q):
+    kinds = [(a, b) for a in (False, True) for b in (0, 1, 2, 3)]
+    f = spark.createDataFrame([(a, 4 if a else None, b, 7 if b else None) for a, b in kinds], "ap boolean, aq int, pk int, pq int")
+    at = F.to_timestamp_ntz(F.lit("2024-01-02 00:00:00"))
+    t = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
+    f = f.select(F.struct("ap", "aq", F.when(F.col("ap"), t).alias("aat"), "pk", "pq", F.when(F.col("pk") == 3, t).alias("pat")).cast(cart_fold._T).alias("f"))
+    args = F.lit(op), F.lit(q).cast("int"), at
+    both = f.select(cart_fold.compose(F.col("f"), cart_fold.command_transformer(*args)).cast(cart_fold._T).alias("x"), cart_fold.then_command(F.col("f"), *args).alias("y"))
+    assert all(r.x == r.y for r in both.collect())
+
+
+def test_single_command_lines_are_not_folded_one_by_one(spark):
+    cmds = spark.createDataFrame([(1, "c", "add", 1, 2, None), (2, "c", "del", 2, None, None)], "seq long, cart_id string, op string, product_id long, quantity int, at timestamp_ntz")
+    final, rejects = cart_fold.fold_commands(cmds, None)
+    assert [tuple(r) for r in final.collect()] == [("c", 1, 2, None)]
+    assert [tuple(r) for r in rejects.collect()] == [(2, "c", 2, "del")]
+    text = cart_fold._leaves(cmds, 256)._jdf.queryExecution().analyzed().toString()
+    assert "size(_cmds" in text  # a leaf of one command is not replayed by a lambda
