@@ -17,6 +17,7 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
+    "spark.sql.files.maxPartitionBytes": "16m",
 }
 
 

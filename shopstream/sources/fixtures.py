@@ -65,12 +65,13 @@ def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_shipdate")
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    # the category of a part is spelled once a part, before the join
+    part = table(spark, sf_dir, "part").select(
+        "p_partkey", "p_brand", F.concat(F.lower("p_type"), F.lit("."), F.split("p_name", " ").getItem(1)).alias("_code"))
     j = li.join(part, li.l_partkey == part.p_partkey, "inner")
     ok_ln = F.col("l_orderkey") + F.col("l_linenumber")
     brand = F.when((ok_ln % 3 == 0) | (F.col("l_partkey") % 11 == 0), F.lit(None)).otherwise(F.col("p_brand"))
-    code = F.concat(F.lower("p_type"), F.lit("."), F.split("p_name", " ").getItem(1))
-    code = F.when((ok_ln % 5 == 0) | (F.col("l_partkey") % 13 == 0), F.lit(None)).otherwise(code)
+    code = F.when((ok_ln % 5 == 0) | (F.col("l_partkey") % 13 == 0), F.lit(None)).otherwise(F.col("_code"))
     price = F.when(F.col("l_orderkey") % 7 == 0, F.lit(None)).otherwise(
         F.col("l_extendedprice").cast("decimal(10,2)"))
     return j.select(
