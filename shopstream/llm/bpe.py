@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 16_384, 5, 4_096
-CACHE_PIECES, CACHED_CHARS = 250_000, 64
+CACHE_PIECES, CACHED_CHARS = 60_000, 64  # each of three caches; a pipeline keeps its workers, and with them these
 SHORT_BYTES, NO_RANK = 40, 1 << 60
 
 

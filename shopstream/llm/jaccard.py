@@ -277,6 +277,28 @@ def _within_chunk(size: int, num: int, den: int):
     return run
 
 
+def _within_chunks(size: int, num: int, den: int):
+    """Links within each chunk; the rows of a chunk come one after another."""
+    links = _within_chunk(size, num, den)
+
+    def run(batches):
+        at, members = None, []
+
+        def found() -> pa.RecordBatch:
+            both = links(pd.DataFrame(members, columns=["class", "text"])) if len(members) > 1 else {"a": [], "b": []}
+            return pa.RecordBatch.from_arrays([pa.array(both[c], pa.int64()) for c in ("a", "b")], names=["a", "b"])
+
+        for batch in batches:
+            for *chunk, c, t in zip(*(batch.column(n).to_pylist() for n in ("by", "bucket", "chunk", "class", "text"))):
+                if chunk != at:
+                    if len(members) > 1:
+                        yield found()
+                    at, members = chunk, []
+                members.append((c, t))
+        yield found()
+    return run
+
+
 def _between_units(size: int, num: int, den: int):
     def run(batches):
         shingles, known, order = Shingler(size), {}, []
@@ -355,7 +377,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
         return placed.where("class != head").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("n_chunk")).cast("int")).unionByName(heads)
 
     met = chunks("least", "members > 1").unionByName(chunks("second", "low != high")).select("by", "bucket", "chunk", "class", "key")
-    first = shared_table(met.join(texts, "key").groupBy("by", "bucket", "chunk").applyInPandas(_within_chunk(shingle, num, den), "a long, b long"), "links")
+    chunk = ["by", "bucket", "chunk"]
+    together = met.join(texts, "key").repartition(*chunk).sortWithinPartitions(*chunk)
+    first = shared_table(together.mapInArrow(_within_chunks(shingle, num, den), "a long, b long"), "links")
     comps = components(first)
 
     # second round: units, joined on their prefixes

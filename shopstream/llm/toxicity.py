@@ -222,7 +222,7 @@ class Model:
 class _Reader:
     """Scores texts; keeps the gate inputs of words seen, up to ``limit`` words."""
 
-    def __init__(self, model: Model, limit: int = 150_000):
+    def __init__(self, model: Model, limit: int = 75_000):
         self.model, self.limit = model, limit
         self._reset()
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shopstream.llm import jaccard
+from shopstream.llm import bpe, jaccard, toxicity
 from shopstream.operators import cart_fold
 from shopstream.session import configure
 from shopstream.streaming import ingest
@@ -50,6 +50,23 @@ def test_near_copies_meet_before_their_units_are_joined(spark, monkeypatch):
     assert pairs[0] < 20, pairs
 
 
+def test_chunks_may_span_batches_and_share_one(spark):
+    import pyarrow as pa
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:-1], "x"])
+    rows = [("least", 1, 0, 1, " ".join(base)), ("least", 1, 0, 2, near), ("least", 1, 1, 3, near), ("second", 1, 1, 4, " ".join(base)), ("second", 1, 1, 5, near)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("by", "bucket", "chunk", "class", "text"), r)) for r in rows])
+    for cuts in ([0, 5], [0, 1, 5], [0, 1, 2, 3, 4, 5]):
+        out = list(jaccard._within_chunks(4, 85, 100)(batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:])))
+        assert sorted((r["a"], r["b"]) for t in out for r in t.to_pylist()) == [(1, 2), (4, 5)]
+
+
+def test_workers_that_stay_hold_small_caches():
+    import inspect
+    assert bpe.CACHE_PIECES <= 60_000
+    assert inspect.signature(toxicity._Reader).parameters["limit"].default <= 75_000
+
+
 def test_content_ids_take_one_shuffle(spark):
     rows = spark.createDataFrame([(1, 0.0, "a", "f"), (1, -0.0, "a", "f"), (1, 0.0, "a", "g"), (2, None, None, "g")], "p long, v double, n string, _file string")
     assert plan(ingest.with_content_ids(rows.drop("v"))).count("Exchange") == 1
