@@ -19,15 +19,15 @@ Decoding concatenates byte strings up the same kind of tree.
 Defined results: null text encodes as empty; empty text gives no tokens; special tokens
 are never produced; rows are independent, so repeats and other columns need no care.
 Each row is handled where it is read: no shuffle.  Memory: one Arrow batch and a piece
-cache of ``CACHE_PIECES`` entries a worker.
+cache of five dictionaries of ``CACHE_PIECES`` entries a worker.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 16_384, 5, 4_096
-CACHE_PIECES, CACHED_CHARS = 60_000, 64  # each of three caches; a pipeline keeps its workers, and with them these
+CACHE_PIECES, CACHED_CHARS = 60_000, 64  # of each dictionary; a pipeline keeps its workers, and with them these
 SHORT_BYTES, NO_RANK = 40, 1 << 60
 
 
@@ -50,9 +50,13 @@ class Codec:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes_of[rank] = token
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.leaves: dict[bytes, list[int]] = {}
+        # ids of pieces, as bytes, and of two tokens side by side (see ``seam``); when the
+        # younger dictionary is full it becomes the older one, so that what is met again stays
+        self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.seams: dict[int, tuple[int, ...]] = {}
+        self.older_seams: dict[int, tuple[int, ...]] = {}
+        self.leaves: dict[bytes, tuple[int, ...]] = {}
         # the two tokens whose merge makes a token; none for single bytes
         self.halves: list[list[int]] = [[] for _ in self.bytes_of]
         self.reducible = True
@@ -110,12 +114,16 @@ class Codec:
                 merged[i - 1] = rank(parts[i - 1] + parts[i], NO_RANK)
         return [self.ranks[x] for x in parts]
 
-    def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
+    def seam(self, a: int, b: int) -> tuple[int, ...]:
+        """The encoding of two tokens together; empty if they stay as they are."""
+        known = self.seams.get(a << 32 | b)
         if known is None:
-            if len(self.pairs) >= CACHE_PIECES:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self._stay_apart(a, b)
+            known = self.older_seams.get(a << 32 | b)
+            if known is None:
+                known = () if self._stay_apart(a, b) else tuple(self.merge(self.bytes_of[a] + self.bytes_of[b]))
+            if len(self.seams) >= CACHE_PIECES:
+                self.seams, self.older_seams = {}, self.seams
+            self.seams[a << 32 | b] = known
         return known
 
     def _stay_apart(self, a: int, b: int) -> bool:
@@ -138,14 +146,15 @@ class Codec:
             else:
                 return True
 
-    def join_tokens(self, left: list[int], right: list[int]) -> list[int]:
-        if not left or not right or self.compatible(left[-1], right[0]):
+    def join_tokens(self, left: tuple[int, ...], right: tuple[int, ...]) -> tuple[int, ...]:
+        if not left or not right or not (inner := self.seam(left[-1], right[0])):
             return left + right
         i = j = 1
         while True:
-            inner = self._known(b"".join(map(self.bytes_of.__getitem__, left[-i:] + right[:j])))
-            fits_left = i >= len(left) or self.compatible(left[-i - 1], inner[0])
-            fits_right = j >= len(right) or self.compatible(inner[-1], right[j])
+            if i + j > 2:
+                inner = self._known(b"".join(map(self.bytes_of.__getitem__, left[-i:] + right[:j])))
+            fits_left = i >= len(left) or not self.seam(left[-i - 1], inner[0])
+            fits_right = j >= len(right) or not self.seam(inner[-1], right[j])
             if fits_left and fits_right:
                 return left[:-i] + inner + right[j:]
             if not fits_left:
@@ -153,23 +162,29 @@ class Codec:
             if not fits_right:
                 j = min(len(right), 2 * j)
 
-    def tokens(self, data: bytes) -> list[int]:
+    def tokens(self, data: bytes) -> tuple[int, ...]:
+        if len(data) <= LEAF_BYTES:
+            return self._known(data)
         if (whole := self.ranks.get(data)) is not None:
-            return [whole]
-        if len(data) <= LEAF_BYTES or not self.reducible:
+            return (whole,)
+        if not self.reducible:
             return self._known(data)
-        half = len(data) // 2
-        return self.join_tokens(self.tokens(data[:half]), self.tokens(data[half:]))
+        half, known = len(data) // 2, self.leaves.get
+        left, right = data[:half], data[half:]
+        left, right = known(left) or self.tokens(left), known(right) or self.tokens(right)
+        if self.seams.get(left[-1] << 32 | right[0]) == ():
+            return left + right
+        return self.join_tokens(left, right)
 
-    def _known(self, data: bytes) -> list[int]:
+    def _known(self, data: bytes) -> tuple[int, ...]:
         """``merge``, remembering short byte strings."""
         if len(data) > SHORT_BYTES:
-            return self.merge(data)
+            return tuple(self.merge(data))
         out = self.leaves.get(data)
         if out is None:
             if len(self.leaves) >= CACHE_PIECES:
                 self.leaves.clear()
-            out = self.leaves[data] = self.merge(data)
+            out = self.leaves[data] = tuple(self.merge(data))
         return out
 
     # ---- pieces of a text
@@ -211,18 +226,25 @@ class Codec:
         half = len(text) // 2
         return self.join_pieces(self.pieces(text[:half]), self.pieces(text[half:]))
 
-    def encode(self, text: str) -> np.ndarray:
-        cache, parts = self.cache, []
-        for piece in self.pieces(text):
-            ids = cache.get(piece)
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece, remembered if it is short."""
+        ids = self.cache.get(piece)
+        if ids is None:
+            ids = self.older.get(piece)
             if ids is None:
-                ids = tuple(self.tokens(piece.encode()))
-                if len(piece) <= CACHED_CHARS:
-                    if len(cache) >= CACHE_PIECES:
-                        cache.clear()
-                    cache[piece] = ids
-            parts.append(ids)
-        return np.fromiter(chain.from_iterable(parts), dtype=np.int32)
+                ids = array("i", self.tokens(piece.encode())).tobytes()
+            if len(piece) <= CACHED_CHARS:
+                if len(self.cache) >= CACHE_PIECES:
+                    self.cache, self.older = {}, self.cache
+                self.cache[piece] = ids
+        return ids
+
+    def encode(self, text: str) -> np.ndarray:
+        pieces = self.pieces(text)
+        parts = list(map(self.cache.get, pieces))
+        if None in parts:
+            parts = [self._piece(piece) if ids is None else ids for piece, ids in zip(pieces, parts)]
+        return np.frombuffer(b"".join(parts), dtype=np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= LEAF_IDS:

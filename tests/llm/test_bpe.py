@@ -69,3 +69,36 @@ def test_whole_documents(spark, reference):
         assert got[r["doc_id"]]["n_tokens"] == len(ids)
         assert got[r["doc_id"]]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert got[r["doc_id"]]["decoded_sha256"] == hashlib.sha256(r["text"].encode()).hexdigest()
+
+
+def test_a_piece_met_again_is_not_worked_out_again(own, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 50)
+    codec = bpe.Codec(own.ranks, bpe.default_vocabulary()[1])
+    worked_out = []
+    monkeypatch.setattr(codec, "tokens", lambda data, plain=codec.tokens: worked_out.append(data) or plain(data))
+    text = "".join(f" anteréfou{chr(97 + i % 26)}{chr(97 + i // 26)}q thlyestion" for i in range(600))
+    assert codec.encode(text).tolist() == reference.encode_ordinary(text)
+    for word in text.split(" ")[1:]:
+        codec.encode(" " + word)
+    assert worked_out.count(b" thlyestion") == 1
+    assert len(codec.cache) <= 50 and len(codec.older) <= 50
+
+
+def test_what_two_tokens_make_is_kept(own, reference, monkeypatch):
+    monkeypatch.setattr(bpe, "LEAF_BYTES", 2)
+    codec = bpe.Codec(own.ranks, bpe.default_vocabulary()[1])
+    merged = []
+    monkeypatch.setattr(codec, "merge", lambda data, plain=codec.merge: merged.append(data) or plain(data))
+    words = [" " + "".join(c) for c in ("thlyestion", "inonathain", "éleéelle", "thlyestioninonathain", "aaaaaaaaaaaaaaaaa")]
+    for word in words * 3:
+        codec.cache.clear()
+        codec.older.clear()
+        assert codec.encode(word).tolist() == reference.encode_ordinary(word)
+    for (a, b), inner in [((k >> 32, k & 0xFFFFFFFF), v) for k, v in codec.seams.items()]:
+        assert list(inner or (a, b)) == reference._encode_single_piece(own.bytes_of[a] + own.bytes_of[b])
+    once = len(merged)
+    for word in words:
+        codec.cache.clear()
+        codec.older.clear()
+        codec.encode(word)
+    assert len(merged) == once
