@@ -38,6 +38,7 @@ LONGEST, PIECE, STEP = 17, 12, 6  # longer runs of letters are cut into pieces o
 CHUNK = 4096
 ROWS = 500  # texts scored at once in a task
 SLICES = 32  # parts in which the driver reads the training texts
+DOCS = 200  # training documents whose words are counted at once
 CLEAN_SHARE = 4  # sampled clean documents for each toxic one
 THRESHOLD = 0.7
 
@@ -320,33 +321,43 @@ def fit_sample(sample: Sample, *, share: float | None = None, vocab_words: int =
     sample.number = {}
     unseen = [(docs[i], float(y[i])) for i in np.flatnonzero(test)]
     docs, y = [docs[i] for i in np.flatnonzero(~test)], y[~test]
-    counts = np.bincount(np.concatenate(docs), minlength=len(names))
-    ranked = [i for i in sorted(range(len(names)), key=lambda i: (-counts[i], names[i])) if counts[i]]
+    counts = np.zeros(len(names), np.int64)
+    for a in range(0, len(docs), DOCS):
+        counts += np.bincount(np.concatenate(docs[a:a + DOCS]), minlength=len(names))
+    ranked = np.array(sorted(np.flatnonzero(counts).tolist(), key=names.__getitem__), np.int32)
+    ranked = ranked[np.argsort(-counts[ranked], kind="stable")]  # by count, then by name
     place = np.zeros(len(names), np.int32)
     place[ranked] = np.arange(1, len(ranked) + 1)
-    grams = np.zeros((len(ranked) + 1, GRAMS), np.int32)
+    grams = np.zeros((len(ranked) + 1, GRAMS), np.uint16)  # below CHAR_BUCKETS
     for i, w in enumerate(ranked):
         grams[i + 1] = char_grams(names[w])
-    at, owner = [], []
+    # word numbers of all documents one after another, short ones padded to a window; windows are cut from these when they are read
+    flat = np.zeros(sum(max(len(numbers), WINDOW) for numbers in docs), np.int32)
+    starts, owner, end = [], [], 0
     for d, numbers in enumerate(docs):
-        win = windows(place[numbers])
-        at.append(win)
-        owner.append(np.full(len(win), d, np.int32))
-    del docs
-    at, owner = np.concatenate(at), np.concatenate(owner)
+        flat[end:end + len(numbers)] = place[numbers]
+        starts.append(np.asarray(window_starts(len(numbers))) + end)
+        owner.append(np.full(len(starts[-1]), d, np.int32))
+        end += max(len(numbers), WINDOW)
+        docs[d] = None
+    starts, owner = np.concatenate(starts), np.concatenate(owner)
     n_known = min(vocab_words, len(ranked)) + 1
     net, rng = Network(n_known, seed), np.random.default_rng(seed + 1)
     adam = Adam(net.p, rate)
     model = Model({names[w]: i + 1 for i, w in enumerate(ranked[:n_known - 1])}, net, share)
+    gates = np.empty((2, len(grams), 3 * HIDDEN), np.float32)
+
+    def windows_at(chosen):
+        return flat[chosen[:, None] + np.arange(WINDOW)]
 
     def known_of(ids):
         return np.where(ids < n_known, ids, 0).astype(np.int32)
 
     def all_logits():
-        parts = [net.project(net.inputs(known_of(np.arange(a, min(a + 20_000, len(grams)))), grams[a:a + 20_000])[0])
-                 for a in range(0, len(grams), 20_000)]
-        gates = np.concatenate(parts, axis=1)
-        return np.concatenate([net.forward(gates, at[a:a + CHUNK], at[a:a + CHUNK] > 0) for a in range(0, len(at), CHUNK)])
+        for a in range(0, len(grams), 20_000):
+            gates[:, a:a + 20_000] = net.project(net.inputs(known_of(np.arange(a, min(a + 20_000, len(grams)))), grams[a:a + 20_000])[0])
+        parts = (windows_at(starts[a:a + CHUNK]) for a in range(0, len(starts), CHUNK))
+        return np.concatenate([net.forward(gates, at, at > 0) for at in parts])
 
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     positive_windows = np.flatnonzero(y[owner] > 0)
@@ -368,7 +379,7 @@ def fit_sample(sample: Sample, *, share: float | None = None, vocab_words: int =
         target = y[owner[chosen]]
         balance = np.where(target > 0, 0.5 / max(target.mean(), 1e-6), 0.5 / max(1 - target.mean(), 1e-6)).astype(np.float32)
         for a in range(0, len(chosen), size):
-            win = at[chosen[a:a + size]]
+            win = windows_at(starts[chosen[a:a + size]])
             used, inverse = np.unique(win, return_inverse=True)
             local = inverse.reshape(win.shape)
             known = known_of(used)
@@ -377,6 +388,7 @@ def fit_sample(sample: Sample, *, share: float | None = None, vocab_words: int =
             logit, cache = net.forward(net.project(vectors), local, win > 0, keep=True)
             d = (_sigmoid(logit) - target[a:a + size]) * balance[a:a + size] / len(win)
             adam.update(net.backward(d.astype(np.float32), local, cache, vectors, count, known, grams[used]))
+    del flat, starts, owner, grams, gates
     if unseen:
         raw = np.clip(model.reader().scores(" ".join(names[i] for i in numbers) for numbers, _ in unseen), 1e-12, 1 - 1e-12)
         model.calibrate(np.log(raw / (1 - raw)), np.array([c for _, c in unseen], np.float64), min(max(share, 0.01), 0.99))

@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 # Settings the library depends on for correctness (UTC wall clock) and for
 # scale (AQE re-plans joins and partition counts from runtime sizes; an Arrow batch is
 # bounded by its bytes, whatever the length of a row; a task scans a bounded part of a
-# file, so that what it sorts does not grow with the input).
+# file, so that what it sorts does not grow with the input; the driver describes a plan
+# anew after each stage, briefly, as that of a join of joins is long).
 REQUIRED_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -18,6 +19,7 @@ REQUIRED_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.maxBytesPerBatch": "4194304",
     "spark.sql.files.maxPartitionBytes": "16m",
+    "spark.sql.ui.explainMode": "simple",
 }
 
 

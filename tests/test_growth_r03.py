@@ -114,3 +114,23 @@ def test_single_command_lines_are_not_folded_one_by_one(spark):
     assert [tuple(r) for r in rejects.collect()] == [(2, "c", 2, "del")]
     text = cart_fold._leaves(cmds, 256)._jdf.queryExecution().analyzed().toString()
     assert "size(_cmds" in text  # a leaf of one command is not replayed by a lambda
+
+
+def test_fitting_toxicity_holds_words_and_gates_once():
+    import tracemalloc
+    import numpy as np
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    names = ["".join(letters[rng.integers(0, 26, 8)]) for _ in range(40_000)]
+    sample = toxicity.Sample()
+    for i in range(200):
+        sample.add(i, " ".join(names[j] for j in rng.integers(0, len(names), 1500)), i % 2)
+    words = len(sample.number)
+    tracemalloc.start()
+    try:
+        assert toxicity.fit_sample(sample, epochs=3) is not None
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    gates = 4 * 2 * words * 3 * toxicity.HIDDEN  # bytes
+    assert peak < 6.6 * gates, peak / gates  # 7.3 with all windows and the gates twice
