@@ -142,12 +142,13 @@ def count_sketch(docs: DataFrame, size: int) -> tuple[np.ndarray, float]:
         total = np.zeros(part, np.int64)
         for c in pdf["counts"]:
             total += np.frombuffer(c, np.int32)
-        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [np.minimum(total, np.iinfo(np.int32).max).astype(np.int32).tobytes()]})
+        total = np.minimum(total, np.iinfo(np.int32).max)
+        return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [total.astype(np.min_scalar_type(total.max())).tobytes()]})  # few bytes a slot
 
     counts = np.zeros(slots, np.int32)
     sums = docs.select("text").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInPandas(sum_slice, "slice int, counts binary")
     for r in sums.toLocalIterator():  # 2^SKETCH_BITS counts, a few slices at a time
-        counts[r["slice"] * part:(r["slice"] + 1) * part] = np.frombuffer(r["counts"], np.int32)
+        counts[r["slice"] * part:(r["slice"] + 1) * part] = np.frombuffer(r["counts"], f"u{len(r['counts']) // part}")
     return quantised(counts, mean := float(counts.mean())), mean
 
 
@@ -328,25 +329,32 @@ def _between_units(size: int, num: int, den: int):
     return run
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, label (least id of its component) of every id in ``links`` (a, b)."""
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every vertex has either one lower neighbour or only higher ones."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("id"), F.lit(1).alias("up")), F.struct(F.col("lo").alias("id"), F.lit(0).alias("up")))).alias("end"))
+    return not ends.groupBy("end.id").agg(F.sum("end.up").alias("up"), F.count(F.lit(1)).alias("n")).where("up > 1 or (up = 1 and n > 1)").count()
+
+
+def stars(links: DataFrame) -> DataFrame:
+    """hi, lo: the least id ``lo`` of its component for every other id in ``links`` (a, b).
+
+    Half a round is one short plan over a stored table: the driver keeps and describes a plan
+    for each of its stages, and a thread for each of its exchanges.
+    """
     edges = shared_table(links.where("a != b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
-    before = None
-    while True:
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
+    while not _are_stars(edges):
+        both = edges.select(F.explode(F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))).alias("e")).select("e.*")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u and v != m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         # an edge to the least neighbour is kept by every vertex, so that nothing is disconnected
-        large = large.unionByName(low.where("u > m").select(F.col("u").alias("hi"), F.col("m").alias("lo"))).distinct()
+        large = shared_table(both.join(low, "u").where("v > u or v = m").select(F.greatest("u", "v").alias("hi"), F.col("m").alias("lo")).distinct(), "edges")
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(least, "hi")
-        edges = shared_table(
-            small.where("lo != m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-            .unionByName(least.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        edges = shared_table(large.join(least, "hi").select(F.when(F.col("lo") != F.col("m"), F.col("lo")).otherwise(F.col("hi")).alias("hi"), F.col("m").alias("lo")).distinct(), "edges")
+    return edges
+
+
+def components(links: DataFrame) -> DataFrame:
+    """id, label (least id of its component) of every id in ``links`` (a, b)."""
+    edges = stars(links)
     roots = edges.select(F.col("lo").alias("id")).distinct()
     return edges.select(F.col("hi").alias("id"), F.col("lo").alias("label")).unionByName(roots.select("id", F.col("id").alias("label")))
 
@@ -428,9 +436,9 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
     laid = (pairs.join(blobs.select(F.col("unit").alias("u"), F.col("members").alias("left")), "u")
             .join(blobs.select(F.col("unit").alias("v"), F.col("members").alias("right")), "v"))
     second = laid.select("u", "v", "left", "right").mapInArrow(_between_units(shingle, num, den), "a long, b long")
-    final = components(first.unionByName(second))
+    final = stars(first.unionByName(second))
 
-    named = classes.select("class", "first_doc").join(final.withColumnRenamed("id", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    named = classes.select("class", "first_doc").join(final.withColumnRenamed("hi", "class"), "class", "left").withColumn("label", F.coalesce("lo", "class"))
     least_doc = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     named = named.join(least_doc, "label").select("class", "component_id")
     return table.join(named, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))

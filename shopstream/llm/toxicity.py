@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopstream.session import shared_table
+
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 8
 CHAR_BUCKETS, GRAMS = 16_384, 16
 LONGEST, PIECE, STEP = 17, 12, 6  # longer runs of letters are cut into pieces of PIECE letters, one every STEP
 CHUNK = 4096
 ROWS = 500  # texts scored at once in a task
-SLICES = 32  # parts in which the driver reads the training texts
+SLICES = 12  # parts in which the driver reads the training texts
 DOCS = 200  # training documents whose words are counted at once
 CLEAN_SHARE = 4  # sampled clean documents for each toxic one
 THRESHOLD = 0.7
@@ -415,19 +417,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, max_chars:
     share = known.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0]
     there = (docs.where(F.col("text").isNotNull()).select("doc_id").join(known, "doc_id")
              .select("doc_id", "y", F.xxhash64("doc_id").alias("h")).distinct())
-    picked = [r for y, n in ((1, per_class), (0, CLEAN_SHARE * per_class)) for r in there.where(F.col("y") == y).orderBy("h", "doc_id").limit(n).collect()]
-    if len({r["y"] for r in picked}) < 2:
+    chosen = [there.where(F.col("y") == y).orderBy("h", "doc_id").limit(n).select("doc_id", "y") for y, n in ((1, per_class), (0, CLEAN_SHARE * per_class))]
+    # the ids stay in a table: as a list in a condition they would be part of every plan and task that the driver describes
+    picked = shared_table(chosen[0].unionByName(chosen[1]), "picked")
+    if picked.select("y").distinct().count() < 2:
         return None, share
-    label = {r["doc_id"]: r["y"] for r in picked}
     # the fewer toxic documents may be longer, as only a passage of them need be toxic
-    chars = F.when(F.col("doc_id").isin([i for i, y in label.items() if y]), CLEAN_SHARE * max_chars).otherwise(max_chars)
+    chars = F.when(F.col("y") > 0, CLEAN_SHARE * max_chars).otherwise(max_chars)
     # about 2 * CLEAN_SHARE * per_class * max_chars characters at most, which come in SLICES parts, one at a time
-    texts = (docs.where(F.col("doc_id").isin(list(label)) & F.col("text").isNotNull())
-             .select("doc_id", excerpt(F.col("text"), F.col("doc_id"), chars).alias("text")).repartition(SLICES, "doc_id")
-             .groupBy("doc_id").agg(F.min("text").alias("text")))
+    texts = (docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+             .select("doc_id", "y", excerpt(F.col("text"), F.col("doc_id"), chars).alias("text")).repartition(SLICES, "doc_id")
+             .groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")))
     sample = Sample()
     for r in texts.toLocalIterator():
-        sample.add(r["doc_id"], r["text"], label[r["doc_id"]])
+        sample.add(r["doc_id"], r["text"], r["y"])
     return fit_sample(sample, share=share), share
 
 
