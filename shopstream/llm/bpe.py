@@ -18,8 +18,8 @@ Decoding concatenates byte strings up the same kind of tree.
 
 Defined results: null text encodes as empty; empty text gives no tokens; special tokens
 are never produced; rows are independent, so repeats and other columns need no care.
-Each row is handled where it is read: no shuffle.  Memory: one Arrow batch and a piece
-cache of five dictionaries of ``CACHE_PIECES`` entries a worker.
+Each row is handled where it is read: no shuffle.  Memory: one Arrow batch, a few
+rows of it as Python objects, and a piece cache of five dictionaries of ``CACHE_PIECES`` entries a worker.
 """
 
 from __future__ import annotations
@@ -36,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopstream.llm.workers import lean
+
 LEAF_CHARS, LEAF_BYTES, LEAF_IDS = 16_384, 5, 4_096
 CACHE_PIECES, CACHED_CHARS = 60_000, 64  # of each dictionary; a pipeline keeps its workers, and with them these
 SHORT_BYTES, NO_RANK = 40, 1 << 60
@@ -277,7 +279,7 @@ def encode(df: DataFrame, path: str, pattern: str, *, text: str = "text", ids: s
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in others] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[*others, ids])
 
-    return df.select(*others, text).mapInArrow(run, _with_column(df.schema, ids, T.ArrayType(T.IntegerType()), text))
+    return df.select(*others, text).mapInArrow(lean(run), _with_column(df.schema, ids, T.ArrayType(T.IntegerType()), text))
 
 
 def decode(df: DataFrame, path: str, pattern: str, *, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -292,7 +294,7 @@ def decode(df: DataFrame, path: str, pattern: str, *, ids: str = "ids", decoded:
             found = [own.decode(values[a:b].tolist()) for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in others] + [pa.array(found, pa.binary())], names=[*others, decoded])
 
-    return df.select(*others).mapInArrow(run, _with_column(df.schema, decoded, T.BinaryType()))
+    return df.select(*others).mapInArrow(lean(run), _with_column(df.schema, decoded, T.BinaryType()))
 
 
 def digest(tokens: DataFrame) -> DataFrame:

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopstream.llm.substring_dedup import BASES, _mixed
+from shopstream.llm.workers import lean
 from shopstream.session import shared_table
 
 SKETCH_BITS, SLICES = 22, 64
@@ -146,7 +147,7 @@ def count_sketch(docs: DataFrame, size: int) -> tuple[np.ndarray, float]:
         return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [total.astype(np.min_scalar_type(total.max())).tobytes()]})  # few bytes a slot
 
     counts = np.zeros(slots, np.int32)
-    sums = docs.select("text").mapInArrow(run, "slice int, counts binary").groupBy("slice").applyInPandas(sum_slice, "slice int, counts binary")
+    sums = docs.select("text").mapInArrow(lean(run), "slice int, counts binary").groupBy("slice").applyInPandas(sum_slice, "slice int, counts binary")
     for r in sums.toLocalIterator():  # 2^SKETCH_BITS counts, a few slices at a time
         counts[r["slice"] * part:(r["slice"] + 1) * part] = np.frombuffer(r["counts"], f"u{len(r['counts']) // part}")
     return quantised(counts, mean := float(counts.mean())), mean
@@ -219,7 +220,7 @@ def document_table(docs: DataFrame, size: int, sketch: np.ndarray, mean: float,
                 names=["key", "doc_id", "n", "class", "least", "second", "matches", "prefix", "spare"])
 
     return docs.select("key", "doc_id", "text").mapInArrow(
-        run, "key long, doc_id long, n long, class long, least long, second long, matches int, prefix array<long>, spare int")
+        lean(run), "key long, doc_id long, n long, class long, least long, second long, matches int, prefix array<long>, spare int")
 
 
 class _Sets:
@@ -387,7 +388,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
     met = chunks("least", "members > 1").unionByName(chunks("second", "low != high")).select("by", "bucket", "chunk", "class", "key")
     chunk = ["by", "bucket", "chunk"]
     together = met.join(texts, "key").repartition(*chunk).sortWithinPartitions(*chunk)
-    first = shared_table(together.mapInArrow(_within_chunks(shingle, num, den), "a long, b long"), "links")
+    first = shared_table(together.mapInArrow(lean(_within_chunks(shingle, num, den)), "a long, b long"), "links")
     comps = components(first)
 
     # second round: units, joined on their prefixes
@@ -435,7 +436,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
                          .groupBy("unit").agg(F.collect_list(F.struct("class", "comp", "text")).alias("members")), "units")
     laid = (pairs.join(blobs.select(F.col("unit").alias("u"), F.col("members").alias("left")), "u")
             .join(blobs.select(F.col("unit").alias("v"), F.col("members").alias("right")), "v"))
-    second = laid.select("u", "v", "left", "right").mapInArrow(_between_units(shingle, num, den), "a long, b long")
+    second = laid.select("u", "v", "left", "right").mapInArrow(lean(_between_units(shingle, num, den)), "a long, b long")
     final = stars(first.unionByName(second))
 
     named = classes.select("class", "first_doc").join(final.withColumnRenamed("hi", "class"), "class", "left").withColumn("label", F.coalesce("lo", "class"))

@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shopstream.llm.workers import lean
+
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "id", "iban", "name")
 LABELERS = ("rule", "checksum", "gazetteer", "context", "setting")
@@ -220,15 +222,15 @@ def _observed(text: str):
 def count_patterns(docs: DataFrame) -> DataFrame:
     """pattern (features, then votes, as a string) and n, over all documents."""
     def run(batches):
+        seen: dict[str, int] = {}
         for batch in batches:
-            seen: dict[str, int] = {}
             for text in batch.column("text").to_pylist():
                 if text:
                     for kind, a, b, strict in _observed(text)[2]:
                         key = ",".join(map(str, (*features(text, kind, a, b), *votes(text, kind, a, b, strict))))
                         seen[key] = seen.get(key, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
-    return docs.select("text").mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
+    return docs.select("text").mapInArrow(lean(run), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
 
 
 def fit(docs: DataFrame) -> np.ndarray | None:
@@ -270,7 +272,7 @@ def detect(docs: DataFrame, weights: np.ndarray | None, *, accept: float = 0.9)
 
     one = "array<struct<kind:string,start:int,end:int>>"
     schema = keep.withColumn("base_spans", F.lit(None).cast(one)).withColumn("spans", F.lit(None).cast(one)).schema
-    return keep.mapInArrow(run, schema)
+    return keep.mapInArrow(lean(run), schema)
 
 
 def redact(docs: DataFrame, weights: np.ndarray | None, *, accept: float = 0.9) -> DataFrame:
@@ -289,7 +291,7 @@ def redact(docs: DataFrame, weights: np.ndarray | None, *, accept: float = 0.9)
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(map(clean, batch.column(c).to_pylist()), pa.string()) if c == "text" else batch.column(c) for c in names], names=names)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shopstream.llm.workers import lean
 from shopstream.session import shared_table
 
 WINDOW, STRIDE = 32, 16
@@ -443,13 +444,11 @@ def score(docs: DataFrame, model: Model | None, share: float) -> DataFrame:
 
     def run(batches):
         reader = model.reader()
-        for whole in batches:
-            for start in range(0, whole.num_rows, ROWS):  # few texts at a time are Python strings
-                batch = whole.slice(start, ROWS)
-                found = reader.scores(batch.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
+        for batch in batches:
+            found = reader.scores(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*batch.schema.names, "score"])
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0).cast("double")).schema)
+    return docs.mapInArrow(lean(run, ROWS), docs.withColumn("score", F.lit(0.0).cast("double")).schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
