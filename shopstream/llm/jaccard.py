@@ -16,8 +16,10 @@ Copies and near copies are not expanded into pairs:
   first components;
 * second round, which alone is complete: classes are gathered into units, chunks of a
   first component or of unlinked classes of one bucket.  Prefix shingles are joined
-  unit with unit, units of one first component are left out, and pairs of units that
-  share enough shingles are verified on their texts, all members at once (incidence
+  unit with unit, units of one first component are left out.  Of pairs of units that
+  share enough shingles, a parity bit for each slot of a set (a bit a shingle or two)
+  tells which members cannot link: sets differ in as many shingles at least as in bits.
+  Only the texts of the others travel; they are verified all at once (incidence
   matrices), returning only links between documents not yet connected.
 
 Components are found with alternating star contractions on the links.
@@ -30,6 +32,8 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -47,6 +51,7 @@ EXCESS = 2.0 ** (np.arange(256) / STEPS) - 1
 SIZE_STEP = 1 << 12  # codes of a token: sizes of its unit above, level and matches below
 UNIT_DOCS, UNIT_SHINGLES = 64, 60_000
 MAX_MATCHES, VERIFY_COST = 8, 16
+KNOWN_SHINGLES = 1 << 20  # of texts that a task has read and may meet again
 
 
 class _ByteWords:
@@ -125,6 +130,9 @@ def count_sketch(docs: DataFrame, size: int) -> tuple[np.ndarray, float]:
     slots = 1 << SKETCH_BITS
     part = slots // SLICES
 
+    def packed(some: np.ndarray) -> bytes:
+        return zlib.compress(some.astype(np.min_scalar_type(some.max())).tobytes(), 1)  # few counts of a task take a byte
+
     def run(batches):
         shingles, total, seen, held = Shingler(size), np.zeros(slots, np.int32), [], 0
         for batch in batches:
@@ -137,18 +145,19 @@ def count_sketch(docs: DataFrame, size: int) -> tuple[np.ndarray, float]:
         if seen:
             total += np.bincount(np.concatenate(seen), minlength=slots).astype(np.int32)
         for i in range(SLICES):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total[i * part:(i + 1) * part].tobytes()], pa.binary())], names=["slice", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([packed(total[i * part:(i + 1) * part])], pa.binary())], names=["slice", "counts"])
 
     def sum_slice(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(part, np.int64)
         for c in pdf["counts"]:
-            total += np.frombuffer(c, np.int32)
+            c = zlib.decompress(c)
+            total += np.frombuffer(c, f"u{len(c) // part}")
         total = np.minimum(total, np.iinfo(np.int32).max)
         return pd.DataFrame({"slice": pdf["slice"].iloc[:1], "counts": [total.astype(np.min_scalar_type(total.max())).tobytes()]})  # few bytes a slot
 
     counts = np.zeros(slots, np.int32)
     sums = docs.select("text").mapInArrow(lean(run), "slice int, counts binary").groupBy("slice").applyInPandas(sum_slice, "slice int, counts binary")
-    for r in sums.toLocalIterator():  # 2^SKETCH_BITS counts, a few slices at a time
+    for r in shared_table(sums, "sketch").toLocalIterator():  # 2^SKETCH_BITS counts, a few slices at a time
         counts[r["slice"] * part:(r["slice"] + 1) * part] = np.frombuffer(r["counts"], f"u{len(r['counts']) // part}")
     return quantised(counts, mean := float(counts.mean())), mean
 
@@ -193,13 +202,26 @@ def _least_second(h: np.ndarray) -> int:
     return int(_mixed(h ^ SECOND).min().view(np.int64))
 
 
+def parity_bits(h: np.ndarray) -> bytes:
+    """Whether an odd number of the set's shingles fall into a slot, for a power of two slots, one a shingle at least."""
+    slots = max(64, 1 << (len(h) - 1).bit_length())
+    return np.packbits(np.bincount((h & np.uint64(slots - 1)).astype(np.int64), minlength=slots).astype(np.uint8) & 1).tobytes()
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parity bits as those of fewer slots."""
+    while bits.shape[1] > width:
+        bits = bits[:, :bits.shape[1] // 2] ^ bits[:, bits.shape[1] // 2:]
+    return bits
+
+
 def document_table(docs: DataFrame, size: int, sketch: np.ndarray, mean: float, num: int, den: int) -> DataFrame:
-    """key, doc_id, n, class (of equal sets), least (hash), second (least second hash), matches, prefix, spare (n - need)."""
+    """key, doc_id, n, class (of equal sets), least (hash), second (least second hash), matches, prefix, spare (n - need), bits (of parity)."""
 
     def run(batches):
         shingles = Shingler(size)
         for batch in batches:
-            n, cls, least, second, matches, prefix, spare = [], [], [], [], [], [], []
+            n, cls, least, second, matches, prefix, spare, bits = [], [], [], [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 h = shingles(text)
                 n.append(len(h))
@@ -211,16 +233,17 @@ def document_table(docs: DataFrame, size: int, sketch: np.ndarray, mean: float,
                     matches.append(k)
                     prefix.append(p.view(np.int64))
                     spare.append(len(h) - -(-num * len(h) // den))
+                    bits.append(parity_bits(h))
                 else:
-                    for c in (cls, least, second, matches, prefix, spare):
+                    for c in (cls, least, second, matches, prefix, spare, bits):
                         c.append(None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("key"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(least, pa.int64()), pa.array(second, pa.int64()),
-                 pa.array(matches, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(spare, pa.int32())],
-                names=["key", "doc_id", "n", "class", "least", "second", "matches", "prefix", "spare"])
+                 pa.array(matches, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(spare, pa.int32()), pa.array(bits, pa.binary())],
+                names=["key", "doc_id", "n", "class", "least", "second", "matches", "prefix", "spare", "bits"])
 
     return docs.select("key", "doc_id", "text").mapInArrow(
-        lean(run), "key long, doc_id long, n long, class long, least long, second long, matches int, prefix array<long>, spare int")
+        lean(run), "key long, doc_id long, n long, class long, least long, second long, matches int, prefix array<long>, spare int, bits binary")
 
 
 class _Sets:
@@ -301,23 +324,64 @@ def _within_chunks(size: int, num: int, den: int):
     return run
 
 
+def _possible(a: list[dict], b: list[dict], num: int, den: int) -> np.ndarray:
+    """For each member of a and b, whether the two may link; those of one first component need not.
+
+    Sets of n and m shingles that link differ in (n + m) (den - num) / (den + num) shingles at
+    most, and their parity bits in no more slots than that.
+    """
+    out = np.zeros((len(a), len(b)), bool)
+    widths: dict[int, list[int]] = {}
+    for j, y in enumerate(b):
+        widths.setdefault(len(y["bits"]), []).append(j)
+    for js in widths.values():
+        n, comp = (np.array([b[j][c] for j in js], np.int64) for c in ("n", "comp"))
+        theirs = np.frombuffer(b"".join(b[j]["bits"] for j in js), np.uint64).reshape(len(js), -1)
+        for i, x in enumerate(a):
+            near = (comp != x["comp"]) & (num * np.maximum(n, x["n"]) <= den * np.minimum(n, x["n"]))
+            if near.any():
+                own = np.frombuffer(x["bits"], np.uint64)[None, :]
+                width = min(own.shape[1], theirs.shape[1])
+                differ = np.bitwise_count(_folded(theirs[near], width) ^ _folded(own, width)).sum(1, dtype=np.int64)
+                near[near] = differ * (den + num) <= (n[near] + x["n"]) * (den - num)
+                out[i, js] = near
+    return out
+
+
+def _members_alike(num: int, den: int):
+    """Of pairs of units, the classes that may link with one of the other unit; pairs without any go."""
+    def run(batches):
+        for batch in batches:
+            out = []
+            for u, v, left, right in zip(*(batch.column(c).to_pylist() for c in ("u", "v", "left", "right"))):
+                near = _possible(left, right, num, den)
+                if near.any():
+                    out.append((u, v, *([side[i]["class"] for i in np.flatnonzero(near.any(axis))] for side, axis in ((left, 1), (right, 0)))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate([pa.int64()] * 2 + [pa.list_(pa.int64())] * 2)], names=["u", "v", "left", "right"])
+    return run
+
+
 def _between_units(size: int, num: int, den: int):
     def run(batches):
-        shingles, known, order = Shingler(size), {}, []
+        shingles, known, held = Shingler(size), {}, 0
 
-        def members(unit, rows):
-            if unit not in known:
-                if len(order) >= 64:
-                    known.pop(order.pop(0))
-                order.append(unit)
-                known[unit] = [(r["class"], r["comp"], shingles(r["text"])) for r in rows]
-            return known[unit]
+        def members(rows):
+            nonlocal held
+            out = []
+            for r in rows:
+                if (h := known.get(r["class"])) is None:
+                    h = known[r["class"]] = shingles(r["text"])
+                    held += len(h)
+                out.append((r["class"], r["comp"], h))
+            while held > KNOWN_SHINGLES:
+                held -= len(known.pop(next(iter(known))))
+            return out
 
         for batch in batches:
             out = []
             for u, v, left, right in zip(*(batch.column(c) for c in ("u", "v", "left", "right"))):
-                a = members(u.as_py(), left.as_py())
-                b = a if u == v else members(v.as_py(), right.as_py())
+                a = members(left.as_py())
+                b = a if u == v else members(right.as_py())
                 sets = _Sets()
                 for c, comp, _ in a + b:  # classes of one first component are connected already
                     sets.parent.setdefault(c, c)
@@ -370,12 +434,13 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
         F.min("doc_id").alias("first_doc"), F.min(F.struct("key", "n", "least", "second", "matches", "spare")).alias("one")).select("class", "first_doc", "one.*"), "classes")
 
     n_chunk = F.greatest(F.ceil(F.col("members") / UNIT_DOCS), F.ceil(F.col("weight") / UNIT_SHINGLES)).cast("int")
-    # one text and one prefix row a key: rows may repeat id and text, and copies of a text with a null id share a key
-    texts, prefixes = rows.select("key", "text"), full.select("key", "prefix")
+    # one text and one row of its set a key: rows may repeat id and text, and copies of a text with a null id share a key
+    texts, prefixes, bits = rows.select("key", "text"), full.select("key", "prefix"), full.select("key", "bits")
     repeated = shared_table(full.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "repeated")
     if not repeated.isEmpty():
         texts = shared_table(texts.groupBy("key").agg(F.min("text").alias("text")).join(classes.select("key"), "key", "left_semi"), "texts")
         prefixes = prefixes.groupBy("key").agg(F.min("prefix").alias("prefix"))
+        bits = bits.groupBy("key").agg(F.min("bits").alias("bits"))
 
     # first round: chunks of one bucket, each with the bucket's first class; a bucket of the second hash meets only if it holds several of the first
     def chunks(by: str, where: str) -> DataFrame:
@@ -432,11 +497,23 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 4, num: int = 85, den: in
     inside = shape.where("members > 1 and low != high").select(F.col("unit").alias("u"), F.col("unit").alias("v"))
     pairs = shared_table(pairs.unionByName(inside), "pairs")
     wanted = pairs.select(F.col("u").alias("unit")).unionByName(pairs.select(F.col("v").alias("unit"))).distinct()
-    blobs = shared_table(units.join(wanted, "unit").select("key", "unit", "class", "comp").join(texts, "key")
+
+    def laid(pairs: DataFrame, members: DataFrame) -> DataFrame:
+        return (pairs.join(members.select(F.col("unit").alias("u"), F.col("members").alias("left")), "u")
+                .join(members.select(F.col("unit").alias("v"), F.col("members").alias("right")), "v"))
+
+    signs = shared_table(units.join(wanted, "unit").select("key", "unit", "class", "comp", "n").join(bits, "key")
+                         .groupBy("unit").agg(F.collect_list(F.struct("class", "comp", "n", "bits")).alias("members")), "signs")
+    alike = shared_table(laid(pairs, signs).select("u", "v", "left", "right").mapInArrow(
+        lean(_members_alike(num, den)), "u long, v long, left array<long>, right array<long>"), "alike")
+    read = alike.select(F.col("u").alias("unit"), F.explode("left").alias("class")).unionByName(alike.select(F.col("v").alias("unit"), F.explode("right").alias("class"))).distinct()
+    blobs = shared_table(units.join(read, ["unit", "class"]).select("key", "unit", "class", "comp").join(texts, "key")
                          .groupBy("unit").agg(F.collect_list(F.struct("class", "comp", "text")).alias("members")), "units")
-    laid = (pairs.join(blobs.select(F.col("unit").alias("u"), F.col("members").alias("left")), "u")
-            .join(blobs.select(F.col("unit").alias("v"), F.col("members").alias("right")), "v"))
-    second = laid.select("u", "v", "left", "right").mapInArrow(lean(_between_units(shingle, num, den)), "a long, b long")
+    some = lambda members, classes: F.filter(members, lambda m: F.array_contains(classes, m["class"]))
+    asked_for = alike.withColumnsRenamed({"left": "from_u", "right": "from_v"})
+    texts_of = (asked_for.join(blobs.select(F.col("unit").alias("u"), F.col("members").alias("left")), "u").withColumn("left", some("left", F.col("from_u"))).drop("from_u")
+                .join(blobs.select(F.col("unit").alias("v"), F.col("members").alias("right")), "v").withColumn("right", some("right", F.col("from_v"))))
+    second = texts_of.select("u", "v", "left", "right").mapInArrow(lean(_between_units(shingle, num, den)), "a long, b long")
     final = stars(first.unionByName(second))
 
     named = classes.select("class", "first_doc").join(final.withColumnRenamed("hi", "class"), "class", "left").withColumn("label", F.coalesce("lo", "class"))

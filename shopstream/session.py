@@ -77,15 +77,28 @@ def cut_lineage(df, eager: bool = True):
     return df.checkpoint(eager=eager)
 
 
+# Shuffle files go when the query that wrote them ends, not when the driver happens to collect its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_table(df, name: str = "table"):
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     Like ``cut_lineage`` but compressed and columnar, so that later branches read
-    only the columns they use.  Column order and types are kept.
+    only the columns they use.  Column order and types are kept.  What was shuffled
+    for the table leaves the disk once it is written.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/shopstream-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(DROP_SHUFFLES)
+        else:
+            spark.conf.set(DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
